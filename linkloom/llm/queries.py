@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import components, confusables
+from linkloom.llm import components, confusables, sentences
 from linkloom.session import table
 
 
@@ -20,8 +20,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.group_ids(links, "a", "b").select(F.col("vertex").alias("page_id"), "group_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    articles = table(spark, sf_dir, "wiki_docs").select("doc_id", F.col("plain").alias("text"), "lang")
+    return sentences.sentences(docs.unionByName(articles))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
