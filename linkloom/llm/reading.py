@@ -22,28 +22,28 @@ ratings with null level or of unknown documents are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log1p
+from operator import mul
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.confusables import consistent_text
-from linkloom.llm.sentences import sentence_spans
 
 LANGUAGES = ("en", "es", "zh")
 N_SYNTAX = 6
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 N_DISTRIBUTION = 2 * len(QUANTILES) + 1 + 8
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
-_HAN_RUN = regex.compile(r"\p{Han}+")
-_HAN = regex.compile(r"\p{Han}")
-_LATIN = regex.compile(r"\p{Latin}")
-_OTHER = regex.compile(r"[^\P{L}\p{Han}\p{Latin}]")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_HAN_RUN = re.compile("[\u3400-\u9fff]+")
+# Units of scoring: rough sentences are enough here, as an abbreviation only makes two units of one.
+_ROUGH = re.compile(r"(?<=[.!?…][\s\"”»)])\s*|(?<=[。！？…])(?![”」』）。！？…])|\n+")
 # Frequent function words that only one of the two languages has.
 _FUNCTION = {
     "en": frozenset("the of and is was are were in that to for with it by from on not which had has this be at an or as".split()),
@@ -53,13 +53,17 @@ _FUNCTION = {
 
 def language_of(text: str) -> str | None:
     """en, es or zh by script and function words; None for another language."""
-    han, latin, other = len(_HAN.findall(text)) * 3, len(_LATIN.findall(text)), len(_OTHER.findall(text))
-    if other > max(han, latin):
-        return None
-    if han > latin:
-        return "zh"
-    words = [w.lower() for w in _WORD.findall(text)]
-    en, es = (sum(w in _FUNCTION[g] for w in words) for g in ("en", "es"))
+    if not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        han = 3 * int(((points >= 0x3400) & (points < 0xA000)).sum())
+        latin = int((((points | 32) >= 97) & ((points | 32) <= 122)).sum())
+        other = int(((points >= 0x370) & (points < 0x1E00)).sum())
+        if other > max(han, latin):
+            return None
+        if han > latin:
+            return "zh"
+    words = text.lower().split()
+    en, es = (sum(map(_FUNCTION[g].__contains__, words)) for g in ("en", "es"))
     if not en and not es:
         return None
     return "es" if es > en else "en"
@@ -69,33 +73,46 @@ def _features(sentence: str, lang: str) -> tuple[list[float], set[str], int]:
     """Syntax values, vocabulary and number of words of a sentence."""
     if lang == "zh":
         runs = _HAN_RUN.findall(sentence)
-        grams = {f"zh:{r[i:i + 2]}" for r in runs for i in range(len(r) - 1)}
+        grams = {r[i : i + 2] for r in runs for i in range(len(r) - 1)}
         n = sum(map(len, runs)) / 1.6
-        long_words, letters = 0.0, float(np.mean([len(r) for r in runs])) if runs else 0.0
+        long_words, letters = 0.0, sum(map(len, runs)) / max(1, len(runs))
+        joined = sentence.count("也")
+        commas = sentence.count("，") + sentence.count("；") + sentence.count("、")
     else:
-        words = _WORD.findall(sentence)
-        grams = {f"{lang}:{w.lower()}" for w in words}
+        words = _WORD.findall(sentence.lower())
+        grams = set(words)
         n = len(words)
-        letters = sum(map(len, words)) / max(1, n)
-        long_words = sum(len(w) >= 9 for w in words) / max(1, n)
-    commas = sum(sentence.count(c) for c in ",，;；、")
-    joined = len(regex.findall(r"(?<!\p{L})(?:and|y|和)(?!\p{L})", sentence)) if lang != "zh" else sentence.count("也")
-    return [np.log1p(n), letters / 5, long_words * 2, commas / 5, joined / 5, 1.0], grams, max(1, int(n))
+        sizes = list(map(len, words))
+        letters = sum(sizes) / max(1, n)
+        long_words = sum(map(_LONG.__getitem__, sizes)) / max(1, n) if n and max(sizes) < len(_LONG) else 0.0
+        joined = words.count("and" if lang == "en" else "y")
+        commas = sentence.count(",") + sentence.count(";")
+    return [log1p(n), letters / 5, long_words * 2, commas / 5, joined / 5, 1.0], grams, max(1, int(n))
+
+
+_LONG = [int(k >= 9) for k in range(200)]
+
+
+class Weights(dict):
+    """Term -> weight; terms without one weigh nothing."""
+
+    def __missing__(self, term: str) -> float:
+        return 0.0
 
 
 @dataclass(frozen=True)
 class Model:
     """Weights of the ranker by language and the steps of the calibration."""
 
-    syntax: dict[str, np.ndarray]
-    vocabulary: dict[str, float]
+    syntax: dict[str, list[float]]
+    vocabulary: dict[str, Weights]
     sentence_cuts: dict[str, tuple[float, float, float]]
     weights: np.ndarray | None = None
     cuts: dict[str, tuple[float, float, float]] | None = None
 
     def sentence_score(self, features: tuple[list[float], set[str], int], lang: str) -> float:
         syntax, grams, _ = features
-        return float(np.dot(self.syntax[lang], syntax)) + sum(self.vocabulary.get(g, 0.0) for g in grams) / (len(grams) + 3)
+        return sum(map(mul, self.syntax[lang], syntax)) + sum(map(self.vocabulary[lang].__getitem__, grams)) / (len(grams) + 3)
 
     def score_of(self, rows: list, lang: str) -> float:
         """The median over the text of the scores of its sentences (features, size)."""
@@ -117,7 +134,7 @@ class Model:
         by_length = scores[np.minimum(len(scores) - 1, np.searchsorted(within, QUANTILES))]
         found = np.searchsorted(self.sentence_cuts[lang], scores, side="right")
         shares = [np.bincount(found, sizes, 4) / sizes.sum(), np.bincount(found, minlength=4) / len(scores)]
-        return np.r_[np.quantile(scores, QUANTILES) / 5, by_length / 5, scores.mean() / 5, np.concatenate(shares) * 3].astype(np.float32)
+        return np.r_[scores[[int(q * (len(scores) - 1) + 0.5) for q in QUANTILES]] / 5, by_length / 5, scores.mean() / 5, np.concatenate(shares) * 3].astype(np.float32)
 
     def level(self, text: str, lang: str) -> int:
         return 1 + int(np.searchsorted(self.cuts[lang], float(self.distribution(parse(text, lang), lang) @ self.weights), side="right"))
@@ -125,8 +142,8 @@ class Model:
 
 def parse(text: str, lang: str) -> list:
     """(features, size) of each sentence."""
-    text = consistent_text(text)
-    return [(_features(text[a:b], lang), b - a) for a, b in sentence_spans(text, lang)]
+    units = filter(None, map(str.strip, _ROUGH.split(consistent_text(text))))
+    return [(_features(unit, lang), len(unit)) for unit in units]
 
 
 def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -152,7 +169,7 @@ def _cuts(scores: np.ndarray, levels: np.ndarray) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def fit(texts: list[str], levels: np.ndarray, n_words: int = 1500, n_pairs: int = 60_000, rounds: int = 3, steps: int = 500, l2: float = 3e-5, seed: int = 7) -> Model:
+def fit(texts: list[str], levels: np.ndarray, n_words: int = 1200, n_pairs: int = 60_000, rounds: int = 3, steps: int = 250, l2: float = 3e-5, seed: int = 7) -> Model:
     """Learn the ranker from rated texts."""
     langs = [language_of(t) for t in texts]
     keep = [i for i, g in enumerate(langs) if g]
@@ -164,15 +181,15 @@ def fit(texts: list[str], levels: np.ndarray, n_words: int = 1500, n_pairs: int
     for text, lang in zip(texts, langs, strict=True):
         rows = parse(text, lang)
         parsed.append(rows)
-        df.update(set().union(*[f[1] for f, _ in rows]) if rows else ())
-    words = [w for g in LANGUAGES for w, n in [x for x in sorted(df.items(), key=lambda x: (-x[1], x[0])) if x[0].startswith(g + ":")][:n_words] if n >= 3]
+        df.update({(lang, g) for f, _ in rows for g in f[1]})
+    words = [w for g in LANGUAGES for w, n in [x for x in sorted(df.items(), key=lambda x: (-x[1], x[0])) if x[0][0] == g][:n_words] if n >= 3]
     at = {w: k + N_SYNTAX * len(LANGUAGES) for k, w in enumerate(words)}
     rng = np.random.default_rng(seed)
     model, cuts = None, {}
     for _ in range(rounds):
         w = _rank(_document_features(parsed, langs, levels, at, model, cuts), levels, rng, n_pairs, steps, l2)
-        syntax = {g: w[N_SYNTAX * k : N_SYNTAX * (k + 1)].astype(float) for k, g in enumerate(LANGUAGES)}
-        model = Model(syntax, {t: float(w[k]) for t, k in at.items()}, {})
+        syntax = {g: w[N_SYNTAX * k : N_SYNTAX * (k + 1)].astype(float).tolist() for k, g in enumerate(LANGUAGES)}
+        model = Model(syntax, {g: Weights({t: float(w[k]) for (h, t), k in at.items() if h == g}) for g in LANGUAGES}, cuts)
         cuts = _calibrate(np.array([model.score_of(rows, g) for rows, g in zip(parsed, langs, strict=True)]), levels, langs)
     model = Model(model.syntax, model.vocabulary, cuts)
     x = np.array([model.distribution(rows, g) for rows, g in zip(parsed, langs, strict=True)])
@@ -180,7 +197,7 @@ def fit(texts: list[str], levels: np.ndarray, n_words: int = 1500, n_pairs: int
     return Model(model.syntax, model.vocabulary, cuts, weights, _calibrate(x @ weights, levels, langs))
 
 
-def _document_features(parsed: list, langs: list[str], levels: np.ndarray, at: dict[str, int], model: Model | None, cuts: dict) -> np.ndarray:
+def _document_features(parsed: list, langs: list[str], levels: np.ndarray, at: dict[tuple[str, str], int], model: Model | None, cuts: dict) -> np.ndarray:
     """Features averaged over a document's text; with a model of an earlier round, sentences of another level than the document's count less."""
     x = np.zeros((len(parsed), N_SYNTAX * len(LANGUAGES) + len(at)), dtype=np.float32)
     for i, (rows, lang) in enumerate(zip(parsed, langs, strict=True)):
@@ -194,8 +211,8 @@ def _document_features(parsed: list, langs: list[str], levels: np.ndarray, at: d
             syntax, grams, _ = syntax_and_grams
             x[i, base : base + N_SYNTAX] += np.array(syntax, dtype=np.float32) * each
             for g in grams:
-                if g in at:
-                    x[i, at[g]] += each / (len(grams) + 3)
+                if (lang, g) in at:
+                    x[i, at[lang, g]] += each / (len(grams) + 3)
     return x
 
 
@@ -235,7 +252,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> pd
     return chosen.join(docs.where("text is not null").select("doc_id", "text"), "doc_id").toPandas()
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, min_chars: int = 200, max_labelled: int = 4000) -> DataFrame:
+def reading_levels(docs: DataFrame, labels: DataFrame, min_chars: int = 200, max_labelled: int = 3000) -> DataFrame:
     """(doc_id, reading_level): one row for each document in English, Spanish or Chinese with ``min_chars`` or more."""
     sample = labelled_sample(docs, labels, max_labelled).sort_values("doc_id")
     model = fit(list(sample["text"]), sample["level"].to_numpy())
