@@ -39,7 +39,7 @@ from linkloom.llm.confusables import consistent_text
 LANGUAGES = ("en", "es", "zh")
 N_SYNTAX = 6
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
-N_DISTRIBUTION = 2 * len(QUANTILES) + 1 + 8
+N_DISTRIBUTION = (2 * len(QUANTILES) + 1 + 8) * (1 + len(LANGUAGES))  # for all languages and for each by itself
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _HAN_RUN = re.compile("[\u3400-\u9fff]+")
 # Units of scoring: rough sentences are enough here, as an abbreviation only makes two units of one.
@@ -124,7 +124,7 @@ class Model:
         return float(scores[order][np.searchsorted(within, within[-1] / 2)])
 
     def distribution(self, rows: list, lang: str) -> np.ndarray:
-        """How the sentence scores are distributed over a text."""
+        """How the sentence scores are distributed over a text; once for all languages and once for its own."""
         if not rows:
             return np.zeros(N_DISTRIBUTION, dtype=np.float32)
         scores = np.array([self.sentence_score(f, lang) for f, _ in rows])
@@ -134,7 +134,10 @@ class Model:
         by_length = scores[np.minimum(len(scores) - 1, np.searchsorted(within, QUANTILES))]
         found = np.searchsorted(self.sentence_cuts[lang], scores, side="right")
         shares = [np.bincount(found, sizes, 4) / sizes.sum(), np.bincount(found, minlength=4) / len(scores)]
-        return np.r_[scores[[int(q * (len(scores) - 1) + 0.5) for q in QUANTILES]] / 5, by_length / 5, scores.mean() / 5, np.concatenate(shares) * 3].astype(np.float32)
+        parts = np.r_[scores[[int(q * (len(scores) - 1) + 0.5) for q in QUANTILES]] / 5, by_length / 5, scores.mean() / 5, np.concatenate(shares) * 3].astype(np.float32)
+        out = np.zeros((1 + len(LANGUAGES), len(parts)), dtype=np.float32)
+        out[0] = out[1 + LANGUAGES.index(lang)] = parts
+        return out.ravel()
 
     def level(self, text: str, lang: str) -> int:
         return 1 + int(np.searchsorted(self.cuts[lang], float(self.distribution(parse(text, lang), lang) @ self.weights), side="right"))
