@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import components, confusables, leakage, packing, reading, sentences
+from linkloom.llm import components, confusables, leakage, names, packing, reading, sentences
 from linkloom.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = names.latest_nil_mentions(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "documents"))
+    return names.same_entity_pairs(names.link_entities(mentions))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.same_look_pairs(table(spark, sf_dir, "mentions"), ("surface", "gold_wiki_title"), "mention_id", "doc_id")
 
@@ -39,7 +44,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
