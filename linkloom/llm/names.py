@@ -327,7 +327,9 @@ def link_entities(mentions: DataFrame) -> DataFrame:
     )
     blocks = keyed.where("head is not null").groupBy("lang", "head", "rest", "qualifier").agg(F.count("*").alias("n"))
     schema = "lang string, head string, rest array<string>, qualifier string, entities array<string>"
-    fitted = blocks.groupBy("lang", "head").applyInPandas(block_entities, schema)
+    # rows are few and each costs Python time: keep the session's number of tasks instead of merging them by size
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitted = blocks.repartition(tasks, "lang", "head").groupBy("lang", "head").applyInPandas(block_entities, schema)
     fit = fitted.select("lang", "head", "rest", F.coalesce("qualifier", F.lit("")).alias("q"), "entities")
     assigned = cut_lineage(
         keyed.withColumn("q", F.coalesce("qualifier", F.lit(""))).join(fit, ["lang", "head", "rest", "q"], "left").select(
