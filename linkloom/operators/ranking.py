@@ -140,7 +140,7 @@ def svm_rows(candidates: DataFrame, features: Sequence[str], key: str = "mention
 def train_ranker(candidates: DataFrame, features: Sequence[str], key: str = "mention_id", c: float = 0.01, max_pairs: int = 200_000):
     """Weights of a linear ranker from differences of the gold candidate and the others of a mention (MLlib's LinearSVC).
 
-    At most ``max_pairs`` pairs, chosen by hash, are learned from.
+    At most ``max_pairs`` pairs, chosen by hash, are learned from; without any pair all weights are 0.
     """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
@@ -153,6 +153,8 @@ def train_ranker(candidates: DataFrame, features: Sequence[str], key: str = "men
         F.when(F.col("s") > 0, 1.0).otherwise(0.0).alias("label"),
         array_to_vector(F.transform(F.zip_with("g", "x", lambda a, b: a - b), lambda d: d * F.col("s"))).alias("features"),
     )
+    if signed.isEmpty():
+        return [0.0] * len(features)
     model = LinearSVC(regParam=c, fitIntercept=False, standardization=False, maxIter=50).fit(signed)
     return [float(v) for v in model.coefficients]
 

@@ -1,27 +1,872 @@
-"""Registered queries of the core operators."""
+"""Registered queries of the core operators, each with its SQL twin where SQL can express it.
+
+A query takes (spark, sf_dir) and reads whole tables. The SQL stands beside the query; shared parts are
+named relations in ``_CTE``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from linkloom.operators import rejects
+from linkloom.functions import text as X
+from linkloom.functions import vectors as V
+from linkloom.operators import anchors, candidates, coref, evaluate, intervals, kb, ner, ranking, rejects, titles, tokens
+from linkloom.operators.numbering import numbered
+from linkloom.plans import pipeline
 from linkloom.session import table
+from linkloom.sources import documents, dumps, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
+_PIECES = r"regexp_extract_all(text, '\s+|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')"
+# Named relations of the SQL twins, in the order in which they build on each other.
+_CTE = {
+    "m": """select *, start_offset as s, end_offset as e from (
+        select *, row_number() over (partition by mention_id order by loaded_at desc nulls last, surface) as rn from mentions) where rn = 1""",
+    "anchor": """select lang, lower(trim(surface)) as surface, lower(replace(wiki_title, ' ', '_')) as title from m
+        where lang is not null and surface is not null and wiki_title is not null and wiki_title != 'NIL'""",
+    "own_names": "select distinct lang, lower(trim(replace(title, '_', ' '))) as surface, title from anchor",
+    "stat": """select lang, surface, title, cnt, cnt / sum(cnt) over (partition by lang, surface) as p_title_given_surface,
+        cnt / sum(cnt) over (partition by lang, title) as p_surface_given_title
+        from (select lang, surface, title, count(*) as cnt from (select * from anchor union all select * from own_names) group by all)""",
+    "word_pair": r"""select lang, word, title from (
+            select lang, unnest(list_filter(regexp_split_to_array(surface, '\s+|·'), lambda t: t != '')) as word, title from anchor
+            union all
+            select lang, unnest(list_filter(regexp_split_to_array(lower(trim(replace(title, '_', ' '))), '\s+|·'), lambda t: t != '')) as word, title
+            from (select distinct lang, title from anchor))""",
+    "word_stat": """select lang, word, title, cnt, cnt / sum(cnt) over (partition by lang, word) as p_title_given_word,
+        cnt / sum(cnt) over (partition by lang, title) as p_word_given_title
+        from (select lang, word, title, count(*) as cnt from word_pair group by all)""",
+    "wanted": "select distinct lang, lower(trim(surface)) as surface from m where lang is not null and surface is not null",
+    "cand": """select * from (select lang, surface, title, cnt, p_title_given_surface, p_surface_given_title,
+        row_number() over (partition by lang, surface order by p_title_given_surface desc, title)::int as rank from stat join wanted using (lang, surface)) where rank <= 10""",
+    "title_map": """select f.lang, f.title, min(lower(replace(e.en_title, ' ', '_'))) as en_title
+        from (select distinct mid, lang, lower(replace(title, ' ', '_')) as title from kb_titles where lang != 'en' and mid is not null and title is not null) f
+        join (select mid, min(title) as en_title from kb_titles where lang = 'en' and mid is not null and title is not null group by mid) e using (mid)
+        group by f.lang, f.title""",
+    "title_mid": "select title, lang, min(mid) as mid from kb_titles where title is not null and lang is not null and mid is not null group by title, lang",
+    "cand_title": "select distinct lang, title from cand",
+    "cand_mid": """select c.lang, c.title, coalesce(a.mid, b.mid, d.mid) as mid,
+            case when a.mid is not null then 1 when b.mid is not null then 2 when d.mid is not null then 3 end as mid_try
+        from cand_title c left join title_map t using (lang, title)
+        left join title_mid a on a.title = c.title and a.lang = c.lang
+        left join title_mid b on b.title = c.title and b.lang = 'en'
+        left join title_mid d on d.title = t.en_title and d.lang = 'en'""",
+    "coarse": r"""select mid, list_sort(list_distinct(flatten(list_transform(types, lambda t: string_split(lower(t), '.'))))) as coarse from kb_types""",
+    "redirect": """select p.lang, p.title, min(lower(replace(r.target_title, ' ', '_'))) as target
+        from (select distinct page_id, lang, lower(replace(title, ' ', '_')) as title from wiki_pages where ns = 0 and title is not null) p
+        join (select page_id, lang, arg_max(target_title, (coalesce(seen_at, timestamp '0001-01-01'), target_title)) as target_title
+              from wiki_redirects where lang is not null and target_title is not null group by page_id, lang) r using (page_id, lang)
+        group by p.lang, p.title""",
+    "piece": f"select doc_id, lang, unnest({_PIECES}) as piece, generate_subscripts({_PIECES}, 1) as pos from documents where text is not null",
+    "placed": r"""select doc_id, lang, piece, pos, regexp_matches(piece, '^\s') as blank,
+            sum(length(piece)) over (partition by doc_id order by pos)::bigint as e,
+            coalesce(sum(case when regexp_matches(piece, '^\s') then 0 else 1 end) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::int as tok_id,
+            coalesce(sum(case when piece in ('.', '!', '?', '。', '！', '？', '।') or (regexp_matches(piece, '^\s') and contains(piece, chr(10))) then 1 else 0 end)
+                over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as sent_id
+        from piece""",
+    "tok": "select doc_id, lang, tok_id, piece as token, e - length(piece) as s, e, sent_id from placed where not blank",
+    "span_tok": """select m.mention_id, m.doc_id, min(tok_id) as first_tok, max(tok_id) as last_tok from m
+        join tok on tok.doc_id = m.doc_id and tok.s < m.e and m.s < tok.e
+        where m.s >= 0 and m.e > m.s group by m.mention_id, m.doc_id""",
+    "df": r"""select lang, word, count(*) as df from (
+            select lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(line), '\s+'), lambda t: t != ''))) as word
+            from (select lang, unnest(string_split(text, chr(10))) as line from documents where text is not null and lang is not null)) group by lang, word""",
+    "top_word": r"""select lang, word, cnt, rank from (
+            select lang, word, cnt, row_number() over (partition by lang order by cnt desc, word)::int as rank from (
+                select lang, word, count(*) as cnt from (
+                    select lang, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t != '')) as word from documents where text is not null and lang is not null)
+                where not starts_with(word, 'title_') group by lang, word)) where rank <= 50""",
+    "label_mean": "select label, p, avg(v) as mean from (select label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as p from embeddings) group by label, p",
+    "bio": """select tok.doc_id, tok.sent_id, tok.tok_id, tok.token, tok.s, tok.e,
+            case when c.mention_id is null then 'O'
+                 when c.mention_id = lag(c.mention_id) over (partition by tok.doc_id order by tok.tok_id) then 'I-' || c.kind else 'B-' || c.kind end as label
+        from tok left join (
+            select doc_id, tok_id, mention_id, kind from (
+                select *, row_number() over (partition by doc_id, tok_id order by ms, mention_id) as rn from (
+                    select t.doc_id, t.mention_id, unnest(range(t.first_tok, t.last_tok + 1))::int as tok_id, m.s as ms, m.mention_type as kind
+                    from span_tok t join m using (mention_id) where m.mention_type is not null)) where rn = 1) c
+        on c.doc_id = tok.doc_id and c.tok_id = tok.tok_id""",
+    "num": "select count(*) as n from embeddings",
+    "scored": """select m.mention_id, c.rank, c.title, c.p_title_given_surface as "TITLEPROB", c.p_surface_given_title as "SURFACEPROB", coalesce(m.confidence, 0) as "PRESCORE"
+        from m join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface))""",
+    "form": """select doc_id, surface, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(surface), '\\s+|·'), lambda t: t != ''))) as tokens
+        from (select distinct doc_id, lower(surface) as surface from m)""",
+}
+
+
+def _sql(body: str) -> str:
+    """The query with the named relations that it needs, directly or not."""
+    needed, todo = set(), [body]
+    while todo:
+        text = todo.pop()
+        for name, part in _CTE.items():
+            if name not in needed and any(f"{k} {name}{e}" in text.replace("\n", " ") + " " for k in ("from", "join") for e in (" ", ")")):
+                needed.add(name)
+                todo.append(part)
+    ctes = ",\n".join(f"{name} as ({part})" for name, part in _CTE.items() if name in needed)
+    own = not body.strip().startswith("select")  # the body names relations of its own first
+    return "with " + ctes + (",\n" if own and ctes else "\n") + body if ctes or own else body
+
+
+def _query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = _sql(sql)
+        return f
+
+    return register
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The latest delivery of each mention; offsets as start and end."""
+    order = Window.partitionBy("mention_id").orderBy(F.desc_nulls_last("loaded_at"), "surface")
+    rows = table(spark, d, "mentions").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return rows.withColumnsRenamed({"start_offset": "start", "end_offset": "end"})
+
+
+def _stat(spark: SparkSession, d: str) -> DataFrame:
+    return anchors.surface_title_statistics(anchors.mention_anchors(_mentions(spark, d)))
+
+
+def _wanted(m: DataFrame) -> DataFrame:
+    return m.where("lang is not null and surface is not null").select("lang", X.normal_surface(F.col("surface")).alias("surface"))
+
+
+def _cands(spark: SparkSession, d: str) -> DataFrame:
+    return candidates.by_surface(_wanted(_mentions(spark, d)), _stat(spark, d))
+
+
+def _title_map(spark: SparkSession, d: str) -> DataFrame:
+    return titles.title_map(table(spark, d, "kb_titles"))
+
+
+def _toks(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.tokens(table(spark, d, "documents"))
+
+
+# -- rows that fail to parse -------------------------------------------------------------------------------------
+
+
+@_query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return rejects.violations(rejects.parse_lines(table(spark, d, "raw_lines"))).select("line_id", "reason")
+
+
+@_query()
+def p1_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return rejects.load_gold_lines(table(spark, d, "raw_lines"))[0]
+
+
+# -- anchor statistics and candidates ----------------------------------------------------------------------------
+
+
+@_query("""select m.mention_id, m.doc_id, m.lang, m.surface, coalesce(c.title, 'NIL') as linked_title, c.p_title_given_surface as score
+    from m left join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface)) and c.rank = 1""")
+def link_top_candidate(spark: SparkSession, d: str) -> DataFrame:
+    return candidates.link_top_candidate(_mentions(spark, d), _cands(spark, d))
+
+
+@_query("select lang, surface, title, cnt, p_title_given_surface, p_surface_given_title from stat")
+def surface_title_probs(spark: SparkSession, d: str) -> DataFrame:
+    return _stat(spark, d)
+
+
+@_query("select lang, word, title, cnt, p_title_given_word, p_word_given_title from word_stat")
+def word_title_probs(spark: SparkSession, d: str) -> DataFrame:
+    return anchors.word_title_statistics(anchors.mention_anchors(_mentions(spark, d)))
+
+
+@_query(r"""select lower(trim(a.surface)) as surface, lower(replace(a.title, ' ', '_')) as title, count(*) as cnt from (
+    select unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 2)) as surface, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 1)) as title
+    from (select '<p>' || string_agg('<a href="/' || wiki_title || '">' || surface || '</a>', ' ' order by mention_id) || '</p>' as html
+          from m where wiki_title is not null and surface is not null group by doc_id)) a group by all""")
+def anchors_from_pages(spark: SparkSession, d: str) -> DataFrame:
+    m = _mentions(spark, d).where("wiki_title is not null and surface is not null")
+    link = F.concat(F.lit('<a href="/'), "wiki_title", F.lit('">'), "surface", F.lit("</a>"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("mention_id", link.alias("a")))), lambda e: e["a"])
+    pages = m.groupBy("doc_id").agg(F.concat(F.lit("<p>"), F.array_join(listed, " "), F.lit("</p>")).alias("html"))
+    return anchors.html_anchors(pages).groupBy("surface", "title").agg(F.count("*").alias("cnt"))
+
+
+@_query("select lang, surface, rank, title, cnt, p_title_given_surface, p_surface_given_title from cand")
+def candidates_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _cands(spark, d)
+
+
+@_query(r"""with_words as (select lang, surface, list_filter(regexp_split_to_array(surface, '\s+'), lambda t: t != '') as tokens from wanted),
+    each_word as (select lang, surface, 6 // len(tokens) as share, unnest(list_distinct(tokens)) as word from with_words where len(tokens) > 0),
+    best as (select *, row_number() over (partition by lang, word order by p_title_given_word desc, title) as word_rank from word_stat)
+    select lang, surface, word, title, p_title_given_word, rank from (
+        select lang, surface, word, title, p_title_given_word, row_number() over (partition by lang, surface order by p_title_given_word desc, title, word)::int as rank
+        from each_word join best using (lang, word) where word_rank <= least(share, 6)) where rank <= 6""")
+def candidates_by_word(spark: SparkSession, d: str) -> DataFrame:
+    m = _mentions(spark, d)
+    return candidates.by_word(_wanted(m), anchors.word_title_statistics(anchors.mention_anchors(m)))
+
+
+@_query("""select lang, surface, title, cnt, p_title_given_surface, p_surface_given_title, rank, lang as cand_lang from cand
+    union all
+    select lang, surface, title, cnt, p_title_given_surface, p_surface_given_title, rank, 'en' as cand_lang from (
+        select w.lang, surface, s.title, s.cnt, s.p_title_given_surface, s.p_surface_given_title,
+            row_number() over (partition by w.lang, surface order by s.p_title_given_surface desc, s.title)::int as rank
+        from (select * from wanted where lang != 'en' and (lang, surface) not in (select (lang, surface) from cand)) w join stat s using (surface) where s.lang = 'en') where rank <= 10""")
+def candidates_fallback(spark: SparkSession, d: str) -> DataFrame:
+    m = _mentions(spark, d)
+    return candidates.with_english_fallback(_wanted(m), _stat(spark, d))
+
+
+@_query(r"""select lang, surface, rank, title, p_title_given_surface from cand
+    where not (lang = 'en' and regexp_matches(title, '_language|_people|_cuisine|_dollar|_studies|_americans|disambiguation\)'))
+      and not (lang = 'es' and regexp_matches(title, '^idioma_|^pueblo_|\(desambiguación\)$'))
+      and (not (lang = 'en' and surface = 'washington') or title = 'washington,_d.c.') and (not (lang = 'en' and surface = 'new york') or title = 'new_york_city')
+      and (not (lang = 'en' and surface = 'european') or title = 'europe') and (not (lang = 'en' and surface = 'german') or title = 'germany')
+      and (not (lang = 'es' and surface = 'washington') or title = 'washington_d._c.')""")
+def candidates_filtered(spark: SparkSession, d: str) -> DataFrame:
+    kept = candidates.apply_overrides(candidates.drop_unwanted(_cands(spark, d)))
+    return kept.select("lang", "surface", "rank", "title", "p_title_given_surface")
+
+
+@_query()
+def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
+    m = _mentions(spark, d)
+    words = anchors.word_title_statistics(anchors.mention_anchors(m))
+    grams = m.where("lang is not null and surface is not null").select(
+        "lang", X.normal_surface(F.col("surface")).alias("surface"), F.size(X.tokens_of(F.col("surface"))).alias("n"), X.is_capitalised(F.col("surface")).alias("capitalised")
+    )
+    return candidates.ngram_candidates(grams, _stat(spark, d), words)
+
+
+# -- titles and knowledge base -----------------------------------------------------------------------------------
+
+
+@_query("select lang, title, en_title from title_map")
+def title_map(spark: SparkSession, d: str) -> DataFrame:
+    return _title_map(spark, d)
+
+
+@_query(r"""select s.src_title, t.lang, min(t.tgt_title) as tgt_title
+    from (select distinct mid, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as src_title from kb_titles where lang = 'en') s
+    join (select distinct mid, lang, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as tgt_title from kb_titles where lang != 'en') t using (mid)
+    group by s.src_title, t.lang""")
+def title_map_all(spark: SparkSession, d: str) -> DataFrame:
+    return titles.all_titles_map(table(spark, d, "kb_titles"))
+
+
+@_query("""select m.mention_id, m.lang, lower(replace(m.wiki_title, ' ', '_')) as title, coalesce(r.target, lower(replace(m.wiki_title, ' ', '_'))) as resolved
+    from m left join redirect r on r.lang = m.lang and r.title = lower(replace(m.wiki_title, ' ', '_')) where m.wiki_title is not null""")
+def redirect_resolve(spark: SparkSession, d: str) -> DataFrame:
+    targets = titles.redirect_targets(table(spark, d, "wiki_pages"), table(spark, d, "wiki_redirects"))
+    rows = _mentions(spark, d).where("wiki_title is not null").select("mention_id", "lang", X.normal_title(F.col("wiki_title")).alias("title"))
+    return titles.resolve_redirects(rows, targets).select("mention_id", "lang", "title", "resolved")
+
+
+@_query("select lang, title, target from redirect")
+def redirect_targets(spark: SparkSession, d: str) -> DataFrame:
+    return titles.redirect_targets(table(spark, d, "wiki_pages"), table(spark, d, "wiki_redirects"))
+
+
+@_query("""select m.mention_id, m.lang, lower(replace(m.wiki_title, ' ', '_')) as title,
+        case when m.lang = 'en' then lower(replace(m.wiki_title, ' ', '_')) else t.en_title end as en_title
+    from m left join title_map t on t.lang = m.lang and t.title = lower(replace(m.wiki_title, ' ', '_')) where m.wiki_title is not null""")
+def title_translate(spark: SparkSession, d: str) -> DataFrame:
+    rows = _mentions(spark, d).where("wiki_title is not null").select("mention_id", "lang", X.normal_title(F.col("wiki_title")).alias("title"))
+    return titles.translate(rows, _title_map(spark, d)).select("mention_id", "lang", "title", "en_title")
+
+
+@_query("""select m.mention_id, lower(replace(m.en_wiki_title, ' ', '_')) as title, b.foreign_title
+    from m left join (select en_title as title, min(title) as foreign_title from title_map where lang = 'es' group by en_title) b on b.title = lower(replace(m.en_wiki_title, ' ', '_'))
+    where m.en_wiki_title is not null""")
+def title_translate_back(spark: SparkSession, d: str) -> DataFrame:
+    rows = _mentions(spark, d).where("en_wiki_title is not null").select("mention_id", X.normal_title(F.col("en_wiki_title")).alias("title"))
+    return titles.translate_from_english(rows, _title_map(spark, d), "es").select("mention_id", "title", "foreign_title")
+
+
+@_query(r"""select s.src_title, array_to_string(list_transform(list_filter(list(struct_pack(lang := s.lang, tag := s.tag) order by s.lang, s.tag), lambda x: x.tag != ''), lambda x: x.tag), '|') as hashtags from (
+        select src_title, lang, regexp_replace(split_part(min(tgt_title), '(', 1), '[\s_-]', '', 'g') as tag from (
+            select s.src_title, t.lang, t.tgt_title
+            from (select distinct mid, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as src_title from kb_titles where lang = 'en') s
+            join (select distinct mid, lang, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as tgt_title from kb_titles where lang != 'en') t using (mid))
+        group by src_title, lang) s
+    group by s.src_title""")
+def hashtags(spark: SparkSession, d: str) -> DataFrame:
+    tags = titles.hashtags(titles.all_titles_map(table(spark, d, "kb_titles")))
+    return tags.select("src_title", F.array_join("hashtags", "|").alias("hashtags"))
+
+
+@_query()
+def title_translator(spark: SparkSession, d: str) -> DataFrame:
+    queries = _mentions(spark, d).where("lang is not null and wiki_title is not null").select("lang", X.normal_title(F.col("wiki_title")).alias("title")).distinct()
+    targets = titles.redirect_targets(table(spark, d, "wiki_pages"), table(spark, d, "wiki_redirects"))
+    return titles.translate_title(queries, _title_map(spark, d), targets, titles.all_titles_map(table(spark, d, "kb_titles")))
+
+
+@_query(r"""select distinct t.lang, k.class, array_to_string(list_transform(list_filter(string_split(case when instr(p, '(') > 1 then trim(split_part(p, '(', 1)) else p end, ' '), lambda w: w != ''),
+        lambda w: array_to_string(list_transform(list_filter(string_split(w, '-'), lambda x: x != ''), lambda x: upper(x[1:1]) || x[2:]), '-')), ' ') as phrase
+    from (select lang, replace(title, '_', ' ') as p, replace(en_title, '_', ' ') as ep from title_map) t
+    join (select distinct class, lower(phrase) as phrase from (
+        select case when list_contains(types, 'people.person') then 'person' when list_contains(types, 'organization.organization') then 'organization' else 'location' end as class,
+            case when instr(ph, '(') > 1 then trim(split_part(ph, '(', 1)) else ph end as phrase
+        from (select kt.types, replace(k.title, '_', ' ') as ph from kb_titles k join kb_types kt using (mid) where k.lang = 'en'))) k
+    on k.phrase = lower(case when instr(t.ep, '(') > 1 then trim(split_part(t.ep, '(', 1)) else t.ep end)""")
+def gazetteer_build(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.array_contains("types", "people.person"), "person").when(F.array_contains("types", "organization.organization"), "organization").otherwise("location")
+    english = table(spark, d, "kb_titles").where("lang = 'en'").join(table(spark, d, "kb_types"), "mid")
+    classes = english.select(kind.alias("class"), X.cut_parenthesis(F.replace("title", F.lit("_"), F.lit(" "))).alias("phrase"))
+    return titles.gazetteer(table(spark, d, "kb_titles"), classes)
+
+
+@_query("select lang, title, mid, mid_try::int as mid_try from cand_mid where mid is not null union all select lang, title, null, null from cand_mid where mid is null")
+def mid_chain(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cands(spark, d).select("lang", "title").distinct()
+    return kb.mid_chain(rows, table(spark, d, "kb_titles"), _title_map(spark, d)).select("lang", "title", "mid", "mid_try")
+
+
+@_query("""select c.lang, c.surface, coalesce(arg_min(k.mid, c.rank) filter (where k.mid is not null), 'NIL') as mid, string_agg(coalesce(k.mid, 'NIL'), '|' order by c.rank) as mids
+    from cand c join cand_mid k on k.lang = c.lang and k.title = c.title group by c.lang, c.surface""")
+def first_mid(spark: SparkSession, d: str) -> DataFrame:
+    cands = _cands(spark, d)
+    found = kb.mid_chain(cands, table(spark, d, "kb_titles"), _title_map(spark, d))
+    return kb.first_mid(found, ["lang", "surface"]).select("lang", "surface", "mid", F.array_join("mids", "|").alias("mids"))
+
+
+@_query("select mid, array_to_string(coarse, '|') as coarse from coarse")
+def coarse_types(spark: SparkSession, d: str) -> DataFrame:
+    return kb.coarse_types(table(spark, d, "kb_types")).select("mid", F.array_join("coarse", "|").alias("coarse"))
+
+
+@_query("select m.mention_id, m.mid, coalesce(array_to_string(t.types, '|'), '') as types from m left join kb_types t using (mid)")
+def title_types(spark: SparkSession, d: str) -> DataFrame:
+    return kb.types_of_titles(_mentions(spark, d).select("mention_id", "mid"), table(spark, d, "kb_types")).select("mention_id", "mid", F.array_join("types", "|").alias("types"))
+
+
+@_query("select mid, lang, array_to_string(list_sort(list(distinct title)), '|') as titles from kb_titles where mid is not null and title is not null group by mid, lang")
+def mid_titles(spark: SparkSession, d: str) -> DataFrame:
+    return kb.titles_of_mids(table(spark, d, "kb_titles")).select("mid", "lang", F.array_join("titles", "|").alias("titles"))
+
+
+@_query("""select mid, string_agg(type, '|' order by seq) as types from (
+        select mid, type, min(seq) as seq from (select mid, unnest(types) as type, generate_subscripts(types, 1) as seq from kb_types) group by mid, type) group by mid""")
+def mid_types(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "kb_types").select("mid", F.posexplode("types").alias("seq", "type"))
+    return kb.mid_types(rows).select("mid", F.array_join("types", "|").alias("types"))
+
+
+_EXPECTED = (("PER", "people.person"), ("ORG", "organization.organization"), ("GPE", "location.location"), ("LOC", "location.location"))
+
+
+@_query("""select m.mention_id, m.mid, m.mention_type, array_to_string(t.types, '|') as types from m join kb_types t using (mid)
+    join (values ('PER', 'people.person'), ('ORG', 'organization.organization'), ('GPE', 'location.location'), ('LOC', 'location.location')) x(mention_type, kb_type) using (mention_type)
+    where not list_contains(t.types, x.kb_type)""")
+def type_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    expected = spark.createDataFrame(_EXPECTED, "mention_type string, kb_type string")
+    return kb.type_contradictions(_mentions(spark, d), table(spark, d, "kb_types"), expected).withColumn("types", F.array_join("types", "|"))
+
+
+# -- corpus statistics -------------------------------------------------------------------------------------------
+
+
+@_query("select lang, word, df from df")
+def doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.document_frequency(table(spark, d, "documents"))
+
+
+@_query("select lang, word, cnt, rank from top_word")
+def top_words(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.top_words(table(spark, d, "documents"))
+
+
+_PUNCTUATION = (".", ",", "!", "?", ";", ":", "(", ")", '"', "'", "-")
+
+
+@_query("""select lang, word from top_word union
+    select lang, mark from (select distinct lang from top_word), (values ('.'), (','), ('!'), ('?'), (';'), (':'), ('('), (')'), ('"'), (''''), ('-')) v(mark)""")
+def stop_words(spark: SparkSession, d: str) -> DataFrame:
+    marks = spark.createDataFrame([(p,) for p in _PUNCTUATION], "word string")
+    return tokens.stop_words(table(spark, d, "documents"), marks)
+
+
+@_query("""ctx as (select t.mention_id, k.lang, lower(k.token) as word from span_tok t join tok k on k.doc_id = t.doc_id
+        and ((k.tok_id between t.first_tok - 5 and t.first_tok - 1) or (k.tok_id between t.last_tok + 1 and t.last_tok + 5))),
+    counted as (select mention_id, lang, word, count(*) as cnt from ctx group by all)
+    select mention_id, lang, word, cnt / sum(cnt) over (partition by mention_id) as tf,
+        round(coalesce(ln(sum(df) over (partition by mention_id) / df), 0), 6) as idf
+    from counted left join df using (lang, word)""")
+def context_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    context = tokens.context_words(_mentions(spark, d).select("mention_id", "doc_id", "start", "end"), tokens.tokens(docs), 5)
+    scored = tokens.context_tfidf(context, tokens.document_frequency(docs))
+    return scored.select("mention_id", "lang", "word", "tf", F.round("idf", 6).alias("idf"))
+
+
+# -- vectors and ranking -----------------------------------------------------------------------------------------
+
+
+@_query("select label, (p - 1)::int as place, round(mean, 6) as mean from label_mean")
+def vector_mean(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("label", F.col("embedding").alias("vec"))
+    return ranking.mean_vector(rows, ["label"]).select("label", F.posexplode("mean").alias("place", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@_query("""select label, (p - 1)::int as place, round(sum(w * v) / sum(w), 6) as mean
+    from (select label, 1.0 / (1 + vec_id) as w, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as p from embeddings) group by label, p""")
+def vector_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("label", F.col("embedding").alias("vec"), (F.lit(1.0) / (1 + F.col("vec_id"))).alias("w"))
+    return ranking.mean_vector(rows, ["label"], "w").select("label", F.posexplode("mean").alias("place", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@_query("""select e.vec_id, e.label, round(coalesce(sum(e.v * l.mean) / nullif(sqrt(sum(e.v * e.v)) * sqrt(sum(l.mean * l.mean)), 0), 0), 6) as cosine, round(sqrt(sum(e.v * e.v)), 6) as norm
+    from (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as p from embeddings) e join label_mean l on l.label = e.label and l.p = e.p
+    group by e.vec_id, e.label""")
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    means = ranking.mean_vector(e.select("label", F.col("embedding").alias("vec")), ["label"])
+    joined = e.join(means, "label")
+    return joined.select("vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("mean")), 6).alias("cosine"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@_query("""vec as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+    men as (select distinct m.doc_id, m.mention_id % num.n as vec_id from m cross join num where m.mid != 'NIL'),
+    pair as (select a.doc_id, a.vec_id, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) as c
+        from men a join men b on a.doc_id = b.doc_id and a.vec_id != b.vec_id join vec x on x.vec_id = a.vec_id join vec y on y.vec_id = b.vec_id)
+    select a.doc_id, a.vec_id, round(coalesce(max(c), 0), 6) as cos_max, round(coalesce(min(c), 0), 6) as cos_min from men a left join pair using (doc_id, vec_id) group by a.doc_id, a.vec_id""")
+def minmax_cosine(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    men = _mentions(spark, d).where("mid != 'NIL'").select("doc_id", (F.col("mention_id") % n).alias("vec_id")).distinct()
+    vectors = e.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
+    mine = men.join(vectors.withColumnRenamed("v", "title_vec"), "vec_id")
+    other = men.join(vectors, "vec_id").select("doc_id", F.col("vec_id").alias("o"), F.col("v").alias("other_vec"))
+    pairs = mine.join(other, "doc_id").where("vec_id != o")
+    found = ranking.extreme_cosines(pairs, ["doc_id", "vec_id"])
+    filled = men.join(found, ["doc_id", "vec_id"], "left").fillna(0.0, ["cos_max", "cos_min"])
+    return filled.select("doc_id", "vec_id", F.round("cos_max", 6).alias("cos_max"), F.round("cos_min", 6).alias("cos_min"))
+
+
+_WEIGHTS = (0.9, 0.4, 0.1, 0.3, 0.2, -0.1)
+_FEATURES = ("TITLEPROB", "SURFACEPROB", "PRESCORE")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    m, cands = _mentions(spark, d), _cands(spark, d)
+    keyed = m.select("mention_id", "doc_id", "start", "lang", X.normal_surface(F.col("surface")).alias("surface"), F.coalesce("confidence", F.lit(0.0)).alias("PRESCORE"), "gold_wiki_title")
+    joined = keyed.join(cands, ["lang", "surface"])
+    return joined.withColumns({"TITLEPROB": F.col("p_title_given_surface"), "SURFACEPROB": F.col("p_surface_given_title")})
+
+
+@_query("""s as (select mention_id, rank, title, 0.9 * "TITLEPROB" + 0.4 * "SURFACEPROB" + 0.1 * "PRESCORE" + 0.3 * "TITLEPROB" * "SURFACEPROB" + 0.2 * "TITLEPROB" * "PRESCORE" - 0.1 * "SURFACEPROB" * "PRESCORE" as score from scored)
+    select mention_id, rank, title, round(score, 6) as score from s""")
+def linear_score(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.score_candidates(_scored(spark, d), _FEATURES, _WEIGHTS).select("mention_id", "rank", "title", F.round("score", 6).alias("score"))
+
+
+@_query("""s as (select mention_id, rank, title, round(0.9 * "TITLEPROB" + 0.4 * "SURFACEPROB" + 0.1 * "PRESCORE" + 0.3 * "TITLEPROB" * "SURFACEPROB" + 0.2 * "TITLEPROB" * "PRESCORE" - 0.1 * "SURFACEPROB" * "PRESCORE", 9) as score from scored),
+    r as (select *, row_number() over w as n, lead(score) over w as second from s window w as (partition by mention_id order by score desc, rank))
+    select mention_id, title, round(score, 6) as score, round(coalesce(1 / (1 + exp(second - score)), 1), 6) as confidence from r where n = 1""")
+def best_candidate(spark: SparkSession, d: str) -> DataFrame:
+    scored = ranking.score_candidates(_scored(spark, d), _FEATURES, _WEIGHTS).withColumn("score", F.round("score", 9))
+    best = ranking.best_candidate(scored, ["mention_id"])
+    return best.select("mention_id", "title", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
+@_query("""select mention_id, rank, round("TITLEPROB" * "SURFACEPROB", 9) as "COMBO_TITLEPROB_SURFACEPROB", round("TITLEPROB" * "PRESCORE", 9) as "COMBO_TITLEPROB_PRESCORE",
+    round("SURFACEPROB" * "PRESCORE", 9) as "COMBO_SURFACEPROB_PRESCORE" from scored""")
+def feature_combos(spark: SparkSession, d: str) -> DataFrame:
+    rows = ranking.with_products(_scored(spark, d), _FEATURES)
+    return rows.select("mention_id", "rank", *[F.round(name, 9).alias(name) for name, _ in V.feature_products(_FEATURES)])
+
+
+@_query()
+def rank_documents(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    rows = _scored(spark, d).withColumn("vec_id", F.pmod(F.xxhash64("title"), F.lit(n)))
+    rows = rows.join(e.select("vec_id", V.doubles(F.col("embedding")).alias("vec")), "vec_id", "left")
+    static = rows.select("doc_id", "mention_id", "start", "rank", "title", F.array(*_FEATURES).alias("features"), "vec")
+    return ranking.rank_documents(static, [0.9, 0.4, 0.1, 0.3, 0.1, 0.1])
+
+
+_MAIN = "list_has_any(coalesce(t.types, []), ['people.person', 'organization.organization', 'location.location'])"
+
+
+@_query(f"""typed as (select m.mention_id, m.lang, lower(trim(m.surface)) as surface, lower(replace(m.gold_wiki_title, ' ', '_')) as gold, {_MAIN} as main, bool_or({_MAIN}) over (partition by m.doc_id) as any_main
+        from m left join kb_types t using (mid)),
+    hit as (select typed.mention_id, typed.lang, case when c.rank = 1 then 'easy' else 'hard' end as kind from typed join cand c on c.lang = typed.lang and c.surface = typed.surface and c.title = typed.gold where main or not any_main),
+    nums as (select *, row_number() over (partition by lang, kind order by md5(mention_id::varchar), mention_id) as n, sum(case when kind = 'hard' then 1 else 0 end) over (partition by lang) as n_hard from hit)
+    select mention_id, lang, kind from nums where kind = 'hard' or n <= n_hard""")
+def train_selection(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.select_training(_mentions(spark, d), _cands(spark, d), table(spark, d, "kb_types"))
+
+
+@_query("""select mention_id as qid, rank, concat_ws(' ', case when lower(s.title) = lower(m.gold_wiki_title) then '2' else '1' end, 'qid:' || mention_id,
+        case when "TITLEPROB" != 0 then '1:' || printf('%.7f', "TITLEPROB") end, case when "SURFACEPROB" != 0 then '2:' || printf('%.7f', "SURFACEPROB") end,
+        case when "PRESCORE" != 0 then '3:' || printf('%.7f', "PRESCORE") end) as line
+    from scored s join m using (mention_id)""")
+def svm_rows(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.svm_rows(_scored(spark, d).withColumnRenamed("gold_wiki_title", "gold"), _FEATURES)
+
+
+@_query()
+def train_ranker(spark: SparkSession, d: str) -> DataFrame:
+    weights = ranking.train_ranker(_scored(spark, d).withColumn("gold", X.normal_title(F.col("gold_wiki_title"))), _FEATURES)
+    return spark.createDataFrame(list(zip(_FEATURES, weights, strict=True)), "feature string, weight double")
+
+
+# -- n-grams, labels, intervals ----------------------------------------------------------------------------------
+
+
+@_query(r"""cut as (select t.*, split_part(token, '''', 1) as cut, w.word is not null as stop from tok t left join top_word w on w.lang = t.lang and w.word = lower(split_part(token, '''', 1))),
+    grams as (select doc_id, 1 as n, cut as g, stop from cut
+        union all select doc_id, 2, case when lang = 'zh' then cut || lead(cut) over o else cut || ' ' || lead(cut) over o end, stop and lead(stop) over o from cut window o as (partition by doc_id, sent_id order by tok_id)
+        union all select doc_id, 3, case when lang = 'zh' then cut || lead(cut) over o || lead(cut, 2) over o else cut || ' ' || lead(cut) over o || ' ' || lead(cut, 2) over o end, stop and lead(stop) over o and lead(stop, 2) over o
+            from cut window o as (partition by doc_id, sent_id order by tok_id))
+    select doc_id, n::int as n, count(*) as n_grams, count(distinct g) as n_distinct, sum(stop::int)::bigint as n_stop,
+        sum(regexp_matches(trim(g), '^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$')::int)::bigint as n_numbers from grams where g is not null group by doc_id, n""")
+def ngrams(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    toks, stops = tokens.tokens(docs), tokens.top_words(docs).select("lang", "word")
+    grams = None
+    for n in (1, 2, 3):
+        own = tokens.ngrams(toks, n, stops)
+        grams = own if grams is None else grams.unionByName(own)
+    return grams.groupBy("doc_id", "n").agg(
+        F.count("*").alias("n_grams"), F.count_distinct("surface").alias("n_distinct"), F.sum(F.col("is_stop").cast("int")).alias("n_stop"), F.sum(X.is_number(F.col("surface")).cast("int")).alias("n_numbers")
+    )
+
+
+def _surface_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of the first candidate's mid for each surface."""
+    cands = _cands(spark, d).where("rank = 1")
+    found = kb.mid_chain(cands, table(spark, d, "kb_titles"), _title_map(spark, d)).where("mid is not null")
+    coarse = kb.coarse_types(table(spark, d, "kb_types"))
+    named = F.transform("coarse", lambda t: F.when(t == "people", F.lit("person")).otherwise(t))
+    return found.join(coarse, "mid").select("lang", "surface", F.array_distinct(named).alias("coarse"))
+
+
+@_query()
+def ngram_propagation(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = ner.wikify_ngrams(tokens.tokens(docs), _surface_types(spark, d), tokens.top_words(docs).select("lang", "word"))
+    return found.withColumn("features", F.array_join("features", "|"))
+
+
+@_query("""sp as (select mention_id, doc_id, s, e, mention_type from m where s is not null and e > s)
+    select distinct a.doc_id, a.s as start, a.e as "end", case when a.s > b.s then 'I-' else 'B-' end || 'TOPFBTYPETOKEN-' || case b.mention_type when 'PER' then 'person' when 'ORG' then 'organization' else 'location' end as feature
+    from sp a join sp b on a.doc_id = b.doc_id and a.s >= b.s and a.e <= b.e where b.mention_type in ('PER', 'ORG', 'LOC')""")
+def span_propagation(spark: SparkSession, d: str) -> DataFrame:
+    spans = _mentions(spark, d).where("start is not null and end > start")
+    kind = F.when(F.col("mention_type") == "PER", "person").when(F.col("mention_type") == "ORG", "organization").otherwise("location")
+    outer = spans.where("mention_type in ('PER', 'ORG', 'LOC')").select("doc_id", "start", "end", F.array(F.concat(F.lit("TOPFBTYPETOKEN-"), kind)).alias("features"))
+    return intervals.propagate_types(spans, outer)
+
+
+@_query("""typed as (select m.mention_id, m.doc_id, m.s, m.mid, c.coarse from m left join coarse c using (mid)),
+    named as (select *, lag(coarse) over (partition by doc_id order by s nulls first, mention_id) as before from typed)
+    select mention_id, doc_id, case when mid is null or starts_with(mid, 'NIL') then '' else array_to_string(list_sort(list_distinct(list_concat(
+        list_transform(coalesce(coarse, []), lambda t: 'TOPFBTYPETOKEN-' || t),
+        list_transform(list_filter(coalesce(before, []), lambda t: t in ('location', 'person', 'organization')), lambda t: 'BEFOREFBTYPETOKEN-' || t)))), '|') end as features from named""")
+def neighbour_types(spark: SparkSession, d: str) -> DataFrame:
+    rows = _mentions(spark, d).withColumn("is_stop", F.lit(False))
+    found = ner.neighbour_features(rows, kb.coarse_types(table(spark, d, "kb_types")))
+    return found.withColumn("features", F.array_join("features", "|"))
+
+
+def _bio(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.bio_encode(_toks(spark, d), _mentions(spark, d).select("mention_id", "doc_id", "start", "end", "mention_type"))
+
+
+@_query("select doc_id, tok_id, token, s as start, e as \"end\", label from bio where label != 'O'")
+def bio_encode(spark: SparkSession, d: str) -> DataFrame:
+    return _bio(spark, d).where("label != 'O'").select("doc_id", "tok_id", "token", "start", "end", "label")
+
+
+@_query("""k as (select *, case when label != 'O' then substr(label, 3) end as kind from bio),
+    b as (select *, sum(case when starts_with(label, 'B-') or kind is distinct from prev then 1 else 0 end) over (partition by doc_id, sent_id order by tok_id) as run
+        from (select *, lag(kind) over (partition by doc_id, sent_id order by tok_id) as prev from k))
+    select doc_id, sent_id, min(s) as start, max(e) as "end", any_value(kind) as mention_type from b where kind is not null group by doc_id, sent_id, run""")
+def bio_decode(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.bio_decode(_bio(spark, d))
+
+
+@_query(r"""select doc_id, sent_id, tok_id, concat_ws(chr(9), label, s::varchar, e::varchar, 'x', 'x', token, 'x', 'x', 'x', 'x') as line from bio where not regexp_matches(token, '^\s*$') and not starts_with(token, 'http:')""")
+def conll_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.conll_lines(_bio(spark, d))
+
+
+@_query("""mark as (select doc_id, tok_id, token, s, e from tok where token in ('“', '”')),
+    q as (select doc_id, s, close as e from (
+        select *, min(case when token = '”' then e end) over (partition by doc_id order by tok_id rows between 1 following and unbounded following) as close from mark) where token = '“' and close is not null)
+    select mention_id, doc_id, s::varchar as start, e::varchar as "end" from m where not exists (select 1 from q where q.doc_id = m.doc_id and m.s < q.e and q.s < m.e)""")
+def interval_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    quoted = intervals.quotation_spans(_toks(spark, d))
+    kept = intervals.drop_overlapping(_mentions(spark, d).select("mention_id", "doc_id", "start", "end"), quoted)
+    return kept.withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+
+
+@_query("""select mention_id, doc_id, start::varchar as start, "end"::varchar as "end", surface from (
+    select mention_id, doc_id, s as start, e as "end", surface, row_number() over (partition by doc_id, s, e order by mention_id) as n from m) where n = 1""")
+def span_dedup(spark: SparkSession, d: str) -> DataFrame:
+    kept = intervals.first_of_span(_mentions(spark, d).select("mention_id", "doc_id", "start", "end", "surface"))
+    return kept.withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+
+
+@_query(r"""raw as (select mention_id, surface || case mention_id % 3 when 0 then ' <br>x' when 1 then '<a' else '' end as raw, e from m),
+    c as (select *, regexp_replace(raw, '(?s)\s*<.*', '') as cut from raw)
+    select mention_id, case when instr(raw, '<') > 0 and length(cut) > 0 then cut else raw end as surface,
+        (e - (length(raw) - length(case when instr(raw, '<') > 0 and length(cut) > 0 then cut else raw end)))::varchar as "end" from c""")
+def surface_clean(spark: SparkSession, d: str) -> DataFrame:
+    tail = F.when(F.col("mention_id") % 3 == 0, " <br>x").when(F.col("mention_id") % 3 == 1, "<a").otherwise("")
+    raw = _mentions(spark, d).select("mention_id", F.concat("surface", tail).alias("raw"), "end")
+    surface, end = X.clean_surface(F.col("raw"), F.col("end"))
+    return raw.select("mention_id", surface.alias("surface"), end.cast("string").alias("end"))
+
+
+@_query()
+def nested_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.resolve_nested(_mentions(spark, d))
+
+
+# -- coreference -------------------------------------------------------------------------------------------------
+
+
+@_query("""f as (select doc_id, low, s, mid, wiki_title, confidence from (
+        select *, lower(surface) as low, row_number() over (partition by doc_id, lower(surface) order by s nulls first, mention_id) as n from m where mention_type = 'PER' and surface is not null) where n = 1),
+    best as (select doc_id, low, o from (select i.doc_id, i.low, o, row_number() over (partition by i.doc_id, i.low order by length(o.low) desc, o.s nulls first) as n
+        from f i join f o on i.doc_id = o.doc_id and length(o.low) > length(i.low) and contains(o.low, i.low)) where n = 1)
+    select m.mention_id, m.doc_id, case when not starts_with(o.mid, 'NIL') then o.mid else m.mid end as mid,
+        case when not starts_with(o.mid, 'NIL') then o.wiki_title else m.wiki_title end as wiki_title, case when not starts_with(o.mid, 'NIL') then o.confidence else m.confidence end as confidence
+    from m left join best b on m.mention_type = 'PER' and b.doc_id = m.doc_id and b.low = lower(m.surface)""")
+def per_coref(spark: SparkSession, d: str) -> DataFrame:
+    return coref.person_containment(_mentions(spark, d)).select("mention_id", "doc_id", "mid", "wiki_title", "confidence")
+
+
+@_query("""each_token as (select doc_id, surface, unnest(tokens) as token from form),
+    pair as (select a.doc_id, a.surface as surface_a, b.surface as surface_b, count(*) as shared from each_token a join each_token b on a.doc_id = b.doc_id and a.token = b.token and a.surface < b.surface group by all)
+    select p.doc_id, surface_a, surface_b, shared / (len(x.tokens) + len(y.tokens) - shared) as score from pair p
+    join form x on x.doc_id = p.doc_id and x.surface = surface_a join form y on y.doc_id = p.doc_id and y.surface = surface_b where shared / (len(x.tokens) + len(y.tokens) - shared) > 0.5""")
+def surface_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    forms = _mentions(spark, d).select("doc_id", F.lower("surface").alias("key")).distinct().withColumn("tokens", F.array_sort(X.surface_tokens(F.col("key"))))
+    return coref.jaccard_pairs(forms, ["doc_id"]).withColumnsRenamed({"key_a": "surface_a", "key_b": "surface_b"})
+
+
+@_query()
+def surface_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return coref.cluster_surfaces(_mentions(spark, d), ["doc_id"])
+
+
+@_query()
+def nil_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the mentions without mid across all documents."""
+    nil = _mentions(spark, d).where("mid is null or mid like 'NIL%'")
+    return coref.cluster_surfaces(nil, [])
+
+
+@_query("""select mention_id, doc_id, printf('NIL%05d', row_number() over (order by doc_id nulls first, s nulls first, mention_id)) as nil_id from m where mid = 'NIL'""")
+def author_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = _mentions(spark, d).where("mid = 'NIL'").select("mention_id", "doc_id", "start")
+    return coref.nil_ids(rows, ["doc_id", "start", "mention_id"]).select("mention_id", "doc_id", "nil_id")
+
+
+@_query("""select m.doc_id, m.mid as target, m.mention_id, first_value(m.mention_id) over (partition by doc_id, mid order by length(surface) desc, s nulls first, mention_id) as canonical_id
+    from m where mid is not null and surface is not null""")
+def coref_view(spark: SparkSession, d: str) -> DataFrame:
+    return coref.coreference_view(_mentions(spark, d))
+
+
+@_query("""select mention_id, string_agg(title || '=' || round(p, 6), '|' order by title) as scores from (
+    select m.mention_id, c.title, c.p_title_given_surface as p from m join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface))) group by mention_id""")
+def candidate_maps(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d).withColumn("score", F.round("TITLEPROB", 6))
+    pairs = F.transform(F.map_entries("scores"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return coref.candidate_maps(rows).select("mention_id", F.array_join(F.array_sort(pairs), "|").alias("scores"))
+
+
+# -- evaluation and writers --------------------------------------------------------------------------------------
+
+
+def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions are the mentions with a prediction for the title; golds are those with a gold title."""
+    m = _mentions(spark, d).withColumn("doc", F.col("doc_id").cast("string"))
+    cols = [F.col("mention_id").alias("id"), "doc", "start", "end", F.col("mention_type").alias("type"), "mid"]
+    pred = m.where("wiki_title is not null").select(*cols, F.array("mid").alias("cand_mids"))
+    gold = m.where("gold_wiki_title is not null").select(*cols)
+    return evaluate.match_gold(pred, gold), gold.agg(F.count("*").alias("n_gold"))
+
+
+_MATCH = """p as (select mention_id as id, doc_id::varchar as doc, s, e, mention_type as type, mid from m where wiki_title is not null),
+    g as (select mention_id as id, doc_id::varchar as doc, s, e, mention_type as type, mid from m where gold_wiki_title is not null),
+    hit as (select p.id, p.doc, p.type, p.mid, g.id as gid, g.type as gtype, g.mid as gmid from p left join g on p.s = g.s and p.e = g.e and starts_with(p.doc, g.doc)
+        qualify row_number() over (partition by p.id order by g.id) = 1),
+    flag as (select id, doc, gid is not null as span_ok, coalesce(gid is not null and type = gtype, false) as type_ok,
+        coalesce(gid is not null and type = gtype and ((starts_with(mid, 'NIL') and starts_with(gmid, 'NIL')) or mid = gmid), false) as link_ok,
+        false as in_candidates, coalesce(gid is not null and type = gtype and starts_with(gmid, 'NIL'), false) as nil_gold from hit)"""
+
+
+@_query(_MATCH + " select * from flag")
+def match_gold(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d)[0]
+
+
+@_query(_MATCH + """, total as (select count(*) as n, sum(span_ok::int)::bigint as a, sum(type_ok::int)::bigint as b, sum(link_ok::int)::bigint as c, (select count(*) from g) as ng from flag),
+    lv as (select 'span' as level, a as correct, n, ng from total union all select 'type', b, n, ng from total union all select 'link', c, n, ng from total)
+    select level, correct, correct / n as "precision", correct / ng as recall, 2 * (correct / n) * (correct / ng) / (correct / n + correct / ng) as f1 from lv""")
+def evaluate_prf(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.precision_recall(*_matched(spark, d))
+
+
+@_query("""select lang, noun_type, count(*) as n, sum((mid = 'NIL')::int)::bigint as n_nil, count(gold_wiki_title) as n_gold from m group by lang, noun_type""")
+def gold_slices(spark: SparkSession, d: str) -> DataFrame:
+    return _mentions(spark, d).groupBy("lang", "noun_type").agg(
+        F.count("*").alias("n"), F.sum((F.col("mid") == "NIL").cast("int")).alias("n_nil"), F.count("gold_wiki_title").alias("n_gold")
+    )
+
+
+@_query(r"""select mention_id, concat_ws(chr(9), 'RUN', (row_number() over (order by doc_id nulls first, s nulls first, mention_id) - 1)::varchar, coalesce(surface, ''), coalesce(doc_id || ':' || s || '-' || (e - 1), ''),
+    coalesce(mid, 'NIL'), coalesce(mention_type, ''), 'NAM', coalesce(printf('%.4f', confidence), 'null'), coalesce(en_wiki_title, 'NIL')) as line from m""")
+def submission_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.submission_lines(_mentions(spark, d).withColumnRenamed("en_wiki_title", "en_title"))
+
+
+@_query(r"""select concat_ws(chr(9), doc_id::varchar, s::varchar, (e - 1)::varchar, coalesce(mid, 'NIL'), '0', coalesce(mention_type, '')) as line from m""")
+def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.evaluation_lines(_mentions(spark, d))
+
+
+@_query()
+def ere_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.ere_documents(_mentions(spark, d))
+
+
+@_query("select 'title_' || en_title || ' ||| ' || 'title_' || title as line from title_map")
+def alignment_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.alignment_lines(_title_map(spark, d))
+
+
+@_query()
+def linked_html(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.linked_html(table(spark, d, "documents").select("doc_id", "text"), _mentions(spark, d))
+
+
+@_query()
+def substituted_text(spark: SparkSession, d: str) -> DataFrame:
+    spans = _mentions(spark, d).where("wiki_title is not null").select("doc_id", "start", "end", F.col("wiki_title").alias("title"))
+    return tokens.substituted_text(table(spark, d, "documents"), spans)
+
+
+# -- sources -----------------------------------------------------------------------------------------------------
+
+
+@_query("select page_id, lower(title) as title, is_redirect from wiki_pages where page_id is not null and ns = 0 and is_redirect = 0")
+def dump_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as SQL dump lines and read again."""
+    p = table(spark, d, "wiki_pages").where("page_id is not null and ns is not null and title is not null")
+    quoted = F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    row = F.concat(F.lit("("), "page_id", F.lit(","), "ns", F.lit(",'"), quoted, F.lit("','',0,"), F.coalesce(F.col("is_redirect").cast("string"), F.lit("NULL")), F.lit(",0,0.5,'x')"))
+    lines = p.groupBy(F.pmod("page_id", F.lit(64)).alias("k")).agg(F.concat(F.lit("INSERT INTO `page` VALUES "), F.array_join(F.collect_list(row), ","), F.lit(";")).alias("value"))
+    return dumps.dump_pages(lines)
+
+
+@_query("select 'v' || vec_id as key, len(embedding)::int as dim, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from embeddings")
+def embedding_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as text lines and read again."""
+    numbers = F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")
+    lines = table(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id", F.lit(" "), numbers).alias("value"))
+    parsed = dumps.embedding_text(lines)
+    return parsed.select("key", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@_query("select mid, lang, title from kb_titles where mid is not null and lang is not null and title is not null")
+def kb_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Titles written as knowledge-base triples, with rows that must be skipped, and read again."""
+    k = table(spark, d, "kb_titles").where("mid is not null and lang is not null and title is not null")
+    good = k.select(F.concat_ws("\t", "mid", "lang", "title").alias("value"))
+    skipped = k.select(F.concat_ws("\t", "mid", F.lit("en_id"), "title").alias("value"))
+    return dumps.kb_triples(good.unionByName(skipped))
+
+
+@_query(r"""f as (select line_id, string_split(regexp_replace(line, '\r$', ''), chr(9)) as p from raw_lines
+    where regexp_full_match(line, 'gold\t[^\t]*\t[^\t"]*\t(ENG|SPA|CMN)_(NW|DF)_[0-9]{1,9}[0-9]:[0-9]{1,8}-[0-9]{1,8}\t[^\t"]*\t[^\t"]*\t[^\t"\r]*\r?'))
+    select p[2] as id, p[3] as surface, split_part(p[4], ':', 1) as doc_name, split_part(split_part(p[4], ':', 2), '-', 1)::int as start, (split_part(split_part(p[4], ':', 2), '-', 2)::int + 1)::int as "end",
+        p[5] as mid, p[6] as mention_type, p[7] as noun_type, case substr(p[4], 1, 3) when 'ENG' then 'en' when 'SPA' then 'es' else 'zh' end as lang from f""")
+def gold_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Gold table rows of seven plain columns."""
+    shape = r'^gold\t[^\t]*\t[^\t"]*\t(ENG|SPA|CMN)_(NW|DF)_[0-9]{1,9}[0-9]:[0-9]{1,8}-[0-9]{1,8}\t[^\t"]*\t[^\t"]*\t[^\t"\r]*\r?\z'
+    lines = table(spark, d, "raw_lines").where(F.col("line").rlike(shape)).select(F.regexp_replace("line", r"\r\z", "").alias("value"))
+    return documents.gold_mentions(lines)
+
+
+@_query("""first as (select lang, lower(title) as query, min(replace(title, ' ', '_')) as found from kb_titles where lang is not null and title is not null group by lang, lower(title))
+    select m.mention_id, case when m.wiki_title is null or starts_with(m.wiki_title, 'NIL') then coalesce(a.found, b.found, 'NIL') else m.wiki_title end as wiki_title,
+        case when (m.wiki_title is null or starts_with(m.wiki_title, 'NIL')) and coalesce(a.found, b.found) is not null then 0.8 else m.confidence end as confidence
+    from m left join first a on a.lang = m.lang and a.query = lower(m.surface) left join first b on b.lang = 'en' and b.query = lower(m.surface)""")
+def search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    cache = table(spark, d, "kb_titles").where("lang is not null and title is not null").select("lang", F.lower("title").alias("query"), F.array(F.replace("title", F.lit(" "), F.lit("_"))).alias("titles"))
+    return documents.search_fallback(_mentions(spark, d), cache).select("mention_id", "wiki_title", "confidence")
+
+
+# -- scalar functions --------------------------------------------------------------------------------------------
+
+
+@_query(r"""t as (select distinct title from kb_titles where title is not null)
+    select title, lower(replace(title, ' ', '_')) as normal, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as joined,
+        array_to_string(list_transform(list_filter(string_split(title, '_'), lambda x: x != ''), lambda x: upper(x[1:1]) || x[2:]), '_') as cased,
+        case when lower(replace(title, ' ', '_')) = replace(title, ' ', '_') then array_to_string(list_transform(list_filter(string_split(replace(title, ' ', '_'), '_'), lambda x: x != ''), lambda x: upper(x[1:1]) || x[2:]), '_') else replace(title, ' ', '_') end as kb_form,
+        array_to_string(list_transform(list_filter(string_split(title, '_'), lambda x: x != ''), lambda x: case when starts_with(x, '(') then '(' || upper(x[2:2]) || x[3:] else upper(x[1:1]) || x[2:] end), '_') as shown,
+        case when instr(title, '(') > 1 then trim(split_part(title, '(', 1)) else title end as cut, regexp_replace(split_part(title, '(', 1), '[\s_-]', '', 'g') as tag from t""")
+def title_functions(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("title")
+    return table(spark, d, "kb_titles").where("title is not null").select("title").distinct().select(
+        t, X.normal_title(t).alias("normal"), X.joined_title(t).alias("joined"), X.title_case(t).alias("cased"), X.kb_title(t).alias("kb_form"),
+        X.display_title(t).alias("shown"), X.cut_parenthesis(t).alias("cut"), X.hashtag(t).alias("tag"),
+    )
+
+
+@_query(r"""s as (select distinct surface, lower(replace(wiki_title, '_', ' ')) as title from m where surface is not null and wiki_title is not null and wiki_title != 'NIL')
+    select surface, title, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as char_jaccard, regexp_matches(surface, '^\p{Lu}') as capitalised,
+        array_to_string(list_transform(list_filter(regexp_split_to_array(lower(surface), '\s+'), lambda t: t != ''), lambda t: t[1:1]), '') as initials
+    from (select *, list_distinct(string_split(lower(surface), '')) as a, list_distinct(string_split(title, '')) as b from s)""")
+def string_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = _mentions(spark, d).where("surface is not null and wiki_title is not null and wiki_title != 'NIL'").select("surface", F.lower(F.replace("wiki_title", F.lit("_"), F.lit(" "))).alias("title")).distinct()
+    return rows.select(
+        "surface", "title", X.jaccard(X.characters(F.lower("surface")), X.characters(F.col("title"))).alias("char_jaccard"), X.is_capitalised(F.col("surface")).alias("capitalised"),
+        X.initials(F.col("surface")).alias("initials"),
+    )
+
+
+@_query()
+def edit_distances(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d).select("surface", "title").distinct()
+    distance = X.edit_distance(F.col("surface"), F.col("title"))
+    return rows.select("surface", "title", distance.alias("distance"), X.string_score(distance).alias("score"), X.jaccard(X.bigrams(F.col("surface")), X.bigrams(F.col("title"))).alias("bigram_jaccard"))
+
+
+# -- whole pipelines ---------------------------------------------------------------------------------------------
+
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects.violations(rejects.parse_lines(table(spark, sf_dir, "raw_lines"))).select("line_id", "reason")
+@_query()
+def annotate(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions through the whole linker: candidates, ranking, English title, mid, coreference, clusters."""
+    tables = {t: table(spark, d, t) for t in ("kb_titles", "kb_types", "wiki_pages", "wiki_redirects")}
+    return pipeline.annotate(_mentions(spark, d), pipeline.build_index(_mentions(spark, d), **tables))
 
 
-def p1_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects.load_gold_lines(table(spark, sf_dir, "raw_lines"))[0]
+@_query()
+def tagged_spans(spark: SparkSession, d: str) -> DataFrame:
+    """N-grams linked, labelled by their types and decoded to mention spans."""
+    toks = _toks(spark, d)
+    stops = tokens.top_words(table(spark, d, "documents")).select("lang", "word")
+    return pipeline.tag_mentions(toks, _surface_types(spark, d), stops)
 
 
-_QUERIES |= {"p1_found": p1_found, "p1_mentions": p1_mentions}
+@_query("select mention_id, row_number() over (order by doc_id nulls first, s nulls first, mention_id) as number from m")
+def numbered_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return numbered(_mentions(spark, d).select("mention_id", "doc_id", "start"), ["doc_id", "start", "mention_id"]).select("mention_id", F.col("number").cast("long").alias("number"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

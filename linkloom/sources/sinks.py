@@ -55,7 +55,7 @@ def ere_documents(mentions: DataFrame, legacy_length: bool = True) -> DataFrame:
 def conll_lines(labelled: DataFrame, features: str | None = None) -> DataFrame:
     """(doc_id, sent_id, tok_id, line): label, start, end, x, x, token and four x, then features; link tokens and blanks are dropped."""
     x = F.lit("x")
-    rows = labelled.where("trim(token) != '' and not startswith(token, 'http:')")
+    rows = labelled.where(~F.col("token").rlike(r"^\s*$") & ~F.col("token").startswith("http:"))
     fields = [F.col("label"), F.col("start").cast("string"), F.col("end").cast("string"), x, x, F.col("token"), x, x, x, x]
     if features:
         fields.append(F.array_join(features, "\t"))
