@@ -28,21 +28,21 @@ _PIECES = r"regexp_extract_all(text, '\s+|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}
 _CTE = {
     "m": """select *, start_offset as s, end_offset as e from (
         select *, row_number() over (partition by mention_id order by loaded_at desc nulls last, surface) as rn from mentions) where rn = 1""",
-    "anchor": """select lang, lower(trim(surface)) as surface, lower(replace(wiki_title, ' ', '_')) as title from m
+    "anchor": """select lang, lower(trim(surface, ' ')) as surface, lower(replace(wiki_title, ' ', '_')) as title from m
         where lang is not null and surface is not null and wiki_title is not null and wiki_title != 'NIL'""",
-    "own_names": "select distinct lang, lower(trim(replace(title, '_', ' '))) as surface, title from anchor",
+    "own_names": "select distinct lang, lower(trim(replace(title, '_', ' '), ' ')) as surface, title from anchor",
     "stat": """select lang, surface, title, cnt, cnt / sum(cnt) over (partition by lang, surface) as p_title_given_surface,
         cnt / sum(cnt) over (partition by lang, title) as p_surface_given_title
         from (select lang, surface, title, count(*) as cnt from (select * from anchor union all select * from own_names) group by all)""",
     "word_pair": r"""select lang, word, title from (
             select lang, unnest(list_filter(regexp_split_to_array(surface, '\s+|·'), lambda t: t != '')) as word, title from anchor
             union all
-            select lang, unnest(list_filter(regexp_split_to_array(lower(trim(replace(title, '_', ' '))), '\s+|·'), lambda t: t != '')) as word, title
+            select lang, unnest(list_filter(regexp_split_to_array(lower(trim(replace(title, '_', ' '), ' ')), '\s+|·'), lambda t: t != '')) as word, title
             from (select distinct lang, title from anchor))""",
     "word_stat": """select lang, word, title, cnt, cnt / sum(cnt) over (partition by lang, word) as p_title_given_word,
         cnt / sum(cnt) over (partition by lang, title) as p_word_given_title
         from (select lang, word, title, count(*) as cnt from word_pair group by all)""",
-    "wanted": "select distinct lang, lower(trim(surface)) as surface from m where lang is not null and surface is not null",
+    "wanted": "select distinct lang, lower(trim(surface, ' ')) as surface from m where lang is not null and surface is not null",
     "cand": """select * from (select lang, surface, title, cnt, p_title_given_surface, p_surface_given_title,
         row_number() over (partition by lang, surface order by p_title_given_surface desc, title)::int as rank from stat join wanted using (lang, surface)) where rank <= 10""",
     "title_map": """select f.lang, f.title, min(lower(replace(e.en_title, ' ', '_'))) as en_title
@@ -94,7 +94,7 @@ _CTE = {
         on c.doc_id = tok.doc_id and c.tok_id = tok.tok_id""",
     "num": "select count(*) as n from embeddings",
     "scored": """select m.mention_id, c.rank, c.title, c.p_title_given_surface as "TITLEPROB", c.p_surface_given_title as "SURFACEPROB", coalesce(m.confidence, 0) as "PRESCORE"
-        from m join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface))""",
+        from m join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface, ' '))""",
     "form": """select doc_id, surface, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(surface), '\\s+|·'), lambda t: t != ''))) as tokens
         from (select distinct doc_id, lower(surface) as surface from m)""",
 }
@@ -168,7 +168,7 @@ def p1_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""select m.mention_id, m.doc_id, m.lang, m.surface, coalesce(c.title, 'NIL') as linked_title, c.p_title_given_surface as score
-    from m left join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface)) and c.rank = 1""")
+    from m left join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface, ' ')) and c.rank = 1""")
 def link_top_candidate(spark: SparkSession, d: str) -> DataFrame:
     return candidates.link_top_candidate(_mentions(spark, d), _cands(spark, d))
 
@@ -183,7 +183,7 @@ def word_title_probs(spark: SparkSession, d: str) -> DataFrame:
     return anchors.word_title_statistics(anchors.mention_anchors(_mentions(spark, d)))
 
 
-@_query(r"""select lower(trim(a.surface)) as surface, lower(replace(a.title, ' ', '_')) as title, count(*) as cnt from (
+@_query(r"""select lower(trim(a.surface, ' ')) as surface, lower(replace(a.title, ' ', '_')) as title, count(*) as cnt from (
     select unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 2)) as surface, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 1)) as title
     from (select '<p>' || string_agg('<a href="/' || wiki_title || '">' || surface || '</a>', ' ' order by mention_id) || '</p>' as html
           from m where wiki_title is not null and surface is not null group by doc_id)) a group by all""")
@@ -307,14 +307,14 @@ def title_translator(spark: SparkSession, d: str) -> DataFrame:
     return titles.translate_title(queries, _title_map(spark, d), targets, titles.all_titles_map(table(spark, d, "kb_titles")))
 
 
-@_query(r"""select distinct t.lang, k.class, array_to_string(list_transform(list_filter(string_split(case when instr(p, '(') > 1 then trim(split_part(p, '(', 1)) else p end, ' '), lambda w: w != ''),
+@_query(r"""select distinct t.lang, k.class, array_to_string(list_transform(list_filter(string_split(case when instr(p, '(') > 1 then trim(split_part(p, '(', 1), ' ') else p end, ' '), lambda w: w != ''),
         lambda w: array_to_string(list_transform(list_filter(string_split(w, '-'), lambda x: x != ''), lambda x: upper(x[1:1]) || x[2:]), '-')), ' ') as phrase
     from (select lang, replace(title, '_', ' ') as p, replace(en_title, '_', ' ') as ep from title_map) t
     join (select distinct class, lower(phrase) as phrase from (
         select case when list_contains(types, 'people.person') then 'person' when list_contains(types, 'organization.organization') then 'organization' else 'location' end as class,
-            case when instr(ph, '(') > 1 then trim(split_part(ph, '(', 1)) else ph end as phrase
+            case when instr(ph, '(') > 1 then trim(split_part(ph, '(', 1), ' ') else ph end as phrase
         from (select kt.types, replace(k.title, '_', ' ') as ph from kb_titles k join kb_types kt using (mid) where k.lang = 'en'))) k
-    on k.phrase = lower(case when instr(t.ep, '(') > 1 then trim(split_part(t.ep, '(', 1)) else t.ep end)""")
+    on k.phrase = lower(case when instr(t.ep, '(') > 1 then trim(split_part(t.ep, '(', 1), ' ') else t.ep end)""")
 def gazetteer_build(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.array_contains("types", "people.person"), "person").when(F.array_contains("types", "organization.organization"), "organization").otherwise("location")
     english = table(spark, d, "kb_titles").where("lang = 'en'").join(table(spark, d, "kb_types"), "mid")
@@ -449,7 +449,7 @@ def minmax_cosine(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("doc_id", "vec_id", F.round("cos_max", 6).alias("cos_max"), F.round("cos_min", 6).alias("cos_min"))
 
 
-_WEIGHTS = (0.9, 0.4, 0.1, 0.3, 0.2, -0.1)
+_WEIGHTS = (0.9137313, 0.4171717, 0.0973137, 0.3090171, 0.2113979, -0.1071313)
 _FEATURES = ("TITLEPROB", "SURFACEPROB", "PRESCORE")
 
 
@@ -460,13 +460,13 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return joined.withColumns({"TITLEPROB": F.col("p_title_given_surface"), "SURFACEPROB": F.col("p_surface_given_title")})
 
 
-@_query("""s as (select mention_id, rank, title, 0.9 * "TITLEPROB" + 0.4 * "SURFACEPROB" + 0.1 * "PRESCORE" + 0.3 * "TITLEPROB" * "SURFACEPROB" + 0.2 * "TITLEPROB" * "PRESCORE" - 0.1 * "SURFACEPROB" * "PRESCORE" as score from scored)
+@_query("""s as (select mention_id, rank, title, "TITLEPROB" * 0.9137313::double + "SURFACEPROB" * 0.4171717::double + "PRESCORE" * 0.0973137::double + ("TITLEPROB" * "SURFACEPROB") * 0.3090171::double + ("TITLEPROB" * "PRESCORE") * 0.2113979::double + ("SURFACEPROB" * "PRESCORE") * (-0.1071313)::double as score from scored)
     select mention_id, rank, title, round(score, 6) as score from s""")
 def linear_score(spark: SparkSession, d: str) -> DataFrame:
     return ranking.score_candidates(_scored(spark, d), _FEATURES, _WEIGHTS).select("mention_id", "rank", "title", F.round("score", 6).alias("score"))
 
 
-@_query("""s as (select mention_id, rank, title, round(0.9 * "TITLEPROB" + 0.4 * "SURFACEPROB" + 0.1 * "PRESCORE" + 0.3 * "TITLEPROB" * "SURFACEPROB" + 0.2 * "TITLEPROB" * "PRESCORE" - 0.1 * "SURFACEPROB" * "PRESCORE", 9) as score from scored),
+@_query("""s as (select mention_id, rank, title, round("TITLEPROB" * 0.9137313::double + "SURFACEPROB" * 0.4171717::double + "PRESCORE" * 0.0973137::double + ("TITLEPROB" * "SURFACEPROB") * 0.3090171::double + ("TITLEPROB" * "PRESCORE") * 0.2113979::double + ("SURFACEPROB" * "PRESCORE") * (-0.1071313)::double, 9) as score from scored),
     r as (select *, row_number() over w as n, lead(score) over w as second from s window w as (partition by mention_id order by score desc, rank))
     select mention_id, title, round(score, 6) as score, round(coalesce(1 / (1 + exp(second - score)), 1), 6) as confidence from r where n = 1""")
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
@@ -495,7 +495,7 @@ def rank_documents(spark: SparkSession, d: str) -> DataFrame:
 _MAIN = "list_has_any(coalesce(t.types, []), ['people.person', 'organization.organization', 'location.location'])"
 
 
-@_query(f"""typed as (select m.mention_id, m.lang, lower(trim(m.surface)) as surface, lower(replace(m.gold_wiki_title, ' ', '_')) as gold, {_MAIN} as main, bool_or({_MAIN}) over (partition by m.doc_id) as any_main
+@_query(f"""typed as (select m.mention_id, m.lang, lower(trim(m.surface, ' ')) as surface, lower(replace(m.gold_wiki_title, ' ', '_')) as gold, {_MAIN} as main, bool_or({_MAIN}) over (partition by m.doc_id) as any_main
         from m left join kb_types t using (mid)),
     hit as (select typed.mention_id, typed.lang, case when c.rank = 1 then 'easy' else 'hard' end as kind from typed join cand c on c.lang = typed.lang and c.surface = typed.surface and c.title = typed.gold where main or not any_main),
     nums as (select *, row_number() over (partition by lang, kind order by md5(mention_id::varchar), mention_id) as n, sum(case when kind = 'hard' then 1 else 0 end) over (partition by lang) as n_hard from hit)
@@ -527,7 +527,7 @@ def train_ranker(spark: SparkSession, d: str) -> DataFrame:
         union all select doc_id, 3, case when lang = 'zh' then cut || lead(cut) over o || lead(cut, 2) over o else cut || ' ' || lead(cut) over o || ' ' || lead(cut, 2) over o end, stop and lead(stop) over o and lead(stop, 2) over o
             from cut window o as (partition by doc_id, sent_id order by tok_id))
     select doc_id, n::int as n, count(*) as n_grams, count(distinct g) as n_distinct, sum(stop::int)::bigint as n_stop,
-        sum(regexp_matches(trim(g), '^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$')::int)::bigint as n_numbers from grams where g is not null group by doc_id, n""")
+        sum(regexp_matches(trim(g, ' '), '^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$')::int)::bigint as n_numbers from grams where g is not null group by doc_id, n""")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     toks, stops = tokens.tokens(docs), tokens.top_words(docs).select("lang", "word")
@@ -680,7 +680,7 @@ def coref_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""select mention_id, string_agg(title || '=' || round(p, 6), '|' order by title) as scores from (
-    select m.mention_id, c.title, c.p_title_given_surface as p from m join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface))) group by mention_id""")
+    select m.mention_id, c.title, c.p_title_given_surface as p from m join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface, ' '))) group by mention_id""")
 def candidate_maps(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d).withColumn("score", F.round("TITLEPROB", 6))
     pairs = F.transform(F.map_entries("scores"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
@@ -818,7 +818,7 @@ def search_fallback(spark: SparkSession, d: str) -> DataFrame:
         array_to_string(list_transform(list_filter(string_split(title, '_'), lambda x: x != ''), lambda x: upper(x[1:1]) || x[2:]), '_') as cased,
         case when lower(replace(title, ' ', '_')) = replace(title, ' ', '_') then array_to_string(list_transform(list_filter(string_split(replace(title, ' ', '_'), '_'), lambda x: x != ''), lambda x: upper(x[1:1]) || x[2:]), '_') else replace(title, ' ', '_') end as kb_form,
         array_to_string(list_transform(list_filter(string_split(title, '_'), lambda x: x != ''), lambda x: case when starts_with(x, '(') then '(' || upper(x[2:2]) || x[3:] else upper(x[1:1]) || x[2:] end), '_') as shown,
-        case when instr(title, '(') > 1 then trim(split_part(title, '(', 1)) else title end as cut, regexp_replace(split_part(title, '(', 1), '[\s_-]', '', 'g') as tag from t""")
+        case when instr(title, '(') > 1 then trim(split_part(title, '(', 1), ' ') else title end as cut, regexp_replace(split_part(title, '(', 1), '[\s_-]', '', 'g') as tag from t""")
 def title_functions(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("title")
     return table(spark, d, "kb_titles").where("title is not null").select("title").distinct().select(
