@@ -119,7 +119,8 @@ def _latent_space(items: DataFrame, vocabulary: Columns, idf: np.ndarray, settin
                         a = _window_rows(words, vocabulary, idf, settings, settings.block // 2)
                         total += a.T @ (a @ x)
             used = np.flatnonzero(np.any(total != 0, axis=1))
-            yield pd.DataFrame({"term": used, "row": list(total[used])})
+            if len(used):
+                yield pd.DataFrame({"term": used, "row": list(total[used])})
 
         parts = items.select("passage").mapInPandas(product, "term long, row array<double>")
         summed = parts.select("term", F.posexplode("row").alias("k", "v")).groupBy("term", "k").agg(F.sum("v").alias("v")).toPandas()
