@@ -30,6 +30,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,23 +43,26 @@ _WORD = re.compile("[\u3400-\u9fff]|[^\\W_\u3400-\u9fff]+(?:[.,][0-9]+)*")
 _HAN = re.compile("[\u3400-\u9fff]")
 
 
+# Characters whose consistent form may be another letter; texts without any needn't be brought to one form.
+_UNUSUAL = re.compile("[^\x00-\x7f¡-¬®-ÿ\u3400-\u4dbf\u4e00-\u9fff，。！？、；：“”‘’（）《》…—–]")
+
+
 def words_of(text: str | None) -> list[str]:
     """Words, in Chinese characters, in a form that ignores case, punctuation, spacing and characters' form."""
-    return _WORD.findall(consistent_text(text).casefold()) if text else []
+    if not text:
+        return []
+    if not text.isascii() and _UNUSUAL.search(text):
+        text = consistent_text(text)
+    return _WORD.findall(text.lower())
 
 
 def terms_of(words: list[str]) -> list[str]:
     """One term for each word; a Chinese character is taken together with the next one."""
-    if not _HAN.search("".join(words)):
+    joined = "".join(words)
+    if joined.isascii() or not _HAN.search(joined):
         return words
-    return [w + n if _HAN.match(w) and _HAN.match(n) else w for w, n in zip(words, [*words[1:], " "])]
-
-
-class Columns(dict):
-    """Term -> column of the matrix; terms of no passage have the last one."""
-
-    def __missing__(self, term: str) -> int:
-        return len(self)
+    first, last = "\u3400", "\u9fff"  # characters are words of their own, so plain comparison tells them
+    return [w + n if first <= w <= last and first <= n <= last else w for w, n in zip(words, [*words[1:], " "])]
 
 
 @dataclass(frozen=True)
@@ -75,7 +79,7 @@ class Settings:
     seed: int = 11
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: Columns) -> tuple[np.ndarray, int]:
+def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
     """In how many documents each term stands, over the whole corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,14 +89,14 @@ def _document_frequencies(docs: DataFrame, vocabulary: Columns) -> tuple[np.ndar
             for text in batch["text"]:
                 df.update(vocabulary.keys() & set(terms_of(words_of(text))))
                 n += 1
-        yield pd.DataFrame({"term": [-1, *map(vocabulary.__getitem__, df)], "n": [n, *df.values()]})
+        yield pd.DataFrame({"term": [-1, *map(vocabulary.get, df)], "n": [n, *df.values()]})
 
     counted = docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     by_term = dict(zip(counted["term"], counted["n"], strict=True))
     return np.array([by_term.get(k, 0) for k in range(len(vocabulary))], dtype=float), int(by_term.get(-1, 0))
 
 
-def _window_rows(words: list[str], vocabulary: Columns, idf: np.ndarray, settings: Settings, step: int) -> np.ndarray:
+def _window_rows(words: list[str], vocabulary: dict[str, int], idf: np.ndarray, settings: Settings, step: int) -> np.ndarray:
     """TF-IDF rows of the overlapping windows of one passage."""
     at = [vocabulary[t] for t in terms_of(words)]
     width = 2 * settings.block
@@ -104,7 +108,7 @@ def _window_rows(words: list[str], vocabulary: Columns, idf: np.ndarray, setting
     return np.array(rows, dtype=np.float32)
 
 
-def _latent_space(items: DataFrame, vocabulary: Columns, idf: np.ndarray, settings: Settings) -> np.ndarray:
+def _latent_space(items: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, settings: Settings) -> np.ndarray:
     """An orthonormal basis (terms x rank) of the leading right singular vectors."""
     n, rank = len(idf), min(settings.rank, len(idf))
     x = np.linalg.qr(np.random.default_rng(settings.seed).standard_normal((n, rank)))[0].astype(np.float32)
@@ -220,7 +224,7 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     items = items.where("passage is not null").select("item_id", "passage")
     held = items.toPandas()  # the held-out set: a stated query set
     passages = _prepared(held)
-    vocabulary = Columns({t: k for k, t in enumerate(sorted({t for p in held["passage"] for t in terms_of(words_of(p))}))})
+    vocabulary = {t: k for k, t in enumerate(sorted({t for p in held["passage"] for t in terms_of(words_of(p))}))}
     if not passages:
         return spark.createDataFrame([], schema)
     df, n_docs = _document_frequencies(docs.where("text is not null"), vocabulary)
@@ -241,7 +245,7 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     out_of_vocabulary = len(idf)
 
     def search(words: list[str]) -> Iterator[tuple[int, float]]:
-        at = np.fromiter(map(vocabulary.__getitem__, terms_of(words)), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(vocabulary.get, terms_of(words), repeat(out_of_vocabulary)), dtype=np.int64, count=len(words))
         if (at != out_of_vocabulary).sum() < settings.block // 2:
             return
         starts = np.arange(0, len(at), settings.block)
