@@ -69,7 +69,10 @@ _TRADITIONAL = "漢羅亞馬諾盧達溫蓋魯裡紐萬凱納圖謝歐貝揚邁
 _SIMPLIFIED = "汉罗亚马诺卢达温盖鲁里纽万凯纳图谢欧贝扬迈伦费杰乌兰门乔苏尔萨莱维宁丽济协会学术会体实验铁运输卫剧乐园与东银长风飞龙齐国际尔约玛绮宾顿韦叶颜鲍魏贡贺邓钟钱陆陈阳顾养车军农历庄赛内亘范毕画发电机厂广场业员师团动产团责质检测经济"
 _TO_SIMPLIFIED = str.maketrans(_TRADITIONAL, _SIMPLIFIED)
 _TO_CYRILLIC = str.maketrans({latin: next(c for c in others if "а" <= c.lower() <= "ӏ") for latin, others in _LOOK_ALIKE.items() if any("Ѐ" <= c <= "ӿ" for c in others)})
-_SPLIT = re.compile(r"[\s_,·.]+")
+# How many other words given names and kinds of organisations meet at least, where there are many names.
+HUB = 50
+# Words above this length are indexed by their ends.
+LONG = 64
 _HAN = re.compile("[㐀-鿿]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _LATIN = re.compile("[A-Za-z]")
@@ -145,10 +148,14 @@ def _parser(typed_title: bool):
 
 
 def deletions(word: Column) -> Column:
-    """The word and every one-letter deletion of it, if it is long enough to be told from its neighbours."""
+    """The word and every one-letter deletion of it, if it is long enough to be told from its neighbours.
+
+    A very long word has its two ends as keys instead, as one edit leaves one of them as it is.
+    """
     long_enough = F.when(word.rlike("[㐀-鿿]"), F.length(word) >= 4).otherwise(F.length(word) >= 5)
     cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, F.length(word))))
-    return F.when(long_enough, F.array_union(F.array(word), cut)).otherwise(F.array(word))
+    ends = F.array(word, F.concat(F.lit("<"), F.substring(word, 1, LONG // 2)), F.concat(F.lit(">"), F.substring(word, -(LONG // 2), LONG // 2)))
+    return F.when(F.length(word) > LONG, ends).when(long_enough, F.array_union(F.array(word), cut)).otherwise(F.array(word))
 
 
 def spellings(words: DataFrame) -> DataFrame:
@@ -161,8 +168,8 @@ def spellings(words: DataFrame) -> DataFrame:
     best = index.groupBy("lang", "variant").agg(F.max(F.struct("count", "word")).alias("best"))
     nearest = index.join(best, ["lang", "variant"])
     letters = lambda c: F.array_sort(F.split(c, ""))
-    far = F.levenshtein("word", "best.word")
-    near = (far <= 1) | ((far == 2) & (F.length("word") == F.length("best.word")) & (letters(F.col("word")) == letters(F.col("best.word"))))
+    far = F.levenshtein("word", "best.word", 2)  # -1 beyond two
+    near = far.between(0, 1) | ((far == 2) & (F.length("word") == F.length("best.word")) & (letters(F.col("word")) == letters(F.col("best.word"))))
     return nearest.where(near).groupBy("lang", "word").agg(F.max("best").alias("best")).select("lang", "word", F.col("best.word").alias("spelling"))
 
 
@@ -299,31 +306,32 @@ def link_entities(mentions: DataFrame) -> DataFrame:
     spelled = words.join(spellings(words.select("lang", "word")), ["lang", "word"])
     named = spelled.groupBy("mention_id", "source", "lang").agg(F.array_sort(F.collect_set("spelling")).alias("spelled"))
     met = named.select("lang", F.explode("spelled").alias("word"), "spelled").select("lang", "word", F.explode("spelled").alias("other")).where("word != other")
+    met = met.select("lang", _full_form("word").alias("word"), "other")
     degree = met.groupBy("lang", "word").agg(F.approx_count_distinct("other", 0.02).alias("degree"))
     frequency = spelled.groupBy("lang", F.col("spelling").alias("word")).count()
     ranked = (
         named.select("mention_id", "source", "lang", F.explode("spelled").alias("word"))
-        .join(degree, ["lang", "word"], "left")
+        .withColumn("role", _full_form("word"))
+        .join(degree.withColumnRenamed("word", "role"), ["lang", "role"], "left")
         .join(frequency, ["lang", "word"], "left")
         .groupBy("mention_id", "source")
-        .agg(F.min(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.length("word")).alias("size"), "word", "count")).alias("key"))
+        .agg(F.min(F.struct(_key_order().alias("order"), F.coalesce("degree", F.lit(0)).alias("degree"), (-F.length("word")).alias("size"), "word", "count")).alias("key"))
     )
     names = parsed.join(named.drop("lang"), ["mention_id", "source"], "left").join(ranked, ["mention_id", "source"], "left")
     names = names.select(
         "mention_id", "doc_id", "lang", "surface", "source", "qualifier", "parts",
-        F.col("key.word").alias("head"), F.col("key.count").alias("support"),
+        F.col("key.word").alias("head"), F.coalesce("key.order", F.lit(9)).alias("order"), F.coalesce("key.degree", F.lit(0)).alias("degree"),
         F.array_sort(F.concat(F.array_except(F.coalesce("spelled", F.array().cast("array<string>")), F.array("key.word")), "parts")).alias("rest"),
     )
-    # of surface and title the title decides, with the key word that more mentions share
-    both = names.groupBy("mention_id", "doc_id", "lang", "surface").agg(
-        F.max(F.when(F.col("head").isNotNull(), F.struct("support", "source", "head"))).alias("heads"),
-        F.max_by("rest", "source").alias("rest"),
-        F.max_by("head", "source").alias("own_head"),
-        F.max("qualifier").alias("qualifier"),
-        F.max(F.when(F.get("parts", F.lit(0)).startswith("@"), F.get("parts", F.lit(0)))).alias("acronym"),
-    )
+    # of surface and title the one with the better key word decides, of equals the title
+    better = F.struct("order", "degree", -F.col("source"))
     keyed = cut_lineage(
-        both.select("*", F.col("heads.head").alias("head")).drop("heads").withColumn("rest", F.array_except("rest", F.array("head")))
+        names.groupBy("mention_id", "doc_id", "lang", "surface").agg(
+            F.min_by("head", better).alias("head"),
+            F.min_by("rest", better).alias("rest"),
+            F.max("qualifier").alias("qualifier"),
+            F.max(F.when(F.get("parts", F.lit(0)).startswith("@"), F.get("parts", F.lit(0)))).alias("acronym"),
+        )
     )
     blocks = keyed.where("head is not null").groupBy("lang", "head", "rest", "qualifier").agg(F.count("*").alias("n"))
     schema = "lang string, head string, rest array<string>, qualifier string, entities array<string>"
@@ -348,6 +356,17 @@ def link_entities(mentions: DataFrame) -> DataFrame:
     return sure.drop("head", "rest").unionByName(told).unionByName(spelled_out)
 
 
+def _full_form(word: str) -> Column:
+    """The given name that a nickname stands for, else the word."""
+    table = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.col(word)), F.col(word))
+
+
+def _key_order() -> Column:
+    """A word that occurs once links nothing, so it gives way to another, unless that one meets ``HUB`` or more others."""
+    return F.when((F.col("count") >= 2) & (F.coalesce("degree", F.lit(0)) < HUB), 0).when(F.col("count") < 2, 1).otherwise(2)
+
+
 def _single(candidates: DataFrame) -> DataFrame:
     """Mentions whose document names exactly one of their candidates."""
     return (
