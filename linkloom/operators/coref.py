@@ -12,7 +12,7 @@ Null surfaces, types or offsets never match; repeated rows count once where they
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,10 +28,14 @@ def person_containment(mentions: DataFrame) -> DataFrame:
     """
     people = mentions.where("mention_type = 'PER' and surface is not null").withColumn("low", F.lower("surface"))
     stands = Window.partitionBy("doc_id", "low").orderBy("start", "mention_id")
-    forms = people.withColumn("_n", F.row_number().over(stands)).where("_n = 1").select("doc_id", "low", "start", "mid", "wiki_title", "confidence")
-    inner = forms.select("doc_id", "low")
-    outer = forms.select("doc_id", F.col("low").alias("o_low"), "start", F.struct("mid", "wiki_title", "confidence").alias("o"))
-    pairs = inner.join(outer, "doc_id").where("length(o_low) > length(low) and contains(o_low, low)")
+    forms = people.withColumn("_n", F.row_number().over(stands)).where("_n = 1 and low != ''").select("doc_id", "low", "start", "mid", "wiki_title", "confidence")
+    # a container holds every piece of what it contains, so each form asks for its rarest piece only
+    pieces = forms.select("doc_id", "low", "start", F.struct("mid", "wiki_title", "confidence").alias("o"), F.explode(_pieces(F.col("low"), (1, 2, 3))).alias("piece"))
+    frequency = pieces.groupBy("doc_id", "piece").agg(F.count("*").alias("df"))
+    own = forms.select("doc_id", "low", F.explode(_pieces(F.col("low"), (3,))).alias("piece")).join(frequency, ["doc_id", "piece"])
+    asked = own.groupBy("doc_id", "low").agg(F.min(F.struct("df", "piece")).alias("r")).select("doc_id", "low", F.col("r.piece").alias("piece"))
+    outer = pieces.select("doc_id", "piece", F.col("low").alias("o_low"), "start", "o")
+    pairs = asked.join(outer, ["doc_id", "piece"]).where("length(o_low) > length(low) and contains(o_low, low)")
     best = pairs.groupBy("doc_id", "low").agg(F.min_by("o", F.struct(-F.length("o_low"), "start")).alias("o"))
     joined = mentions.withColumn("low", F.when(F.col("mention_type") == "PER", F.lower("surface"))).join(best, ["doc_id", "low"], "left")
     take = F.col("o").isNotNull() & ~X.is_nil(F.col("o.mid"))
@@ -39,6 +43,16 @@ def person_containment(mentions: DataFrame) -> DataFrame:
     return joined.withColumns(out).drop("low", "o")
 
 
+def _pieces(c: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct substrings of the given lengths; a shorter text is its own piece."""
+    def cut(n: int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda k: F.substring(c, k, F.lit(n)))
+        return F.when(F.length(c) >= n, pieces).otherwise(F.array(c))
+
+    each = [cut(n) for n in sizes]
+    return F.array_distinct(F.concat(*each))
+
+
 def jaccard_pairs(forms: DataFrame, scope: list[str], threshold: float = 0.5) -> DataFrame:
     """(scope, key_a, key_b, score): forms (scope, key, tokens) of one scope whose token overlap is above the threshold; key_a < key_b.
 

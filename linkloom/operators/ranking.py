@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import text as X
 from linkloom.functions import vectors as V
+from linkloom.operators.numbering import numbered
 
 # Languages that use another language's vectors.
 VECTOR_LANGUAGE = {"en": "es", "am": "es"}
@@ -57,6 +58,37 @@ def extreme_cosines(pairs: DataFrame, keys: list[str], a: str = "title_vec", b:
     return scored.groupBy(*keys).agg(F.coalesce(F.max("_c"), F.lit(0.0)).alias("cos_max"), F.coalesce(F.min("_c"), F.lit(0.0)).alias("cos_min"))
 
 
+def extreme_cosines_within(rows: DataFrame, group: str, block: int = 256) -> DataFrame:
+    """(group, id, cos_max, cos_min): greatest and least cosine of each vector to the others of its group; 0 without others.
+
+    ``rows`` has (group, id, vec), ids distinct in a group. A group is cut into blocks of about ``block``
+    vectors and pairs of blocks are multiplied as matrices, so that no row is made for a pair of vectors.
+    """
+    valid = rows.where(F.col("vec").isNotNull()).select(group, "id", "vec")
+    sizes = valid.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    parted = valid.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
+    blocks = parted.groupBy(group, "part").agg(F.collect_list(F.struct("id", "vec")).alias("own"))
+    pairs = blocks.join(blocks.select(group, F.col("part").alias("o_part"), F.col("own").alias("other")), group)
+
+    def multiply(batches):
+        for batch in batches:
+            for g, own, other in zip(batch[group], batch["own"], batch["other"], strict=True):
+                ids, o_ids = np.array([r["id"] for r in own]), np.array([r["id"] for r in other])
+                a, b = (np.array([r["vec"] for r in side], dtype=float) for side in (own, other))
+                norms = [np.linalg.norm(m, axis=1) for m in (a, b)]
+                a, b = (m / np.where(n > 0, n, 1)[:, None] for m, n in zip((a, b), norms, strict=True))
+                cos = a @ b.T
+                same = ids[:, None] == o_ids[None, :]
+                most, least = np.where(same, -np.inf, cos).max(axis=1), np.where(same, np.inf, cos).min(axis=1)
+                seen = ~same.all(axis=1)
+                yield pd.DataFrame({group: g, "id": ids[seen], "cos_max": most[seen], "cos_min": least[seen]})
+
+    kinds = dict(valid.dtypes)
+    partial = pairs.select(group, "own", "other").mapInPandas(multiply, f"{group} {kinds[group]}, id {kinds['id']}, cos_max double, cos_min double")
+    found = partial.groupBy(group, "id").agg(F.max("cos_max").alias("cos_max"), F.min("cos_min").alias("cos_min"))
+    return rows.select(group, "id").join(found, [group, "id"], "left").fillna(0.0, ["cos_max", "cos_min"])
+
+
 def with_products(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows with COMBO_a_b for each pair of features."""
     return rows.withColumns(dict(V.feature_products(names)))
@@ -123,9 +155,12 @@ def select_training(mentions: DataFrame, candidates: DataFrame, types: DataFrame
     hit = keyed.join(candidates.select("lang", "surface", "rank", F.col("title").alias("gold")), ["lang", "surface", "gold"])
     labelled = hit.withColumn("kind", F.when(F.col("rank") == 1, F.lit("easy")).otherwise(F.lit("hard"))).select("mention_id", "lang", "kind")
     hard = labelled.groupBy("lang").agg(F.sum(F.when(F.col("kind") == "hard", 1).otherwise(0)).alias("n_hard"))
-    order = Window.partitionBy("lang", "kind").orderBy(F.md5(F.col("mention_id").cast("string")), "mention_id")
-    numbered = labelled.withColumn("_n", F.row_number().over(order)).join(F.broadcast(hard), "lang")
-    return numbered.where((F.col("kind") == "hard") | (F.col("_n") <= F.col("n_hard") * ratio)).select("mention_id", "lang", "kind")
+    # numbered over all languages at once, so that no task has to sort a language
+    hashed = labelled.withColumn("_h", F.md5(F.col("mention_id").cast("string")))
+    placed = numbered(hashed, ["lang", "kind", "_h", "mention_id"], "_n")
+    first = placed.groupBy("lang", "kind").agg(F.min("_n").alias("_first"))  # a row or two for each language
+    shifted = placed.join(F.broadcast(first), ["lang", "kind"]).withColumn("_n", F.col("_n") - F.col("_first") + 1).join(F.broadcast(hard), "lang")
+    return shifted.where((F.col("kind") == "hard") | (F.col("_n") <= F.col("n_hard") * ratio)).select("mention_id", "lang", "kind")
 
 
 def svm_rows(candidates: DataFrame, features: Sequence[str], key: str = "mention_id") -> DataFrame:

@@ -440,13 +440,9 @@ def minmax_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     n = e.count()
     men = _mentions(spark, d).where("mid != 'NIL'").select("doc_id", (F.col("mention_id") % n).alias("vec_id")).distinct()
-    vectors = e.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
-    mine = men.join(vectors.withColumnRenamed("v", "title_vec"), "vec_id")
-    other = men.join(vectors, "vec_id").select("doc_id", F.col("vec_id").alias("o"), F.col("v").alias("other_vec"))
-    pairs = mine.join(other, "doc_id").where("vec_id != o")
-    found = ranking.extreme_cosines(pairs, ["doc_id", "vec_id"])
-    filled = men.join(found, ["doc_id", "vec_id"], "left").fillna(0.0, ["cos_max", "cos_min"])
-    return filled.select("doc_id", "vec_id", F.round("cos_max", 6).alias("cos_max"), F.round("cos_min", 6).alias("cos_min"))
+    rows = men.join(e.select("vec_id", V.doubles(F.col("embedding")).alias("vec")), "vec_id", "left").withColumnRenamed("vec_id", "id")
+    found = ranking.extreme_cosines_within(rows, "doc_id")
+    return found.select("doc_id", F.col("id").alias("vec_id"), F.round("cos_max", 6).alias("cos_max"), F.round("cos_min", 6).alias("cos_min"))
 
 
 _WEIGHTS = (0.9137313, 0.4171717, 0.0973137, 0.3090171, 0.2113979, -0.1071313)

@@ -133,6 +133,38 @@ def test_person_containment(spark):
     assert got == {1: ("m1", 0.7), 2: ("m1", 0.7), 3: ("m1", 0.7), 4: ("m8", 0.3), 5: ("m7", 0.4)}
 
 
+def test_containment_against_plain_search(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 9, i, "".join(rng.choice("ab c") for _ in range(rng.randint(1, 7))).strip() or "a", "PER", f"m{i}", f"t{i}", 0.5) for i in range(260)]
+    df = spark.createDataFrame(rows, "mention_id long, doc_id long, start int, surface string, mention_type string, mid string, wiki_title string, confidence double")
+    want = {}
+    for i, doc, _, s, _, mid, _, _ in rows:
+        outer = [r for r in rows if r[1] == doc and len(r[3]) > len(s) and s in r[3]]
+        want[i] = min(outer, key=lambda r: (-len(r[3]), r[2]))[5] if outer else mid
+    assert {r["mention_id"]: r["mid"] for r in coref.person_containment(df).collect()} == want
+
+
+def test_extreme_cosines_in_blocks(spark):
+    rng = random.Random(2)
+    rows = [(g, i, [rng.gauss(0, 1) for _ in range(4)]) for g in (1, 2) for i in range(23)] + [(3, 1, [1.0, 0.0, 0.0, 0.0]), (4, 1, None)]
+    df = spark.createDataFrame(rows, "doc long, id long, vec array<double>")
+    got = {(r["doc"], r["id"]): (r["cos_max"], r["cos_min"]) for r in ranking.extreme_cosines_within(df, "doc", block=5).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for g, i, v in rows:
+        others = [cos(v, w) for h, j, w in rows if h == g and j != i and v and w]
+        assert got[g, i] == pytest.approx((max(others, default=0.0), min(others, default=0.0)))
+
+
+def test_training_selection(spark):
+    men = spark.createDataFrame([(i, i // 4, "en", f"s{i}", f"gold {i}", "m.1" if i % 2 else "m.2") for i in range(40)], "mention_id long, doc_id long, lang string, surface string, gold_wiki_title string, mid string")
+    cands = spark.createDataFrame([("en", f"s{i}", f"gold_{i}", 1 if i % 8 else 2) for i in range(40)], "lang string, surface string, title string, rank int")
+    types = spark.createDataFrame([("m.1", ["people.person"]), ("m.2", ["x.y"])], "mid string, types array<string>")
+    found = ranking.select_training(men, cands, types, ratio=2.0).collect()
+    assert found == []  # documents with a main type lose the others, among them all hard ones
+    found = ranking.select_training(men.withColumn("mid", F.lit("m.1")), cands, types, ratio=2.0).collect()
+    assert sum(r["kind"] == "hard" for r in found) == 5 and sum(r["kind"] == "easy" for r in found) == 10
+
+
 def _jaccard(a, b):
     a, b = set(a.lower().split()), set(b.lower().split())
     return len(a & b) / len(a | b)
