@@ -38,7 +38,11 @@ def test_pack_table(spark):
     assert max(fill.values()) <= 100
     assert sum(fill.values()) == sum(n or 0 for _, n in rows)
     assert sorted(parts[next(i for i, n in rows if n == 270)]) == [(0, 100), (100, 200), (200, 270)]
-    assert len(fill) <= 1.02 * sum(fill.values()) / 100 + 1
+    # items above a half need a container each; of the others at most two fit one, whatever the order
+    pieces = [b - a for p in parts.values() for a, b in p]
+    alone = sum(n > 50 for n in pieces)
+    paired = sum(40 <= n <= 50 for n in pieces)
+    assert len(fill) <= alone + (paired + 1) // 2 + 1
     assert all(len(parts[i]) == 1 for i, n in rows[:400] if 0 < (n or 0) <= 100 and i != 7)
     assert packing.pack(df.where("false"), 100).count() == 0
     with pytest.raises(ValueError):
