@@ -123,29 +123,27 @@ def same_look_pairs(rows: DataFrame, fields: tuple[str, ...], row_id: str, withi
     """(field_name, <row_id>_a, <row_id>_b): rows of one ``within`` group whose values look the same but are stored differently.
 
     Only look-alike groups that hold at least two stored forms take part in the self-join, and the
-    join pairs different forms only; copies of one form never meet.
+    join pairs different forms only; copies of one form never meet. Values travel as 64-bit hashes, so
+    that two could be mistaken for each other only if they collide inside one group.
     """
     long = rows.select(
         F.col(within).alias("grp"),
         F.col(row_id).alias("id"),
-        F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field_name", "stored"),
-    ).where("grp is not null and id is not null and stored is not null")
-    keyed = long.dropDuplicates().withColumn("form", skeleton(F.col("stored")))
-    key = ["grp", "field_name", "form"]
-    mixed = (
-        keyed.groupBy(*key)
-        .agg(F.min("stored").alias("least"), F.max("stored").alias("most"))
-        .where("least != most")
-        .select(*key)
-    )
-    part = keyed.join(mixed, key)
+        F.posexplode(F.array(*[F.col(f) for f in fields])).alias("field", "value"),
+    ).where("grp is not null and id is not null and value is not null")
+    keyed = long.select("grp", "field", F.xxhash64(skeleton(F.col("value"))).alias("look"), F.xxhash64("value").alias("stored"), "id")
+    key = ["grp", "field", "look"]
+    mixed = keyed.groupBy(*key).agg(F.min("stored").alias("least"), F.max("stored").alias("most")).where("least != most").select(*key)
+    part = keyed.join(mixed, key, "left_semi").distinct()
     a = part.select(*key, F.col("id").alias("a"), F.col("stored").alias("stored_a"))
     b = part.select(*key, F.col("id").alias("b"), F.col("stored").alias("stored_b"))
+    name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
     return (
         a.join(b, key)
         .where("a < b and stored_a != stored_b")
-        .select("field_name", F.col("a").alias(f"{row_id}_a"), F.col("b").alias(f"{row_id}_b"))
+        .select("field", F.col("a").alias(f"{row_id}_a"), F.col("b").alias(f"{row_id}_b"))
         .distinct()
+        .select(name.alias("field_name"), f"{row_id}_a", f"{row_id}_b")
     )
 
 
