@@ -7,7 +7,7 @@ no candidates; a mention without candidates gets the title ``NIL``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,6 +51,28 @@ def by_word(surfaces: DataFrame, words: DataFrame, k: int = WORD_TOP_K) -> DataF
     return top_k(hits, ["lang", "surface"], "p_title_given_word", k, "title", "word").select("lang", "surface", "word", "title", "p_title_given_word", "rank")
 
 
+def by_character_grams(surfaces: DataFrame, statistics: DataFrame, size: int = 4, k: int = TOP_K) -> DataFrame:
+    """(lang, surface, title, shared, rank): titles by the number of character grams that their typed form shares with a surface.
+
+    Grams are distinct in a text; a text shorter than a gram is its own gram. A surface asks with its rarer
+    half of grams; then all shared grams count.
+    """
+
+    def grams(c: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(c, i, F.lit(size)))
+        return F.array_distinct(F.when(F.length(c) >= size, cut).otherwise(F.array(c)))
+
+    titles = statistics.select("lang", "title").distinct().withColumn("t_grams", grams(X.title_as_surface(F.col("title"))))
+    index = titles.select("lang", "title", "t_grams", F.explode("t_grams").alias("gram"))
+    frequency = index.groupBy("lang", "gram").agg(F.count("*").alias("df"))
+    wanted = surfaces.select("lang", "surface").distinct().where("surface != ''").withColumn("s_grams", grams(F.col("surface")))
+    each = wanted.select("lang", "surface", "s_grams", F.explode("s_grams").alias("gram")).join(frequency, ["lang", "gram"])
+    place = F.row_number().over(Window.partitionBy("lang", "surface").orderBy("df", "gram"))
+    asked = each.withColumn("_p", place).where("_p <= ceil(size(s_grams) / 2)").select("lang", "surface", "s_grams", "gram")
+    pairs = asked.join(index, ["lang", "gram"]).select("lang", "surface", "title", F.size(F.array_intersect("s_grams", "t_grams")).alias("shared")).distinct()
+    return top_k(pairs, ["lang", "surface"], "shared", k, "title")
+
+
 def with_english_fallback(surfaces: DataFrame, statistics: DataFrame, k: int = TOP_K) -> DataFrame:
     """Own-language candidates; surfaces of other languages without any get the English ones. ``cand_lang`` tells."""
     wanted = surfaces.select("lang", "surface").distinct()

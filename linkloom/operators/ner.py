@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import text as X
 from linkloom.operators.intervals import propagate_types
-from linkloom.operators.tokens import ngrams
+from linkloom.operators.tokens import ngrams_upto
+from linkloom.session import cut_lineage
 
 MAIN_TYPES = ("location", "person", "organization")
 # Coarse types of the knowledge base that the features speak of in other words.
@@ -56,25 +57,37 @@ def wikify_ngrams(toks: DataFrame, surface_types: DataFrame, stop_words: DataFra
     ``surface_types`` has (lang, surface, coarse): the types of the title that a surface is linked to.
     """
     linked = surface_types.select("lang", F.col("surface").alias("_s"), "coarse")
+    grams = ngrams_upto(toks, longest, stop_words)
+    grams = grams.where(~X.is_number(F.col("surface")) & ~F.col("is_stop")).withColumn("_low", F.lower("surface"))
+    joined = grams.join(linked, (grams["lang"] == linked["lang"]) & (F.col("_low") == F.col("_s")), "left")
+    # all stages read the n-grams, so they are written once; a stage is written before the next one reads it
+    every = cut_lineage(joined.select("doc_id", "start", "end", "n", type_features(F.col("coarse"), "TOP").alias("own")))
     outer, out = None, None
     for n in range(longest, 0, -1):
-        grams = ngrams(toks, n, stop_words)
-        grams = grams.where(~X.is_number(F.col("surface")) & ~F.col("is_stop")).withColumn("_low", F.lower("surface"))
-        hits = grams.join(linked, (grams["lang"] == linked["lang"]) & (F.col("_low") == F.col("_s")), "left").select(
-            "doc_id", "start", "end", F.lit(n).alias("n"), type_features(F.col("coarse"), "TOP").alias("own")
-        )
+        hits = every.where(F.col("n") == n)
+        features = F.col("own")
         if outer is not None:
             taken = propagate_types(hits, outer).groupBy("doc_id", "start", "end").agg(F.array_sort(F.collect_set("feature")).alias("taken"))
             hits = hits.join(taken, ["doc_id", "start", "end"], "left")
             features = F.coalesce("taken", "own")
-        else:
-            features = F.col("own")
-        hits = hits.select("doc_id", "start", "end", "n", F.array_sort(features).alias("features")).where("size(features) > 0")
-        out = hits if out is None else out.unionByName(hits)
-        outer = hits
+        outer = cut_lineage(hits.select("doc_id", "start", "end", "n", F.array_sort(features).alias("features")).where("size(features) > 0"))
+        out = outer if out is None else out.unionByName(outer)
     return out
 
 
+def phrase_hits(toks: DataFrame, phrases: DataFrame, longest: int = 4) -> DataFrame:
+    """(doc_id, start, end, n, class): n-grams of a text that stand in a phrase list (lang, phrase, class)."""
+    known = phrases.select("lang", F.lower(F.trim("phrase")).alias("_p"), "class").distinct()
+    grams = ngrams_upto(toks, longest).withColumn("_p", F.lower("surface"))
+    return grams.join(known, ["lang", "_p"]).select("doc_id", "start", "end", "n", "class")
+
+
+def merged_features(a: Column, b: Column) -> Column:
+    """Two feature maps as one; where both have a name, the second's value stands."""
+    kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
+    return F.map_concat(kept, b)
+
+
 def majority_tag(features: Column) -> Column:
     """The label of the first main type among a token's features, else O: a tagger without a model."""
     label = F.lit("O")

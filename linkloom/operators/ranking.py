@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -194,6 +194,42 @@ def train_ranker(candidates: DataFrame, features: Sequence[str], key: str = "men
     return [float(v) for v in model.coefficients]
 
 
+def context_vectors(weighted: DataFrame, vectors: DataFrame, key: str = "mention_id") -> DataFrame:
+    """(key, mean): the TF-IDF-weighted mean of a context's word vectors; words without vector are skipped."""
+    return mean_vector(word_vectors(weighted, vectors), [key], "weight")
+
+
+def mention_vectors(mentions: DataFrame, vectors: DataFrame, key: str = "mention_id") -> DataFrame:
+    """(key, mean): the mean of the word vectors of a mention's surface."""
+    words = mentions.select(key, "lang", F.explode(F.filter(F.split(F.lower("surface"), r"\s+|·"), lambda t: t != "")).alias("word"))
+    return mean_vector(word_vectors(words, vectors), [key])
+
+
+def surface_features(rows: DataFrame) -> DataFrame:
+    """Optional features of a surface against a title: equal initials, one beginning with the other, equal number of words, place in the list."""
+    typed = X.title_as_surface(F.col("title"))
+    return rows.withColumns(
+        {
+            "SAME_INITIALS": (X.initials(F.col("surface")) == X.initials(typed)).cast("double"),
+            "PREFIX": (typed.startswith(F.lower("surface")) | F.lower("surface").startswith(typed)).cast("double"),
+            "SAME_LENGTH": (F.size(X.tokens_of(F.col("surface"))) == F.size(X.tokens_of(typed))).cast("double"),
+            "ISTOP": (F.col("rank") == 1).cast("double"),
+        }
+    )
+
+
+def save_weights(spark: SparkSession, names: Sequence[str], weights: Sequence[float], path: str) -> None:
+    """Feature names and weights of a ranker as one JSON table."""
+    rows = [(i, n, float(w)) for i, (n, w) in enumerate(zip(names, weights, strict=True))]
+    spark.createDataFrame(rows, "place int, feature string, weight double").coalesce(1).write.mode("errorifexists").json(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> tuple[list[str], list[float]]:
+    """What ``save_weights`` wrote."""
+    rows = spark.read.schema("place int, feature string, weight double").json(path).orderBy("place").collect()
+    return [r["feature"] for r in rows], [r["weight"] for r in rows]
+
+
 def read_model(lines: Sequence[str]) -> list[float]:
     """Weights of a ranking model text: the numbers behind the line ``w``."""
     at = next(i for i, line in enumerate(lines) if line.strip() == "w")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as X
+from linkloom.operators.numbering import numbered
 
 
 def last_by(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -95,3 +96,16 @@ def gazetteer(titles: DataFrame, classes: DataFrame, key: str = "mid") -> DataFr
     known = classes.select("class", F.lower(F.col("phrase")).alias("_phrase")).distinct()
     hits = mapping.withColumn("_phrase", F.lower(phrase(F.col("en_title")))).join(known, "_phrase")
     return hits.select("lang", "class", X.gazetteer_case(phrase(F.col("title"))).alias("phrase")).distinct()
+
+
+def shuffled(titles: DataFrame, seed: int = 0) -> DataFrame:
+    """(title, place): distinct titles in a random order that depends on the seed only."""
+    distinct = titles.where("title is not null").select("title").distinct()
+    hashed = distinct.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), "title")))
+    return numbered(hashed, ["_h", "title"], "place").select("title", "place")
+
+
+def titles_of_pages(links: DataFrame) -> DataFrame:
+    """(page_id, titles): a page's language links as a map from language; of several the greatest counts."""
+    one = links.groupBy("page_id", "lang").agg(F.max("title").alias("title"))
+    return one.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "title")))).alias("titles"))

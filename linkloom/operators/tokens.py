@@ -7,7 +7,7 @@ empty texts have no tokens. Windows are per document, so that a task holds one d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,26 +39,44 @@ def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     )
 
 
-def ngrams(toks: DataFrame, n: int, stop_words: DataFrame | None = None) -> DataFrame:
-    """(doc_id, lang, sent_id, tok_id, n, surface, start, end, is_stop) of n tokens in one sentence.
+def _with_stops(toks: DataFrame, stop_words: DataFrame | None) -> DataFrame:
+    cut = toks.withColumn("cut", X.cut_apostrophe(F.col("token")))
+    if stop_words is None:
+        return cut.withColumn("_stop", F.lit(False))
+    stops = stop_words.select("lang", F.col("word").alias("_w")).distinct().withColumn("_stop", F.lit(True))
+    on = (cut["lang"] == stops["lang"]) & (F.lower("cut") == F.col("_w"))
+    return cut.join(F.broadcast(stops), on, "left").select(cut["*"], F.coalesce("_stop", F.lit(False)).alias("_stop"))
+
+
+def ngrams_upto(toks: DataFrame, longest: int, stop_words: DataFrame | None = None) -> DataFrame:
+    """(doc_id, lang, sent_id, tok_id, n, surface, start, end, is_stop) of 1 to ``longest`` tokens in one sentence, in one pass.
 
     Tokens are cut at the apostrophe; an n-gram of stop words only is flagged.
     """
     order = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
-    cut = toks.withColumn("cut", X.cut_apostrophe(F.col("token")))
-    if stop_words is not None:
-        stops = stop_words.select("lang", F.col("word").alias("_w")).distinct().withColumn("_stop", F.lit(True))
-        cut = cut.join(F.broadcast(stops), (cut["lang"] == stops["lang"]) & (F.lower("cut") == F.col("_w")), "left").select(cut["*"], F.coalesce("_stop", F.lit(False)).alias("_stop"))
-    else:
-        cut = cut.withColumn("_stop", F.lit(False))
+    cut = _with_stops(toks, stop_words)
     ahead = lambda c, k: F.lead(c, k).over(order) if k else F.col(c)
-    built = cut.select(
-        "doc_id", "lang", "sent_id", "tok_id", F.lit(n).alias("n"), "start",
-        ahead("end", n - 1).alias("end"),
-        X.join_ngram(F.array(*[ahead("cut", k) for k in range(n)]), F.col("lang")).alias("surface"),
-        F.array_min(F.array(*[ahead("_stop", k).cast("int") for k in range(n)])).cast("boolean").alias("is_stop"),
+    placed = cut.select(
+        "doc_id", "lang", "sent_id", "tok_id", "start",
+        *[ahead("end", k).alias(f"_e{k}") for k in range(longest)],
+        *[ahead("cut", k).alias(f"_c{k}") for k in range(longest)],
+        *[ahead("_stop", k).alias(f"_s{k}") for k in range(longest)],
     )
-    return built.where("end is not null")
+
+    def gram(n: int) -> Column:
+        stop = F.col("_s0")
+        for k in range(1, n):
+            stop = stop & F.col(f"_s{k}")
+        words = F.array(*[F.col(f"_c{k}") for k in range(n)])
+        return F.struct(F.lit(n).alias("n"), F.col(f"_e{n - 1}").alias("end"), X.join_ngram(words, F.col("lang")).alias("surface"), stop.alias("is_stop"))
+
+    each = placed.select("doc_id", "lang", "sent_id", "tok_id", "start", F.explode(F.array(*[gram(n) for n in range(1, longest + 1)])).alias("g"))
+    return each.where("g.end is not null").select("doc_id", "lang", "sent_id", "tok_id", "g.n", "g.surface", "start", "g.end", "g.is_stop")
+
+
+def ngrams(toks: DataFrame, n: int, stop_words: DataFrame | None = None) -> DataFrame:
+    """The n-grams of exactly n tokens."""
+    return ngrams_upto(toks, n, stop_words).where(F.col("n") == n)
 
 
 def stop_words(docs: DataFrame, punctuation: DataFrame | None = None, k: int = 50) -> DataFrame:

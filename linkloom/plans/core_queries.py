@@ -243,6 +243,20 @@ def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
     return candidates.ngram_candidates(grams, _stat(spark, d), words)
 
 
+@_query(r"""tg as (select lang, title, unnest(list_distinct(case when length(x) >= 4 then list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4)) else [x] end)) as gram
+        from (select distinct lang, title, lower(trim(replace(title, '_', ' '), ' ')) as x from stat)),
+    sg as (select lang, surface, unnest(list_distinct(case when length(surface) >= 4 then list_transform(range(1, length(surface) - 2), lambda i: substr(surface, i, 4)) else [surface] end)) as gram
+        from wanted where surface != ''),
+    n_all as (select lang, surface, count(*) as n from sg group by all),
+    freq as (select lang, gram, count(*) as df from tg group by all),
+    asked as (select lang, surface, gram from (select lang, surface, gram, n, row_number() over (partition by lang, surface order by df, gram) as p from sg join freq using (lang, gram) join n_all using (lang, surface)) where p <= ceil(n / 2)),
+    pair as (select distinct lang, surface, title from asked join tg using (lang, gram)),
+    shared as (select p.lang, p.surface, p.title, count(*)::int as shared from pair p join sg on sg.lang = p.lang and sg.surface = p.surface join tg on tg.lang = p.lang and tg.title = p.title and tg.gram = sg.gram group by all)
+    select lang, surface, title, shared, rank from (select *, row_number() over (partition by lang, surface order by shared desc, title)::int as rank from shared) where rank <= 10""")
+def candidates_by_grams(spark: SparkSession, d: str) -> DataFrame:
+    return candidates.by_character_grams(_wanted(_mentions(spark, d)), _stat(spark, d))
+
+
 # -- titles and knowledge base -----------------------------------------------------------------------------------
 
 
@@ -431,6 +445,47 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("mean")), 6).alias("cosine"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
+_WORD_VEC = "(length(word) * 131 + ascii(word) * 31) % num.n"
+
+
+@_query(f"""ctx as (select t.mention_id, k.lang, lower(k.token) as word from span_tok t join tok k on k.doc_id = t.doc_id
+        and ((k.tok_id between t.first_tok - 5 and t.first_tok - 1) or (k.tok_id between t.last_tok + 1 and t.last_tok + 5))),
+    counted as (select mention_id, lang, word, count(*) as cnt from ctx group by all),
+    w as (select mention_id, word, cnt / sum(cnt) over (partition by mention_id) * coalesce(ln(sum(df) over (partition by mention_id) / df), 0) as weight from counted left join df using (lang, word)),
+    v as (select w.mention_id, weight, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as p from w cross join num join embeddings on vec_id = {_WORD_VEC} where length(word) % 7 != 0),
+    mean as (select mention_id, p, case when sum(weight) = 0 then 0 else sum(weight * x) / sum(weight) end as a from v group by all),
+    own as (select mention_id, unnest(embedding)::double as b, generate_subscripts(embedding, 1) as p from m cross join num join embeddings on vec_id = mention_id % num.n)
+    select mention_id, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0), 5) as "W_CON30" from mean join own using (mention_id, p) group by mention_id""")
+def context_feature(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of the weighted context vector and the title's vector."""
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    n = e.count()
+    m = _mentions(spark, d)
+    context = tokens.context_words(m.select("mention_id", "doc_id", "start", "end"), tokens.tokens(docs), 5)
+    weighted = tokens.context_tfidf(context, tokens.document_frequency(docs))
+    vec_id = (F.length("word") * 131 + F.ascii("word") * 31) % n
+    keyed = weighted.where(F.length("word") % 7 != 0).withColumn("vec_id", vec_id)
+    vectors = e.select("vec_id", F.col("embedding").alias("vec"))
+    means = ranking.mean_vector(keyed.join(vectors, "vec_id"), ["mention_id"], "weight")
+    titled = means.withColumn("vec_id", F.col("mention_id") % n).join(vectors, "vec_id")
+    return titled.select("mention_id", F.round(V.cosine(F.col("mean"), F.col("vec")), 5).alias("W_CON30"))
+
+
+@_query(f"""word as (select mention_id, unnest(list_filter(regexp_split_to_array(lower(surface), '\\s+|·'), lambda t: t != '')) as word from m where surface is not null),
+    v as (select mention_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as p from word cross join num join embeddings on vec_id = {_WORD_VEC}),
+    mean as (select mention_id, p, avg(x) as a from v group by all)
+    select mention_id, round(sqrt(sum(a * a)), 5) as norm from mean group by mention_id""")
+def mention_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Length of the mean word vector of each surface."""
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    m = _mentions(spark, d).where("surface is not null").withColumn("lang", F.lit("x"))
+    words = m.select(F.explode(F.filter(F.split(F.lower("surface"), r"\s+|·"), lambda t: t != "")).alias("word")).distinct()
+    keyed = words.withColumn("vec_id", (F.length("word") * 131 + F.ascii("word") * 31) % n)
+    vectors = keyed.join(e, "vec_id").select(F.lit("x").alias("lang"), F.col("word").alias("key"), F.col("embedding").alias("vec"))
+    return ranking.mention_vectors(m, vectors).select("mention_id", F.round(V.norm(F.col("mean")), 5).alias("norm"))
+
+
 @_query("""vec as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
     men as (select distinct m.doc_id, m.mention_id % num.n as vec_id from m cross join num where m.mid != 'NIL'),
     pair as (select a.doc_id, a.vec_id, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) as c
@@ -527,10 +582,7 @@ def train_ranker(spark: SparkSession, d: str) -> DataFrame:
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     toks, stops = tokens.tokens(docs), tokens.top_words(docs).select("lang", "word")
-    grams = None
-    for n in (1, 2, 3):
-        own = tokens.ngrams(toks, n, stops)
-        grams = own if grams is None else grams.unionByName(own)
+    grams = tokens.ngrams_upto(toks, 3, stops)
     return grams.groupBy("doc_id", "n").agg(
         F.count("*").alias("n_grams"), F.count_distinct("surface").alias("n_distinct"), F.sum(F.col("is_stop").cast("int")).alias("n_stop"), F.sum(X.is_number(F.col("surface")).cast("int")).alias("n_numbers")
     )
@@ -552,6 +604,17 @@ def ngram_propagation(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("features", F.array_join("features", "|"))
 
 
+@_query(r"""phrase as (select distinct lang, lower(trim(replace(title, '_', ' '), ' ')) as g from kb_titles where lang is not null and title is not null),
+    cut as (select *, split_part(token, '''', 1) as cut from tok),
+    grams as (select doc_id, lang, 1 as n, s, e, cut as g from cut
+        union all select doc_id, lang, 2, s, lead(e) over o, case when lang = 'zh' then cut || lead(cut) over o else cut || ' ' || lead(cut) over o end from cut window o as (partition by doc_id, sent_id order by tok_id))
+    select doc_id, s as start, e as "end", n::int as n from grams join phrase on phrase.lang = grams.lang and phrase.g = lower(grams.g) where e is not null""")
+def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
+    """One- and two-word titles of the knowledge base in texts."""
+    phrases = table(spark, d, "kb_titles").where("lang is not null and title is not null").select("lang", F.replace("title", F.lit("_"), F.lit(" ")).alias("phrase"), F.lit("kb").alias("class"))
+    return ner.phrase_hits(_toks(spark, d), phrases, 2).drop("class")
+
+
 @_query("""sp as (select mention_id, doc_id, s, e, mention_type from m where s is not null and e > s)
     select distinct a.doc_id, a.s as start, a.e as "end", case when a.s > b.s then 'I-' else 'B-' end || 'TOPFBTYPETOKEN-' || case b.mention_type when 'PER' then 'person' when 'ORG' then 'organization' else 'location' end as feature
     from sp a join sp b on a.doc_id = b.doc_id and a.s >= b.s and a.e <= b.e where b.mention_type in ('PER', 'ORG', 'LOC')""")
@@ -835,6 +898,12 @@ def string_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@_query(r"""t as (select distinct title from kb_titles where title is not null)
+    select title, row_number() over (order by md5('0|' || title), title) as place from t""")
+def shuffled_titles(spark: SparkSession, d: str) -> DataFrame:
+    return titles.shuffled(table(spark, d, "kb_titles")).withColumn("place", F.col("place").cast("long"))
+
+
 @_query()
 def edit_distances(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d).select("surface", "title").distinct()

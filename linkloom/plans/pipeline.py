@@ -70,7 +70,7 @@ def annotate(mentions: DataFrame, index: Index, target_kb: str = "freebase", wei
 def tag_mentions(toks: DataFrame, surface_types: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
     """(doc_id, sent_id, start, end, mention_type): n-grams linked, labelled by their types and decoded to spans."""
     toks = cut_lineage(toks)
-    found = cut_lineage(ner.wikify_ngrams(toks, surface_types, stop_words))
+    found = ner.wikify_ngrams(toks, surface_types, stop_words)
     spans = found.withColumn("mention_type", ner.majority_tag(F.col("features"))).where("mention_type != 'O'")
     keyed = spans.select(F.xxhash64("doc_id", "start", "end").alias("mention_id"), "doc_id", "start", "end", "mention_type")
     kept = intervals.resolve_nested(keyed).select("mention_id")

@@ -325,3 +325,48 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == ["m.1"]
+
+
+def test_config():
+    from linkloom.config import parse_config
+
+    c = parse_config("# models\ntarget_kb = enwiki\ndefault_ranking_model = d.model\nes_ranking_model = es.model\nuse_search = true\n")
+    assert (c.target_kb, c.use_search, c.ranking_model("es"), c.ranking_model("zh"), c.ranking_model("xx")) == ("enwiki", True, "es.model", "d.model", "d.model")
+    for bad in ("target_kb = other", "nonsense = 1", "target_kb"):
+        with pytest.raises(ValueError):
+            parse_config(bad)
+
+
+def test_feature_maps_and_weights(spark, tmp_path):
+    df = spark.createDataFrame([({"a": 1.0, "b": 2.0}, {"b": 3.0})], "x map<string,double>, y map<string,double>")
+    assert df.select(ner.merged_features(F.col("x"), F.col("y")).alias("m")).first()["m"] == {"a": 1.0, "b": 3.0}
+    ranking.save_weights(spark, ["f", "g"], [0.5, -1.0], str(tmp_path / "w"))
+    assert ranking.load_weights(spark, str(tmp_path / "w")) == (["f", "g"], [0.5, -1.0])
+    assert ranking.read_model(["solver x", "w", "0.5", "-1"]) == [0.5, -1.0]
+
+
+def test_optional_surface_features(spark):
+    df = spark.createDataFrame([("new york", "new_york_city", 1), ("n y", "new_york", 2)], "surface string, title string, rank int")
+    got = [(r["SAME_INITIALS"], r["PREFIX"], r["SAME_LENGTH"], r["ISTOP"]) for r in ranking.surface_features(df).orderBy("rank").collect()]
+    assert got == [(0.0, 1.0, 0.0, 1.0), (1.0, 0.0, 1.0, 0.0)]
+
+
+def test_other_readers(spark):
+    ann = spark.createDataFrame([("d", "tok\t0\t3\nx\t4\t5\n#title_a\t0\t5\n#b\t1\t5\n# \t0\t3")], "doc_name string, text string")
+    assert [tuple(r) for r in documents.annotated_article(ann).collect()] == [("d", "title_a", 0, 5)]
+    con = spark.createDataFrame([("d", 0, "B-PER\t0\t2\tx\tx\tJo"), ("d", 1, ""), ("d", 2, "O\t3\t4\tx\tx\ta")], "doc_name string, seq int, value string")
+    assert sorted((r["sent_id"], r["token"]) for r in documents.conll_tokens(con).collect()) == [(0, "Jo"), (1, "a")]
+    brown = spark.createDataFrame([("0110\tdog\t5",)], "value string")
+    assert dumps.brown_clusters(brown, (2, 4)).first()["prefixes"] == ["01", "0110"]
+    triples = spark.createDataFrame([("m.1\ten\tRio",), ("m.1\tx_id\tRio",), ("m.1\ten",)], "value string")
+    assert [tuple(r) for r in dumps.kb_triples(triples).collect()] == [("m.1", "en", "Rio")]
+    links = spark.createDataFrame([(1, "en", "a"), (1, "es", "b"), (1, "en", "c")], "page_id long, lang string, title string")
+    assert titles.titles_of_pages(links).first()["titles"] == {"en": "c", "es": "b"}
+
+
+def test_article_dump(spark, tmp_path):
+    page = "<page><title>{t}</title><ns>{n}</ns><id>{i}</id>{r}<revision><text>{x}</text></revision></page>"
+    pages = [page.format(t="A b", n=0, i=1, r="", x="see [[New York|the City]] and [[File:x.png]] [[Rio]]"), page.format(t="R", n=0, i=2, r='<redirect title="A b"/>', x=""), page.format(t="T", n=1, i=3, r="", x="")]
+    (tmp_path / "d.xml").write_text("<mediawiki>" + "".join(pages) + "</mediawiki>")
+    got = {(r["surface"], r["title"]) for r in dumps.wiki_anchors(dumps.article_pages(spark, str(tmp_path / "d.xml"))).collect()}
+    assert got == {("the city", "new_york"), ("rio", "rio")}
