@@ -6,6 +6,8 @@ offsets overlap nothing: they are kept by anti-joins and dropped elsewhere.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def propagate_types(inner: DataFrame, outer: DataFrame, keep: tuple[str, ...] =
     right = outer.select("doc_id", F.col("start").alias("os"), F.col("end").alias("oe"), F.explode("features").alias("name"))
     kinds = right.select("*", F.explode(F.array(*[F.lit(k) for k in keep])).alias("kind")).where("contains(name, concat('TOPFBTYPETOKEN-', kind))")
     kinds = kinds.withColumn("bin", F.explode(_bins(F.col("os"), F.col("oe"))))
-    left = inner.select("doc_id", "start", "end").distinct().withColumn("bin", (F.col("start") / BIN).cast("long"))
+    left = inner.select("doc_id", "start", "end").withColumn("bin", (F.col("start") / BIN).cast("long"))
     hits = left.join(kinds, ["doc_id", "bin"]).where("start >= os and end <= oe")
     prefix = F.when(F.col("start") > F.col("os"), F.lit("I-")).otherwise(F.lit("B-"))
     return hits.select("doc_id", "start", "end", F.concat(prefix, F.lit("TOPFBTYPETOKEN-"), "kind").alias("feature")).distinct()
@@ -102,10 +104,24 @@ def kept_spans(spans: list[tuple[int, int, int]]) -> list[int]:
     return [i for i in range(len(spans)) if i not in gone]
 
 
-def _resolve(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["start", "end", "mention_id"], ignore_index=True)
-    rows = list(zip(block["start"], block["end"], block["end"] - block["start"], strict=True))
-    return block.iloc[kept_spans(rows)][["mention_id", "doc_id", "start", "end"]]
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pass over rows that come chain by chain, in order; a chain may go on in the next batch."""
+
+    def kept(spans: list[tuple]) -> list[tuple]:
+        return [spans[i] for i in kept_spans([(r[2], r[3], r[3] - r[2]) for r in spans])]
+
+    columns = ["mention_id", "doc_id", "start", "end"]
+    chain: list[tuple] = []
+    last = None
+    for batch in batches:
+        out: list[tuple] = []
+        for row in batch[[*columns, "chain"]].itertuples(index=False, name=None):
+            if (row[1], row[4]) != last:
+                out += kept(chain)
+                chain, last = [], (row[1], row[4])
+            chain.append(row[:4])
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame(kept(chain), columns=columns)
 
 
 def resolve_nested(spans: DataFrame) -> DataFrame:
@@ -121,5 +137,12 @@ def resolve_nested(spans: DataFrame) -> DataFrame:
     size = F.count("*").over(Window.partitionBy("doc_id", "chain"))
     sized = chained.withColumn("n", size)
     alone = sized.where("n = 1").select("mention_id", "doc_id", "start", "end")
-    several = sized.where("n > 1").groupBy("doc_id", "chain").applyInPandas(_resolve, alone.schema)
+    # chains are many and short: they are walked in order instead of making a group of each
+    several = (
+        sized.where("n > 1")
+        .repartition("doc_id", "chain")
+        .sortWithinPartitions("doc_id", "chain", "start", "end", "mention_id")
+        .select("mention_id", "doc_id", "start", "end", "chain")
+        .mapInPandas(_resolve, alone.schema)
+    )
     return alone.unionByName(several)

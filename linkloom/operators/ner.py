@@ -65,12 +65,12 @@ def wikify_ngrams(toks: DataFrame, surface_types: DataFrame, stop_words: DataFra
     outer, out = None, None
     for n in range(longest, 0, -1):
         hits = every.where(F.col("n") == n)
-        features = F.col("own")
+        own = hits.where("size(own) > 0").select("doc_id", "start", "end", F.array_sort("own").alias("features"))
         if outer is not None:
-            taken = propagate_types(hits, outer).groupBy("doc_id", "start", "end").agg(F.array_sort(F.collect_set("feature")).alias("taken"))
-            hits = hits.join(taken, ["doc_id", "start", "end"], "left")
-            features = F.coalesce("taken", "own")
-        outer = cut_lineage(hits.select("doc_id", "start", "end", "n", F.array_sort(features).alias("features")).where("size(features) > 0"))
+            taken = propagate_types(hits, outer).groupBy("doc_id", "start", "end").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+            taken = cut_lineage(taken)
+            own = taken.unionByName(own.join(taken, ["doc_id", "start", "end"], "left_anti"))
+        outer = cut_lineage(own.select("doc_id", "start", "end", F.lit(n).alias("n"), "features"))
         out = outer if out is None else out.unionByName(outer)
     return out
 
