@@ -154,7 +154,20 @@ def _toks(spark: SparkSession, d: str) -> DataFrame:
 # -- rows that fail to parse -------------------------------------------------------------------------------------
 
 
-@_query()
+_CELL = r'"(?:[^"]|"")*"|[^"\t][^\t]*|'
+_BAD = r"[\p{Cc}\x{FFFD}]"
+
+
+@_query(rf"""l as (select distinct line_id, line, regexp_replace(line, '\r$', '') as x from raw_lines),
+    p as (select line_id, coalesce(regexp_full_match(x, '(?:{_CELL})(?:\t(?:{_CELL}))*'), true) as formed, coalesce(regexp_extract_all(chr(9) || x, '\t({_CELL})', 1), []) as c from l),
+    v as (select line_id, formed, c, list_transform(c, lambda q: case when starts_with(q, '"') then replace(q[2:length(q) - 1], '""', '"') else q end) as f,
+        list_bool_or(list_transform(c, lambda q: regexp_matches(case when starts_with(q, '"') then replace(q, chr(9), '') else q end, '{_BAD}'))) as control from p),
+    s as (select *, ltrim(split_part(split_part(f[4], ':', 2), '-', 1), '0') as a, ltrim(split_part(split_part(f[4], ':', 2), '-', 2), '0') as b from v),
+    r as (select line_id, case when not formed then 'quoting' when len(c) != 7 then 'columns'
+        when control or f[1] != 'gold' or not regexp_full_match(f[2], 'EDL_[0-9]{{10}}') or not regexp_matches(f[3], '[^\s\p{{Z}}]')
+            or not regexp_full_match(f[4], '(?:ENG|SPA|CMN)_(?:NW|DF)_[0-9]{{10}}:[0-9]+-[0-9]+') or not (length(a) < length(b) or (length(a) = length(b) and a <= b))
+            or not regexp_full_match(f[5], '(?:m\.[a-z0-9]+|NIL[0-9]{{5}})') or f[6] not in ('PER', 'ORG', 'GPE', 'LOC', 'FAC') or f[7] not in ('NAM', 'NOM') then 'value' end as reason from s)
+    select line_id, reason from r where reason is not null""")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rejects.violations(rejects.parse_lines(table(spark, d, "raw_lines"))).select("line_id", "reason")
 
