@@ -11,6 +11,9 @@ KB_LANGUAGE = {"zh": "zh-cn"}
 TRADITIONAL = "漢羅亞馬諾盧達溫蓋魯裡紐萬凱納圖謝歐貝揚邁倫費傑烏蘭門喬蘇爾薩萊維寧國學會時東車長書見語說話請貴買賣電開關間問題頭顏龍鳥魚"
 SIMPLIFIED = "汉罗亚马诺卢达温盖鲁里纽万凯纳图谢欧贝扬迈伦费杰乌兰门乔苏尔萨莱维宁国学会时东车长书见语说话请贵买卖电开关间问题头颜龙鸟鱼"
 
+# Parts of document names that are extensions.
+EXTENSIONS = ("txt", "cmp", "mp", "xml", "mpdf")
+
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 
@@ -125,7 +128,7 @@ def or_nil(c: Column) -> Column:
 
 def document_stem(c: Column) -> Column:
     """A file or document name without its extensions."""
-    keep = F.filter(F.split(c, r"\."), lambda p: ~p.isin("xml", "cmp", "txt", "nw", "df", "mpdf", "rich_ere"))
+    keep = F.filter(F.split(c, r"\."), lambda p: ~p.isin(*EXTENSIONS))
     return F.array_join(keep, ".")
 
 

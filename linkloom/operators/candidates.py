@@ -26,6 +26,9 @@ ONLY_TITLE = (
     ("en", "european", "europe"),
     ("en", "german", "germany"),
     ("es", "washington", "washington_d._c."),
+    ("zh", "台湾", "中华民国"),
+    ("zh", "中国", "中国"),
+    ("zh", "共产党", "中国共产党"),
 )
 
 

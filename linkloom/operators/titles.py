@@ -13,6 +13,14 @@ from linkloom.functions import text as X
 from linkloom.operators.numbering import numbered
 
 
+# The languages of hashtags in their order.
+HASHTAG_LANGUAGES = (
+    "en", "es", "zh", "ja", "ko", "de", "pt", "nl", "tr", "tl", "yo", "bn", "ta", "sv", "fr", "ru", "it", "pl", "vi", "uk", "ca", "fa",
+    "no", "ar", "sh", "fi", "hu", "id", "ro", "cs", "sr", "ms", "eu", "eo", "bg", "da", "kk", "sk", "hy", "he", "lt", "hr", "ce", "sl",
+    "et", "gl", "uz", "la", "el", "be", "vo", "hi", "th", "az", "ka", "ur", "mk", "oc", "mg", "cy", "lv", "bs", "tt", "tg", "te",
+)
+
+
 def last_by(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """One ``value`` for each key: the one with the greatest ``order``."""
     return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(F.struct(order, value)).alias("_last")).select(*keys, F.col(f"_last.{value}").alias(value))
@@ -73,9 +81,11 @@ def resolve_redirects(rows: DataFrame, targets: DataFrame, column: str = "title"
 
 
 def hashtags(mapping: DataFrame) -> DataFrame:
-    """(src_title, hashtags): distinct hashtags of a title's translations, in the order of languages."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("lang", X.hashtag(F.col("tgt_title")).alias("tag")))), lambda e: e["tag"])
-    return mapping.groupBy("src_title").agg(F.array_distinct(F.filter(ordered, lambda t: t != "")).alias("hashtags"))
+    """(src_title, hashtags): distinct hashtags of a title's translations, in the order of languages; other languages are left out."""
+    place = F.array_position(F.array(*[F.lit(g) for g in HASHTAG_LANGUAGES]), F.col("lang"))
+    known = mapping.withColumn("place", place).where("place > 0")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", X.hashtag(F.col("tgt_title")).alias("tag")))), lambda e: e["tag"])
+    return known.groupBy("src_title").agg(F.array_distinct(F.filter(ordered, lambda t: t != "")).alias("hashtags"))
 
 
 def translate_title(queries: DataFrame, mapping: DataFrame, targets: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -86,7 +96,9 @@ def translate_title(queries: DataFrame, mapping: DataFrame, targets: DataFrame,
     )
     found = second.select("lang", F.col("query").alias("title"), F.coalesce("en_1", "en_title").alias("en_title"))
     tags = hashtags(mapped).withColumnRenamed("src_title", "en_title")
-    return found.join(tags, "en_title", "left").select("lang", "title", "en_title", "hashtags")
+    own = F.when(F.col("en_title").isNotNull(), F.array(X.hashtag(F.col("en_title"))))
+    every = F.array_distinct(F.concat(own, F.coalesce("hashtags", F.array().cast("array<string>"))))
+    return found.join(tags, "en_title", "left").select("lang", "title", "en_title", every.alias("hashtags"))
 
 
 def gazetteer(titles: DataFrame, classes: DataFrame, key: str = "mid") -> DataFrame:

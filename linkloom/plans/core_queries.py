@@ -240,7 +240,8 @@ def candidates_fallback(spark: SparkSession, d: str) -> DataFrame:
       and not (lang = 'es' and regexp_matches(title, '^idioma_|^pueblo_|\(desambiguación\)$'))
       and (not (lang = 'en' and surface = 'washington') or title = 'washington,_d.c.') and (not (lang = 'en' and surface = 'new york') or title = 'new_york_city')
       and (not (lang = 'en' and surface = 'european') or title = 'europe') and (not (lang = 'en' and surface = 'german') or title = 'germany')
-      and (not (lang = 'es' and surface = 'washington') or title = 'washington_d._c.')""")
+      and (not (lang = 'es' and surface = 'washington') or title = 'washington_d._c.') and (not (lang = 'zh' and surface = '台湾') or title = '中华民国')
+      and (not (lang = 'zh' and surface = '中国') or title = '中国') and (not (lang = 'zh' and surface = '共产党') or title = '中国共产党')""")
 def candidates_filtered(spark: SparkSession, d: str) -> DataFrame:
     kept = candidates.apply_overrides(candidates.drop_unwanted(_cands(spark, d)))
     return kept.select("lang", "surface", "rank", "title", "p_title_given_surface")
@@ -315,7 +316,7 @@ def title_translate_back(spark: SparkSession, d: str) -> DataFrame:
     return titles.translate_from_english(rows, _title_map(spark, d), "es").select("mention_id", "title", "foreign_title")
 
 
-@_query(r"""select s.src_title, array_to_string(list_transform(list_filter(list(struct_pack(lang := s.lang, tag := s.tag) order by s.lang, s.tag), lambda x: x.tag != ''), lambda x: x.tag), '|') as hashtags from (
+@_query(r"""select s.src_title, array_to_string(list_transform(list_filter(list(struct_pack(lang := s.lang, tag := s.tag) order by case s.lang when 'es' then 1 when 'zh' then 2 else 3 end, s.tag), lambda x: x.tag != ''), lambda x: x.tag), '|') as hashtags from (
         select src_title, lang, regexp_replace(split_part(min(tgt_title), '(', 1), '[\s_-]', '', 'g') as tag from (
             select s.src_title, t.lang, t.tgt_title
             from (select distinct mid, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as src_title from kb_titles where lang = 'en') s

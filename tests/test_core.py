@@ -370,3 +370,16 @@ def test_article_dump(spark, tmp_path):
     (tmp_path / "d.xml").write_text("<mediawiki>" + "".join(pages) + "</mediawiki>")
     got = {(r["surface"], r["title"]) for r in dumps.wiki_anchors(dumps.article_pages(spark, str(tmp_path / "d.xml"))).collect()}
     assert got == {("the city", "new_york"), ("rio", "rio")}
+
+
+def test_title_translator(spark):
+    mapping = spark.createDataFrame([("es", "rio", "river")], "lang string, title string, en_title string")
+    every = spark.createDataFrame([("river", "ru", "reka"), ("river", "zh", "he-liu_(x)"), ("river", "es", "rio"), ("river", "xx", "no")], "src_title string, lang string, tgt_title string")
+    targets = spark.createDataFrame([("es", "rios", "rio")], "lang string, title string, target string")
+    queries = spark.createDataFrame([("es", "rio"), ("es", "rios"), ("es", "nada")], "lang string, title string")
+    got = {r["title"]: r["hashtags"] for r in titles.translate_title(queries, mapping, targets, every).collect()}
+    assert got == {"rio": ["river", "rio", "heliu", "reka"], "rios": ["river", "rio", "heliu", "reka"], "nada": None}
+
+
+def test_document_stem(spark):
+    assert value(spark, X.document_stem(F.col("a")), a="ENG_NW_001.v2.cmp.txt") == "ENG_NW_001.v2"
