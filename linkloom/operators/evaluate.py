@@ -33,9 +33,10 @@ def _scores(level: str, hit: Column, n_pred: Column, n_gold: Column) -> Column:
 
 def precision_recall(matched: DataFrame, n_gold: DataFrame) -> DataFrame:
     """(level, correct, precision, recall, f1) for spans, typed spans and linked spans; ``n_gold`` is one row."""
-    totals = matched.agg(
-        F.count("*").alias("n"), *[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in ("span_ok", "type_ok", "link_ok")]
-    ).crossJoin(n_gold.select(F.col("n_gold")))  # one row by one row
+    flags = ("span_ok", "type_ok", "link_ok")
+    counts = matched.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in flags], F.lit(0).cast("long").alias("n_gold"))
+    golds = n_gold.select(*[F.lit(0).cast("long").alias(c) for c in ("n", *flags)], F.col("n_gold").cast("long").alias("n_gold"))
+    totals = counts.unionByName(golds).agg(*[F.sum(c).alias(c) for c in ("n", *flags, "n_gold")])
     levels = [("span", "span_ok"), ("type", "type_ok"), ("link", "link_ok")]
     rows = F.array(*[_scores(name, F.col(c), F.col("n"), F.col("n_gold")) for name, c in levels])
     return totals.select(F.explode(rows).alias("s")).select("s.*")

@@ -133,8 +133,8 @@ def train_tagger(labelled: DataFrame, n_features: int = 1 << 16, max_rows: int =
 def copy_features(tokens_a: DataFrame, tokens_b: DataFrame) -> DataFrame:
     """Features of one tokenisation copied to another by position; documents with another number of tokens raise an error."""
     a, b = (t.groupBy("doc_id").agg(F.count("*").alias(n)) for t, n in ((tokens_a, "n_a"), (tokens_b, "n_b")))
-    differing = a.join(b, "doc_id", "full").where("not n_a <=> n_b")
+    differing = a.join(b, "doc_id", "full").where("not n_a <=> n_b").select("doc_id", F.lit(True).alias("bad"))
     joined = tokens_a.join(tokens_b.select("doc_id", "tok_id", F.col("features").alias("copied")), ["doc_id", "tok_id"], "left")
-    guard = differing.agg(F.count("*").alias("bad"))
-    checked = joined.crossJoin(F.broadcast(guard))  # one row
-    return checked.withColumn("copied", F.when(F.col("bad") > 0, F.raise_error(F.lit("token counts differ")).cast("array<string>")).otherwise(F.col("copied"))).drop("bad")
+    message = F.concat(F.lit("token counts differ in document "), F.col("doc_id").cast("string"))
+    checked = joined.join(differing, "doc_id", "left")
+    return checked.withColumn("copied", F.when(F.col("bad"), F.raise_error(message).cast("array<string>")).otherwise(F.col("copied"))).drop("bad")

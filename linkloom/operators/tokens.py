@@ -7,6 +7,8 @@ empty texts have no tokens. Windows are per document, so that a task holds one d
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,12 +81,12 @@ def ngrams(toks: DataFrame, n: int, stop_words: DataFrame | None = None) -> Data
     return ngrams_upto(toks, n, stop_words).where(F.col("n") == n)
 
 
-def stop_words(docs: DataFrame, punctuation: DataFrame | None = None, k: int = 50) -> DataFrame:
+def stop_words(docs: DataFrame, punctuation: Sequence[str] = (), k: int = 50) -> DataFrame:
     """(lang, word): the k most frequent words of each language, with the punctuation list of all."""
     words = top_words(docs, k).select("lang", "word")
-    if punctuation is None:
+    if not punctuation:
         return words
-    marks = words.select("lang").distinct().crossJoin(F.broadcast(punctuation.select(F.lower(F.trim("word")).alias("word"))))
+    marks = words.select("lang").distinct().select("lang", F.explode(F.array(*[F.lower(F.trim(F.lit(p))) for p in punctuation])).alias("word"))
     return words.unionByName(marks).distinct()
 
 

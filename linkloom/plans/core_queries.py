@@ -416,8 +416,7 @@ _PUNCTUATION = (".", ",", "!", "?", ";", ":", "(", ")", '"', "'", "-")
 @_query("""select lang, word from top_word union
     select lang, mark from (select distinct lang from top_word), (values ('.'), (','), ('!'), ('?'), (';'), (':'), ('('), (')'), ('"'), (''''), ('-')) v(mark)""")
 def stop_words(spark: SparkSession, d: str) -> DataFrame:
-    marks = spark.createDataFrame([(p,) for p in _PUNCTUATION], "word string")
-    return tokens.stop_words(table(spark, d, "documents"), marks)
+    return tokens.stop_words(table(spark, d, "documents"), _PUNCTUATION)
 
 
 @_query("""ctx as (select t.mention_id, k.lang, lower(k.token) as word from span_tok t join tok k on k.doc_id = t.doc_id

@@ -383,3 +383,11 @@ def test_title_translator(spark):
 
 def test_document_stem(spark):
     assert value(spark, X.document_stem(F.col("a")), a="ENG_NW_001.v2.cmp.txt") == "ENG_NW_001.v2"
+
+
+def test_copied_features(spark):
+    a = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, tok_id int")
+    b = spark.createDataFrame([(1, 0, ["x"]), (1, 1, ["y"])], "doc_id long, tok_id int, features array<string>")
+    assert [r["copied"] for r in ner.copy_features(a, b).orderBy("tok_id").collect()] == [["x"], ["y"]]
+    with pytest.raises(Exception, match="token counts differ"):
+        ner.copy_features(a, b.where("tok_id = 0")).collect()
