@@ -7,13 +7,18 @@ no candidates; a mention without candidates gets the title ``NIL``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import text as X
+from linkloom.session import cut_lineage
 
 TOP_K, WORD_TOP_K = 10, 6
+# How many titles and surfaces a task counts shared grams of at a time.
+BLOCK_TITLES, PART_SURFACES = 50_000, 5_000
 # Parts of titles that aren't wanted, by language.
 UNWANTED = {
     "en": r"_language|_people|_cuisine|_dollar|_studies|_americans|disambiguation\)",
@@ -54,26 +59,60 @@ def by_word(surfaces: DataFrame, words: DataFrame, k: int = WORD_TOP_K) -> DataF
     return top_k(hits, ["lang", "surface"], "p_title_given_word", k, "title", "word").select("lang", "surface", "word", "title", "p_title_given_word", "rank")
 
 
+def character_grams(text: str, size: int) -> set[str]:
+    """The distinct character grams of a text; a text shorter than a gram is its own gram."""
+    return {text[i : i + size] for i in range(len(text) - size + 1)} if len(text) >= size else {text}
+
+
+def _grams_of_block(size: int, k: int):
+    """The k best titles of a block for each surface of a part, by shared grams, then title."""
+
+    def best(surfaces: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        titles = titles.sort_values("title")
+        names, n = titles["title"].tolist(), len(titles)
+        postings: dict[str, list[int]] = {}
+        for i, text in enumerate(titles["text"]):
+            for g in character_grams(text, size):
+                postings.setdefault(g, []).append(i)
+        index = {g: np.array(p, dtype=np.int64) for g, p in postings.items()}
+        for lang, surface in zip(surfaces["lang"], surfaces["surface"], strict=True):
+            hits = [index[g] for g in character_grams(surface, size) if g in index]
+            if not hits:
+                continue
+            shared = np.bincount(np.concatenate(hits), minlength=n)
+            found = np.flatnonzero(shared)
+            # titles are in order, so that of equal counts the smaller place is the better
+            order = shared[found] * n + (n - 1 - found)
+            for j in found if len(found) <= k else found[np.argpartition(-order, k)[:k]]:
+                for column, x in zip(out, (lang, surface, names[j], int(shared[j])), strict=True):
+                    column.append(x)
+        return pd.DataFrame(dict(zip(("lang", "surface", "title", "shared"), out, strict=True)))
+
+    return best
+
+
 def by_character_grams(surfaces: DataFrame, statistics: DataFrame, size: int = 4, k: int = TOP_K) -> DataFrame:
     """(lang, surface, title, shared, rank): titles by the number of character grams that their typed form shares with a surface.
 
-    Grams are distinct in a text; a text shorter than a gram is its own gram. A surface asks with its rarer
-    half of grams; then all shared grams count.
+    Grams are distinct in a text; a text shorter than a gram is its own gram. All grams of a surface count.
+    Each part of the surfaces meets each block of the titles, where shared grams are counted in an inverted
+    index; only a block's k best titles of a surface leave it, not the pairs, which common grams multiply.
     """
-
-    def grams(c: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(c, i, F.lit(size)))
-        return F.array_distinct(F.when(F.length(c) >= size, cut).otherwise(F.array(c)))
-
-    titles = statistics.select("lang", "title").distinct().withColumn("t_grams", grams(X.title_as_surface(F.col("title"))))
-    index = titles.select("lang", "title", "t_grams", F.explode("t_grams").alias("gram"))
-    frequency = index.groupBy("lang", "gram").agg(F.count("*").alias("df"))
-    wanted = surfaces.select("lang", "surface").distinct().where("surface != ''").withColumn("s_grams", grams(F.col("surface")))
-    each = wanted.select("lang", "surface", "s_grams", F.explode("s_grams").alias("gram")).join(frequency, ["lang", "gram"])
-    place = F.row_number().over(Window.partitionBy("lang", "surface").orderBy("df", "gram"))
-    asked = each.withColumn("_p", place).where("_p <= ceil(size(s_grams) / 2)").select("lang", "surface", "s_grams", "gram")
-    pairs = asked.join(index, ["lang", "gram"]).select("lang", "surface", "title", F.size(F.array_intersect("s_grams", "t_grams")).alias("shared")).distinct()
-    return top_k(pairs, ["lang", "surface"], "shared", k, "title")
+    titles = statistics.select("lang", "title").distinct().withColumn("text", X.title_as_surface(F.col("title")))
+    titles = cut_lineage(titles.where("lang is not null and text is not null"))
+    wanted = cut_lineage(surfaces.select("lang", "surface").distinct().where("lang is not null and surface != ''"))
+    parts = lambda rows, n, name: rows.groupBy("lang").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    cells = F.broadcast(parts(titles, BLOCK_TITLES, "n_blocks").join(parts(wanted, PART_SURFACES, "n_parts"), "lang"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = wanted.join(cells, "lang").select("lang", "surface", one("surface", "n_parts").alias("part"), every("n_blocks").alias("block"))
+    right = titles.join(cells, "lang").select("lang", "title", "text", one("title", "n_blocks").alias("block"), every("n_parts").alias("part"))
+    # a cell costs Python time, not bytes: keep the session's number of tasks instead of merging them by size
+    tasks, keys = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["lang", "block", "part"]
+    grouped = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys))
+    best = grouped.applyInPandas(_grams_of_block(size, k), "lang string, surface string, title string, shared int")
+    return top_k(best, ["lang", "surface"], "shared", k, "title")
 
 
 def with_english_fallback(surfaces: DataFrame, statistics: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -51,6 +51,32 @@ def test_ngram_candidate_priority(spark):
     }
 
 
+def test_character_grams_against_plain_count(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(1, 14))).strip() or "a"
+    names = sorted({text().replace(" ", "_") for _ in range(150)})
+    # one title has the surface's rare grams, twelve others its common one only
+    names += [f"wxyz{i}" for i in range(12)] + ["qrstuvwxyz"]
+    rows = [(lang, t) for t in names for lang in ("en", "es")] + [("en", None), (None, "abc")]
+    asked = sorted({text() for _ in range(60)} | {"qrstuvwxyz", "stuvwxyz"})
+    surfaces = [(lang, s) for s in asked for lang in ("en", "es", "zh")] + [("en", ""), ("en", None), (None, "abc"), ("en", "abc")]
+    grams = lambda t: {t[i : i + 4] for i in range(len(t) - 3)} if len(t) >= 4 else {t}
+    want = set()
+    for lang, s in {(a, b) for a, b in surfaces if a in ("en", "es") and b}:
+        counts = [(-len(grams(s) & grams(t.replace("_", " ").strip().lower())), t) for t in {t for a, t in rows if a == lang and t}]
+        want |= {(lang, s, t, -n, i + 1) for i, (n, t) in enumerate(sorted(c for c in counts if c[0])[:10])}
+    stats = spark.createDataFrame(rows, "lang string, title string")
+    wanted = spark.createDataFrame(surfaces, "lang string, surface string")
+    columns = ("lang", "surface", "title", "shared", "rank")
+    found = lambda: [tuple(r) for r in candidates.by_character_grams(wanted, stats).select(*columns).collect()]
+    assert sorted(found()) == sorted(want)
+    # in several blocks and parts the same
+    monkeypatch.setattr(candidates, "BLOCK_TITLES", 20)
+    monkeypatch.setattr(candidates, "PART_SURFACES", 15)
+    assert sorted(found()) == sorted(want)
+    assert candidates.by_character_grams(wanted.where("false"), stats).count() == 0
+
+
 def test_title_functions(spark):
     assert value(spark, X.title_case(F.col("a")), a="new__york_cITY") == "New_York_CITY"
     assert value(spark, X.kb_title(F.col("a")), a="New york") == "New_york"
