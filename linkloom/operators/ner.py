@@ -82,6 +82,14 @@ def phrase_hits(toks: DataFrame, phrases: DataFrame, longest: int = 4) -> DataFr
     return grams.join(known, ["lang", "_p"]).select("doc_id", "start", "end", "n", "class")
 
 
+def longest_phrases(phrases: DataFrame) -> dict[str, int]:
+    """How many tokens the phrases of each language have at most; in Chinese, without blanks, as many as characters."""
+    text = F.trim("phrase")
+    n = F.when(F.col("lang") == "zh", F.length(text)).otherwise(F.size(F.split(text, " ")))
+    rows = phrases.where("lang is not null and phrase is not null").groupBy("lang").agg(F.max(n).alias("n")).orderBy("lang").collect()
+    return {r["lang"]: max(r["n"], 1) for r in rows}
+
+
 def merged_features(a: Column, b: Column) -> Column:
     """Two feature maps as one; where both have a name, the second's value stands."""
     kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))

@@ -595,7 +595,7 @@ def train_ranker(spark: SparkSession, d: str) -> DataFrame:
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     toks, stops = tokens.tokens(docs), tokens.top_words(docs).select("lang", "word")
-    grams = tokens.ngrams_upto(toks, 3, stops)
+    grams = tokens.ngrams_upto(toks, 4, stops)
     return grams.groupBy("doc_id", "n").agg(
         F.count("*").alias("n_grams"), F.count_distinct("surface").alias("n_distinct"), F.sum(F.col("is_stop").cast("int")).alias("n_stop"), F.sum(X.is_number(F.col("surface")).cast("int")).alias("n_numbers")
     )
@@ -623,9 +623,15 @@ def ngram_propagation(spark: SparkSession, d: str) -> DataFrame:
         union all select doc_id, lang, 2, s, lead(e) over o, case when lang = 'zh' then cut || lead(cut) over o else cut || ' ' || lead(cut) over o end from cut window o as (partition by doc_id, sent_id order by tok_id))
     select doc_id, s as start, e as "end", n::int as n from grams join phrase on phrase.lang = grams.lang and phrase.g = lower(grams.g) where e is not null""")
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
-    """One- and two-word titles of the knowledge base in texts."""
+    """Titles of the knowledge base in texts, up to the longest title of a language."""
+    docs = table(spark, d, "documents")
     phrases = table(spark, d, "kb_titles").where("lang is not null and title is not null").select("lang", F.replace("title", F.lit("_"), F.lit(" ")).alias("phrase"), F.lit("kb").alias("class"))
-    return ner.phrase_hits(_toks(spark, d), phrases, 2).drop("class")
+    hits = ner.phrase_hits(tokens.tokens(docs.where("false")), phrases, 1)
+    # the n-grams of a language are made up to its own longest phrase only
+    for lang, longest in ner.longest_phrases(phrases).items():
+        of_lang = F.col("lang") == lang
+        hits = hits.unionByName(ner.phrase_hits(tokens.tokens(docs.where(of_lang)), phrases.where(of_lang), longest))
+    return hits.drop("class")
 
 
 @_query("""sp as (select mention_id, doc_id, s, e, mention_type from m where s is not null and e > s)

@@ -9,7 +9,7 @@ from linkloom.functions import text as X
 from linkloom.functions import vectors as V
 from linkloom.operators import anchors, candidates, coref, evaluate, intervals, kb, ner, ranking, titles, tokens
 from linkloom.operators.numbering import numbered
-from linkloom.plans import pipeline
+from linkloom.plans import core_queries, pipeline
 from linkloom.sources import documents, dumps, sinks
 
 
@@ -304,6 +304,26 @@ def test_ngram_cascade(spark):
     assert [(r["start"], r["end"], r["mention_type"]) for r in spans] == [(0, 8, "LOC")]
 
 
+def write_tables(spark, folder, **tables):
+    """A data directory with tables of (rows, schema)."""
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_queries_find_long_phrases_and_make_four_grams(spark, tmp_path):
+    en, zh = "We saw the United States of America in one two three four five six seven.", "他 在 中 华 人 民 共 和 国 住。"
+    titles = [("m.1", "en", "united_states_of_america"), ("m.2", "en", "One two three four five six seven"), ("m.3", "zh", "中华人民共和国"), ("m.4", "es", "in"), ("m.5", "en", "saw"), ("m.6", "en", None)]
+    d = write_tables(
+        spark, tmp_path, documents=([(1, "en", en), (2, "zh", zh), (3, "es", None)], "doc_id long, lang string, text string"),
+        kb_titles=(titles, "mid string, lang string, title string"),
+    )
+    hits = {(r["doc_id"], r["n"], (en if r["doc_id"] == 1 else zh)[r["start"] : r["end"]]) for r in core_queries.queries()["phrase_hits"](spark, d).collect()}
+    assert hits == {(1, 1, "saw"), (1, 4, "United States of America"), (1, 7, "one two three four five six seven"), (2, 7, "中 华 人 民 共 和 国")}
+    made = {(r["doc_id"], r["n"]): r["n_grams"] for r in core_queries.queries()["ngrams"](spark, d).collect()}
+    assert made == {(1, n): 17 - n for n in range(1, 5)} | {(2, n): 12 - n for n in range(1, 5)}
+
+
 def test_ranked_document_uses_earlier_choices(spark):
     rows = [(1, 10, 0, 1, "a", [1.0], [1.0, 0.0]), (1, 11, 5, 1, "b", [0.5], [0.0, 1.0]), (1, 11, 5, 2, "c", [0.5], [1.0, 0.0])]
     df = spark.createDataFrame(rows, "doc_id long, mention_id long, start int, rank int, title string, features array<double>, vec array<double>")
