@@ -477,7 +477,7 @@ def context_feature(spark: SparkSession, d: str) -> DataFrame:
     context = tokens.context_words(m.select("mention_id", "doc_id", "start", "end"), tokens.tokens(docs), 5)
     weighted = tokens.context_tfidf(context, tokens.document_frequency(docs))
     vec_id = (F.length("word") * 131 + F.ascii("word") * 31) % n
-    keyed = weighted.where(F.length("word") % 7 != 0).withColumn("vec_id", vec_id)
+    keyed = weighted.withColumn("vec_id", vec_id)
     vectors = e.select("vec_id", F.col("embedding").alias("vec"))
     means = ranking.mean_vector(keyed.join(vectors, "vec_id"), ["mention_id"], "weight")
     titled = means.withColumn("vec_id", F.col("mention_id") % n).join(vectors, "vec_id")

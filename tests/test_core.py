@@ -324,6 +324,18 @@ def test_queries_find_long_phrases_and_make_four_grams(spark, tmp_path):
     assert made == {(1, n): 17 - n for n in range(1, 5)} | {(2, n): 12 - n for n in range(1, 5)}
 
 
+def test_context_feature_uses_words_of_all_lengths(spark, tmp_path):
+    # keys of the words: aaaaaaa 0, ccc 2, fffffff 3 (no vector), kkkkkkk 2
+    mention = "mention_id long, doc_id long, lang string, surface string, start_offset int, end_offset int, loaded_at timestamp"
+    d = write_tables(
+        spark, tmp_path, documents=([(1, "en", "aaaaaaa ccc X fffffff"), (2, "en", "kkkkkkk Y")], "doc_id long, lang string, text string"),
+        mentions=([(1, 1, "en", "X", 12, 13, None), (5, 2, "en", "Y", 8, 9, None)], mention),
+        embeddings=([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (5, [9.0, 9.0])], "vec_id long, embedding array<float>"),
+    )
+    got = {r["mention_id"]: r["W_CON30"] for r in core_queries.queries()["context_feature"](spark, d).collect()}
+    assert got == {1: 1.0, 5: 0.0}
+
+
 def test_ranked_document_uses_earlier_choices(spark):
     rows = [(1, 10, 0, 1, "a", [1.0], [1.0, 0.0]), (1, 11, 5, 1, "b", [0.5], [0.0, 1.0]), (1, 11, 5, 2, "c", [0.5], [1.0, 0.0])]
     df = spark.createDataFrame(rows, "doc_id long, mention_id long, start int, rank int, title string, features array<double>, vec array<double>")
