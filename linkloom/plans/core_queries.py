@@ -873,10 +873,8 @@ def kb_triples(spark: SparkSession, d: str) -> DataFrame:
     select p[2] as id, p[3] as surface, split_part(p[4], ':', 1) as doc_name, split_part(split_part(p[4], ':', 2), '-', 1)::int as start, (split_part(split_part(p[4], ':', 2), '-', 2)::int + 1)::int as "end",
         p[5] as mid, p[6] as mention_type, p[7] as noun_type, case substr(p[4], 1, 3) when 'ENG' then 'en' when 'SPA' then 'es' else 'zh' end as lang from f""")
 def gold_reader(spark: SparkSession, d: str) -> DataFrame:
-    """Gold table rows of seven plain columns."""
-    shape = r'^gold\t[^\t]*\t[^\t"]*\t(ENG|SPA|CMN)_(NW|DF)_[0-9]{1,9}[0-9]:[0-9]{1,8}-[0-9]{1,8}\t[^\t"]*\t[^\t"]*\t[^\t"\r]*\r?\z'
-    lines = table(spark, d, "raw_lines").where(F.col("line").rlike(shape)).select(F.regexp_replace("line", r"\r\z", "").alias("value"))
-    return documents.gold_mentions(lines)
+    """Gold table rows of all lines; those that can't be read are the reader's rejects."""
+    return documents.gold_lines(table(spark, d, "raw_lines"))[0]
 
 
 @_query("""first as (select lang, lower(title) as query, min(replace(title, ' ', '_')) as found from kb_titles where lang is not null and title is not null group by lang, lower(title))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from linkloom.functions import text as X
-from linkloom.operators import titles
+from linkloom.operators import rejects, titles
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 _AUTHORS = {"newswire": re.compile(r"<AUTHOR>(.*?)</AUTHOR>"), "forum": re.compile(r' author="(.*?)"')}
@@ -126,6 +126,31 @@ def gold_mentions(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
+def gold_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line") -> tuple[DataFrame, DataFrame]:
+    """(rows as of ``gold_mentions``, rejected lines (line_id, reason)): every line is in one of the two.
+
+    A quoted field may hold tabs and loses its quotes; a line whose quotes don't pair is cut at each tab. Reasons are
+    ``columns`` (fewer than seven), ``language`` (none known in the document's name) and ``bounds`` (not two integers).
+    """
+    plain = F.split(F.regexp_replace(line, r"\r\z", ""), "\t")
+    cells = F.when(F.col("well_formed"), F.transform("cells", rejects._unquoted)).otherwise(plain)
+    rows = rejects.parse_lines(lines, line_id, line, keep=(line,)).select("line_id", cells.alias("p"))
+    p = lambda k: F.get("p", F.lit(k))
+    doc = F.substring_index(p(3), ":", 1)
+    bounds = F.split(F.substring_index(p(3), ":", -1), "-")
+    whole = lambda k: F.when(F.get(bounds, F.lit(k)).rlike(r"\A[0-9]+\z"), F.get(bounds, F.lit(k)).try_cast("long"))
+    lang = F.lit(None).cast("string")
+    for code, name in DOC_LANGUAGE.items():
+        lang = F.when(F.contains(doc, F.lit(code)), F.lit(name)).otherwise(lang)
+    start, end = whole(0).try_cast("int"), F.try_add(whole(1), F.lit(1)).try_cast("int")
+    read = rows.select(
+        "line_id", p(1).alias("id"), p(2).alias("surface"), doc.alias("doc_name"), start.alias("start"), end.alias("end"),
+        p(4).alias("mid"), p(5).alias("mention_type"), p(6).alias("noun_type"), lang.alias("lang"),
+        F.when(F.size("p") < 7, "columns").when(lang.isNull(), "language").when(start.isNull() | end.isNull(), "bounds").alias("reason"),
+    )
+    return read.where("reason is null").drop("line_id", "reason"), read.where("reason is not null").select("line_id", "reason")
+
+
 def gold_slice(gold: DataFrame, lang: str, noun_type: str | None = "NAM") -> DataFrame:
     """Gold mentions of one language and noun type."""
     rows = gold.where(F.col("lang") == lang)

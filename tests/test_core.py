@@ -288,6 +288,22 @@ def test_gold_reader_rejects_unknown_language(spark):
         documents.gold_mentions(spark.createDataFrame([("s\tid\tx\tDEU_NW_1:0-2\tm.1\tPER\tNAM",)], "value string")).collect()
 
 
+def test_gold_reader_reads_every_line(spark, tmp_path):
+    lines = [
+        "gold\tE1\tx\tENG_NW_1:0-2\tm.1\tPER\tNAM", 'gold\tE2\t"a ""b""\tc"\tSPA_DF_2:3-5\tNIL00001\tORG\tNAM\r', 'gold\tE3\tsay "x"\tCMN_DF_3:3-5\tm.2\tORG\tNOM',
+        'gold\tE4\t"open\tENG_WB_4:123456789-123456790\tm.3\tGPE\tNAM\tmore', "gold\tE5\tx\tDEU_NW_1:0-2\tm.1\tPER\tNAM", "gold\tE6\tx\tENG_NW_1:0-2147483647\tm.1\tPER\tNAM",
+        "gold\tE7\tx\tENG_NW_1:a-2\tm.1\tPER\tNAM", "gold\tE8\tx", "", None,
+    ]
+    d = write_tables(spark, tmp_path, raw_lines=(list(enumerate(lines)), "line_id long, line string"))
+    got = sorted(tuple(r) for r in core_queries.queries()["gold_reader"](spark, d).collect())
+    assert got == [
+        ("E1", "x", "ENG_NW_1", 0, 3, "m.1", "PER", "NAM", "en"), ("E2", 'a "b"\tc', "SPA_DF_2", 3, 6, "NIL00001", "ORG", "NAM", "es"),
+        ("E3", 'say "x"', "CMN_DF_3", 3, 6, "m.2", "ORG", "NOM", "zh"), ("E4", '"open', "ENG_WB_4", 123456789, 123456791, "m.3", "GPE", "NAM", "en"),
+    ]
+    rejected = documents.gold_lines(spark.read.parquet(f"{d}/raw_lines.parquet"))[1]
+    assert {tuple(r) for r in rejected.collect()} == {(4, "language"), (5, "bounds"), (6, "bounds"), (7, "columns"), (8, "columns"), (9, "columns")}
+
+
 def test_html_keeps_text(spark):
     docs = spark.createDataFrame([(1, "ab cd ef"), (2, "x")], "doc_id long, text string")
     men = spark.createDataFrame([(1, 3, 5, "t"), (1, 4, 6, "u")], "doc_id long, start int, end int, wiki_title string")
