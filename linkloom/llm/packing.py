@@ -85,41 +85,29 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
     while sizes:
         size = sizes[-1]
         k = bisect_left(sizes, capacity - size + 1) - 1
+        if k >= 0 and sizes[k] == size and left[size] == 1:
+            k -= 1  # the last item of a size has the next smaller size as mate
         if k < 0:
-            n = left[size]
+            n = left.pop(size)
+            sizes.remove(size)
             put(size, n, n_containers)
             leave(capacity - size, n_containers, n)
             n_containers += n
-        else:
-            mate = sizes[k]
-            if mate == size and left[size] == 1:
-                put(size, 1, n_containers)
-                leave(capacity - size, n_containers, 1)
-                n_containers += 1
-                left[size] = 0
-                sizes.remove(size)
-                continue
-            n = left[size] // 2 if mate == size else min(left[size], left[mate])
-            if mate == size:
-                put(size, 2 * n, n_containers, 2)
-            else:
-                put(size, n, n_containers)
-                put(mate, n, n_containers)
-            leave(capacity - size - mate, n_containers, n)
-            n_containers += n
-            left[mate] -= n
-            if not left[mate]:
-                sizes.remove(mate)
-            if mate != size:
-                left[size] -= n
-            elif left[size] == n:
-                left[size] = 0
-            else:
-                left[size] -= n
-            if not left[size] and size in sizes:
-                sizes.remove(size)
             continue
-        sizes.remove(size)
+        mate = sizes[k]
+        n = left[size] // 2 if mate == size else min(left[size], left[mate])
+        if mate == size:
+            put(size, 2 * n, n_containers, 2)
+        else:
+            put(size, n, n_containers)
+            put(mate, n, n_containers)
+        leave(capacity - size - mate, n_containers, n)
+        n_containers += n
+        for s in (size, mate):
+            left[s] -= n
+        for s in {size, mate}:
+            if not left[s]:
+                sizes.remove(s)
 
     for size in sorted((s for s in histogram if 0 < s <= third), reverse=True):
         n = histogram[size]

@@ -25,6 +25,23 @@ def test_plan_places_each_item_once(seed):
     assert n <= 1 + max(1.25 * total / cap, large + total / cap)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_large_items_are_paired_wherever_two_fit(seed):
+    assert packing.plan_containers({2000: 1, 1500: 1, 1400: 1}, 4096)[1] == 2
+    rng = random.Random(seed)
+    cap = rng.choice([30, 1000, 4096])
+    distinct = rng.sample(range(cap // 3 + 1, cap // 2 + 1), min(rng.randint(1, 40), cap // 2 - cap // 3))
+    assert packing.plan_containers(dict.fromkeys(distinct, 1), cap)[1] == (len(distinct) + 1) // 2
+    h = Counter(rng.randint(cap // 3 + 1, cap) for _ in range(rng.randint(1, 80)))
+    # the fewest containers of at most two items: the smallest goes with the largest if it fits
+    items, fewest, i = sorted(h.elements()), 0, 0
+    while items[i:]:
+        i += len(items) - i > 1 and items[i] + items[-1] <= cap
+        items.pop()
+        fewest += 1
+    assert packing.plan_containers(dict(h), cap)[1] == fewest
+
+
 def test_pack_table(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice([0, 3, 40, 50, 90, 130, 270])) for i in range(400)] + [(7, 40), (7, 40), (None, 50), (900, None)]
