@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -216,16 +215,36 @@ def align(a: tuple[str, ...], b: tuple[str, ...]) -> int:
         a, b = b, a
     if not a:
         return 0
-    if len(b) > 6:
-        rest, total = list(b), 0
-        for t in a:
-            best = max(rest, key=lambda u: _fits(t, u), default=None)
-            if best is None or not _fits(t, best):
-                return 0
-            total += _fits(t, best)
-            rest.remove(best)
-        return total
-    return max((sum(f) for p in permutations(b, len(a)) if all(f := [_fits(x, y) for x, y in zip(a, p)])), default=0)
+    fits = [[_fits(x, y) for y in b] for x in a]
+    if not all(map(any, fits)):
+        return 0
+    if len(a) == 1:
+        return max(fits[0])
+    # shortest augmenting paths with potentials; a pair that doesn't fit costs more than any whole assignment
+    never = 4 * len(a)
+    row_of, u, v = [-1] * (len(b) + 1), [0] * len(a), [0] * (len(b) + 1)
+    for row in range(len(a)):
+        last = len(b)
+        row_of[last] = row
+        least, before, done = [10 * never * len(a)] * len(b), [last] * len(b), set()
+        while row_of[last] >= 0:
+            done.add(last)
+            i = row_of[last]
+            for j in range(len(b)):
+                if j not in done and (cost := (-fits[i][j] or never) - u[i] - v[j]) < least[j]:
+                    least[j], before[j] = cost, last
+            nearest = min((j for j in range(len(b)) if j not in done), key=least.__getitem__)
+            step = least[nearest]
+            for j in done:
+                u[row_of[j]] += step
+                v[j] -= step
+            least = [d if j in done else d - step for j, d in enumerate(least)]
+            last = nearest
+        while last != len(b):
+            row_of[last] = row_of[before[last]]
+            last = before[last]
+    found = [fits[i][j] for j, i in enumerate(row_of[: len(b)]) if i >= 0]
+    return sum(found) if all(found) else 0
 
 
 def _rest(row) -> tuple[str, ...]:

@@ -47,6 +47,20 @@ def test_alignment():
     assert names.align(("bill",), ("william",)) and names.align(("w.",), ("bill",)) and not names.align(("k.",), ("william",))
 
 
+def test_alignment_of_long_names():
+    # the first of two that fit isn't always the right one
+    filler = ("berlin", "cairo", "delhi", "essen", "florence")
+    assert names.align(("as.", "assoc.", *filler), ("association", "astronomy", *filler)) == 2 + 3 * len(filler)
+    assert not names.align(("as.", "assoc.", *filler), ("astronomy", "assembly", *filler))
+    rng = random.Random(5)
+    words = ["association", "astronomy", "as.", "assoc.", "a.", "bill", "william", "w.", "bilk", "will", "astronom"]
+    for _ in range(400):
+        a, b = (tuple(rng.choice(words) for _ in range(rng.randint(1, n))) for n in (4, 7))
+        short, long = sorted((a, b), key=len)
+        every = ([names._fits(x, y) for x, y in zip(short, p)] for p in itertools.permutations(long, len(short)))
+        assert names.align(a, b) == max((sum(f) for f in every if all(f)), default=0), (a, b)
+
+
 def test_variants_of_one_person_and_others_apart(spark):
     rows = [(1, p, None, "en") for p in people()]
     n = len(rows)
