@@ -4,7 +4,7 @@
    and abbreviations; forms of address, articles and prepositions are left out.
 2. *Spelling.* A symmetric-delete index (each word with every one-letter deletion of it) finds words a
    small edit away; a word takes the spelling of its most frequent neighbour.
-3. *Blocks.* A name's key word is the one that meets the fewest different other words, such as the
+3. *Blocks.* A name's key word is, of those typed twice or more, the one that meets the fewest other words, such as the
    surname or the place, as given names and kinds of organisations meet many. Names meet only under
    the same language and key word.
 4. *Alignment.* In a block the remaining words of the different names (not mentions) are aligned by
@@ -68,8 +68,6 @@ _TRADITIONAL = "漢羅亞馬諾盧達溫蓋魯裡紐萬凱納圖謝歐貝揚邁
 _SIMPLIFIED = "汉罗亚马诺卢达温盖鲁里纽万凯纳图谢欧贝扬迈伦费杰乌兰门乔苏尔萨莱维宁丽济协会学术会体实验铁运输卫剧乐园与东银长风飞龙齐国际尔约玛绮宾顿韦叶颜鲍魏贡贺邓钟钱陆陈阳顾养车军农历庄赛内亘范毕画发电机厂广场业员师团动产团责质检测经济"
 _TO_SIMPLIFIED = str.maketrans(_TRADITIONAL, _SIMPLIFIED)
 _TO_CYRILLIC = str.maketrans({latin: next(c for c in others if "а" <= c.lower() <= "ӏ") for latin, others in _LOOK_ALIKE.items() if any("Ѐ" <= c <= "ӿ" for c in others)})
-# How many other words given names and kinds of organisations meet at least, where there are many names.
-HUB = 50
 # Words above this length are indexed by their ends.
 LONG = 64
 _HAN = re.compile("[㐀-鿿]")
@@ -255,6 +253,40 @@ def _rest(row) -> tuple[str, ...]:
     return tuple(sorted(words + parts))
 
 
+def _meeting_keys(token: str) -> set[str]:
+    """Keys of which two tokens that fit share one at least: first letters where one is short, else the word with one letter less."""
+    if token.endswith("."):
+        return {"." + token[0], "w" + token[0]}
+    full = NICKNAMES.get(token, token)
+    cut = {token[:k] + token[k + 1 :] for k in range(len(token))} if 4 <= len(token) <= LONG else set()
+    ends = {"<" + token[: LONG // 2 - 1], ">" + token[-(LONG // 2 - 1) :]} if len(token) >= LONG else set()
+    return {"=" + full, "|" + token, "w" + token[0], "w" + full[0]} | {"|" + c for c in cut} | ends
+
+
+class _Classes:
+    """The classes of a block in order, found by the tokens that they share with a name."""
+
+    def __init__(self) -> None:
+        self.all: list[tuple] = []
+        self._at: dict[str, list[int]] = {}
+
+    def add(self, name: tuple) -> None:
+        for key in sorted({k for t in name for k in _meeting_keys(t)}):
+            self._at.setdefault(key, []).append(len(self.all))
+        self.all.append(name)
+
+    def near(self, name: tuple) -> list[tuple]:
+        """Every class that can align with a name of as many tokens or fewer, in order: all of the name's tokens have a partner there."""
+        each = []
+        for token in name:
+            keys = _meeting_keys(token)
+            if not token.endswith("."):
+                # whole words share first letters with short forms only
+                keys = {k for k in keys if k[0] != "w"} | {"." + k[1:] for k in keys if k[0] == "w"}
+            each.append(set().union(*(self._at.get(k, ()) for k in keys)))
+        return [self.all[i] for i in sorted(set.intersection(*each))]
+
+
 def block_entities(block: pd.DataFrame) -> pd.DataFrame:
     """The entities that each name (rest, qualifier) of a block fits."""
     rests = {r: _rest(r) for r in map(tuple, block["rest"])}
@@ -263,25 +295,25 @@ def block_entities(block: pd.DataFrame) -> pd.DataFrame:
         weight[rests[r]] = weight.get(rests[r], 0) + int(n)
     whole = lambda r: sum(not t.endswith(".") for t in r)
     # names by how many whole words they have and how often they occur: the first of a class stands for it
-    classes: list[tuple] = []
+    classes = _Classes()
     member: dict[tuple, list[tuple]] = {}
     for r in sorted((r for r in weight if r), key=lambda r: (-len(r), -whole(r), -weight[r], r)):
-        fits = [(align(r, c), c) for c in classes if len(c) == len(r)] or []
-        fits = [(s, c) for s, c in fits if s]
+        near = classes.near(r)
+        fits = [(s, c) for c in near if len(c) == len(r) and (s := align(r, c))]
         if fits and (whole(r) or len(r) > 1):
             top = max(s for s, _ in fits)
             member[r] = [c for s, c in fits if s == top]
-        elif whole(r) and not (longer := [c for c in classes if len(c) > len(r) and align(r, c)]):
-            classes.append(r)
+        elif whole(r) and not (longer := [c for c in near if len(c) > len(r) and align(r, c)]):
+            classes.add(r)
             member[r] = [r]
         elif whole(r):
             member[r] = longer
         else:
-            member[r] = [c for c in classes if align(r, c)]
+            member[r] = [c for c in near if align(r, c)]
             if not member[r]:
-                classes.append(r)
+                classes.add(r)
                 member[r] = [r]
-    member[()] = classes or [()]
+    member[()] = classes.all or [()]
     qualifiers: dict[tuple, set[str]] = {}
     for r, q in zip(map(tuple, block["rest"]), block["qualifier"], strict=True):
         if q and len(member[rests[r]]) == 1:
@@ -382,8 +414,8 @@ def _full_form(word: str) -> Column:
 
 
 def _key_order() -> Column:
-    """A word that occurs once links nothing, so it gives way to another, unless that one meets ``HUB`` or more others."""
-    return F.when((F.col("count") >= 2) & (F.coalesce("degree", F.lit(0)) < HUB), 0).when(F.col("count") < 2, 1).otherwise(2)
+    """A word that occurs once links nothing, so it gives way to any other, however many that one meets."""
+    return F.when(F.col("count") >= 2, 0).otherwise(1)
 
 
 def _single(candidates: DataFrame) -> DataFrame:

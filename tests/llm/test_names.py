@@ -61,6 +61,29 @@ def test_alignment_of_long_names():
         assert names.align(a, b) == max((sum(f) for f in every if all(f)), default=0), (a, b)
 
 
+def test_classes_of_a_block_are_found_by_their_tokens():
+    rng = random.Random(8)
+    long = "x" * 40 + "yz" * 20
+    words = ["association", "assocation", "astronomy", "as.", "assoc.", "a.", "bill", "william", "w.", "b.", "bilk", "will", "wlil", "ana", "anna", "t.", "ted", "theodore", "ab", long, long[:-1], long[1:], long[:40] + long[41:], long[:64], long[:65], long[:63]]
+    for _ in range(300):
+        classes = names._Classes()
+        for _ in range(12):
+            classes.add(tuple(sorted(rng.choice(words) for _ in range(rng.randint(1, 4)))))
+        name = tuple(sorted(rng.choice(words) for _ in range(rng.randint(1, 3))))
+        fitting = lambda every: [c for c in every if len(c) >= len(name) and names.align(name, c)]  # noqa: E731, B023
+        assert fitting(classes.near(name)) == fitting(classes.all), name
+
+
+def test_a_frequent_surname_is_a_better_key_than_a_word_typed_once(spark):
+    rng = random.Random(3)
+    others = ["".join(rng.choice("bcdfgklmnprtvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(160)]
+    rows = [(1, f"{w} Smith", None, "en") for w in others[:60] for _ in range(2)] + [(1, f"John {w}", None, "en") for w in others[60:] for _ in range(2)]
+    n = len(rows)
+    rows += [(1, "John Smith", None, "en"), (1, "Jhon Smith", None, "en"), (2, "Jhno Smith", "john_smith", "en")]
+    got = {p for p in linked_pairs(spark, rows) if p[1] >= n}
+    assert got == {(n, n + 1), (n, n + 2), (n + 1, n + 2)}
+
+
 def test_variants_of_one_person_and_others_apart(spark):
     rows = [(1, p, None, "en") for p in people()]
     n = len(rows)
