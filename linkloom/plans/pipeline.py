@@ -50,7 +50,7 @@ def annotate(mentions: DataFrame, index: Index, target_kb: str = "freebase", wei
     keyed = cleaned.withColumn("key", X.normal_surface(F.col("surface")))
     found = candidates.with_english_fallback(keyed.select("lang", F.col("key").alias("surface")).where("lang is not null and surface is not null"), index.statistics)
     # each stage that several later ones read is written once
-    found = cut_lineage(candidates.drop_unwanted(found)).withColumns({"TITLEPROB": F.col("p_title_given_surface"), "SURFACEPROB": F.col("p_surface_given_title")})
+    found = cut_lineage(candidates.apply_overrides(candidates.drop_unwanted(found))).withColumns({"TITLEPROB": F.col("p_title_given_surface"), "SURFACEPROB": F.col("p_surface_given_title")})
     # surfaces are scored once; mentions take the result
     scored = ranking.score_candidates(found, FEATURES, weights)
     best = ranking.best_candidate(scored, ["lang", "surface"]).withColumnRenamed("title", "wiki_title")

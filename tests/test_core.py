@@ -383,6 +383,17 @@ def test_empty_tables(spark):
     assert coref.coreference_view(m).count() == 0
 
 
+def test_linker_keeps_permitted_titles_only(spark):
+    linked = spark.createDataFrame([("en", "Washington", "washington_(state)")] * 3 + [("en", "Washington", "washington,_d.c."), ("en", "Ohio", "ohio")], "lang string, surface string, wiki_title string")
+    kb_titles = spark.createDataFrame([("m.1", "en", "ohio")], "mid string, lang string, title string")
+    kb_types = spark.createDataFrame([], "mid string, types array<string>")
+    pages = spark.createDataFrame([], "page_id long, lang string, ns int, title string, is_redirect int")
+    redirects = spark.createDataFrame([], "page_id long, lang string, target_title string, seen_at timestamp")
+    index = pipeline.build_index(linked, kb_titles, kb_types, pages, redirects)
+    m = spark.createDataFrame([(1, 1, "en", "Washington", "LOC", 0, 10), (2, 1, "en", "Ohio", "LOC", 12, 16)], "mention_id long, doc_id long, lang string, surface string, mention_type string, start int, end int")
+    assert {r["mention_id"]: r["wiki_title"] for r in pipeline.annotate(m, index).collect()} == {1: "washington,_d.c.", 2: "ohio"}
+
+
 def test_stream(spark, tmp_path):
     from linkloom.streaming.scoring import link_stream
 
