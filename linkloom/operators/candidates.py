@@ -166,7 +166,7 @@ def apply_overrides(candidates: DataFrame, overrides: DataFrame | None = None) -
     """Surfaces with a single permitted title keep that one only."""
     spark = candidates.sparkSession
     table = spark.createDataFrame(ONLY_TITLE, "lang string, surface string, only_title string") if overrides is None else overrides
-    return candidates.join(F.broadcast(table), ["lang", "surface"], "left").where("only_title is null or title = only_title").drop("only_title")
+    return candidates.join(table, ["lang", "surface"], "left").where("only_title is null or title = only_title").drop("only_title")
 
 
 def link_top_candidate(mentions: DataFrame, candidates: DataFrame) -> DataFrame:

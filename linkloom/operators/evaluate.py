@@ -15,7 +15,11 @@ from linkloom.functions import text as X
 def match_gold(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Predictions (id, doc, start, end, type, mid, cand_mids) with the flags span_ok, type_ok, link_ok, in_candidates, nil_gold."""
     g = gold.select(F.col("id").alias("g_id"), F.col("doc").alias("g_doc"), "start", "end", F.col("type").alias("g_type"), F.col("mid").alias("g_mid"))
-    hits = pred.select("id", "doc", "start", "end").join(g, ["start", "end"]).where(F.col("doc").startswith(F.col("g_doc")))
+    # document names are few: a name meets the gold names that are its beginnings, then mentions meet inside such a pair
+    names = pred.where("doc is not null").select("doc").distinct()
+    beginnings = names.select("doc", F.explode(F.transform(F.sequence(F.lit(0), F.length("doc")), lambda k: F.substring("doc", F.lit(1), k))).alias("g_doc"))
+    documents = beginnings.join(gold.select(F.col("doc").alias("g_doc")).distinct(), "g_doc")
+    hits = pred.select("id", "doc", "start", "end").join(documents, "doc").join(g, ["g_doc", "start", "end"])
     first = hits.groupBy("id").agg(F.min(F.struct("g_id", "g_type", "g_mid")).alias("g"))
     joined = pred.join(first, "id", "left")
     span = F.col("g").isNotNull()

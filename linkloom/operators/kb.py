@@ -13,14 +13,15 @@ from linkloom.functions import text as X
 
 
 def title_to_mid(titles: DataFrame) -> DataFrame:
-    """(title, lang, mid) with one row for each title and language."""
-    return titles.where("title is not null and lang is not null and mid is not null").groupBy("title", "lang").agg(F.min("mid").alias("mid"))
+    """(title, lang, mid) with one row for each title and language, both in the knowledge base's form."""
+    rows = titles.where("title is not null and lang is not null and mid is not null")
+    return rows.groupBy(X.kb_title(F.col("title")).alias("title"), X.kb_language(F.col("lang")).alias("lang")).agg(F.min("mid").alias("mid"))
 
 
 def mid_chain(rows: DataFrame, titles: DataFrame, mapping: DataFrame, column: str = "title") -> DataFrame:
     """``mid`` of (lang, title): by the own language, then by the same title in English, then by its translation.
 
-    The three tries are exploded to keys with a priority, so that one join serves all of them.
+    Titles and languages are brought to the knowledge base's form (title case, ``zh-cn``) on both sides. The three tries are exploded to keys with a priority, so that one join serves all of them.
     """
     known = title_to_mid(titles)
     keys = rows.select("lang", column).distinct().where(~X.is_nil(F.col(column)) & (F.trim(column) != ""))
@@ -30,9 +31,9 @@ def mid_chain(rows: DataFrame, titles: DataFrame, mapping: DataFrame, column: st
         column,
         F.explode(
             F.array(
-                F.struct(F.lit(1).alias("try"), F.col(column).alias("key"), F.col("lang").alias("key_lang")),
-                F.struct(F.lit(2).alias("try"), F.col(column).alias("key"), F.lit("en").alias("key_lang")),
-                F.struct(F.lit(3).alias("try"), F.col("en_title").alias("key"), F.lit("en").alias("key_lang")),
+                F.struct(F.lit(1).alias("try"), X.kb_title(F.col(column)).alias("key"), X.kb_language(F.col("lang")).alias("key_lang")),
+                F.struct(F.lit(2).alias("try"), X.kb_title(F.col(column)).alias("key"), F.lit("en").alias("key_lang")),
+                F.struct(F.lit(3).alias("try"), X.kb_title(F.col("en_title")).alias("key"), F.lit("en").alias("key_lang")),
             )
         ).alias("t"),
     ).select("lang", column, "t.*")
@@ -74,5 +75,5 @@ def titles_of_mids(titles: DataFrame) -> DataFrame:
 
 def type_contradictions(mentions: DataFrame, types: DataFrame, expected: DataFrame) -> DataFrame:
     """Mentions whose annotated type contradicts the types of their mid; ``expected`` has (mention_type, kb_type)."""
-    typed = mentions.join(types.select("mid", "types"), "mid").join(F.broadcast(expected), "mention_type")
+    typed = mentions.join(types.select("mid", "types"), "mid").join(expected, "mention_type")
     return typed.where("not array_contains(types, kb_type)").select("mention_id", "mid", "mention_type", "types")

@@ -46,7 +46,7 @@ def neighbour_features(mentions: DataFrame, coarse: DataFrame, use_next: bool =
 def category_features(rows: DataFrame, categories: DataFrame, stop_words: DataFrame, prefix: str = "TOPWIKICATTOKEN-") -> DataFrame:
     """(mention_id, features): words of a title's categories without stop words."""
     words = categories.select("title", F.explode(X.tokens_of(F.lower("category"))).alias("word")).distinct()
-    kept = words.join(F.broadcast(stop_words.select("word").distinct()), "word", "left_anti")
+    kept = words.join(stop_words.select("word").distinct(), "word", "left_anti")
     hits = rows.select("mention_id", "title").join(kept, "title")
     return hits.groupBy("mention_id").agg(F.array_sort(F.collect_set(F.concat(F.lit(prefix), "word"))).alias("features"))
 

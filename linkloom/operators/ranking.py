@@ -39,7 +39,7 @@ def word_vectors(words: DataFrame, vectors: DataFrame, stop_words: DataFrame | N
     """Rows with ``vec`` of their (lang, word); null for stop words and unknown ones."""
     known = vectors.select(F.col("lang"), F.col("key").alias("word"), "vec")
     if stop_words is not None:
-        known = known.join(F.broadcast(stop_words.select("lang", "word").distinct()), ["lang", "word"], "left_anti")
+        known = known.join(stop_words.select("lang", "word").distinct(), ["lang", "word"], "left_anti")
     return words.join(known, ["lang", "word"], "left")
 
 

@@ -35,18 +35,20 @@ REASONS = ("quoting", "columns", "value")
 
 @dataclass(frozen=True)
 class FieldRule:
-    """One row of the rule table: the column's position, name and the pattern a value must match."""
+    """One row of the rule table: the column's position and name, the pattern that a value must match, and whether the two
+    numbers at its end, ``:first-last``, must be in order."""
 
     position: int
     field: str
     pattern: str
+    ordered: bool = False
 
 
 GOLD_RULES = (
     FieldRule(0, "system", r"\Agold\z"),
     FieldRule(1, "entry_id", r"\AEDL_[0-9]{10}\z"),
     FieldRule(2, "surface", r"[^\s\p{Z}]"),
-    FieldRule(3, "span", r"\A(?:ENG|SPA|CMN)_(?:NW|DF)_[0-9]{10}:[0-9]+-[0-9]+\z"),
+    FieldRule(3, "span", r"\A(?:ENG|SPA|CMN)_(?:NW|DF)_[0-9]{10}:[0-9]+-[0-9]+\z", ordered=True),
     FieldRule(4, "kb_id", r"\A(?:m\.[a-z0-9]+|NIL[0-9]{5})\z"),
     FieldRule(5, "mention_type", r"\A(?:PER|ORG|GPE|LOC|FAC)\z"),
     FieldRule(6, "noun_type", r"\A(?:NAM|NOM)\z"),
@@ -56,13 +58,15 @@ _RULE_SCHEMA = T.StructType(
     [
         T.StructField("position", T.IntegerType(), False),
         T.StructField("field", T.StringType(), False),
+        T.StructField("pattern", T.StringType(), False),
+        T.StructField("ordered", T.BooleanType(), False),
     ]
 )
 
 
 def rule_table(spark: SparkSession, rules: tuple[FieldRule, ...] = GOLD_RULES) -> DataFrame:
     """The rule table; one row per column of the format (seven rows)."""
-    return spark.createDataFrame([(r.position, r.field) for r in rules], _RULE_SCHEMA)
+    return spark.createDataFrame([(r.position, r.field, r.pattern, r.ordered) for r in rules], _RULE_SCHEMA)
 
 
 def _not_greater(start: Column, end: Column) -> Column:
@@ -71,16 +75,12 @@ def _not_greater(start: Column, end: Column) -> Column:
     return (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (a <= b))
 
 
-def _violated(position: Column, value: Column, quoted: Column, rules: tuple[FieldRule, ...]) -> Column:
-    control = F.when(quoted, value.rlike(r"[\p{Cc}\x{FFFD}&&[^\t]]")).otherwise(value.rlike(r"[\p{Cc}\x{FFFD}]"))
-    by_rule = F.lit(False)
-    for r in rules:
-        fails = ~value.rlike(r.pattern)
-        if r.field == "span":
-            bounds = F.split(F.substring_index(value, ":", -1), "-")
-            fails = fails | ~F.coalesce(_not_greater(F.get(bounds, F.lit(0)), F.get(bounds, F.lit(1))), F.lit(False))
-        by_rule = F.when(position == r.position, fails).otherwise(by_rule)
-    return control | by_rule
+def _violated(value: Column, quoted: Column) -> Column:
+    """Whether a cell breaks the rule that it was joined to; the rule's columns decide."""
+    control = value.rlike(r"[\p{Cc}\x{FFFD}&&[^\t]]") | (~quoted & F.contains(value, F.lit("\t")))
+    bounds = F.split(F.substring_index(value, ":", -1), "-")
+    in_order = F.coalesce(_not_greater(F.get(bounds, F.lit(0)), F.get(bounds, F.lit(1))), F.lit(False))
+    return control | ~F.regexp_like(value, F.col("pattern")) | (F.col("ordered") & ~in_order)
 
 
 def parse_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -110,8 +110,8 @@ def violations(parsed: DataFrame, rules: tuple[FieldRule, ...] = GOLD_RULES) ->
     cells = (
         parsed.where(F.col("well_formed") & (F.size("cells") == len(rules)))
         .select(*key, F.posexplode("cells").alias("position", "cell"))
-        .join(F.broadcast(rule_table(parsed.sparkSession, rules)), "position")
-        .where(_violated(F.col("position"), _unquoted(F.col("cell")), F.col("cell").startswith('"'), rules))
+        .join(F.broadcast(rule_table(parsed.sparkSession, rules)), "position")  # one row for each column
+        .where(_violated(_unquoted(F.col("cell")), F.col("cell").startswith('"')))
         .select(*key, F.lit(2).alias("rank"), "field")
     )
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.min("rank") + 1)

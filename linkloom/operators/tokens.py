@@ -2,78 +2,150 @@
 
 Tokens are runs of letters, marks and digits or single other characters, with code-point offsets; white
 space carries the offsets but makes no token. A sentence ends behind an end mark or a line break. Null or
-empty texts have no tokens. Windows are per document, so that a task holds one document at most.
+empty texts have no tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import sys
+import unicodedata
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import compress
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import text as X
 
-PIECE = r"\s+|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
 END_MARKS = (".", "!", "?", "。", "！", "？", "।")
 BIN = 256
 
 
+_BLANK = " \t\n\x0b\f\r"  # white space of the JVM's patterns
+_IS_BLANK, _CLOSES = 1, 2
+_TOKEN = "struct<tok_id:int,token:string,start:long,end:long>"
+
+
+@lru_cache(maxsize=1)
+def _piece() -> re.Pattern:
+    """White space, a run of letters, marks and digits, or another single character; classes as ranges, which match fastest."""
+    inside = [unicodedata.category(chr(c))[0] in "LMN" for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(1, len(inside)) if inside[c] != inside[c - 1]]  # no letter is the first character
+    ranges = "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2] + [len(inside)] * (len(edges) % 2), strict=True))
+    return re.compile(rf"[{_BLANK}]+|[{ranges}]+|[^{_BLANK}{ranges}]")
+
+
+class _Flags(dict):
+    """Piece -> whether it is white space and whether it ends a sentence; emptied when it grows large."""
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        blank = piece[0] in _BLANK
+        self[piece] = flags = _IS_BLANK * blank + _CLOSES * (piece in END_MARKS or (blank and "\n" in piece))
+        return flags
+
+
+_FLAGS = _Flags()
+
+
+def _pieces(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(tokens, their end offsets, their sentences)."""
+    found = _piece().findall(text)
+    flags = np.fromiter(map(_FLAGS.__getitem__, found), dtype=np.int8, count=len(found))
+    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+    closes = flags >= _CLOSES
+    kept = flags & _IS_BLANK == 0
+    return list(compress(found, kept.tolist())), ends[kept], (np.cumsum(closes) - closes)[kept]
+
+
+def token_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(doc_id, lang, sent_id, toks): the tokens (tok_id, token, start, end) of each sentence; no shuffle.
+
+    Running offsets and numbers are made where the text is cut, so that no token has to be sorted.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = pa.struct([("tok_id", pa.int32()), ("token", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+        for batch in batches:
+            of, sent, sizes, words, ids, ends = [], [], [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                found, end, sentence = _pieces(text)
+                if found:
+                    number, count = np.unique(sentence, return_counts=True)
+                    of.append(np.full(len(number), row))
+                    sent.append(number)
+                    sizes.append(count)
+                    words += found
+                    ids.append(np.arange(len(found), dtype=np.int32))
+                    ends.append(end)
+            if not of:
+                continue
+            token = pa.array(words, pa.string())
+            end = np.concatenate(ends)
+            start = end - np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            parts = pa.StructArray.from_arrays([pa.array(np.concatenate(ids)), token, pa.array(start), pa.array(end)], fields=list(fields))
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            rows = pa.array(np.concatenate(of))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("lang").take(rows), pa.array(np.concatenate(sent)), pa.ListArray.from_arrays(pa.array(bounds), parts)],
+                names=["doc_id", "lang", "sent_id", "toks"],
+            )
+
+    narrow = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    kinds = dict(narrow.dtypes)
+    return narrow.mapInArrow(cut, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, sent_id long, toks array<{_TOKEN}>")
+
+
 def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, tok_id, token, start, end, sent_id); tok_id and sent_id count from 0."""
-    pieces = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.posexplode(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).alias("pos", "piece")
-    )
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    blank = F.col("piece").rlike(r"^\s")
-    ends = F.when(F.col("piece").isin(*END_MARKS) | (blank & F.col("piece").contains("\n")), 1).otherwise(0)
-    placed = pieces.select(
-        "*",
-        blank.alias("blank"),
-        F.sum(F.length("piece")).over(so_far).alias("end"),
-        F.coalesce(F.sum(F.when(blank, 0).otherwise(1)).over(before), F.lit(0)).cast("int").alias("tok_id"),
-        F.coalesce(F.sum(ends).over(before), F.lit(0)).alias("sent_id"),
-    )
-    return placed.where("not blank").select(
-        "doc_id", "lang", "tok_id", F.col("piece").alias("token"), (F.col("end") - F.length("piece")).alias("start"), "end", "sent_id"
-    )
+    each = token_lists(docs, doc_id, text, lang).select("doc_id", "lang", "sent_id", F.explode("toks").alias("t"))
+    return each.select("doc_id", "lang", "t.tok_id", "t.token", "t.start", "t.end", "sent_id")
 
 
-def _with_stops(toks: DataFrame, stop_words: DataFrame | None) -> DataFrame:
-    cut = toks.withColumn("cut", X.cut_apostrophe(F.col("token")))
-    if stop_words is None:
-        return cut.withColumn("_stop", F.lit(False))
-    stops = stop_words.select("lang", F.col("word").alias("_w")).distinct().withColumn("_stop", F.lit(True))
-    on = (cut["lang"] == stops["lang"]) & (F.lower("cut") == F.col("_w"))
-    return cut.join(F.broadcast(stops), on, "left").select(cut["*"], F.coalesce("_stop", F.lit(False)).alias("_stop"))
+def listed(toks: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` as rows of ``token_lists``; lists stay as they are."""
+    if "toks" in toks.columns:
+        return toks
+    each = F.array_sort(F.collect_list(F.struct(F.col("tok_id").cast("int"), "token", F.col("start").cast("long"), F.col("end").cast("long"))))
+    return toks.groupBy("doc_id", "lang", "sent_id").agg(each.alias("toks"))
 
 
 def ngrams_upto(toks: DataFrame, longest: int, stop_words: DataFrame | None = None) -> DataFrame:
-    """(doc_id, lang, sent_id, tok_id, n, surface, start, end, is_stop) of 1 to ``longest`` tokens in one sentence, in one pass.
+    """(doc_id, lang, sent_id, tok_id, n, surface, start, end, is_stop) of 1 to ``longest`` tokens in one sentence.
 
-    Tokens are cut at the apostrophe; an n-gram of stop words only is flagged.
+    ``toks`` are rows of ``token_lists`` (cut without a shuffle) or of ``tokens``. Tokens are cut at the
+    apostrophe; an n-gram of stop words only is flagged. The stop words travel as one row for each language.
     """
-    order = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
-    cut = _with_stops(toks, stop_words)
-    ahead = lambda c, k: F.lead(c, k).over(order) if k else F.col(c)
-    placed = cut.select(
-        "doc_id", "lang", "sent_id", "tok_id", "start",
-        *[ahead("end", k).alias(f"_e{k}") for k in range(longest)],
-        *[ahead("cut", k).alias(f"_c{k}") for k in range(longest)],
-        *[ahead("_stop", k).alias(f"_s{k}") for k in range(longest)],
-    )
-
-    def gram(n: int) -> Column:
-        stop = F.col("_s0")
-        for k in range(1, n):
-            stop = stop & F.col(f"_s{k}")
-        words = F.array(*[F.col(f"_c{k}") for k in range(n)])
-        return F.struct(F.lit(n).alias("n"), F.col(f"_e{n - 1}").alias("end"), X.join_ngram(words, F.col("lang")).alias("surface"), stop.alias("is_stop"))
-
-    each = placed.select("doc_id", "lang", "sent_id", "tok_id", "start", F.explode(F.array(*[gram(n) for n in range(1, longest + 1)])).alias("g"))
-    return each.where("g.end is not null").select("doc_id", "lang", "sent_id", "tok_id", "g.n", "g.surface", "start", "g.end", "g.is_stop")
+    lists = listed(toks)
+    cut = F.transform("toks", lambda t: X.cut_apostrophe(t["token"]))
+    if stop_words is None:
+        marked = lists.withColumn("_stops", F.array().cast("array<string>"))
+    else:
+        stops = stop_words.where("lang is not null").groupBy("lang").agg(F.collect_set("word").alias("_stops"))
+        marked = lists.join(stops, "lang", "left").withColumn("_stops", F.coalesce("_stops", F.array().cast("array<string>")))
+    marked = marked.select("doc_id", "lang", "sent_id", "toks", cut.alias("_cut"), "_stops")
+    marked = marked.withColumn("_stop", F.transform("_cut", lambda c: F.array_contains("_stops", F.lower(c))))
+    at = marked.select("doc_id", "lang", "sent_id", "toks", "_cut", "_stop", F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("_i"))
+
+    # single look-ups instead of functions over slices, which the JVM doesn't compile
+    ahead = lambda c, k: F.get(c, F.col("_i") + k)
+    blank = F.when(F.col("lang") == "zh", F.lit("")).otherwise(F.lit(" "))
+    surface, stop, grams = ahead("_cut", 0), ahead("_stop", 0), []
+    for n in range(1, longest + 1):
+        if n > 1:
+            surface, stop = F.concat(surface, F.coalesce(blank, F.lit(" ")), ahead("_cut", n - 1)), stop & ahead("_stop", n - 1)
+        gram = F.struct(F.lit(n).alias("n"), ahead("toks", n - 1)["end"].alias("end"), surface.alias("surface"), stop.alias("is_stop"))
+        grams.append(F.when(F.col("_i") + n <= F.size("toks"), gram))
+    fits = F.array(*grams)
+    first = F.get("toks", F.col("_i"))
+    each = at.select("doc_id", "lang", "sent_id", first["tok_id"].alias("tok_id"), first["start"].alias("start"), F.explode(fits).alias("g"))
+    return each.where("g is not null").select("doc_id", "lang", "sent_id", "tok_id", "g.n", "g.surface", "start", "g.end", "g.is_stop")
 
 
 def ngrams(toks: DataFrame, n: int, stop_words: DataFrame | None = None) -> DataFrame:

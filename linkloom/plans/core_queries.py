@@ -17,12 +17,25 @@ from linkloom.functions import vectors as V
 from linkloom.operators import anchors, candidates, coref, evaluate, intervals, kb, ner, ranking, rejects, titles, tokens
 from linkloom.operators.numbering import numbered
 from linkloom.plans import pipeline
-from linkloom.session import table
+from linkloom.session import spread, table
 from linkloom.sources import documents, dumps, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
+
+
+def _kb_form(x: str) -> str:
+    """SQL of the knowledge base's form of a title."""
+    t = f"replace({x}, ' ', '_')"
+    cased = f"array_to_string(list_transform(list_filter(string_split({t}, '_'), lambda x: x != ''), lambda x: upper(x[1:1]) || x[2:]), '_')"
+    return f"case when lower({t}) = {t} then {cased} else {t} end"
+
+
+def _kb_lang(x: str) -> str:
+    return f"case {x} when 'zh' then 'zh-cn' else {x} end"
+
+
 _PIECES = r"regexp_extract_all(text, '\s+|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')"
 # Named relations of the SQL twins, in the order in which they build on each other.
 _CTE = {
@@ -45,18 +58,26 @@ _CTE = {
     "wanted": "select distinct lang, lower(trim(surface, ' ')) as surface from m where lang is not null and surface is not null",
     "cand": """select * from (select lang, surface, title, cnt, p_title_given_surface, p_surface_given_title,
         row_number() over (partition by lang, surface order by p_title_given_surface desc, title)::int as rank from stat join wanted using (lang, surface)) where rank <= 10""",
+    "gram_tg": r"""select lang, title, unnest(list_distinct(case when length(x) >= 4 then list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4)) else [x] end)) as gram
+        from (select distinct lang, title, lower(trim(replace(title, '_', ' '), ' ')) as x from stat)""",
+    "gram_sg": r"""select lang, surface, unnest(list_distinct(case when length(surface) >= 4 then list_transform(range(1, length(surface) - 2), lambda i: substr(surface, i, 4)) else [surface] end)) as gram
+        from wanted where surface != ''""",
+    "gram_shared": r"""select sg.lang, surface, title, count(*)::int as shared from gram_sg sg join gram_tg tg on tg.lang = sg.lang and tg.gram = sg.gram group by all""",
+    "gram_cand": """select lang, surface, title, shared, rank from (select *, row_number() over (partition by lang, surface order by shared desc, title)::int as rank from gram_shared) where rank <= 10""",
     "title_map": """select f.lang, f.title, min(lower(replace(e.en_title, ' ', '_'))) as en_title
         from (select distinct mid, lang, lower(replace(title, ' ', '_')) as title from kb_titles where lang != 'en' and mid is not null and title is not null) f
         join (select mid, min(title) as en_title from kb_titles where lang = 'en' and mid is not null and title is not null group by mid) e using (mid)
         group by f.lang, f.title""",
-    "title_mid": "select title, lang, min(mid) as mid from kb_titles where title is not null and lang is not null and mid is not null group by title, lang",
+    "title_mid": f"select {_kb_form('title')} as title, {_kb_lang('lang')} as lang, min(mid) as mid from kb_titles where title is not null and lang is not null and mid is not null group by all",
     "cand_title": "select distinct lang, title from cand",
-    "cand_mid": """select c.lang, c.title, coalesce(a.mid, b.mid, d.mid) as mid,
+    "cand_mid": f"""select c.lang, c.title, coalesce(a.mid, b.mid, d.mid) as mid,
             case when a.mid is not null then 1 when b.mid is not null then 2 when d.mid is not null then 3 end as mid_try
         from cand_title c left join title_map t using (lang, title)
-        left join title_mid a on a.title = c.title and a.lang = c.lang
-        left join title_mid b on b.title = c.title and b.lang = 'en'
-        left join title_mid d on d.title = t.en_title and d.lang = 'en'""",
+        left join title_mid a on a.title = {_kb_form('c.title')} and a.lang = {_kb_lang('c.lang')}
+        left join title_mid b on b.title = {_kb_form('c.title')} and b.lang = 'en'
+        left join title_mid d on d.title = {_kb_form('t.en_title')} and d.lang = 'en'""",
+    "surface_mid": """select c.lang, c.surface, coalesce(arg_min(k.mid, c.rank) filter (where k.mid is not null), 'NIL') as mid, list(k.mid) as mids
+        from cand c join cand_mid k on k.lang = c.lang and k.title = c.title group by c.lang, c.surface""",
     "coarse": r"""select mid, list_sort(list_distinct(flatten(list_transform(types, lambda t: string_split(lower(t), '.'))))) as coarse from kb_types""",
     "redirect": """select p.lang, p.title, min(lower(replace(r.target_title, ' ', '_'))) as target
         from (select distinct page_id, lang, lower(replace(title, ' ', '_')) as title from wiki_pages where ns = 0 and title is not null) p
@@ -147,8 +168,12 @@ def _title_map(spark: SparkSession, d: str) -> DataFrame:
     return titles.title_map(table(spark, d, "kb_titles"))
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
 def _toks(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.tokens(table(spark, d, "documents"))
+    return tokens.tokens(_docs(spark, d))
 
 
 # -- rows that fail to parse -------------------------------------------------------------------------------------
@@ -158,7 +183,7 @@ _CELL = r'"(?:[^"]|"")*"|[^"\t][^\t]*|'
 _BAD = r"[\p{Cc}\x{FFFD}]"
 
 
-@_query(rf"""l as (select distinct line_id, line, regexp_replace(line, '\r$', '') as x from raw_lines),
+_LINES = rf"""l as (select distinct line_id, line, regexp_replace(line, '\r$', '') as x from raw_lines),
     p as (select line_id, coalesce(regexp_full_match(x, '(?:{_CELL})(?:\t(?:{_CELL}))*'), true) as formed, coalesce(regexp_extract_all(chr(9) || x, '\t({_CELL})', 1), []) as c from l),
     v as (select line_id, formed, c, list_transform(c, lambda q: case when starts_with(q, '"') then replace(q[2:length(q) - 1], '""', '"') else q end) as f,
         list_bool_or(list_transform(c, lambda q: regexp_matches(case when starts_with(q, '"') then replace(q, chr(9), '') else q end, '{_BAD}'))) as control from p),
@@ -166,13 +191,18 @@ _BAD = r"[\p{Cc}\x{FFFD}]"
     r as (select line_id, case when not formed then 'quoting' when len(c) != 7 then 'columns'
         when control or f[1] != 'gold' or not regexp_full_match(f[2], 'EDL_[0-9]{{10}}') or not regexp_matches(f[3], '[^\s\p{{Z}}]')
             or not regexp_full_match(f[4], '(?:ENG|SPA|CMN)_(?:NW|DF)_[0-9]{{10}}:[0-9]+-[0-9]+') or not (length(a) < length(b) or (length(a) = length(b) and a <= b))
-            or not regexp_full_match(f[5], '(?:m\.[a-z0-9]+|NIL[0-9]{{5}})') or f[6] not in ('PER', 'ORG', 'GPE', 'LOC', 'FAC') or f[7] not in ('NAM', 'NOM') then 'value' end as reason from s)
-    select line_id, reason from r where reason is not null""")
+            or not regexp_full_match(f[5], '(?:m\.[a-z0-9]+|NIL[0-9]{{5}})') or f[6] not in ('PER', 'ORG', 'GPE', 'LOC', 'FAC') or f[7] not in ('NAM', 'NOM') then 'value' end as reason from s)"""
+
+
+@_query(_LINES + " select line_id, reason from r where reason is not null")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rejects.violations(rejects.parse_lines(table(spark, d, "raw_lines"))).select("line_id", "reason")
 
 
-@_query()
+@_query(_LINES + """ select line_id, f[2] as entry_id, f[3] as surface, split_part(f[4], ':', 1) as doc_name, try_cast(split_part(split_part(f[4], ':', 2), '-', 1) as bigint) as start_offset,
+        try_cast(split_part(split_part(f[4], ':', 2), '-', 2) as bigint) + 1 as end_offset, f[5] as mid, f[6] as mention_type, f[7] as noun_type,
+        case f[4][1:3] when 'ENG' then 'en' when 'SPA' then 'es' else 'zh' end as lang
+    from s join r using (line_id) where r.reason is null""")
 def p1_mentions(spark: SparkSession, d: str) -> DataFrame:
     return rejects.load_gold_lines(table(spark, d, "raw_lines"))[0]
 
@@ -257,16 +287,7 @@ def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
     return candidates.ngram_candidates(grams, _stat(spark, d), words)
 
 
-@_query(r"""tg as (select lang, title, unnest(list_distinct(case when length(x) >= 4 then list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4)) else [x] end)) as gram
-        from (select distinct lang, title, lower(trim(replace(title, '_', ' '), ' ')) as x from stat)),
-    sg as (select lang, surface, unnest(list_distinct(case when length(surface) >= 4 then list_transform(range(1, length(surface) - 2), lambda i: substr(surface, i, 4)) else [surface] end)) as gram
-        from wanted where surface != ''),
-    n_all as (select lang, surface, count(*) as n from sg group by all),
-    freq as (select lang, gram, count(*) as df from tg group by all),
-    asked as (select lang, surface, gram from (select lang, surface, gram, n, row_number() over (partition by lang, surface order by df, gram) as p from sg join freq using (lang, gram) join n_all using (lang, surface)) where p <= ceil(n / 2)),
-    pair as (select distinct lang, surface, title from asked join tg using (lang, gram)),
-    shared as (select p.lang, p.surface, p.title, count(*)::int as shared from pair p join sg on sg.lang = p.lang and sg.surface = p.surface join tg on tg.lang = p.lang and tg.title = p.title and tg.gram = sg.gram group by all)
-    select lang, surface, title, shared, rank from (select *, row_number() over (partition by lang, surface order by shared desc, title)::int as rank from shared) where rank <= 10""")
+@_query("select lang, surface, title, shared, rank from gram_cand")
 def candidates_by_grams(spark: SparkSession, d: str) -> DataFrame:
     return candidates.by_character_grams(_wanted(_mentions(spark, d)), _stat(spark, d))
 
@@ -426,7 +447,7 @@ def stop_words(spark: SparkSession, d: str) -> DataFrame:
         round(coalesce(ln(sum(df) over (partition by mention_id) / df), 0), 6) as idf
     from counted left join df using (lang, word)""")
 def context_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _docs(spark, d)
     context = tokens.context_words(_mentions(spark, d).select("mention_id", "doc_id", "start", "end"), tokens.tokens(docs), 5)
     scored = tokens.context_tfidf(context, tokens.document_frequency(docs))
     return scored.select("mention_id", "lang", "word", "tf", F.round("idf", 6).alias("idf"))
@@ -464,22 +485,22 @@ _WORD_VEC = "(length(word) * 131 + ascii(word) * 31) % num.n"
 @_query(f"""ctx as (select t.mention_id, k.lang, lower(k.token) as word from span_tok t join tok k on k.doc_id = t.doc_id
         and ((k.tok_id between t.first_tok - 5 and t.first_tok - 1) or (k.tok_id between t.last_tok + 1 and t.last_tok + 5))),
     counted as (select mention_id, lang, word, count(*) as cnt from ctx group by all),
-    w as (select mention_id, word, cnt / sum(cnt) over (partition by mention_id) * coalesce(ln(sum(df) over (partition by mention_id) / df), 0) as weight from counted left join df using (lang, word)),
-    v as (select w.mention_id, weight, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as p from w cross join num join embeddings on vec_id = {_WORD_VEC} where length(word) % 7 != 0),
+    w as (select mention_id, lang, word, cnt / sum(cnt) over (partition by mention_id) * coalesce(ln(sum(df) over (partition by mention_id) / df), 0) as weight from counted left join df using (lang, word)),
+    v as (select w.mention_id, weight, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as p from w cross join num join embeddings on vec_id = {_WORD_VEC} where w.lang is not null),
     mean as (select mention_id, p, case when sum(weight) = 0 then 0 else sum(weight * x) / sum(weight) end as a from v group by all),
     own as (select mention_id, unnest(embedding)::double as b, generate_subscripts(embedding, 1) as p from m cross join num join embeddings on vec_id = mention_id % num.n)
     select mention_id, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0), 5) as "W_CON30" from mean join own using (mention_id, p) group by mention_id""")
 def context_feature(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of the weighted context vector and the title's vector."""
-    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    """Cosine of the weighted context vector and the title's vector; words and titles stand for vectors of the table by their letters and numbers."""
+    docs, e = _docs(spark, d), table(spark, d, "embeddings")
     n = e.count()
     m = _mentions(spark, d)
     context = tokens.context_words(m.select("mention_id", "doc_id", "start", "end"), tokens.tokens(docs), 5)
     weighted = tokens.context_tfidf(context, tokens.document_frequency(docs))
-    vec_id = (F.length("word") * 131 + F.ascii("word") * 31) % n
-    keyed = weighted.withColumn("vec_id", vec_id)
+    words = weighted.select("lang", "word").distinct().withColumn("vec_id", (F.length("word") * 131 + F.ascii("word") * 31) % n)
     vectors = e.select("vec_id", F.col("embedding").alias("vec"))
-    means = ranking.mean_vector(keyed.join(vectors, "vec_id"), ["mention_id"], "weight")
+    of_words = words.join(vectors, "vec_id").select("lang", F.col("word").alias("key"), "vec")
+    means = ranking.context_vectors(weighted, of_words)
     titled = means.withColumn("vec_id", F.col("mention_id") % n).join(vectors, "vec_id")
     return titled.select("mention_id", F.round(V.cosine(F.col("mean"), F.col("vec")), 5).alias("W_CON30"))
 
@@ -561,11 +582,13 @@ _MAIN = "list_has_any(coalesce(t.types, []), ['people.person', 'organization.org
 
 @_query(f"""typed as (select m.mention_id, m.lang, lower(trim(m.surface, ' ')) as surface, lower(replace(m.gold_wiki_title, ' ', '_')) as gold, {_MAIN} as main, bool_or({_MAIN}) over (partition by m.doc_id) as any_main
         from m left join kb_types t using (mid)),
-    hit as (select typed.mention_id, typed.lang, case when c.rank = 1 then 'easy' else 'hard' end as kind from typed join cand c on c.lang = typed.lang and c.surface = typed.surface and c.title = typed.gold where main or not any_main),
+    hit as (select typed.mention_id, typed.lang, case when c.rank = 1 then 'easy' else 'hard' end as kind from typed join gram_cand c on c.lang = typed.lang and c.surface = typed.surface and c.title = typed.gold where main or not any_main),
     nums as (select *, row_number() over (partition by lang, kind order by md5(mention_id::varchar), mention_id) as n, sum(case when kind = 'hard' then 1 else 0 end) over (partition by lang) as n_hard from hit)
     select mention_id, lang, kind from nums where kind = 'hard' or n <= n_hard""")
 def train_selection(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.select_training(_mentions(spark, d), _cands(spark, d), table(spark, d, "kb_types"))
+    """Candidates by character grams, whose first one often isn't the gold title."""
+    m = _mentions(spark, d)
+    return ranking.select_training(m, candidates.by_character_grams(_wanted(m), _stat(spark, d)), table(spark, d, "kb_types"))
 
 
 @_query("""select mention_id as qid, rank, concat_ws(' ', case when lower(s.title) = lower(m.gold_wiki_title) then '2' else '1' end, 'qid:' || mention_id,
@@ -586,16 +609,16 @@ def train_ranker(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(r"""cut as (select t.*, split_part(token, '''', 1) as cut, w.word is not null as stop from tok t left join top_word w on w.lang = t.lang and w.word = lower(split_part(token, '''', 1))),
-    grams as (select doc_id, 1 as n, cut as g, stop from cut
-        union all select doc_id, 2, case when lang = 'zh' then cut || lead(cut) over o else cut || ' ' || lead(cut) over o end, stop and lead(stop) over o from cut window o as (partition by doc_id, sent_id order by tok_id)
-        union all select doc_id, 3, case when lang = 'zh' then cut || lead(cut) over o || lead(cut, 2) over o else cut || ' ' || lead(cut) over o || ' ' || lead(cut, 2) over o end, stop and lead(stop) over o and lead(stop, 2) over o
-            from cut window o as (partition by doc_id, sent_id order by tok_id))
+    sent as (select doc_id, lang, sent_id, list(cut order by tok_id) as c, list(stop order by tok_id) as st from cut group by all),
+    spot as (select *, unnest(range(1, len(c) + 1)) as i from sent),
+    grams as (select doc_id, n, case when lang = 'zh' then array_to_string(c[i:i + n - 1], '') else array_to_string(c[i:i + n - 1], ' ') end as g, list_bool_and(st[i:i + n - 1]) as stop
+        from spot, (values (1), (2), (3), (4)) size(n) where i + n - 1 <= len(c))
     select doc_id, n::int as n, count(*) as n_grams, count(distinct g) as n_distinct, sum(stop::int)::bigint as n_stop,
-        sum(regexp_matches(trim(g, ' '), '^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$')::int)::bigint as n_numbers from grams where g is not null group by doc_id, n""")
+        sum(regexp_matches(trim(g, ' '), '^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$')::int)::bigint as n_numbers from grams group by doc_id, n""")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    toks, stops = tokens.tokens(docs), tokens.top_words(docs).select("lang", "word")
-    grams = tokens.ngrams_upto(toks, 4, stops)
+    docs = _docs(spark, d)
+    stops = tokens.top_words(docs).select("lang", "word")
+    grams = tokens.ngrams_upto(tokens.token_lists(docs), 4, stops)
     return grams.groupBy("doc_id", "n").agg(
         F.count("*").alias("n_grams"), F.count_distinct("surface").alias("n_distinct"), F.sum(F.col("is_stop").cast("int")).alias("n_stop"), F.sum(X.is_number(F.col("surface")).cast("int")).alias("n_numbers")
     )
@@ -612,25 +635,28 @@ def _surface_types(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def ngram_propagation(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    found = ner.wikify_ngrams(tokens.tokens(docs), _surface_types(spark, d), tokens.top_words(docs).select("lang", "word"))
+    docs = _docs(spark, d)
+    found = ner.wikify_ngrams(tokens.token_lists(docs), _surface_types(spark, d), tokens.top_words(docs).select("lang", "word"))
     return found.withColumn("features", F.array_join("features", "|"))
 
 
 @_query(r"""phrase as (select distinct lang, lower(trim(replace(title, '_', ' '), ' ')) as g from kb_titles where lang is not null and title is not null),
-    cut as (select *, split_part(token, '''', 1) as cut from tok),
-    grams as (select doc_id, lang, 1 as n, s, e, cut as g from cut
-        union all select doc_id, lang, 2, s, lead(e) over o, case when lang = 'zh' then cut || lead(cut) over o else cut || ' ' || lead(cut) over o end from cut window o as (partition by doc_id, sent_id order by tok_id))
-    select doc_id, s as start, e as "end", n::int as n from grams join phrase on phrase.lang = grams.lang and phrase.g = lower(grams.g) where e is not null""")
+    longest as (select lang, max(case when lang = 'zh' then length(p) else len(string_split(p, ' ')) end) as longest
+        from (select lang, trim(replace(title, '_', ' '), ' ') as p from kb_titles where lang is not null and title is not null) group by lang),
+    sent as (select doc_id, lang, sent_id, list(split_part(token, '''', 1) order by tok_id) as c, list(s order by tok_id) as ss, list(e order by tok_id) as es from tok group by all),
+    spot as (select *, unnest(range(1, len(c) + 1)) as i from sent join longest using (lang)),
+    size as (select *, unnest(range(1, least(longest, len(c) - i + 1) + 1)) as n from spot),
+    grams as (select doc_id, lang, n, ss[i] as s, es[i + n - 1] as e, case when lang = 'zh' then array_to_string(c[i:i + n - 1], '') else array_to_string(c[i:i + n - 1], ' ') end as g from size)
+    select doc_id, s as start, e as "end", n::int as n from grams join phrase on phrase.lang = grams.lang and phrase.g = lower(grams.g)""")
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     """Titles of the knowledge base in texts, up to the longest title of a language."""
-    docs = table(spark, d, "documents")
+    docs = _docs(spark, d)
     phrases = table(spark, d, "kb_titles").where("lang is not null and title is not null").select("lang", F.replace("title", F.lit("_"), F.lit(" ")).alias("phrase"), F.lit("kb").alias("class"))
-    hits = ner.phrase_hits(tokens.tokens(docs.where("false")), phrases, 1)
+    hits = ner.phrase_hits(tokens.token_lists(docs.where("false")), phrases, 1)
     # the n-grams of a language are made up to its own longest phrase only
     for lang, longest in ner.longest_phrases(phrases).items():
         of_lang = F.col("lang") == lang
-        hits = hits.unionByName(ner.phrase_hits(tokens.tokens(docs.where(of_lang)), phrases.where(of_lang), longest))
+        hits = hits.unionByName(ner.phrase_hits(tokens.token_lists(docs.where(of_lang)), phrases.where(of_lang), longest))
     return hits.drop("class")
 
 
@@ -769,21 +795,24 @@ def candidate_maps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Predictions are the mentions with a prediction for the title; golds are those with a gold title."""
+    """Predictions are the mentions with a title, with the first mid that their candidates have; golds are those with a gold title."""
     m = _mentions(spark, d).withColumn("doc", F.col("doc_id").cast("string"))
-    cols = [F.col("mention_id").alias("id"), "doc", "start", "end", F.col("mention_type").alias("type"), "mid"]
-    pred = m.where("wiki_title is not null").select(*cols, F.array("mid").alias("cand_mids"))
-    gold = m.where("gold_wiki_title is not null").select(*cols)
+    found = kb.first_mid(kb.mid_chain(_cands(spark, d), table(spark, d, "kb_titles"), _title_map(spark, d)), ["lang", "surface"])
+    keyed = m.where("wiki_title is not null").withColumn("surface", X.normal_surface(F.col("surface"))).drop("mid").join(found, ["lang", "surface"], "left")
+    cols = [F.col("mention_id").alias("id"), "doc", "start", "end", F.col("mention_type").alias("type")]
+    pred = keyed.select(*cols, X.or_nil(F.col("mid")).alias("mid"), F.coalesce("mids", F.array().cast("array<string>")).alias("cand_mids"))
+    gold = m.where("gold_wiki_title is not null").select(*cols, "mid")
     return evaluate.match_gold(pred, gold), gold.agg(F.count("*").alias("n_gold"))
 
 
-_MATCH = """p as (select mention_id as id, doc_id::varchar as doc, s, e, mention_type as type, mid from m where wiki_title is not null),
+_MATCH = """p as (select mention_id as id, doc_id::varchar as doc, s, e, mention_type as type, coalesce(f.mid, 'NIL') as mid, coalesce(f.mids, []) as mids
+        from m left join surface_mid f on f.lang = m.lang and f.surface = lower(trim(m.surface, ' ')) where wiki_title is not null),
     g as (select mention_id as id, doc_id::varchar as doc, s, e, mention_type as type, mid from m where gold_wiki_title is not null),
-    hit as (select p.id, p.doc, p.type, p.mid, g.id as gid, g.type as gtype, g.mid as gmid from p left join g on p.s = g.s and p.e = g.e and starts_with(p.doc, g.doc)
+    hit as (select p.id, p.doc, p.type, p.mid, p.mids, g.id as gid, g.type as gtype, g.mid as gmid from p left join g on p.s = g.s and p.e = g.e and starts_with(p.doc, g.doc)
         qualify row_number() over (partition by p.id order by g.id) = 1),
-    flag as (select id, doc, gid is not null as span_ok, coalesce(gid is not null and type = gtype, false) as type_ok,
-        coalesce(gid is not null and type = gtype and ((starts_with(mid, 'NIL') and starts_with(gmid, 'NIL')) or mid = gmid), false) as link_ok,
-        false as in_candidates, coalesce(gid is not null and type = gtype and starts_with(gmid, 'NIL'), false) as nil_gold from hit)"""
+    linked as (select *, gid is not null as span_ok, coalesce(gid is not null and type = gtype, false) as type_ok,
+        coalesce(gid is not null and type = gtype and ((starts_with(mid, 'NIL') and starts_with(gmid, 'NIL')) or mid = gmid), false) as link_ok, coalesce(starts_with(gmid, 'NIL'), true) as gold_nil from hit),
+    flag as (select id, doc, span_ok, type_ok, link_ok, type_ok and not gold_nil and not link_ok and coalesce(list_contains(mids, gmid), false) as in_candidates, type_ok and gold_nil and span_ok as nil_gold from linked)"""
 
 
 @_query(_MATCH + " select * from flag")
@@ -798,11 +827,14 @@ def evaluate_prf(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.precision_recall(*_matched(spark, d))
 
 
-@_query("""select lang, noun_type, count(*) as n, sum((mid = 'NIL')::int)::bigint as n_nil, count(gold_wiki_title) as n_gold from m group by lang, noun_type""")
+@_query("""select lang, count(*) as n, sum((mid = 'NIL')::int)::bigint as n_nil, count(gold_wiki_title) as n_gold from m where lang in ('en', 'es', 'zh') and noun_type = 'NAM' group by lang""")
 def gold_slices(spark: SparkSession, d: str) -> DataFrame:
-    return _mentions(spark, d).groupBy("lang", "noun_type").agg(
-        F.count("*").alias("n"), F.sum((F.col("mid") == "NIL").cast("int")).alias("n_nil"), F.count("gold_wiki_title").alias("n_gold")
-    )
+    """The named gold mentions of each language of the evaluation."""
+    m, out = _mentions(spark, d), None
+    for lang in documents.DOC_LANGUAGE.values():
+        part = documents.gold_slice(m, lang)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("lang").agg(F.count("*").alias("n"), F.sum((F.col("mid") == "NIL").cast("int")).alias("n_nil"), F.count("gold_wiki_title").alias("n_gold"))
 
 
 @_query(r"""select mention_id, concat_ws(chr(9), 'RUN', (row_number() over (order by doc_id nulls first, s nulls first, mention_id) - 1)::varchar, coalesce(surface, ''), coalesce(doc_id || ':' || s || '-' || (e - 1), ''),
@@ -868,10 +900,13 @@ def kb_triples(spark: SparkSession, d: str) -> DataFrame:
     return dumps.kb_triples(good.unionByName(skipped))
 
 
-@_query(r"""f as (select line_id, string_split(regexp_replace(line, '\r$', ''), chr(9)) as p from raw_lines
-    where regexp_full_match(line, 'gold\t[^\t]*\t[^\t"]*\t(ENG|SPA|CMN)_(NW|DF)_[0-9]{1,9}[0-9]:[0-9]{1,8}-[0-9]{1,8}\t[^\t"]*\t[^\t"]*\t[^\t"\r]*\r?'))
-    select p[2] as id, p[3] as surface, split_part(p[4], ':', 1) as doc_name, split_part(split_part(p[4], ':', 2), '-', 1)::int as start, (split_part(split_part(p[4], ':', 2), '-', 2)::int + 1)::int as "end",
-        p[5] as mid, p[6] as mention_type, p[7] as noun_type, case substr(p[4], 1, 3) when 'ENG' then 'en' when 'SPA' then 'es' else 'zh' end as lang from f""")
+@_query(_LINES[: _LINES.index(",\n    v as")] + r""",
+    cells as (select p.line_id, case when formed then list_transform(c, lambda q: case when starts_with(q, '"') then replace(q[2:length(q) - 1], '""', '"') else q end) else string_split(l.x, chr(9)) end as f
+        from p join raw_lines r on r.line_id = p.line_id join l on l.line_id = p.line_id and l.line is not distinct from r.line),
+    b as (select *, split_part(f[4], ':', 1) as doc, string_split(split_part(f[4], ':', -1), '-') as bound from cells where len(f) >= 7),
+    n as (select *, case when regexp_full_match(bound[1], '[0-9]+') then try_cast(bound[1] as int) end as lo, case when regexp_full_match(bound[2], '[0-9]+') then try_cast(try_cast(bound[2] as hugeint) + 1 as int) end as hi,
+        case when contains(doc, 'CMN') then 'zh' when contains(doc, 'SPA') then 'es' when contains(doc, 'ENG') then 'en' end as lang from b)
+    select f[2] as id, f[3] as surface, doc as doc_name, lo as start, hi as "end", f[5] as mid, f[6] as mention_type, f[7] as noun_type, lang from n where lang is not null and lo is not null and hi is not null""")
 def gold_reader(spark: SparkSession, d: str) -> DataFrame:
     """Gold table rows of all lines; those that can't be read are the reader's rejects."""
     return documents.gold_lines(table(spark, d, "raw_lines"))[0]

@@ -30,17 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least a task for each core: a small table in one file is dealt out, a large one stays as it is read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    programmatic one exists (local tests) a temporary folder is set.
+    The cluster names it in ``spark.checkpoint.dir``. Where neither that setting nor a
+    programmatic one exists, a local session gets a temporary folder and a cluster an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = context.getConf().get("spark.checkpoint.dir")
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="linkloom-checkpoint-"))
     return context.getCheckpointDir()
 
