@@ -16,7 +16,8 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +74,10 @@ def _same_look(char: str) -> str:
 
 
 class _Prototypes(dict):
-    """Character -> prototype for ``str.translate``; filled when a character is met."""
+    """Character -> prototype for ``str.translate``; filled when a character is met.
+
+    ``more`` are look-alikes (character -> character) besides the fixed ones, which come first.
+    """
 
     fixed = {
         **{other: latin for latin, others in _LOOK_ALIKE.items() for other in others},
@@ -81,6 +85,10 @@ class _Prototypes(dict):
         **_RADICALS,
     }
 
+    def __init__(self, more: dict[str, str] | None = None) -> None:
+        super().__init__()
+        self.fixed = {**more, **self.fixed} if more else self.fixed
+
     def __missing__(self, point: int) -> str:
         char = chr(point)
         if _invisible(char):
@@ -97,21 +105,56 @@ class _Prototypes(dict):
 _PROTOTYPES = _Prototypes()
 
 
-def skeleton_text(text: str | None) -> str | None:
+def skeleton_text(text: str | None, prototypes: _Prototypes = _PROTOTYPES) -> str | None:
     """The skeleton of one text."""
     if text is None or text.isascii():
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_PROTOTYPES))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(prototypes))
 
 
-@F.pandas_udf(T.StringType())
-def _skeleton(texts: pd.Series) -> pd.Series:
-    return texts.map(skeleton_text, na_action="ignore")
+def look_alikes(spark: SparkSession) -> dict[str, str]:
+    """Character -> the character that it is drawn like, of all scripts, by the public confusables data of the JVM's ICU library.
 
-
-def skeleton(text: Column) -> Column:
-    """The skeleton of a string column; texts of ASCII letters only don't leave the JVM's fast path in Python."""
-    return _skeleton(text)
+    Its prototypes unite some ASCII characters that readers of names tell apart (``l``, ``I``, ``1``); of such a class the
+    one of the character's own kind (capital, small letter, digit) is meant. Pairs of different kinds (a letter and a digit) and
+    prototypes of several characters are left out. Without ICU the table is empty and the fixed look-alikes remain.
+    """
+    kind = unicodedata.category
+    try:
+        checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        chars = [c for c in map(chr, range(0x80, 0x20000)) if kind(c)[0] in "LMNPS" and not unicodedata.decomposition(c)]
+        mark = "\ue000"  # of private use, so its own prototype
+        found = dict(zip(chars, checker.getSkeleton(mark.join(chars)).split(mark), strict=True))
+        ascii_of: dict[str, list[str]] = {}
+        for c in map(chr, range(0x21, 0x7F)):
+            ascii_of.setdefault(checker.getSkeleton(c), []).append(c)
+    except (AttributeError, TypeError, Py4JError):
+        return {}
+    out = {}
+    for c, prototype in found.items():
+        if prototype in ascii_of:
+            same = [a for a in ascii_of[prototype] if kind(a) == kind(c) or (len(ascii_of[prototype]) == 1 and kind(a)[0] == kind(c)[0])]
+            prototype = same[0] if len(same) == 1 else c
+        if prototype != c and len(prototype) == 1 and kind(prototype)[0] == kind(c)[0]:
+            out[c] = prototype
+    return out
+
+
+def _skeletons(more: dict[str, str] | None):
+    known: list[_Prototypes] = []
+
+    @F.pandas_udf(T.StringType())
+    def of(texts: pd.Series) -> pd.Series:
+        if not known:
+            known.append(_Prototypes(more))
+        return texts.map(lambda t: skeleton_text(t, known[0]), na_action="ignore")
+
+    return of
+
+
+def skeleton(text: Column, more: dict[str, str] | None = None) -> Column:
+    """The skeleton of a string column, by the fixed look-alikes and ``more`` (as of ``look_alikes``)."""
+    return _skeletons(more)(text)
 
 
 def consistent_text(text: str | None) -> str | None:
@@ -123,16 +166,19 @@ def same_look_pairs(rows: DataFrame, fields: tuple[str, ...], row_id: str, withi
     """(field_name, <row_id>_a, <row_id>_b): rows of one ``within`` group whose values look the same but are stored differently.
 
     Only look-alike groups that hold at least two stored forms take part in the self-join, and the
-    join pairs different forms only; copies of one form never meet. Values travel as 64-bit hashes, so
-    that two could be mistaken for each other only if they collide inside one group.
+    join pairs different forms only; copies of one form never meet. Looks travel as two independent 64-bit
+    hashes and stored values as one: unequal hashes prove values unequal, and two looks pass for one only if both
+    of their hashes collide inside one group.
     """
+    more = look_alikes(rows.sparkSession)
     long = rows.select(
         F.col(within).alias("grp"),
         F.col(row_id).alias("id"),
         F.posexplode(F.array(*[F.col(f) for f in fields])).alias("field", "value"),
     ).where("grp is not null and id is not null and value is not null")
-    keyed = long.select("grp", "field", F.xxhash64(skeleton(F.col("value"))).alias("look"), F.xxhash64("value").alias("stored"), "id")
-    key = ["grp", "field", "look"]
+    looked = long.select("grp", "field", skeleton(F.col("value"), more).alias("look"), "value", "id")
+    keyed = looked.select("grp", "field", F.xxhash64("look").alias("look"), F.xxhash64(F.lit(1), "look").alias("look_2"), F.xxhash64("value").alias("stored"), "id")
+    key = ["grp", "field", "look", "look_2"]
     mixed = keyed.groupBy(*key).agg(F.min("stored").alias("least"), F.max("stored").alias("most")).where("least != most").select(*key)
     part = keyed.join(mixed, key, "left_semi").distinct()
     a = part.select(*key, F.col("id").alias("a"), F.col("stored").alias("stored_a"))
@@ -151,7 +197,7 @@ def look_groups(rows: DataFrame, field: str) -> DataFrame:
     """(form, originals, n_rows): the stored originals of each skeleton; counts are made before the forms meet."""
     counted = rows.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("stored")).count()
     return (
-        counted.withColumn("form", skeleton(F.col("stored")))
+        counted.withColumn("form", skeleton(F.col("stored"), look_alikes(rows.sparkSession)))
         .groupBy("form")
         .agg(F.array_sort(F.collect_list("stored")).alias("originals"), F.sum("count").alias("n_rows"))
     )

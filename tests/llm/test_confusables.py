@@ -28,3 +28,13 @@ def test_pairs(spark):
     assert C.same_look_pairs(df.where("false"), ("surface",), "mention_id", "doc_id").count() == 0
     groups = {r["form"]: (r["originals"], r["n_rows"]) for r in C.look_groups(df, "surface").collect()}
     assert groups == {"a b": (["a b", "a b"], 7)}
+
+
+def test_table_of_look_alikes(spark):
+    """Letters of other scripts go to the ASCII letter of their own kind; ASCII stays, and so do letters that look like digits."""
+    more = C.look_alikes(spark)
+    assert len(more) > 500
+    assert not any(c.isascii() for c in more)
+    looks = lambda a, b: C.skeleton_text(a, C._Prototypes(more)) == C.skeleton_text(b, C._Prototypes(more))
+    assert looks("Ꭺnn", "Ann") and looks("ᴄat", "cat") and looks("ⅼong", "long")
+    assert not looks("З", "3") and not looks("l", "I") and not looks("ñ", "n") and not looks("漢", "汉")
