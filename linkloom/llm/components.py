@@ -37,31 +37,29 @@ def group_ids(links: DataFrame, src: str, dst: str, max_rounds: int = 60) -> Dat
     """(vertex, group_id): for every linked vertex the least vertex it is linked with, directly or not."""
     graph = cut_lineage(_both_ways(links.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a != b")))
     forest: list[DataFrame] = []
-    seeds: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if graph.isEmpty():
-            break
+    stay: list[tuple[DataFrame, DataFrame]] = []
+    while not graph.isEmpty():
+        if len(stay) == max_rounds:
+            raise RuntimeError(f"links remain after {max_rounds} rounds")
         least = _least_of_neighbourhood(graph)
-        told = cut_lineage(
-            graph.join(least, "a").select(F.col("b").alias("v"), "least").unionByName(least.select(F.col("a").alias("v"), "least")).distinct()
-        )
+        # two steps read what was told: it is kept until both are through, and would be made again from the graph if lost
+        told = graph.join(least, "a").select(F.col("b").alias("v"), "least").unionByName(least.select(F.col("a").alias("v"), "least")).persist()
         chosen = told.groupBy("v").agg(F.min("least").alias("root"), F.max("least").alias("most"), F.max(F.col("least") == F.col("v")).alias("stays"))
         chosen = cut_lineage(chosen)
         forest.append(chosen.where("not stays").select(F.col("root").alias("parent"), F.col("v").alias("child")))
         several = chosen.where("root != most").select("v", "root")
         graph = cut_lineage(_both_ways(told.join(several, "v").where("least != root").select(F.col("least").alias("a"), F.col("root").alias("b"))))
-        kept = chosen.where("stays").select("v")
-        seeds.append(cut_lineage(kept.join(graph.select(F.col("a").alias("v")).distinct(), "v", "left_anti")))
-    else:
-        if not graph.isEmpty():
-            raise RuntimeError(f"links remain after {max_rounds} rounds")
-    if not seeds:
+        told.unpersist()
+        stay.append((chosen.where("stays").select("v"), graph))
+    if not stay:
         return graph.select(F.col("a").alias("vertex"), F.col("b").alias("group_id"))
     found = None
-    for level in reversed(range(len(seeds))):
-        here = seeds[level].select(F.col("v").alias("vertex"), F.col("v").alias("group_id"))
+    for (kept, rest), fallen in zip(reversed(stay), reversed(forest), strict=True):
+        # what stayed without a link is the seed of its group
+        seeds = kept.join(rest.select(F.col("a").alias("v")).distinct(), "v", "left_anti")
+        here = seeds.select(F.col("v").alias("vertex"), F.col("v").alias("group_id"))
         found = here if found is None else found.unionByName(here)
-        below = forest[level].join(found.withColumnRenamed("vertex", "parent"), "parent").select(F.col("child").alias("vertex"), "group_id")
+        below = fallen.join(found.withColumnRenamed("vertex", "parent"), "parent").select(F.col("child").alias("vertex"), "group_id")
         found = cut_lineage(found.unionByName(below))
     return found
 
