@@ -13,7 +13,9 @@ book brackets. A quotation at the start of a sentence and the clause that report
 Defined results: spans count Unicode code points, ends are exclusive, white space around a span is
 left out; a null, empty or blank text has no sentence; a language that is null or unknown is replaced
 by the one its script suggests, unit by unit; repeated rows give repeated results; texts are processed
-whole, whatever their length; other columns are ignored.
+whole, whatever their length; other columns are ignored. English, Spanish, German, French, Italian,
+Portuguese, Russian, Hindi, Chinese and Thai have rules of their own; other languages of the Latin script
+take the English ones, other scripts those for all end marks of Unicode.
 """
 
 from __future__ import annotations
@@ -52,6 +54,11 @@ _SPANISH_INSIDE = ("Sr", "Sra", "Srta", "Sres", "Dr", "Dra", "D", "Dña", "Lic",
 _RUSSIAN_INSIDE = ("г", "гг", "ул", "пр", "пл", "д", "кв", "корп", "стр", "с", "рис", "табл", "гл", "см", "См", "ср", "Ср", "т", "им", "проф", "Проф", "акад", "доц", "др", "Лаб", "лаб", "Инст", "Унив", "тыс", "млн", "млрд", "руб", "напр", "до н", "т. д", "т. п", "т. е")
 _HINDI_INSIDE = ("डॉ", "श्री", "प्रो", "सं", "कु", "पं", "रु", "कि.मी")
 
+_GERMAN_INSIDE = ("Dr", "Prof", "Hr", "Fr", "Nr", "Bd", "Abb", "Abs", "Art", "bzw", "ca", "vgl", "ggf", "inkl", "exkl", "evtl", "Str", "St", "Mio", "Mrd", "Tel", "Aufl", "Hrsg", "Kap", "sog", "Jh")
+_FRENCH_INSIDE = ("M", "MM", "Mme", "Mlle", "Dr", "Pr", "Me", "St", "Ste", "art", "fig", "vol", "p", "pp", "cf", "av", "apr", "env", "no", "ex")
+_ITALIAN_INSIDE = ("Sig", "Sigg", "Dott", "Prof", "Ing", "Avv", "On", "art", "fig", "vol", "pag", "pagg", "cfr", "n", "ca", "es", "sec")
+_PORTUGUESE_INSIDE = ("Sr", "Sra", "Dr", "Dra", "Prof", "Profa", "Eng", "Exmo", "Av", "art", "fig", "vol", "pág", "págs", "cf", "n", "ex", "séc")
+
 TABLES: dict[str, tuple[Rule, ...]] = {
     "common": (
         # the marker of a numbered line, decimals, times and things glued together
@@ -107,6 +114,24 @@ TABLES: dict[str, tuple[Rule, ...]] = {
         Rule(True, rf"(?:[。！？…]|(?<!\p{{N}})[!?]){CLOSERS}*", r"\s*\S"),
         Rule(True, rf"\p{{Han}}\.{CLOSERS}*", r"\s*\S"),
     ),
+    "de": (
+        Rule(False, _words(*_GERMAN_INSIDE), r""),
+        Rule(False, r"(?<!\p{L})(?:z|d|u|o|i|s|v)\.", r"\s?(?:B|h|a|Ä|ä|d|R|u|o)\."),
+        Rule(False, r"(?<!\p{L})(?:z\.\s?B|d\.\s?h|u\.\s?a|o\.\s?Ä|i\.\s?d\.\s?R|s\.\s?u|s\.\s?o)\.", r""),
+        Rule(False, r"(?<!\p{L})(?:usw|etc)\.", r"\s*\p{Ll}"),
+        # an ordinal number or a day of a month
+        Rule(False, r"(?<!\p{L})\p{N}{1,2}\.", r"\s+(?:\p{Ll}|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)"),
+    ),
+    "fr": (Rule(False, _words(*_FRENCH_INSIDE), r""), Rule(False, r"(?<!\p{L})etc\.", r"\s*\p{Ll}")),
+    "it": (Rule(False, _words(*_ITALIAN_INSIDE), r""), Rule(False, r"(?<!\p{L})ecc\.", r"\s*\p{Ll}")),
+    "pt": (Rule(False, _words(*_PORTUGUESE_INSIDE), r""), Rule(False, r"(?<!\p{L})etc\.", r"\s*\p{Ll}")),
+    # any other script: its own end marks, which nothing else is written with
+    "any": (
+        Rule(False, rf"\p{{Sentence_Terminal}}{CLOSERS}*", r"\s*[,;:\p{Sentence_Terminal}]"),
+        Rule(True, rf"(?![.!?])\p{{Sentence_Terminal}}{CLOSERS}*", r"\s*\S"),
+        Rule(False, r"\.", r"\s*\p{N}"),
+        Rule(True, rf"[.!?…]{CLOSERS}*", r"\s+\S"),
+    ),
     "th": (
         Rule(False, rf"[.!?…]{CLOSERS}*", r"[,;:.!?…\p{N}]"),
         Rule(True, r"\p{Thai}", r"\s+\p{Thai}"),
@@ -121,11 +146,18 @@ CASCADES = {
     "hi": ("hi", "common"),
     "zh": ("zh",),
     "th": ("th", "common"),
+    "de": ("de", "common"),
+    "fr": ("fr", "common"),
+    "it": ("it", "common"),
+    "pt": ("pt", "common"),
+    "any": ("any",),
 }
+_LATIN_LANGUAGES = ("en", "es", "de", "fr", "it", "pt")
 # Where a boundary may lie at all.
 _CANDIDATES = {
     "zh": regex.compile(rf"[。！？!?…．.]+{CLOSERS}*"),
     "hi": regex.compile(rf"[।॥.!?…]+{CLOSERS}*"),
+    "any": regex.compile(rf"[\p{{Sentence_Terminal}}…]+{CLOSERS}*"),
     "th": regex.compile(rf"[.!?…]+{CLOSERS}*|(?<=[\p{{Thai}}{CLOSERS[1:-1]}])(?=\s)"),
 }
 _LATIN_CANDIDATES = regex.compile(rf"[.!?…]+{CLOSERS}*")
@@ -142,6 +174,7 @@ _SCRIPTS = {
     "ru": regex.compile(r"\p{Cyrillic}"),
 }
 _LATIN = regex.compile(r"\p{Latin}")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @lru_cache(maxsize=None)
@@ -151,15 +184,19 @@ def _compiled(lang: str) -> tuple[tuple[bool, regex.Pattern], ...]:
 
 
 def _language(line: str, lang: str | None) -> str:
-    """The cascade of a unit: by script, and between languages of one script by the label."""
+    """The cascade of a unit: by script, and between languages of one script by the label; another script has the common one for all others."""
+    latin_lang = lang if lang in _LATIN_LANGUAGES else "en"
     if line.isascii():
-        return "es" if lang == "es" else "en"
+        return latin_lang
     counts = {name: len(p.findall(line)) for name, p in _SCRIPTS.items()}
     counts["zh"] *= 3  # a Chinese character stands for several letters
     best = max(counts, key=counts.__getitem__)
-    if counts[best] and counts[best] >= (0.2 if best in ("th", "hi", "zh") else 1.0) * len(_LATIN.findall(line)):
+    latin = len(_LATIN.findall(line))
+    if counts[best] and counts[best] >= (0.2 if best in ("th", "hi", "zh") else 1.0) * latin:
         return best
-    return "es" if lang == "es" else "en"
+    if lang not in CASCADES and not counts[best] and len(_LETTER.findall(line)) > 2 * latin:
+        return "any"
+    return latin_lang
 
 
 def _quotations(line: str) -> list[tuple[int, int]]:

@@ -57,3 +57,11 @@ def test_table(spark):
     rows = [tuple(r) for r in sentences(df).collect()]
     assert rows == [(1, 0, 3), (1, 4, 8), (3, 0, 100_001), (3, 100_002, 100_004), (None, 0, 3)]
     assert sentences(df.where("false")).count() == 0
+
+
+def test_other_languages():
+    cut = lambda t, g: [t[a:b] for a, b in S.sentence_spans(t, g)]
+    assert cut("هل أنت هنا؟ نعم أنا هنا. شكرا", None) == ["هل أنت هنا؟", "نعم أنا هنا.", "شكرا"]
+    assert cut("ሰላም ነው። እንዴት ነህ።", "am") == ["ሰላም ነው።", "እንዴት ነህ።"]
+    assert cut("Das ist z. B. gut. Am 3. Mai kam er. Ende.", "de") == ["Das ist z. B. gut.", "Am 3. Mai kam er.", "Ende."]
+    assert cut("M. Dupont est là. Il part.", "fr") == ["M. Dupont est là.", "Il part."]
