@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -30,21 +31,34 @@ from pyspark.sql.window import Window
 from linkloom.session import cut_lineage
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-N_PARTS = 256
+# Items that one task numbers within their size.
+PART_ROWS = 200_000
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) in tokens of a public byte-pair vocabulary file; map-side only."""
+def count_tokens(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, doc_id: str = "doc_id", text: str = "text", pattern: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens) in tokens of a public byte-pair vocabulary file; map-side only.
+
+    The file is read where the driver runs and sent to the executors; ``pattern`` is the expression that cuts a text into
+    words before (by default that of the package the file is from).
+    """
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    context = docs.sparkSession.sparkContext
+    name = Path(tokenizer).name
+    if name not in {Path(f).name for f in context.listFiles}:
+        context.addFile(tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
 
-        import public_tokenizers
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(tokenizer, "rb") as lines:
+        with open(SparkFiles.get(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": pd.Series(sizes, dtype="int64")})
@@ -134,9 +148,9 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
     return intervals, n_containers
 
 
-def _numbered(items: DataFrame) -> DataFrame:
-    """``number`` of each item among those of its size, without one task for a size."""
-    part = F.pmod(F.xxhash64("doc_id", "piece", "copy"), F.lit(N_PARTS)).alias("part")
+def _numbered(items: DataFrame, most: int) -> DataFrame:
+    """``number`` of each item among those of its size, without one task for a size; ``most`` is the greatest number of one size."""
+    part = F.pmod(F.xxhash64("doc_id", "piece", "copy"), F.lit(1 + most // PART_ROWS)).alias("part")
     parted = items.select("*", part)
     counts = parted.groupBy("size", "part").count()
     before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +191,7 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     )
     # the plan's size is bounded by the capacity, not by the number of documents
     return (
-        _numbered(items)
+        _numbered(items, max(histogram.values(), default=0))
         .join(F.broadcast(plan), "size")
         .where("number >= first and number < last")
         .select(
