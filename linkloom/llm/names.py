@@ -147,12 +147,15 @@ def _parser(typed_title: bool):
 def deletions(word: Column) -> Column:
     """The word and every one-letter deletion of it, if it is long enough to be told from its neighbours.
 
-    A very long word has its two ends as keys instead, as one edit leaves one of them as it is.
+    A very long word has its two ends as keys instead, as one edit leaves one of them as it is; words at the border of
+    the two have both, so that neighbours of unequal length meet.
     """
     long_enough = F.when(word.rlike("[㐀-鿿]"), F.length(word) >= 4).otherwise(F.length(word) >= 5)
     cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, F.length(word))))
-    ends = F.array(word, F.concat(F.lit("<"), F.substring(word, 1, LONG // 2)), F.concat(F.lit(">"), F.substring(word, -(LONG // 2), LONG // 2)))
-    return F.when(F.length(word) > LONG, ends).when(long_enough, F.array_union(F.array(word), cut)).otherwise(F.array(word))
+    ends = F.array(F.concat(F.lit("<"), F.substring(word, 1, LONG // 2)), F.concat(F.lit(">"), F.substring(word, -(LONG // 2), LONG // 2)))
+    none = F.array().cast("array<string>")
+    by_cut = F.when(long_enough & (F.length(word) <= LONG + 1), cut).otherwise(none)
+    return F.array_distinct(F.concat(F.array(word), by_cut, F.when(F.length(word) >= LONG, ends).otherwise(none)))
 
 
 def spellings(words: DataFrame) -> DataFrame:
@@ -358,7 +361,7 @@ def link_entities(mentions: DataFrame) -> DataFrame:
     named = spelled.groupBy("mention_id", "source", "lang").agg(F.array_sort(F.collect_set("spelling")).alias("spelled"))
     met = named.select("lang", F.explode("spelled").alias("word"), "spelled").select("lang", "word", F.explode("spelled").alias("other")).where("word != other")
     met = met.select("lang", _full_form("word").alias("word"), "other")
-    degree = met.groupBy("lang", "word").agg(F.approx_count_distinct("other", 0.02).alias("degree"))
+    degree = met.distinct().groupBy("lang", "word").agg(F.count("*").alias("degree"))
     frequency = spelled.groupBy("lang", F.col("spelling").alias("word")).count()
     ranked = (
         named.select("mention_id", "source", "lang", F.explode("spelled").alias("word"))
@@ -437,8 +440,8 @@ def _acronym_letters(entity: Column) -> Column:
 def _split_run_together(parsed: DataFrame) -> DataFrame:
     """Chinese names typed without a separator are split behind a given name that occurs in separated names."""
     chinese = F.get("words", F.lit(0)).rlike("[㐀-鿿]")
-    given = parsed.where(chinese & (F.size("words") == 2)).groupBy("lang", F.get("words", F.lit(0)).alias("prefix")).agg(F.approx_count_distinct(F.get("words", F.lit(1))).alias("n"))
-    given = given.where("n >= 2").select("lang", "prefix")
+    given = parsed.where(chinese & (F.size("words") == 2)).groupBy("lang", F.get("words", F.lit(0)).alias("prefix")).agg((F.min(F.get("words", F.lit(1))) != F.max(F.get("words", F.lit(1)))).alias("several"))
+    given = given.where("several").select("lang", "prefix")
     single = parsed.where(chinese & (F.size("words") == 1)).select("mention_id", "source", "lang", F.get("words", F.lit(0)).alias("word"))
     prefixes = single.select("*", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).where("k + 2 <= length(word)")
     prefixes = prefixes.withColumn("prefix", F.expr("substring(word, 1, k)"))
