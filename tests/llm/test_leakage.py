@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from linkloom.llm import leakage as L
 
 WORDS = "kiln weir ledger harbour lantern mason candle bolt granary fathom hinge tile nail rope barrel clerk map seal winter salt strait mule foundry almanac gate brick tower bell page coin".split()
@@ -71,3 +73,19 @@ def test_empty(spark):
     i = spark.createDataFrame([(1, None), (2, "x")], "item_id long, passage string")
     assert L.leaks(d, i).count() == 0
     assert L.leaks(d.where("false"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, passage string")).count() == 0
+
+
+def test_index_against_all_windows():
+    """The clusters find nearly all passages that a comparison with every window finds."""
+    rng = np.random.default_rng(4)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    topics = unit(rng.standard_normal((60, 48)))
+    windows = unit(topics[rng.integers(0, 60, 900)] + 0.12 * rng.standard_normal((900, 48))).astype(np.float32)
+    owner = np.arange(900) // 5
+    centres, members = L._clusters(windows, 1)
+    assert sorted(np.concatenate(members)) == list(range(900))
+    space = L.Space([], {}, windows, windows, windows, windows, owner, centres, members, L.Settings(), 1)
+    blocks = unit(windows[rng.integers(0, 900, 200)] + 0.1 * rng.standard_normal((200, 48)))
+    brute = {(int(i), int(owner[j])) for i, j in zip(*np.nonzero(blocks @ windows.T >= L.Settings().min_cosine))}
+    found = space.near(blocks)
+    assert found <= brute and len(found) >= 0.95 * len(brute)
