@@ -110,7 +110,7 @@ def test_nulls_repeats_and_empty(spark):
 
 def test_words_at_the_border_of_the_two_indexes_meet(spark):
     """One letter more or less at the length from which words are indexed by their ends."""
-    word = "abcdefgh" * (N.LONG // 8)
+    word = "abcdefgh" * (names.LONG // 8)
     other = word[:10] + "x" + word[10:]
     rows = spark.createDataFrame([("en", w) for w in (word, word, other)], "lang string, word string")
-    assert {r["word"]: r["spelling"] for r in N.spellings(rows).collect()} == {word: word, other: word}
+    assert {r["word"]: r["spelling"] for r in names.spellings(rows).collect()} == {word: word, other: word}

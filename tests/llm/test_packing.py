@@ -73,3 +73,10 @@ def test_tokens_of_texts(spark):
     sizes = spark.createDataFrame([(1, 100), (2, None)], "pack_id int, capacity_tokens int")
     packed = packing.pack_all(docs, sizes)
     assert {r["doc_id"] for r in packed.collect()} == {1, 4, 5}
+
+
+def test_one_item_of_each_size_pairs_up():
+    """Flat histograms: half as many containers as large items, as in the best packing."""
+    for sizes, capacity, best in (((50, 40), 100, 1), ((40, 39, 38, 37), 100, 2), (range(700, 1024), 2048, 162)):
+        intervals, n = packing.plan_containers({s: 1 for s in sizes}, capacity)
+        assert n == best and len({i[0] for i in intervals}) == len(sizes)

@@ -60,7 +60,7 @@ def test_table(spark):
 
 
 def test_other_languages():
-    cut = lambda t, g: [t[a:b] for a, b in S.sentence_spans(t, g)]
+    cut = lambda t, g: [t[a:b] for a, b in sentence_spans(t, g)]
     assert cut("هل أنت هنا؟ نعم أنا هنا. شكرا", None) == ["هل أنت هنا؟", "نعم أنا هنا.", "شكرا"]
     assert cut("ሰላም ነው። እንዴት ነህ።", "am") == ["ሰላም ነው።", "እንዴት ነህ።"]
     assert cut("Das ist z. B. gut. Am 3. Mai kam er. Ende.", "de") == ["Das ist z. B. gut.", "Am 3. Mai kam er.", "Ende."]
