@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import text as X
+from linkloom.functions import vectors as V
+from linkloom.operators import candidates, kb
 from linkloom.operators.intervals import propagate_types
 from linkloom.operators.tokens import ngrams_upto
 from linkloom.session import cut_lineage
@@ -51,15 +53,49 @@ def category_features(rows: DataFrame, categories: DataFrame, stop_words: DataFr
     return hits.groupBy("mention_id").agg(F.array_sort(F.collect_set(F.concat(F.lit(prefix), "word"))).alias("features"))
 
 
+def gram_types(grams: DataFrame, statistics: DataFrame, words: DataFrame, titles: DataFrame, mapping: DataFrame, types: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """(lang, surface, n, capitalised, coarse): the types of what the n-grams (lang, surface, n, capitalised) are linked to.
+
+    Candidates come by the rule for n-grams; with ``weights`` (of the candidate's score and its place from the end) they are
+    ranked by the linear model, else they stay in order. The first one with a mid gives the types.
+    """
+    key = ["lang", "surface", "n", "capitalised"]
+    found = candidates.ngram_candidates(grams, statistics, words)
+    if weights is not None:
+        scored = found.withColumn("_s", V.linear_score([F.col("score"), 1 / F.col("rank")], weights))
+        found = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_s"), "rank"))).drop("_s")
+    by_title = kb.mid_chain(found.withColumn("own_lang", F.col("lang")).withColumn("lang", F.col("cand_lang")), titles, mapping)
+    linked = kb.first_mid(by_title.withColumn("lang", F.col("own_lang")), key).where(~X.is_nil(F.col("mid")))
+    named = F.array_distinct(F.transform("coarse", lambda t: _renamed(t)))
+    return linked.join(kb.coarse_types(types), "mid").select(*key, named.alias("coarse"))
+
+
+def _renamed(kind: Column) -> Column:
+    for own, other in TYPE_TOKENS.items():
+        kind = F.when(kind == own, F.lit(other)).otherwise(kind)
+    return kind
+
+
+def surface_forms(toks: DataFrame, longest: int = 4, stop_words: DataFrame | None = None) -> DataFrame:
+    """(lang, surface, n, capitalised): the distinct n-grams of texts that are asked for candidates, in lower case; numbers and stop n-grams aren't."""
+    grams = ngrams_upto(toks, longest, stop_words)
+    kept = grams.where(~X.is_number(F.col("surface")) & ~F.col("is_stop") & F.col("lang").isNotNull())
+    return kept.select("lang", F.lower("surface").alias("surface"), "n", X.is_capitalised(F.col("surface")).alias("capitalised")).distinct()
+
+
 def wikify_ngrams(toks: DataFrame, surface_types: DataFrame, stop_words: DataFrame | None = None, longest: int = 4) -> DataFrame:
     """(doc_id, start, end, n, features): the n-gram cascade from ``longest`` to 1.
 
-    ``surface_types`` has (lang, surface, coarse): the types of the title that a surface is linked to.
+    ``surface_types`` has (lang, surface, coarse), the types of the title that a surface is linked to; as made by
+    ``gram_types`` it also tells them by n and capitalisation.
     """
-    linked = surface_types.select("lang", F.col("surface").alias("_s"), "coarse")
     grams = ngrams_upto(toks, longest, stop_words)
     grams = grams.where(~X.is_number(F.col("surface")) & ~F.col("is_stop")).withColumn("_low", F.lower("surface"))
-    joined = grams.join(linked, (grams["lang"] == linked["lang"]) & (F.col("_low") == F.col("_s")), "left")
+    linked = surface_types.withColumnRenamed("surface", "_low")
+    if "capitalised" in linked.columns:
+        joined = grams.withColumn("capitalised", X.is_capitalised(F.col("surface"))).join(linked, ["lang", "_low", "n", "capitalised"], "left")
+    else:
+        joined = grams.join(linked.select("lang", "_low", "coarse"), ["lang", "_low"], "left")
     # all stages read the n-grams, so they are written once; a stage is written before the next one reads it
     every = cut_lineage(joined.select("doc_id", "start", "end", "n", type_features(F.col("coarse"), "TOP").alias("own")))
     outer, out = None, None
@@ -120,6 +156,14 @@ def token_features(toks: DataFrame) -> DataFrame:
     )
 
 
+def previous_label_features(labelled: DataFrame) -> DataFrame:
+    """Tokens with ``label`` and the feature ``prev-<label>`` of the token before in the sentence, and its type without B- and I-; none at a sentence's begin."""
+    before = F.lag("label").over(Window.partitionBy("doc_id", "sent_id").orderBy("tok_id"))
+    kind = F.regexp_replace(before, r"^[BI]-", "")
+    made = F.array_distinct(F.array(F.concat(F.lit("prev-"), before), F.concat(F.lit("prev-"), kind)))
+    return labelled.withColumn("features", F.when(before.isNull(), F.array().cast("array<string>")).otherwise(made))
+
+
 def train_tagger(labelled: DataFrame, n_features: int = 1 << 16, max_rows: int = 500_000):
     """A pipeline (hashing, logistic regression) from tokens with ``features`` and ``label``; at most ``max_rows`` rows, chosen by hash."""
     from pyspark.ml import Pipeline

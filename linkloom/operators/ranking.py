@@ -20,6 +20,7 @@ from linkloom.operators.numbering import numbered
 
 # Languages that use another language's vectors.
 VECTOR_LANGUAGE = {"en": "es", "am": "es"}
+# Names of the base features, in order.
 BASE_FEATURES = (
     "TITLEPROB", "SURFACEPROB", "NE_TITLE_COS", "NE_TITLE_COS_L", "NE_MINMAX_MAX", "NE_MINMAX_MIN", "NE_MINMAX_L_MAX", "NE_MINMAX_L_MIN",
     "PRETITLE_COS", "PRETITLE_COS_L", "PRE_MINMAX_MAX", "PRE_MINMAX_MIN", "PRE_MINMAX_L_MAX", "PRE_MINMAX_L_MIN",
@@ -44,12 +45,21 @@ def word_vectors(words: DataFrame, vectors: DataFrame, stop_words: DataFrame | N
 
 
 def mean_vector(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """(keys, mean): mean of ``vec`` by position, weighted if asked; zero vector if the weights sum to nothing."""
-    each = rows.where("vec is not null").select(*keys, (F.col(weight) if weight else F.lit(1.0)).alias("_w"), F.posexplode("vec").alias("_p", "_v"))
-    by_place = each.groupBy(*keys, "_p").agg(F.sum(F.col("_w") * F.col("_v").cast("double")).alias("_s"), F.sum("_w").alias("_t"))
-    value = F.coalesce(F.try_divide(F.col("_s"), F.col("_t")), F.lit(0.0))
-    ordered = F.array_sort(F.collect_list(F.struct("_p", value.alias("m"))))
-    return by_place.groupBy(*keys).agg(F.transform(ordered, lambda e: e["m"]).alias("mean"))
+    """(keys, mean): mean of ``vec``, weighted if asked; zero vector if the weights sum to nothing. Weights aren't negative.
+
+    Vectors stay whole and are summed on the map side first. A row without weight counts as a zero vector of next
+    to no weight, so that a key of such rows only has the zero vector as its mean.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vec = V.doubles(F.col("vec"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    nothing = ~(F.coalesce(w, F.lit(0.0)) > 0)
+    each = rows.where("vec is not null and size(vec) > 0").select(
+        *keys, array_to_vector(F.when(nothing, F.transform(vec, lambda x: x * 0.0)).otherwise(vec)).alias("_v"), F.when(nothing, F.lit(1e-200)).otherwise(w).alias("_w")
+    )
+    return each.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias("mean"))
 
 
 def extreme_cosines(pairs: DataFrame, keys: list[str], a: str = "title_vec", b: str = "other_vec") -> DataFrame:
@@ -108,37 +118,102 @@ def best_candidate(scored: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.where("_n = 1").select(*keys, "title", "score", "confidence")
 
 
-def rank_documents(candidates: DataFrame, weights: Sequence[float]) -> DataFrame:
+def weight_matrix(names: Sequence[str], order: Sequence[str], weights: Sequence[float]) -> np.ndarray:
+    """Weights of features and of their products as a matrix in another order of features: x'Wx with a last feature of 1."""
+    at = {n: order.index(n) for n in names}
+    w = np.zeros((len(order) + 1, len(order) + 1))
+    pairs = [(n, None) for n in names] + [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    for (a, b), value in zip(pairs, weights):
+        w[at[a], at[b] if b is not None else len(order)] += value
+    return w
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=-1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1)
+
+
+def _sequence(rows: pd.DataFrame, vecs: pd.DataFrame, sequential: Sequence[str], w: np.ndarray) -> list[tuple]:
+    """(mention_id, title, score, confidence) of one document's mentions in order."""
+    rows = rows.sort_values(["start", "mention_id", "rank"], kind="stable", na_position="first")
+    place = {k: i for i, k in enumerate(zip(vecs["title"], vecs["cand_lang"], strict=True))}
+    dim = next((len(v) for c in ("vec", "l_vec") for v in vecs[c] if v is not None), 1)
+    own, foreign = (np.array([v if v is not None else np.zeros(dim) for v in vecs[c]], dtype=float).reshape(len(vecs), dim) for c in ("vec", "l_vec"))
+    unit, unit_l = _unit(own), _unit(foreign)
+    has = np.array([v is not None for v in vecs["vec"]], dtype=bool)
+    at = np.array([place[k] for k in zip(rows["title"], rows["cand_lang"], strict=True)])
+    static = np.array(rows["features"].tolist(), dtype=float).reshape(len(rows), -1)
+    ids, ranks, names = rows["mention_id"].to_numpy(), rows["rank"].to_numpy(), rows["title"].to_numpy()
+    bounds = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
+    total, n, seen = np.zeros(dim), 0, set()
+    chosen = np.zeros((8, dim))
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        k = at[a:b]
+        columns = []
+        if sequential:
+            mean = _unit(total)
+            for name in sequential:
+                side = unit_l[k] if "_L" in name else unit[k]
+                if not n:
+                    columns.append(np.zeros(b - a))
+                elif name.startswith("PRETITLE"):
+                    columns.append(side @ mean)
+                else:
+                    # a title chosen twice changes neither the greatest nor the least
+                    cos = side @ chosen[: len(seen)].T
+                    found = cos.max(axis=1) if name.endswith("MAX") else cos.min(axis=1)
+                    columns.append(np.where((side != 0).any(axis=1), found, 0.0))
+        x = np.column_stack([static[a:b], *columns, np.ones(b - a)])
+        score = np.einsum("ij,jk,ik->i", x, w, x)
+        order = np.lexsort((ranks[a:b], -score))
+        top = order[0]
+        confidence = 1.0 if b - a == 1 else 1.0 / (1.0 + np.exp(min(700.0, score[order[1]] - score[top])))
+        out.append((ids[a], names[a + top], float(score[top]), float(confidence)))
+        if has[k[top]]:
+            total, n = total + own[k[top]], n + 1
+            if k[top] not in seen:
+                if len(seen) == len(chosen):
+                    chosen = np.concatenate([chosen, np.zeros_like(chosen)])
+                chosen[len(seen)] = unit[k[top]]
+                seen.add(k[top])
+    return out
+
+
+def rank_sequentially(candidates: DataFrame, vectors: DataFrame, sequential: Sequence[str], w: np.ndarray) -> DataFrame:
     """Document by document, mention by mention: the titles chosen before feed the next mention's features.
 
-    ``candidates`` has doc_id, mention_id, start, rank, title, features (array of the static ones) and vec.
-    The sequential features are the cosine to the mean of the vectors chosen before and the greatest and
-    least cosine to them. ``weights`` are those of the static features followed by these three. A task gets
-    one document at a time.
+    ``candidates`` has doc_id, mention_id, start, rank, title, cand_lang and features (array); ``vectors`` has the vectors
+    of a document's titles (doc_id, title, cand_lang, vec, l_vec), so that each is sent once. ``w`` is the matrix of the
+    model over the features, the sequential ones and 1. A task gets one document at a time; the work in it is made of
+    matrix products of a mention's candidates with the different titles chosen before.
     """
-    w = np.asarray(weights, dtype=float)
-
-    def one(block: pd.DataFrame) -> pd.DataFrame:
-        out, chosen = [], []
-        for mention_id, rows in block.sort_values(["start", "mention_id", "rank"]).groupby("mention_id", sort=False):
-            scored = []
-            for row in rows.itertuples():
-                v = None if row.vec is None else np.asarray(row.vec, dtype=float)
-                cos = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) if np.any(a) and np.any(b) else 0.0
-                near = [cos(v, c) for c in chosen] if v is not None else []
-                mean = cos(np.mean(chosen, axis=0), v) if near else 0.0
-                x = np.r_[np.asarray(row.features, dtype=float), mean, max(near, default=0.0), min(near, default=0.0)]
-                scored.append((float(x[: len(w)] @ w[: len(x)]), -row.rank, row.title, v))
-            scored.sort(key=lambda s: (-s[0], -s[1]))
-            top = scored[0]
-            confidence = 1.0 if len(scored) == 1 else 1.0 / (1.0 + np.exp(min(700.0, scored[1][0] - top[0])))
-            if top[3] is not None:
-                chosen.append(top[3])
-            out.append((block["doc_id"].iloc[0], mention_id, top[2], top[0], confidence))
-        return pd.DataFrame(out, columns=["doc_id", "mention_id", "title", "score", "confidence"])
-
-    schema = "doc_id long, mention_id long, title string, score double, confidence double"
-    return candidates.where("doc_id is not null and mention_id is not null").groupBy("doc_id").applyInPandas(one, schema)
+    known = candidates.where("doc_id is not null and mention_id is not null")
+    named = vectors.where("doc_id is not null").select(*[F.col(c).alias(f"v_{c}") for c in ("doc_id", "title", "cand_lang", "vec", "l_vec")])
+    once = named.dropDuplicates(["v_doc_id", "v_title", "v_cand_lang"])
+    sequential, kinds = tuple(sequential), dict(candidates.dtypes)
+
+    def one(key: tuple, rows: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
+        out = _sequence(rows, vecs.rename(columns=lambda c: c.removeprefix("v_")), sequential, w) if len(rows) else []
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["doc_id", "mention_id", "title", "score", "confidence"])
+
+    schema = f"doc_id {kinds['doc_id']}, mention_id {kinds['mention_id']}, title string, score double, confidence double"
+    return known.groupBy("doc_id").cogroup(once.groupBy("v_doc_id")).applyInPandas(one, schema)
+
+
+def rank_documents(candidates: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """``rank_sequentially`` with three sequential features: cosine to the mean of the vectors chosen before, greatest and least cosine to them.
+
+    ``candidates`` has doc_id, mention_id, start, rank, title, features (array of the static ones) and vec. ``weights`` are
+    those of the static features followed by these three; features beyond the weights count nothing.
+    """
+    first = candidates.select(F.size("features").alias("n")).first()
+    n = first["n"] if first else 0
+    sequential = ("PRETITLE_COS", "PRE_MINMAX_MAX", "PRE_MINMAX_MIN")
+    names = [*[f"_{i}" for i in range(n)], *sequential]
+    keyed = candidates.withColumn("cand_lang", F.lit(""))
+    vectors = keyed.select("doc_id", "title", "cand_lang", "vec", F.lit(None).cast("array<double>").alias("l_vec"))
+    return rank_sequentially(keyed.drop("vec"), vectors, sequential, weight_matrix(names, names, list(weights)[: len(names)]))
 
 
 def select_training(mentions: DataFrame, candidates: DataFrame, types: DataFrame, ratio: float = 1.0) -> DataFrame:
@@ -218,6 +293,12 @@ def surface_features(rows: DataFrame) -> DataFrame:
     )
 
 
+def source_features(rows: DataFrame, sources: Sequence[str], column: str = "src") -> DataFrame:
+    """Optional features SRC:<source>, 1 for the source that a candidate is from, and PRESCORE, the score it came with."""
+    made = {f"SRC:{s}": (F.coalesce(F.col(column), F.lit("")) == s).cast("double") for s in sources}
+    return rows.withColumns(made | ({"PRESCORE": F.coalesce(F.col("score"), F.lit(0.0))} if "score" in rows.columns else {}))
+
+
 def save_weights(spark: SparkSession, names: Sequence[str], weights: Sequence[float], path: str) -> None:
     """Feature names and weights of a ranker as one JSON table."""
     rows = [(i, n, float(w)) for i, (n, w) in enumerate(zip(names, weights, strict=True))]

@@ -104,7 +104,12 @@ def token_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 
 def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, tok_id, token, start, end, sent_id); tok_id and sent_id count from 0."""
-    each = token_lists(docs, doc_id, text, lang).select("doc_id", "lang", "sent_id", F.explode("toks").alias("t"))
+    return exploded(token_lists(docs, doc_id, text, lang))
+
+
+def exploded(lists: DataFrame) -> DataFrame:
+    """Rows of ``token_lists`` as rows of ``tokens``."""
+    each = lists.select("doc_id", "lang", "sent_id", F.explode("toks").alias("t"))
     return each.select("doc_id", "lang", "t.tok_id", "t.token", "t.start", "t.end", "sent_id")
 
 
@@ -112,7 +117,7 @@ def listed(toks: DataFrame) -> DataFrame:
     """Rows of ``tokens`` as rows of ``token_lists``; lists stay as they are."""
     if "toks" in toks.columns:
         return toks
-    each = F.array_sort(F.collect_list(F.struct(F.col("tok_id").cast("int"), "token", F.col("start").cast("long"), F.col("end").cast("long"))))
+    each = F.array_sort(F.collect_list(F.struct(F.col("tok_id").cast("int").alias("tok_id"), "token", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))))
     return toks.groupBy("doc_id", "lang", "sent_id").agg(each.alias("toks"))
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkloom.config import Config
 from linkloom.functions import text as X
 from linkloom.functions import vectors as V
-from linkloom.operators import anchors, candidates, coref, evaluate, intervals, kb, ner, ranking, rejects, titles, tokens
+from linkloom.operators import anchors, candidates, coref, evaluate, features, intervals, kb, ner, ranking, rejects, titles, tokens
 from linkloom.operators.numbering import numbered
 from linkloom.plans import pipeline
 from linkloom.session import spread, table
@@ -121,6 +122,23 @@ _CTE = {
 }
 
 
+def _ngram_cand(g: str) -> str:
+    """SQL relations that end with ``<g>_c``: the candidates of the distinct n-grams (lang, surface, n, capitalised) of relation ``g``."""
+    return rf"""{g}_s as (select lang, surface, title, p, rank from (
+            select w.lang, w.surface, title, p_title_given_surface as p, row_number() over (partition by w.lang, w.surface order by p_title_given_surface desc, title)::int as rank
+            from (select lang, surface from {g} union select 'en', surface from {g}) w join stat using (lang, surface)) where rank <= 10),
+    {g}_t as (select lang, surface, list_filter(regexp_split_to_array(surface, '\s+'), lambda t: t != '') as tokens from (select lang, surface from {g} where n = 1 and capitalised union select 'en', surface from {g} where n = 1 and capitalised)),
+    {g}_e as (select lang, surface, 6 // len(tokens) as share, unnest(list_distinct(tokens)) as word from {g}_t where len(tokens) > 0),
+    {g}_w as (select lang, surface, title, p, rank from (
+            select lang, surface, title, p_title_given_word as p, row_number() over (partition by lang, surface order by p_title_given_word desc, title, word)::int as rank
+            from {g}_e join (select *, row_number() over (partition by lang, word order by p_title_given_word desc, title) as word_rank from word_stat) using (lang, word) where word_rank <= least(share, 6)) where rank <= 6),
+    {g}_all as (select g.*, g.lang as cand_lang, title, p as score, rank, 1 as priority from {g} g join {g}_s x on x.lang = g.lang and x.surface = g.surface
+        union all select g.*, g.lang, title, p, rank, 2 from {g} g join {g}_w x on x.lang = g.lang and x.surface = g.surface where n = 1 and capitalised
+        union all select g.*, 'en', title, p, rank, 3 from {g} g join {g}_s x on x.lang = 'en' and x.surface = g.surface where g.lang != 'en' and (n > 1 or capitalised)
+        union all select g.*, 'en', title, p, rank, 4 from {g} g join {g}_w x on x.lang = 'en' and x.surface = g.surface where g.lang != 'en' and n = 1 and capitalised),
+    {g}_c as (select * from {g}_all qualify priority = min(priority) over (partition by lang, surface, n, capitalised))"""
+
+
 def _sql(body: str) -> str:
     """The query with the named relations that it needs, directly or not."""
     needed, todo = set(), [body]
@@ -277,7 +295,10 @@ def candidates_filtered(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("lang", "surface", "rank", "title", "p_title_given_surface")
 
 
-@_query()
+@_query(rf"""g as (select distinct lang, lower(trim(surface, ' ')) as surface, len(list_filter(regexp_split_to_array(surface, '\s+'), lambda t: t != ''))::int as n, regexp_matches(surface, '^\p{{Lu}}') as capitalised
+        from m where lang is not null and surface is not null),
+    {_ngram_cand("g")}
+    select lang, surface, n, capitalised, cand_lang, title, score, rank, priority from g_c""")
 def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
     m = _mentions(spark, d)
     words = anchors.word_title_statistics(anchors.mention_anchors(m))
@@ -534,6 +555,52 @@ def minmax_cosine(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("id").alias("vec_id"), F.round("cos_max", 6).alias("cos_max"), F.round("cos_min", 6).alias("cos_min"))
 
 
+def _stand_in_vectors(spark: SparkSession, d: str, docs: DataFrame, m: DataFrame) -> DataFrame:
+    """(lang, key, vec) for the words of texts and the titles: each stands for a vector of the table by its length and first letter."""
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    words = tokens.tokens(docs).select("lang", F.lower("token").alias("key")).unionByName(
+        m.where("surface is not null").select("lang", F.explode(F.filter(F.split(F.lower("surface"), r"\s+|·"), lambda t: t != "")).alias("key"))
+    )
+    kb = table(spark, d, "kb_titles").where("title is not null").select("lang", F.concat(F.lit("title_"), X.normal_title(F.col("title"))).alias("key"))
+    kb = kb.unionByName(_stat(spark, d).select("lang", F.concat(F.lit("title_"), "title").alias("key")))
+    keys = words.unionByName(kb).where("lang is not null and key is not null").distinct()
+    name = F.replace("key", F.lit("title_"), F.lit(""))
+    vec_id = (F.length(name) * 131 + F.ascii(name) * 31) % n
+    return keys.withColumn("vec_id", vec_id).join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("lang", "key", "vec")
+
+
+_VEC_ID = "(length({0}) * 131 + ascii({0}) * 31) % num.n"
+
+
+@_query(f"""vec as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+    pick as (select m.mention_id, m.doc_id, m.lang, c.rank, c.title, c.p_title_given_surface as tp, c.p_surface_given_title as sp from m join cand c on c.lang = m.lang and c.surface = lower(trim(m.surface, ' '))),
+    back as (select lang, en_title, min(title) as title from title_map group by all),
+    pair as (select p.*, case when p.lang = 'en' then p.title else t.en_title end as et, case when p.lang != 'en' then p.title end as ft from pick p left join title_map t on t.lang = p.lang and t.title = p.title),
+    known_key as (select distinct lang, lower(replace(title, ' ', '_')) as title from kb_titles where lang is not null and title is not null union select lang, title from stat),
+    tv as (select p.mention_id, p.doc_id, p.rank, p.title, tp, sp, e.v as ev, f.v as fv from pair p cross join num
+        left join known_key ke on ke.lang = 'es' and ke.title = p.et left join vec e on ke.title is not null and e.vec_id = {_VEC_ID.format('p.et')}
+        left join known_key kf on kf.lang = p.lang and kf.title = p.ft and p.lang != 'en' left join vec f on kf.title is not null and f.vec_id = {_VEC_ID.format('p.ft')}),
+    ctx as (select t.mention_id, k.lang, lower(k.token) as word from span_tok t join tok k on k.doc_id = t.doc_id
+        and ((k.tok_id between t.first_tok - 5 and t.first_tok - 1) or (k.tok_id between t.last_tok + 1 and t.last_tok + 5))),
+    counted as (select mention_id, lang, word, count(*) as cnt from ctx group by all),
+    w as (select mention_id, lang, word, cnt / sum(cnt) over (partition by mention_id) * coalesce(ln(sum(df) over (partition by mention_id) / df), 0) as weight from counted left join df using (lang, word)),
+    es_word as (select distinct lower(token) as word from tok where lang = 'es' union select unnest(list_filter(regexp_split_to_array(lower(surface), '\\s+|·'), lambda t: t != '')) from m where lang = 'es' and surface is not null),
+    x as (select w.mention_id, weight, unnest(v) as a, generate_subscripts(v, 1) as p from w cross join num join vec on vec_id = {_VEC_ID.format('w.word')} where w.lang is not null and (w.lang != 'en' or w.word in (select word from es_word))),
+    mean as (select mention_id, list(case when sw = 0 then 0 else swa / sw end order by p) as c from (select mention_id, p, sum(weight) as sw, sum(weight * a) as swa from x group by all) group by mention_id)
+    select t.mention_id, t.rank, t.title, tp as "TITLEPROB", sp as "SURFACEPROB",
+        round(coalesce(list_dot_product(c, ev) / nullif(sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(ev, ev)), 0), 0), 5) as "W_CON30",
+        round(coalesce(list_dot_product(c, fv) / nullif(sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(fv, fv)), 0), 0), 5) as "W_CON30_L"
+    from tv t left join mean using (mention_id)""")
+def ranker_features(spark: SparkSession, d: str) -> DataFrame:
+    """The base features in tagging mode; the query shows the probabilities and the narrowest context."""
+    docs, m = _docs(spark, d), _mentions(spark, d)
+    rows = m.select("mention_id", "lang", X.normal_surface(F.col("surface")).alias("surface")).join(_cands(spark, d), ["lang", "surface"]).withColumn("cand_lang", F.col("lang"))
+    vectors = features.aliased(_stand_in_vectors(spark, d, docs, m))
+    found = features.static_features(m, rows, tokens.tokens(docs), tokens.document_frequency(docs), _title_map(spark, d), vectors, ner_mode=True)
+    return found.select("mention_id", "rank", "title", "TITLEPROB", "SURFACEPROB", F.round("W_CON30", 5).alias("W_CON30"), F.round("W_CON30_L", 5).alias("W_CON30_L"))
+
+
 _WEIGHTS = (0.9137313, 0.4171717, 0.0973137, 0.3090171, 0.2113979, -0.1071313)
 _FEATURES = ("TITLEPROB", "SURFACEPROB", "PRESCORE")
 
@@ -624,19 +691,51 @@ def ngrams(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _surface_types(spark: SparkSession, d: str) -> DataFrame:
-    """Types of the first candidate's mid for each surface."""
-    cands = _cands(spark, d).where("rank = 1")
-    found = kb.mid_chain(cands, table(spark, d, "kb_titles"), _title_map(spark, d)).where("mid is not null")
-    coarse = kb.coarse_types(table(spark, d, "kb_types"))
-    named = F.transform("coarse", lambda t: F.when(t == "people", F.lit("person")).otherwise(t))
-    return found.join(coarse, "mid").select("lang", "surface", F.array_distinct(named).alias("coarse"))
+def _gram_types(spark: SparkSession, d: str, lists: DataFrame, stops: DataFrame) -> DataFrame:
+    m = _mentions(spark, d)
+    words = anchors.word_title_statistics(anchors.mention_anchors(m))
+    return ner.gram_types(ner.surface_forms(lists, 4, stops), _stat(spark, d), words, table(spark, d, "kb_titles"), _title_map(spark, d), table(spark, d, "kb_types"))
 
 
-@_query()
+# the n-grams of the texts with their candidates, the first mid of these and its types
+_TYPED = rf"""cut as (select t.*, split_part(token, '''', 1) as cut, w.word is not null as stop from tok t left join top_word w on w.lang = t.lang and w.word = lower(split_part(token, '''', 1))),
+    sent as (select doc_id, lang, sent_id, list(cut order by tok_id) as c, list(stop order by tok_id) as st, list(s order by tok_id) as ss, list(e order by tok_id) as es from cut group by all),
+    spot as (select *, unnest(range(1, len(c) + 1)) as i from sent),
+    whole as (select doc_id, lang, ss[i] as s, es[i + n - 1] as e, n::int as n, case when lang = 'zh' then array_to_string(c[i:i + n - 1], '') else array_to_string(c[i:i + n - 1], ' ') end as surface, list_bool_and(st[i:i + n - 1]) as stop
+        from spot, (values (1), (2), (3), (4)) size(n) where i + n - 1 <= len(c)),
+    asked as (select *, lower(surface) as low, regexp_matches(surface, '^\p{{Lu}}') as capitalised from whole where not stop and not regexp_matches(trim(surface, ' '), '^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$')),
+    g as (select distinct lang, low as surface, n, capitalised from asked where lang is not null),
+    {_ngram_cand("g")},
+    g_mid as (select c.lang, c.surface, c.n, c.capitalised, coalesce(a.mid, b.mid, d.mid) as mid, c.rank from g_c c left join title_map t on t.lang = c.cand_lang and t.title = c.title
+        left join title_mid a on a.title = {_kb_form('c.title')} and a.lang = {_kb_lang('c.cand_lang')}
+        left join title_mid b on b.title = {_kb_form('c.title')} and b.lang = 'en' left join title_mid d on d.title = {_kb_form('t.en_title')} and d.lang = 'en'),
+    g_type as (select lang, surface, n, capitalised, list_distinct(list_transform(coarse, lambda t: case when t = 'people' then 'person' else t end)) as coarse
+        from (select lang, surface, n, capitalised, arg_min(mid, rank) as mid from g_mid where mid is not null group by all) join coarse using (mid)),
+    hit4 as (select a.doc_id, a.s, a.e, a.n, list_transform(coalesce(t.coarse, []), lambda t: 'TOPFBTYPETOKEN-' || t) as own from asked a left join g_type t on t.lang = a.lang and t.surface = a.low and t.n = a.n and t.capitalised = a.capitalised)"""
+
+
+def _level(n: int) -> str:
+    """SQL relation ``level<n>``: n-grams of n tokens with the features of the longer ones around them, else their own."""
+    own = f"select doc_id, s, e, n, list_sort(own) as features from hit4 h where n = {n} and len(own) > 0"
+    if n == 4:
+        return f"level4 as ({own})"
+    kinds = "(values ('person'), ('location'), ('organization')) k(kind)"
+    return f"""taken{n} as (select h.doc_id, h.s, h.e, h.n, list_sort(list_distinct(list(case when h.s > o.s then 'I-' else 'B-' end || 'TOPFBTYPETOKEN-' || kind))) as features
+        from hit4 h join level{n + 1} o on o.doc_id = h.doc_id and h.s >= o.s and h.e <= o.e, {kinds}
+        where h.n = {n} and list_bool_or(list_transform(o.features, lambda f: contains(f, 'TOPFBTYPETOKEN-' || kind))) group by all),
+    level{n} as (select * from taken{n} union all {own} and not exists (select 1 from taken{n} t where t.doc_id = h.doc_id and t.s = h.s and t.e = h.e))"""
+
+
+_CASCADE = _TYPED + "".join(f",\n    {_level(n)}" for n in (4, 3, 2, 1))
+
+
+@_query(_CASCADE + """
+    select doc_id, s as start, e as "end", n, array_to_string(features, '|') as features from (select * from level4 union all select * from level3 union all select * from level2 union all select * from level1)""")
 def ngram_propagation(spark: SparkSession, d: str) -> DataFrame:
+    """The n-gram cascade with candidates, their first mid and its types."""
     docs = _docs(spark, d)
-    found = ner.wikify_ngrams(tokens.token_lists(docs), _surface_types(spark, d), tokens.top_words(docs).select("lang", "word"))
+    lists, stops = tokens.token_lists(docs), tokens.top_words(docs).select("lang", "word")
+    found = ner.wikify_ngrams(lists, _gram_types(spark, d, lists, stops), stops)
     return found.withColumn("features", F.array_join("features", "|"))
 
 
@@ -973,12 +1072,31 @@ def annotate(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.annotate(_mentions(spark, d), pipeline.build_index(_mentions(spark, d), **tables))
 
 
+@_query()
+def annotate_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions through the linker with all base features, ranked document by document; words and titles stand for vectors of the table by their letters."""
+    tables = {t: table(spark, d, t) for t in ("kb_titles", "kb_types", "wiki_pages", "wiki_redirects")}
+    m, docs = _mentions(spark, d), _docs(spark, d)
+    index = pipeline.build_index(m, **tables)
+    names = ranking.features_of(False)
+    weights = [0.9, 0.4] + [0.1] * (len(names) - 2)
+    return pipeline.annotate_ranked(m, docs, index, _stand_in_vectors(spark, d, docs, m), names, tuple(weights))
+
+
+@_query()
+def annotate_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts to linked mentions: tokens, n-gram cascade, spans, candidates, titles, mids, clusters."""
+    tables = {t: table(spark, d, t) for t in ("kb_titles", "kb_types", "wiki_pages", "wiki_redirects")}
+    docs = _docs(spark, d)
+    return pipeline.annotate_text(docs, pipeline.build_index(_mentions(spark, d), **tables), Config(), tokens.top_words(docs).select("lang", "word"))
+
+
 @_query()
 def tagged_spans(spark: SparkSession, d: str) -> DataFrame:
     """N-grams linked, labelled by their types and decoded to mention spans."""
-    toks = _toks(spark, d)
-    stops = tokens.top_words(table(spark, d, "documents")).select("lang", "word")
-    return pipeline.tag_mentions(toks, _surface_types(spark, d), stops)
+    docs = _docs(spark, d)
+    lists, stops = tokens.token_lists(docs), tokens.top_words(docs).select("lang", "word")
+    return pipeline.tag_mentions(lists, _gram_types(spark, d, lists, stops), stops)
 
 
 @_query("select mention_id, row_number() over (order by doc_id nulls first, s nulls first, mention_id) as number from m")

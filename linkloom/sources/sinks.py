@@ -86,8 +86,9 @@ def linked_html(docs: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def write_index(table: DataFrame, path: str, partition: str = "lang") -> None:
-    """An index as a table partitioned by language; an existing one is never overwritten."""
-    table.write.mode("errorifexists").partitionBy(partition).parquet(path)
+    """An index as a table partitioned by language, if it tells one; an existing one is never overwritten."""
+    writer = table.write.mode("errorifexists")
+    (writer.partitionBy(partition) if partition in table.columns else writer).parquet(path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -11,7 +11,10 @@ from linkloom.plans.pipeline import Index, annotate
 
 
 def link_stream(mentions: DataFrame, index: Index, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Start linking a streaming table of mentions; ``write`` gets each linked batch and its number."""
+    """Start linking a streaming table of mentions; ``write`` gets each linked batch and its number.
+
+    ``index`` should be one that was saved and loaded: every batch reads it, and would make it again otherwise.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         write(annotate(rows, index), number)
