@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Languages of the knowledge base that carry another code there.
@@ -96,6 +97,22 @@ def simplified(c: Column) -> Column:
     return F.translate(c, TRADITIONAL, SIMPLIFIED)
 
 
+def script_table(spark: SparkSession, direction: str = "Traditional-Simplified") -> tuple[str, str]:
+    """(from, to): all single characters that the JVM's ICU library converts, in either direction; the small default table without ICU."""
+    chars = [chr(c) for c in (*range(0x3400, 0x4DC0), *range(0x4E00, 0xA000))]
+    try:
+        out = spark._jvm.com.ibm.icu.text.Transliterator.getInstance(direction).transliterate("\n".join(chars)).split("\n")
+    except (AttributeError, TypeError, Py4JError):
+        return (TRADITIONAL, SIMPLIFIED) if direction == "Traditional-Simplified" else (SIMPLIFIED, TRADITIONAL)
+    pairs = [(a, b) for a, b in zip(chars, out, strict=True) if a != b and len(b) == 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def converted(c: Column, table: tuple[str, str]) -> Column:
+    """Characters replaced by those of a table (as of ``script_table``)."""
+    return F.translate(c, *table)
+
+
 def unescaped(c: Column) -> Column:
     """A string of an SQL dump without its backslashes."""
     return F.replace(c, F.lit("\\"), F.lit(""))

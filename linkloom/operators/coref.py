@@ -74,27 +74,23 @@ def jaccard_pairs(forms: DataFrame, scope: list[str], threshold: float = 0.5) ->
     return scored.select(*scope, "key_a", "key_b", "score").distinct()
 
 
-def lead_and_follow(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def lead_and_follow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, leader): the greedy assignment; ``edges`` (a, b) with a < b says that a would take b in.
 
-    Equals the sequential pass over the nodes in ascending order.
+    Equals the sequential pass over the nodes in ascending order. Each round decides the least undecided node of every
+    group at least, so the rounds end; their number is that of the longest chain of decisions.
     """
     open_edges = cut_lineage(edges.select("a", "b").where("a < b").distinct())
     touched = cut_lineage(open_edges.select(F.col("a").alias("node")).union(open_edges.select("b")).distinct())
     undecided, leaders = touched, None
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            break
-        new = undecided.join(open_edges.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
-        new = cut_lineage(new)
+    while not undecided.isEmpty():
+        # a node that no open edge leads to is a leader; what it takes in is decided too
+        new = cut_lineage(undecided.join(open_edges.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
         taken = open_edges.join(new.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
-        taken = cut_lineage(taken)
-        leaders = new if leaders is None else cut_lineage(leaders.unionByName(new))
+        leaders = new if leaders is None else leaders.unionByName(new)
         undecided = cut_lineage(undecided.join(new.unionByName(taken), "node", "left_anti"))
         alive = undecided.withColumnRenamed("node", "a")
         open_edges = cut_lineage(open_edges.join(alive, "a", "left_semi").join(alive.withColumnRenamed("a", "b"), "b", "left_semi"))
-    else:
-        raise RuntimeError(f"clusters remain undecided after {max_rounds} rounds")
     if leaders is None:
         return nodes.select("node", F.col("node").alias("leader"))
     by_leader = edges.join(leaders.withColumnRenamed("node", "a"), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))

@@ -30,6 +30,12 @@ def match_gold(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return joined.select("id", "doc", span.alias("span_ok"), kind.alias("type_ok"), link.alias("link_ok"), in_cands.alias("in_candidates"), (kind & gold_nil).alias("nil_gold"))
 
 
+def attach_authors(mentions: DataFrame, authors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Mentions and, behind them, the authors (doc_name, ...) of the same documents, by equal names; columns that authors lack are null."""
+    own = authors.join(docs.select("doc_name").distinct(), "doc_name", "left_semi")
+    return mentions.unionByName(own, allowMissingColumns=True)
+
+
 def _scores(level: str, hit: Column, n_pred: Column, n_gold: Column) -> Column:
     p, r = F.coalesce(F.try_divide(hit, n_pred), F.lit(0.0)), F.coalesce(F.try_divide(hit, n_gold), F.lit(0.0))
     return F.struct(F.lit(level).alias("level"), hit.alias("correct"), p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))

@@ -118,6 +118,7 @@ def shuffled(titles: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def titles_of_pages(links: DataFrame) -> DataFrame:
-    """(page_id, titles): a page's language links as a map from language; of several the greatest counts."""
-    one = links.groupBy("page_id", "lang").agg(F.max("title").alias("title"))
+    """(page_id, titles): a page's language links as a map from language; of several the last by ``seq`` counts, without ``seq`` the greatest."""
+    order = F.struct("seq", "title") if "seq" in links.columns else F.col("title")
+    one = links.groupBy("page_id", "lang").agg(F.max_by("title", order).alias("title"))
     return one.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "title")))).alias("titles"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -141,6 +141,8 @@ def _ngram_cand(g: str) -> str:
 
 def _sql(body: str) -> str:
     """The query with the named relations that it needs, directly or not."""
+    recursive = body.startswith("recursive ")
+    body = body.removeprefix("recursive ")
     needed, todo = set(), [body]
     while todo:
         text = todo.pop()
@@ -150,7 +152,7 @@ def _sql(body: str) -> str:
                 todo.append(part)
     ctes = ",\n".join(f"{name} as ({part})" for name, part in _CTE.items() if name in needed)
     own = not body.strip().startswith("select")  # the body names relations of its own first
-    return "with " + ctes + (",\n" if own and ctes else "\n") + body if ctes or own else body
+    return ("with recursive " if recursive else "with ") + ctes + (",\n" if own and ctes else "\n") + body if ctes or own else body
 
 
 def _query(sql: str | None = None):
@@ -370,11 +372,21 @@ def hashtags(spark: SparkSession, d: str) -> DataFrame:
     return tags.select("src_title", F.array_join("hashtags", "|").alias("hashtags"))
 
 
-@_query()
+@_query(r"""every as (select s.src_title, t.lang, min(t.tgt_title) as tgt_title
+        from (select distinct mid, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as src_title from kb_titles where lang = 'en') s
+        join (select distinct mid, lang, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as tgt_title from kb_titles where lang != 'en') t using (mid) group by all),
+    tag as (select src_title as en_title, list(regexp_replace(split_part(tgt_title, '(', 1), '[\s_-]', '', 'g') order by case lang when 'es' then 1 when 'zh' then 2 else 3 end) as tags from every group by src_title),
+    q as (select distinct lang, lower(replace(wiki_title, ' ', '_')) as title from m where lang is not null and wiki_title is not null),
+    f as (select q.*, coalesce(case when q.lang = 'en' then q.title else t.en_title end, case when q.lang = 'en' then coalesce(r.target, q.title) else u.en_title end) as en_title from q
+        left join title_map t on t.lang = q.lang and t.title = q.title left join redirect r on r.lang = q.lang and r.title = q.title
+        left join title_map u on u.lang = q.lang and u.title = coalesce(r.target, q.title)),
+    h as (select f.*, list_concat([regexp_replace(split_part(en_title, '(', 1), '[\s_-]', '', 'g')], coalesce(list_filter(tags, lambda x: x != ''), [])) as every from f left join tag using (en_title))
+    select lang, title, en_title, case when en_title is not null then array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i), '|') end as hashtags from h""")
 def title_translator(spark: SparkSession, d: str) -> DataFrame:
     queries = _mentions(spark, d).where("lang is not null and wiki_title is not null").select("lang", X.normal_title(F.col("wiki_title")).alias("title")).distinct()
     targets = titles.redirect_targets(table(spark, d, "wiki_pages"), table(spark, d, "wiki_redirects"))
-    return titles.translate_title(queries, _title_map(spark, d), targets, titles.all_titles_map(table(spark, d, "kb_titles")))
+    found = titles.translate_title(queries, _title_map(spark, d), targets, titles.all_titles_map(table(spark, d, "kb_titles")))
+    return found.withColumn("hashtags", F.array_join("hashtags", "|"))
 
 
 @_query(r"""select distinct t.lang, k.class, array_to_string(list_transform(list_filter(string_split(case when instr(p, '(') > 1 then trim(split_part(p, '(', 1), ' ') else p end, ' '), lambda w: w != ''),
@@ -830,7 +842,14 @@ def surface_clean(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("mention_id", surface.alias("surface"), end.cast("string").alias("end"))
 
 
-@_query()
+@_query("""recursive sp as (select mention_id, doc_id, s, e, row_number() over (partition by doc_id order by s, e, mention_id) as n from m where s is not null and e > s),
+    meet as (select a.doc_id, a.n as i, b.n as j, case when a.e - a.s >= b.e - b.s then b.n else a.n end as loser, row_number() over (partition by a.doc_id order by a.n, b.n) as k
+        from sp a join sp b on a.doc_id = b.doc_id and a.n < b.n and a.s < b.e and b.s < a.e),
+    walk as (select distinct doc_id, 0::bigint as k, []::bigint[] as gone from sp
+        union all select w.doc_id, p.k, case when list_contains(w.gone, p.i) or list_contains(w.gone, p.j) then w.gone else list_append(w.gone, p.loser) end
+        from walk w join meet p on p.doc_id = w.doc_id and p.k = w.k + 1),
+    told as (select doc_id, arg_max(gone, k) as gone from walk group by doc_id)
+    select mention_id, doc_id, s as start, e as "end" from sp join told using (doc_id) where not list_contains(gone, n)""")
 def nested_resolve(spark: SparkSession, d: str) -> DataFrame:
     return intervals.resolve_nested(_mentions(spark, d))
 
@@ -858,12 +877,38 @@ def surface_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return coref.jaccard_pairs(forms, ["doc_id"]).withColumnsRenamed({"key_a": "surface_a", "key_b": "surface_b"})
 
 
-@_query()
+def _clusters(scope: str, rows: str) -> str:
+    """SQL of the ordered greedy pass over the clusters of each scope and type; ``rows`` are the mentions."""
+    return f"""recursive w as (select mention_id, {scope} as scope, mention_type, surface, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(surface), '\\s+|·'), lambda t: t != ''))) as tokens,
+            case when mid is not null and not starts_with(mid, 'NIL') then mid end as target from ({rows}) where surface is not null and mention_type is not null),
+    kind as (select scope, target, arg_min(mention_type, (-length(surface), mention_id)) as type from w where target is not null group by all),
+    mem as (select mention_id, scope, type, 'm|' || target as unit, surface, tokens from w join kind using (scope, target)
+        union all select mention_id, scope, mention_type, 'u|' || mention_id, surface, tokens from w where target is null),
+    clus as (select scope, type, unit, count(*) as n, max(length(surface)) as longest, min(mention_id) as lead from mem group by all),
+    ranked as (select *, row_number() over (partition by scope, type order by n desc, longest desc, lead, unit) as node from clus),
+    forms as (select distinct scope, type, node, tokens from mem join ranked using (scope, type, unit) where len(tokens) > 0),
+    each_token as (select scope, type, node, tokens, unnest(tokens) as token from forms),
+    near as (select distinct a.scope, a.type, a.node as i, b.node as j from (
+            select a.scope, a.type, a.node, b.node as other, a.tokens as ta, b.tokens as tb, count(*) as shared from each_token a join each_token b on a.scope = b.scope and a.type = b.type and a.token = b.token and a.node < b.node group by all) x,
+            lateral (select x.scope, x.type, x.node) a, lateral (select x.other as node) b where x.shared / (len(x.ta) + len(x.tb) - x.shared) > 0.5),
+    later as (select scope, type, i, list(j) as js from near group by all),
+    walk as (select scope, type, max(node) as top, 0::bigint as i, []::bigint[] as gone, []::struct(node bigint, leader bigint)[] as led from ranked group by scope, type
+        union all select w.scope, w.type, w.top, w.i + 1,
+            case when l.js is null or list_contains(w.gone, w.i + 1) then w.gone else list_distinct(list_concat(w.gone, l.js)) end,
+            case when l.js is null or list_contains(w.gone, w.i + 1) then w.led else list_concat(w.led, list_transform(list_filter(l.js, lambda j: not list_contains(w.gone, j)), lambda j: struct_pack(node := j, leader := w.i + 1))) end
+        from walk w left join later l on l.scope = w.scope and l.type = w.type and l.i = w.i + 1 where w.i < w.top),
+    led as (select scope, type, unnest(led) as x from walk where i = top),
+    named as (select r.scope, r.type, r.unit, coalesce(led.x.leader, r.node) as leader from ranked r left join led on led.scope = r.scope and led.type = r.type and led.x.node = r.node),
+    ids as (select n.scope, n.type, n.unit, case when starts_with(l.unit, 'm|') then l.unit[3:] else 'NIL' || printf('%05d', l.lead) end as cluster_id
+        from named n join ranked l on l.scope = n.scope and l.type = n.type and l.node = n.leader)"""
+
+
+@_query(_clusters("doc_id", "select * from m") + " select mention_id, mem.scope as doc_id, cluster_id from mem join ids using (scope, type, unit)")
 def surface_clusters(spark: SparkSession, d: str) -> DataFrame:
     return coref.cluster_surfaces(_mentions(spark, d), ["doc_id"])
 
 
-@_query()
+@_query(_clusters("0", "select * from m where mid is null or starts_with(mid, 'NIL')") + " select mention_id, cluster_id from mem join ids using (scope, type, unit)")
 def nil_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of the mentions without mid across all documents."""
     nil = _mentions(spark, d).where("mid is null or mid like 'NIL%'")
@@ -947,7 +992,12 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.evaluation_lines(_mentions(spark, d))
 
 
-@_query()
+@_query("""one as (select *, '<entity_mention id="m-' || mention_id || '" noun_type="' || noun_type || '" source="' || doc_id || '" offset="' || s || '" length="' || (e - s + 1) || '"><mention_text>'
+            || replace(replace(replace(replace(surface, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</mention_text></entity_mention>' as x
+        from m where mid is not null and s is not null and e is not null and surface is not null and noun_type is not null),
+    ent as (select doc_id, mid, '<entity id="ent-' || mid || '" type="' || arg_min(coalesce(mention_type, ''), (-length(surface), s, mention_id)) || '" specificity="specific" kb_id="' || mid || '">'
+            || string_agg(x, '' order by -length(surface), s, mention_id) || '</entity>' as x from one group by doc_id, mid)
+    select doc_id, '<deft_ere kit_id="kit_id" doc_id="' || doc_id || '" source_type="multi_post"><entities>' || string_agg(x, '' order by mid) || '</entities></deft_ere>' as xml from ent group by doc_id""")
 def ere_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.ere_documents(_mentions(spark, d))
 
@@ -957,12 +1007,20 @@ def alignment_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.alignment_lines(_title_map(spark, d))
 
 
-@_query()
+@_query("""recursive men as (select doc_id, s, e, coalesce(wiki_title, 'NIL') as title, row_number() over (partition by doc_id order by s, e, coalesce(wiki_title, 'NIL')) as k from m where s is not null and e > s),
+    fold as (select doc_id, 0::bigint as k, '' as html, 0 as p from documents where text is not null
+        union all select f.doc_id, n.k, case when n.s >= f.p then f.html || substr(d.text, f.p + 1, n.s - f.p) || '<a href="#' || n.title || '">' || substr(d.text, n.s + 1, n.e - n.s) || '</a>' else f.html end, case when n.s >= f.p then n.e else f.p end
+        from fold f join men n on n.doc_id = f.doc_id and n.k = f.k + 1 join documents d on d.doc_id = f.doc_id)
+    select l.doc_id, l.html || substr(d.text, l.p + 1, length(d.text)) as html from (select doc_id, arg_max(html, k) as html, arg_max(p, k) as p from fold group by doc_id) l join documents d using (doc_id)""")
 def linked_html(spark: SparkSession, d: str) -> DataFrame:
     return sinks.linked_html(table(spark, d, "documents").select("doc_id", "text"), _mentions(spark, d))
 
 
-@_query()
+@_query("""link as (select t.mention_id, t.doc_id, t.first_tok, t.last_tok, m.wiki_title as title from span_tok t join m using (mention_id) where m.wiki_title is not null),
+    cov as (select doc_id, title, first_tok, unnest(range(first_tok, last_tok + 1)) as tok_id from link),
+    one as (select doc_id, tok_id, min((first_tok, title)) as c from cov group by doc_id, tok_id)
+    select doc_id, sent_id, string_agg(case when c is null then token else 'TITLE_' || c[2] end, ' ' order by tok_id) as text
+    from tok left join one using (doc_id, tok_id) where c is null or c[1] = tok_id group by doc_id, sent_id having length(string_agg(case when c is null then token else 'TITLE_' || c[2] end, ' ' order by tok_id)) >= 6""")
 def substituted_text(spark: SparkSession, d: str) -> DataFrame:
     spans = _mentions(spark, d).where("wiki_title is not null").select("doc_id", "start", "end", F.col("wiki_title").alias("title"))
     return tokens.substituted_text(table(spark, d, "documents"), spans)
@@ -971,14 +1029,140 @@ def substituted_text(spark: SparkSession, d: str) -> DataFrame:
 # -- sources -----------------------------------------------------------------------------------------------------
 
 
-@_query("select page_id, lower(title) as title, is_redirect from wiki_pages where page_id is not null and ns = 0 and is_redirect = 0")
+def _sql_string(c: str) -> Column:
+    return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
+def _dump(rows: DataFrame, name: str, row: Column, order: list[str]) -> DataFrame:
+    """Rows as lines of an SQL dump, those of a page in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, row.alias("r")))), lambda e: e["r"])
+    return rows.groupBy(F.pmod("page_id", F.lit(64)).alias("seq")).agg(F.concat(F.lit(f"INSERT INTO `{name}` VALUES "), F.array_join(ordered, ","), F.lit(";")).alias("value"))
+
+
+def _page_dump(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "wiki_pages").where("page_id is not null and ns is not null and title is not null")
+    row = F.concat(F.lit("("), "page_id", F.lit(","), "ns", F.lit(","), _sql_string("title"), F.lit(",'',0,"), F.coalesce(F.col("is_redirect").cast("string"), F.lit("NULL")), F.lit(",0,0.5,'x')"))
+    return _dump(p, "page", row, ["page_id"])
+
+
+@_query("select page_id, lower(title) as title, is_redirect from wiki_pages where page_id is not null and title is not null and ns = 0 and is_redirect = 0")
 def dump_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as SQL dump lines and read again."""
-    p = table(spark, d, "wiki_pages").where("page_id is not null and ns is not null and title is not null")
-    quoted = F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    row = F.concat(F.lit("("), "page_id", F.lit(","), "ns", F.lit(",'"), quoted, F.lit("','',0,"), F.coalesce(F.col("is_redirect").cast("string"), F.lit("NULL")), F.lit(",0,0.5,'x')"))
-    lines = p.groupBy(F.pmod("page_id", F.lit(64)).alias("k")).agg(F.concat(F.lit("INSERT INTO `page` VALUES "), F.array_join(F.collect_list(row), ","), F.lit(";")).alias("value"))
-    return dumps.dump_pages(lines)
+    return dumps.dump_pages(_page_dump(spark, d))
+
+
+@_query("select page_id, lower(title) as title, is_redirect from wiki_pages where page_id is not null and title is not null and ns = 0 and is_redirect = 1")
+def dump_redirect_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The redirecting pages of the same dump."""
+    return dumps.dump_pages(_page_dump(spark, d), redirects=True)
+
+
+@_query("select page_id, lower(target_title) as target_title from wiki_redirects where page_id is not null and target_title is not null")
+def dump_redirects(spark: SparkSession, d: str) -> DataFrame:
+    """Redirects written as SQL dump lines and read again."""
+    r = table(spark, d, "wiki_redirects").where("page_id is not null and target_title is not null")
+    row = F.concat(F.lit("("), "page_id", F.lit(",0,"), _sql_string("target_title"), F.lit(",'','')"))
+    return dumps.dump_redirects(_dump(r, "redirect", row, ["page_id"]))
+
+
+_LINK_ROWS = """select page_id, lang, arg_max(replace(lower(target_title), ' ', '_'), (coalesce(seen_at, timestamp '0001-01-01'), target_title)) as title
+    from wiki_redirects where page_id is not null and lang is not null and target_title is not null group by page_id, lang"""
+
+
+def _link_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of redirects as language links of their pages, in the order in which they were seen."""
+    r = table(spark, d, "wiki_redirects").where("page_id is not null and lang is not null and target_title is not null")
+    row = F.concat(F.lit("("), "page_id", F.lit(",'"), "lang", F.lit("',"), _sql_string("target_title"), F.lit(")"))
+    return _dump(r, "langlinks", row, ["page_id", "seen_at", "target_title"])
+
+
+@_query(_LINK_ROWS)
+def dump_langlinks(spark: SparkSession, d: str) -> DataFrame:
+    """Language links written as SQL dump lines and read again; the last of a page and language counts."""
+    return dumps.dump_langlinks(_link_dump(spark, d))
+
+
+@_query("select * from (" + _LINK_ROWS + ") where lang = 'en'")
+def dump_langlinks_of(spark: SparkSession, d: str) -> DataFrame:
+    """The links to one language."""
+    return dumps.dump_langlinks(_link_dump(spark, d), "en")
+
+
+@_query("select page_id, string_agg(lang || '=' || title, '|' order by lang) as titles from (" + _LINK_ROWS + ") group by page_id")
+def langlinks_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The links of each page as a map from language."""
+    maps = titles.titles_of_pages(dumps.dump_langlinks(_link_dump(spark, d)))
+    pairs = F.transform(F.map_entries("titles"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return maps.select("page_id", F.array_join(F.array_sort(pairs), "|").alias("titles"))
+
+
+@_query("""select p.lang, p.title, arg_max(lower(replace(r.target_title, ' ', '_')), (coalesce(r.seen_at, timestamp '0001-01-01'), lower(replace(r.target_title, ' ', '_')))) as en_title
+    from (select distinct page_id, lang, lower(replace(title, ' ', '_')) as title from wiki_pages where title is not null) p join wiki_redirects r on r.page_id = p.page_id and r.lang = p.lang
+    where r.target_title is not null group by p.lang, p.title""")
+def title_map_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A title map by page id, with the targets of redirects as links."""
+    links = table(spark, d, "wiki_redirects").select("page_id", "lang", F.col("target_title").alias("title"), F.col("seen_at").alias("seq"))
+    return documents.language_link_dict(table(spark, d, "wiki_pages").select("page_id", "lang", "title"), links)
+
+
+@_query(r"""select p.title, r.lang, arg_max(array_to_string(regexp_split_to_array(lower(r.target_title), '\s+'), '_'), (coalesce(r.seen_at, timestamp '0001-01-01'), array_to_string(regexp_split_to_array(lower(r.target_title), '\s+'), '_'))) as tgt_title
+    from (select distinct page_id, array_to_string(regexp_split_to_array(lower(title), '\s+'), '_') as title from wiki_pages where title is not null) p join wiki_redirects r using (page_id)
+    where r.target_title is not null group by p.title, r.lang""")
+def title_map_all_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All languages of a page's title by page id, with the targets of redirects as links."""
+    links = table(spark, d, "wiki_redirects").select("page_id", "lang", F.col("target_title").alias("title"), F.col("seen_at").alias("seq"))
+    return documents.all_languages(table(spark, d, "wiki_pages").select("page_id", "title"), links)
+
+
+@_query("""select doc_id::varchar as doc_name, 8 + 7 as start, 8 + 7 + length(doc_name) as "end", doc_name as surface from documents where doc_name is not null and text is not null""")
+def author_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Document names as authors in markup, found again."""
+    docs = table(spark, d, "documents").where("doc_name is not null and text is not null")
+    xml = docs.select(F.col("doc_id").cast("string").alias("doc_name"), F.concat(F.lit("<AUTHOR>       "), "doc_name", F.lit("  </AUTHOR>\n"), "text").alias("xml"))
+    return documents.authors(xml).select("doc_name", "start", "end", "surface")
+
+
+@_query(r"""select doc_id, regexp_replace(array_to_string(list_filter(string_split(regexp_replace('<DOC id="' || doc_id || '">' || chr(10) || '<a href="x">' || chr(10) || 'http://x' || chr(10) || '<p>' || text || '</p>', '<.*?>', ' ', 'g'), chr(10)),
+        lambda x: not starts_with(x, 'http:') and not starts_with(x, '<a href') and not starts_with(x, '<AUTHOR') and x != ''), ' '), '\s+', ' ', 'g') as plain from documents where text is not null""")
+def xml_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in markup as plain text."""
+    xml = F.concat(F.lit('<DOC id="'), "doc_id", F.lit('">\n<a href="x">\nhttp://x\n<p>'), "text", F.lit("</p>"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", documents.plain_text(xml).alias("plain"))
+
+
+@_query(r"""r as (select doc_id, sent_id, tok_id, label, token, s, e from bio where not regexp_matches(token, '^\s*$') and not starts_with(token, 'http:'))
+    select doc_id::varchar as doc_name, (dense_rank() over (partition by doc_id order by sent_id) - 1)::bigint as sent_id, tok_id, label, token, s::int as start, e::int as "end" from r""")
+def conll_reader(spark: SparkSession, d: str) -> DataFrame:
+    """CoNLL lines with blank ones behind sentences, read again."""
+    lines = sinks.conll_lines(_bio(spark, d))
+    rows = lines.select(F.col("doc_id").cast("string").alias("doc_name"), (F.col("tok_id") * 2).alias("seq"), F.col("line").alias("value"))
+    ends = lines.groupBy("doc_id", "sent_id").agg((F.max("tok_id") * 2 + 1).alias("seq")).select(F.col("doc_id").cast("string").alias("doc_name"), "seq", F.lit("").alias("value"))
+    read = documents.conll_tokens(rows.unionByName(ends))
+    return read.select("doc_name", "sent_id", (F.col("seq") / 2).cast("int").alias("tok_id"), "label", "token", "start", "end")
+
+
+@_query("""want as (select distinct lang, lower(surface) as query from m where lang is not null and surface is not null),
+    c as (select lang, lower(title) as query, string_agg(distinct replace(title, ' ', '_'), '|' order by replace(title, ' ', '_')) as found from kb_titles where lang is not null and title is not null group by all)
+    select lang, query, coalesce(found, '') as titles from want left join c using (lang, query)""")
+def search_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Cached search answers as JSON, asked for surfaces."""
+    k = table(spark, d, "kb_titles").where("lang is not null and title is not null").groupBy("lang", F.lower("title").alias("query")).agg(F.array_sort(F.collect_set("title")).alias("t"))
+    payload = F.concat(F.lit("["), F.to_json(F.array("query")), F.lit(","), F.to_json("t"), F.lit("]"))
+    cache = k.select("lang", F.lit("prefix").alias("mode"), "query", payload.alias("payload"))
+    queries = _mentions(spark, d).where("lang is not null and surface is not null").select("lang", F.lower("surface").alias("query")).distinct()
+    return documents.search_titles(queries, cache).select("lang", "query", F.array_join(F.array_sort("titles"), "|").alias("titles"))
+
+
+@_query("""select doc_id, array_to_string(list_filter(string_split(doc_name || '.v1.cmp.txt', '.'), lambda x: x not in ('txt', 'cmp', 'mp', 'xml', 'mpdf')), '.') as stem from documents where doc_name is not null""")
+def document_stems(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("doc_name is not null").select("doc_id", X.document_stem(F.concat("doc_name", F.lit(".v1.cmp.txt"))).alias("stem"))
+
+
+@_query()
+def simplified_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Chinese titles in simplified characters, by the JVM's conversion table."""
+    chars = X.script_table(spark)
+    return table(spark, d, "kb_titles").where("lang = 'zh' and title is not null").select("title", X.converted(F.col("title"), chars).alias("simplified")).distinct()
 
 
 @_query("select 'v' || vec_id as key, len(embedding)::int as dim, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from embeddings")
@@ -990,12 +1174,12 @@ def embedding_rows(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("key", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@_query("select mid, lang, title from kb_titles where mid is not null and lang is not null and title is not null")
+@_query("select max(mid) as mid, lang, title from kb_titles where mid is not null and lang is not null and title is not null group by lang, title")
 def kb_triples(spark: SparkSession, d: str) -> DataFrame:
-    """Titles written as knowledge-base triples, with rows that must be skipped, and read again."""
+    """Titles written as knowledge-base triples in the order of mids, with rows that must be skipped, and read again."""
     k = table(spark, d, "kb_titles").where("mid is not null and lang is not null and title is not null")
-    good = k.select(F.concat_ws("\t", "mid", "lang", "title").alias("value"))
-    skipped = k.select(F.concat_ws("\t", "mid", F.lit("en_id"), "title").alias("value"))
+    good = k.select(F.col("mid").alias("seq"), F.concat_ws("\t", "mid", "lang", "title").alias("value"))
+    skipped = k.select(F.col("mid").alias("seq"), F.concat_ws("\t", "mid", F.lit("en_id"), "title").alias("value"))
     return dumps.kb_triples(good.unionByName(skipped))
 
 

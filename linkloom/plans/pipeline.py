@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from linkloom.config import Config
@@ -36,11 +38,13 @@ class Index:
         for name, rows in vars(self).items():
             if rows is not None:
                 sinks.write_index(rows, f"{path}/{name}")
+                rows.sparkSession.createDataFrame([(rows.schema.json(),)], "value string").coalesce(1).write.text(f"{path}/{name}.schema")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         """The index that ``save`` wrote."""
-        return Index(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(Index)})
+        schema = lambda name: StructType.fromJson(json.loads(spark.read.text(f"{path}/{name}.schema").first()["value"]))
+        return Index(**{f.name: spark.read.schema(schema(f.name)).parquet(f"{path}/{f.name}") for f in fields(Index)})
 
 
 def build_index(linked: DataFrame, kb_titles: DataFrame, kb_types: DataFrame, wiki_pages: DataFrame, wiki_redirects: DataFrame) -> Index:

@@ -17,6 +17,7 @@ from linkloom.functions import text as X
 from linkloom.operators import rejects, titles
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
+# How author names and quotations are marked.
 _AUTHORS = {"newswire": re.compile(r"<AUTHOR>(.*?)</AUTHOR>"), "forum": re.compile(r' author="(.*?)"')}
 _QUOTE = re.compile(r"<quote.*?/quote>", re.DOTALL)
 # Language codes in the names of gold documents.
@@ -24,7 +25,7 @@ DOC_LANGUAGE = {"ENG": "en", "SPA": "es", "CMN": "zh"}
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_name, text) of the files of a folder, by name; the name ends at the first dot."""
+    """(doc_name, text) of the files of a folder, by name; the name ends at the first dot. An empty file has no row."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     return raw.select(F.substring_index("file", ".", 1).alias("doc_name"), "text").orderBy("doc_name")
 
@@ -37,8 +38,8 @@ def plain_text(xml):
 
 
 def corpus(raw: DataFrame, lang: str) -> DataFrame:
-    """(doc_name, xml, text) of a news corpus; Chinese is brought to simplified characters."""
-    xml = X.simplified(F.col("text")) if lang == "zh" else F.col("text")
+    """(doc_name, xml, text) of a news corpus; Chinese is brought to simplified characters, by the JVM's conversion table."""
+    xml = X.converted(F.col("text"), X.script_table(raw.sparkSession)) if lang == "zh" else F.col("text")
     return raw.select("doc_name", xml.alias("xml"), plain_text(xml).alias("text"))
 
 
@@ -239,6 +240,19 @@ def search_fallback(mentions: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def language_link_dict(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """(lang, title, en_title) from dump pages and language links, joined by page; the last link of a page wins by title."""
-    joined = pages.select("page_id", "title").join(links.select("page_id", F.col("title").alias("en_title")), "page_id")
-    return titles.last_by(joined.withColumn("_o", F.lit(0)), ["title"], "en_title", "_o")
+    """(lang, title, en_title) from pages (page_id, lang, title) and language links (page_id, lang, title[, seq]), joined by page and language.
+
+    Of a title's several links the last by ``seq`` counts, of equals (or without ``seq``) the greatest.
+    """
+    order = F.col("seq") if "seq" in links.columns else F.lit(0)
+    targets = links.select("page_id", "lang", X.normal_title(F.col("title")).alias("en_title"), order.alias("_o"))
+    own = pages.where("title is not null").select("page_id", "lang", X.normal_title(F.col("title")).alias("title")).distinct()
+    return titles.last_by(own.join(targets, ["page_id", "lang"]), ["lang", "title"], "en_title", "_o")
+
+
+def all_languages(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(title, lang, tgt_title): pages (page_id, title) with their links (page_id, lang, title[, seq]) in every language; the last of a language counts."""
+    order = F.col("seq") if "seq" in links.columns else F.lit(0)
+    targets = links.select("page_id", "lang", X.joined_title(F.col("title")).alias("tgt_title"), order.alias("_o"))
+    own = pages.where("title is not null").select("page_id", X.joined_title(F.col("title")).alias("title")).distinct()
+    return titles.last_by(own.join(targets, "page_id"), ["title", "lang"], "tgt_title", "_o")

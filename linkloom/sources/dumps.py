@@ -1,11 +1,15 @@
 """Readers of dumps: SQL dump rows, knowledge-base triples, embedding text.
 
 Explicit schemas throughout. Rows that don't have the expected shape are left out; where the format says
-that the last row of a key wins, ``seq`` (file order within a task) decides.
+that the last row of a key wins, the order of lines (a column ``seq`` of the input if it has one, else the
+order in which Spark reads them) and the place in the line decide.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +20,16 @@ _TUPLE = r"""\(((?:'(?:[^'\\]|\\.)*+'|[^'()])*+)\)"""
 _FIELD = r"""('(?:[^'\\]|\\.)*+'|[^',]*+)(?:,|$)"""
 
 
+def _ordered(lines: DataFrame) -> DataFrame:
+    return lines if "seq" in lines.columns else lines.withColumn("seq", F.monotonically_increasing_id())
+
+
 def dump_tuples(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(fields): each tuple of the INSERT statements, split at commas outside quotes."""
-    inserts = lines.where(F.col(line).contains("INSERT INTO"))
+    """(seq, place, fields): each tuple of the INSERT statements, split at commas outside quotes."""
+    inserts = _ordered(lines).where(F.col(line).contains("INSERT INTO"))
     values = F.regexp_replace(F.col(line), r"^.*?VALUES\s*", "")
-    tuples = inserts.select(F.explode(F.regexp_extract_all(values, F.lit(_TUPLE), F.lit(1))).alias("row"))
-    return tuples.select(F.regexp_extract_all("row", F.lit(_FIELD), F.lit(1)).alias("fields"))
+    tuples = inserts.select("seq", F.posexplode(F.regexp_extract_all(values, F.lit(_TUPLE), F.lit(1))).alias("place", "row"))
+    return tuples.select("seq", "place", F.regexp_extract_all("row", F.lit(_FIELD), F.lit(1)).alias("fields"))
 
 
 def _string(k: int) -> Column:
@@ -48,10 +56,12 @@ def dump_redirects(lines: DataFrame) -> DataFrame:
 
 
 def dump_langlinks(lines: DataFrame, target_lang: str | None = None) -> DataFrame:
-    """(page_id, lang, title), of one target language if asked."""
-    links = dump_tuples(lines).select(_number(0).alias("page_id"), _string(1).alias("lang"), F.replace(F.lower(_string(2)), F.lit(" "), F.lit("_")).alias("title"))
-    links = links.where("page_id is not null")
-    return links if target_lang is None else links.where(F.col("lang") == target_lang)
+    """(page_id, lang, title), of one target language if asked; of several titles of a page in a language the last counts."""
+    links = dump_tuples(lines).select(
+        "seq", "place", _number(0).alias("page_id"), _string(1).alias("lang"), F.replace(F.lower(_string(2)), F.lit(" "), F.lit("_")).alias("title")
+    )
+    links = links.where("page_id is not null" if target_lang is None else F.col("page_id").isNotNull() & (F.col("lang") == target_lang))
+    return links.groupBy("page_id", "lang").agg(F.max_by("title", F.struct("seq", "place")).alias("title"))
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -60,9 +70,10 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 
 
 def kb_triples(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(mid, lang, title) of three-column rows whose second column has no ``_id``."""
-    parts = lines.select(F.split(line, "\t").alias("p")).where("size(p) = 3 and not contains(p[1], '_id')")
-    return parts.select(F.get("p", F.lit(0)).alias("mid"), F.get("p", F.lit(1)).alias("lang"), F.get("p", F.lit(2)).alias("title"))
+    """(mid, lang, title) of three-column rows whose second column has no ``_id``; of several rows of a title and language the last counts."""
+    parts = _ordered(lines).select("seq", F.split(line, "\t").alias("p")).where("size(p) = 3 and not contains(p[1], '_id')")
+    rows = parts.select("seq", F.get("p", F.lit(0)).alias("mid"), F.get("p", F.lit(1)).alias("lang"), F.get("p", F.lit(2)).alias("title"))
+    return rows.groupBy("lang", "title").agg(F.max_by("mid", F.struct("seq", "mid")).alias("mid")).select("mid", "lang", "title")
 
 
 def embedding_text(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -96,3 +107,34 @@ def wiki_anchors(articles: DataFrame) -> DataFrame:
     found = articles.select("page_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1))).alias("link")).where("not contains(link, ':')")
     parts = F.split("link", r"\|")
     return found.select("page_id", X.normal_surface(F.element_at(parts, -1)).alias("surface"), X.normal_title(F.get(parts, F.lit(0))).alias("title"))
+
+
+_LINK = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
+
+
+def plain_articles(articles: DataFrame) -> DataFrame:
+    """(page_id, title, plain, anchors): the text without link markup and the links (start, end, title) at its offsets.
+
+    Links of other namespaces (with a colon) leave nothing; an article with ``/`` in its title is left out, and so is one without text.
+    """
+    anchor = "array<struct<start:int,end:int,title:string>>"
+
+    @F.pandas_udf(f"plain string, anchors {anchor}")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            out, size, anchors, at = [], 0, [], 0
+            for m in _LINK.finditer(text):
+                out.append(text[at : m.start()])
+                size += m.start() - at
+                at = m.end()
+                shown = m.group(1) if m.group(2) is None else m.group(2)
+                if ":" not in m.group(1):
+                    anchors.append({"start": size, "end": size + len(shown), "title": m.group(1).replace(" ", "_").lower()})
+                    out.append(shown)
+                    size += len(shown)
+            rows.append(("".join([*out, text[at:]]), anchors))
+        return pd.DataFrame(rows, columns=["plain", "anchors"])
+
+    kept = articles.where("text is not null and not contains(title, '/')")
+    return kept.select("page_id", "title", cut("text").alias("c")).select("page_id", "title", "c.plain", "c.anchors")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as X
+from linkloom.operators.intervals import drop_overlapping
 from linkloom.operators.numbering import numbered
+from linkloom.operators.tokens import token_lists
 
 
 def submission_lines(mentions: DataFrame, run_id: str = "RUN") -> DataFrame:
@@ -52,16 +54,42 @@ def ere_documents(mentions: DataFrame, legacy_length: bool = True) -> DataFrame:
     return docs.select("doc_id", F.concat(head, F.array_join(F.transform("es", lambda e: e["xml"]), ""), F.lit("</entities></deft_ere>")).alias("xml"))
 
 
-def conll_lines(labelled: DataFrame, features: str | None = None) -> DataFrame:
-    """(doc_id, sent_id, tok_id, line): label, start, end, x, x, token and four x, then features; link tokens and blanks are dropped."""
+def conll_lines(labelled: DataFrame, features: str | None = None, quoted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sent_id, tok_id, line): label, start, end, x, x, token and four x, then features.
+
+    Link tokens, blanks and tokens in ``quoted`` intervals (doc_id, start, end) are dropped.
+    """
     x = F.lit("x")
     rows = labelled.where(~F.col("token").rlike(r"^\s*$") & ~F.col("token").startswith("http:"))
+    if quoted is not None:
+        keyed = rows.withColumn("_k", F.concat_ws("|", "doc_id", "tok_id"))
+        rows = drop_overlapping(keyed, quoted, "_k").drop("_k")
     fields = [F.col("label"), F.col("start").cast("string"), F.col("end").cast("string"), x, x, F.col("token"), x, x, x, x]
     if features:
         fields.append(F.array_join(features, "\t"))
     return rows.select("doc_id", "sent_id", "tok_id", F.concat_ws("\t", *fields).alias("line"))
 
 
+def annotation_texts(articles: DataFrame) -> DataFrame:
+    """(page_id, title, text): an article's tokens as ``token start end`` lines, then its links as ``#title start end`` lines.
+
+    ``articles`` has (page_id, title, plain, anchors); an article without tokens has its links only.
+    """
+    lists = token_lists(articles, "page_id", "plain", "title").select(F.col("doc_id").alias("page_id"), "sent_id", "toks")
+    cells = lambda first, r: F.concat_ws("\t", first, r["start"].cast("string"), r["end"].cast("string"))
+    lines = lists.select("page_id", "sent_id", F.transform("toks", lambda t: cells(t["token"], t)).alias("lines"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "lines"))), lambda e: e["lines"])
+    tokens_of = lines.groupBy("page_id").agg(F.flatten(ordered).alias("tokens"))
+    links = F.transform("anchors", lambda a: cells(F.concat(F.lit("#"), a["title"]), a))
+    joined = articles.join(tokens_of, "page_id", "left")
+    return joined.select("page_id", "title", F.array_join(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), links), "\n").alias("text"))
+
+
+def anchor_lines(anchors: DataFrame) -> DataFrame:
+    """(line): surface, title."""
+    return anchors.select(F.concat_ws("\t", "surface", "title").alias("line"))
+
+
 def alignment_lines(mapping: DataFrame) -> DataFrame:
     """(line): ``title_<en> ||| title_<foreign>``."""
     return mapping.select(F.concat_ws(" ||| ", F.concat(F.lit("title_"), "en_title"), F.concat(F.lit("title_"), "title")).alias("line"))

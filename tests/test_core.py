@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as X
 from linkloom.functions import vectors as V
-from linkloom.operators import anchors, candidates, coref, evaluate, intervals, kb, ner, ranking, titles, tokens
+from linkloom.operators import anchors, candidates, coref, evaluate, features, intervals, kb, ner, ranking, titles, tokens
 from linkloom.operators.numbering import numbered
 from linkloom.plans import core_queries, pipeline
 from linkloom.sources import documents, dumps, sinks
@@ -104,11 +105,11 @@ def test_vectors(spark):
 
 
 def test_mid_chain(spark):
-    rows = spark.createDataFrame([("es", "rio"), ("es", "x"), ("es", "NIL"), ("es", None)], "lang string, title string")
-    known = spark.createDataFrame([("rio", "en", "m.1"), ("y", "en", "m.2")], "title string, lang string, mid string")
+    rows = spark.createDataFrame([("es", "rio"), ("es", "x"), ("es", "NIL"), ("es", None), ("zh", "北京"), ("es", "rio_de_janeiro")], "lang string, title string")
+    known = spark.createDataFrame([("Rio", "en", "m.1"), ("Y", "en", "m.2"), ("北京", "zh-cn", "m.3"), ("Rio_De_Janeiro", "es", "m.4")], "title string, lang string, mid string")
     mapping = spark.createDataFrame([("es", "x", "y")], "lang string, title string, en_title string")
     found = {r["title"]: (r["mid"], r["mid_try"]) for r in kb.mid_chain(rows, known, mapping).collect()}
-    assert found == {"rio": ("m.1", 2), "x": ("m.2", 3), "NIL": (None, None), None: (None, None)}
+    assert found == {"rio": ("m.1", 2), "x": ("m.2", 3), "NIL": (None, None), None: (None, None), "北京": ("m.3", 1), "rio_de_janeiro": ("m.4", 1)}
 
 
 def test_tokens_and_context(spark):
@@ -476,3 +477,184 @@ def test_copied_features(spark):
     assert [r["copied"] for r in ner.copy_features(a, b).orderBy("tok_id").collect()] == [["x"], ["y"]]
     with pytest.raises(Exception, match="token counts differ"):
         ner.copy_features(a, b.where("tok_id = 0")).collect()
+
+
+def plain_cos(a, b):
+    a, b = np.array(a, dtype=float), np.array(b, dtype=float)
+    n = np.linalg.norm(a) * np.linalg.norm(b)
+    return float(a @ b / n) if n else 0.0
+
+
+def test_static_features(spark):
+    """Two mentions of one document, in Spanish: each base feature against its definition."""
+    docs = spark.createDataFrame([(1, "es", "aa rio bb lima cc")], "doc_id long, lang string, text string")
+    men = spark.createDataFrame([(1, 1, "es", 3, 6, "rio"), (2, 1, "es", 10, 14, "lima"), (3, 2, "es", None, None, "rio")], "mention_id long, doc_id long, lang string, start int, end int, surface string")
+    cand = spark.createDataFrame([(1, 1, "río", "es", 0.7, 0.2), (1, 2, "rio_(film)", "en", 0.3, 0.1), (2, 1, "lima", "es", 1.0, 1.0), (3, 1, "río", "es", 0.7, 0.2)], "mention_id long, rank int, title string, cand_lang string, p_title_given_surface double, p_surface_given_title double")
+    mapping = spark.createDataFrame([("es", "río", "river")], "lang string, title string, en_title string")
+    vec = {"aa": [1.0, 0.0], "bb": [0.0, 1.0], "rio": [1.0, 1.0], "lima": [1.0, -1.0], "title_río": [2.0, 1.0], "title_lima": [0.0, 3.0]}
+    vectors = spark.createDataFrame([("es", k, v) for k, v in vec.items()] + [("en", "title_river", [1.0, 2.0]), ("en", "title_rio_(film)", [1.0, 0.0])], "lang string, key string, vec array<double>")
+    toks = tokens.tokens(docs)
+    rows = features.static_features(men, cand, toks, tokens.document_frequency(docs), mapping, vectors).collect()
+    got = {(r["mention_id"], r["title"]): r for r in rows}
+    assert len(got) == len(rows) == 4
+    r = got[1, "río"]
+    assert (r["TITLEPROB"], r["SURFACEPROB"]) == (0.7, 0.2)
+    assert r["NE_TITLE_COS"] == pytest.approx(plain_cos(vec["lima"], [1, 2])) and r["NE_TITLE_COS_L"] == pytest.approx(plain_cos(vec["lima"], vec["title_río"]))
+    assert r["NE_MINMAX_MAX"] == r["NE_MINMAX_MIN"] == pytest.approx(r["NE_TITLE_COS"]) and r["NE_MINMAX_L_MAX"] == pytest.approx(r["NE_TITLE_COS_L"])
+    # all words stand in one line each, so weights are equal; lima and cc count too, cc has no vector
+    context = np.mean([vec["aa"], vec["bb"], vec["lima"]], axis=0)
+    assert r["W_CON30"] == pytest.approx(plain_cos(context, [1, 2])) and r["W_CON200_L"] == pytest.approx(plain_cos(context, vec["title_río"]))
+    # an English candidate without a foreign title has no foreign features
+    assert got[1, "rio_(film)"]["NE_TITLE_COS_L"] == 0.0 and got[1, "rio_(film)"]["W_CON30"] == pytest.approx(plain_cos(context, [1, 0]))
+    # a mention alone in its document, without offsets
+    assert got[3, "río"]["NE_TITLE_COS"] == 0.0 and got[3, "río"]["W_CON30"] == 0.0
+    names = ranking.features_of(False)
+    best = features.rank_with_features(spark.createDataFrame(rows), names, [1.0] + [0.0] * 19)
+    assert {r["mention_id"]: r["title"] for r in best.collect()} == {1: "río", 2: "lima", 3: "río"}
+
+
+def test_sequential_ranking_against_plain_model(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for doc in range(3):
+        for m in range(6):
+            for k in range(rng.integers(1, 4)):
+                v = None if rng.random() < 0.15 else rng.standard_normal(4).tolist()
+                rows.append((doc, doc * 10 + m, int(rng.integers(0, 50)) if k == 0 else rows[-1][2], k + 1, f"t{doc}{m}{k}", rng.random(2).tolist(), v))
+    w = [0.4, 0.2, 0.9, 0.7, -0.3]
+    df = spark.createDataFrame(rows, "doc_id long, mention_id long, start int, rank int, title string, features array<double>, vec array<double>")
+    got = {r["mention_id"]: (r["title"], r["score"], r["confidence"]) for r in ranking.rank_documents(df, w).collect()}
+    want = {}
+    for doc in range(3):
+        chosen = []
+        mentions = sorted({(r[2], r[1]) for r in rows if r[0] == doc})
+        for _, m in mentions:
+            scored = []
+            for r in sorted((r for r in rows if r[1] == m), key=lambda r: r[3]):
+                near = [plain_cos(r[6], c) for c in chosen] if r[6] else []
+                x = [*r[5], plain_cos(np.mean(chosen, axis=0), r[6]) if near else 0.0, max(near, default=0.0), min(near, default=0.0)]
+                scored.append((float(np.dot(x, w)), -r[3], r[4], r[6]))
+            scored.sort(key=lambda s: (-s[0], -s[1]))
+            want[m] = (scored[0][2], scored[0][0], 1.0 if len(scored) == 1 else 1 / (1 + np.exp(scored[1][0] - scored[0][0])))
+            if scored[0][3] is not None:
+                chosen.append(scored[0][3])
+    assert {m: v[0] for m, v in got.items()} == {m: v[0] for m, v in want.items()}
+    assert all(got[m][1:] == pytest.approx(want[m][1:]) for m in want)
+
+
+def small_index(spark):
+    linked = spark.createDataFrame([("en", "New York", "new_york_city")] * 3 + [("en", "Ann Lee", "ann_lee"), ("es", "Río", "río")], "lang string, surface string, wiki_title string")
+    kb_titles = spark.createDataFrame([("m.1", "en", "New_York_City"), ("m.2", "en", "Ann_Lee"), ("m.3", "es", "Río"), ("m.3", "en", "River")], "mid string, lang string, title string")
+    kb_types = spark.createDataFrame([("m.1", ["location.location"]), ("m.2", ["people.person"]), ("m.3", ["location.location"])], "mid string, types array<string>")
+    pages = spark.createDataFrame([], "page_id long, lang string, ns int, title string, is_redirect int")
+    redirects = spark.createDataFrame([], "page_id long, lang string, target_title string, seen_at timestamp")
+    return pipeline.build_index(linked, kb_titles, kb_types, pages, redirects)
+
+
+def test_text_to_links(spark, tmp_path):
+    small_index(spark).save(str(tmp_path / "index"))
+    index = pipeline.Index.load(spark, str(tmp_path / "index"))
+    docs = spark.createDataFrame([(1, "en", "Ann Lee saw New York. It was 2020."), (2, "es", "Vimos Río."), (3, "en", None), (4, None, "New York"), (5, "en", "")], "doc_id long, lang string, text string")
+    from linkloom.config import Config
+
+    rows = pipeline.annotate_text(docs, index, Config()).collect()
+    got = {(r["doc_id"], r["start"], r["end"]): (r["surface"], r["mention_type"], r["en_title"], r["mid"]) for r in rows}
+    assert got == {
+        (1, 0, 7): ("Ann Lee", "PER", "ann_lee", "m.2"), (1, 12, 20): ("New York", "LOC", "new_york_city", "m.1"), (2, 6, 9): ("Río", "LOC", "river", "m.3"),
+    }
+    assert pipeline.annotate_text(docs.where("false"), index, Config()).count() == 0
+
+
+def test_linker_settings(spark):
+    from linkloom.config import Config
+
+    index = small_index(spark)
+    men = "mention_id long, doc_id long, lang string, surface string, mention_type string, start int, end int"
+    m = spark.createDataFrame([(1, 1, "en", "York", "LOC", 0, 4), (2, 1, "en", "Nowhere", "LOC", 5, 12), (3, 1, "es", "Ann Lee", "PER", 13, 20)], men)
+    search = spark.createDataFrame([("en", "nowhere", ["New_York_City"])], "lang string, query string, titles array<string>")
+    plain = {r["mention_id"]: r["wiki_title"] for r in pipeline.annotate(m, index).collect()}
+    # a word of a surface finds the title, another language's mention the English one
+    assert plain == {1: "new_york_city", 2: "NIL", 3: "ann_lee"}
+    found = {r["mention_id"]: (r["wiki_title"], r["mid"]) for r in pipeline.annotate(m, index, config=Config(use_search=True), search=search).collect()}
+    assert found[2] == ("New_York_City", "m.1")
+    with pytest.raises(ValueError):
+        pipeline.annotate(m, index, target_kb="other")
+
+
+def test_article_texts(spark):
+    text = "See [[New York|the City]], [[Rio]] and [[File:x.png|a file]]."
+    articles = spark.createDataFrame([(1, "A b", text), (2, "A/c", "x"), (3, "E", None), (4, "F", "")], "page_id long, title string, text string")
+    made = dumps.plain_articles(articles)
+    rows = {r["page_id"]: r for r in made.collect()}
+    assert set(rows) == {1, 4} and rows[1]["plain"] == "See the City, Rio and ."
+    assert [tuple(a) for a in rows[1]["anchors"]] == [(4, 12, "new_york"), (14, 17, "rio")]
+    files = sinks.annotation_texts(made).select(F.col("title").alias("doc_name"), "text")
+    assert {tuple(r) for r in documents.annotated_article(files).collect()} == {("A b", "new_york", 4, 12), ("A b", "rio", 14, 17)}
+    assert [r["line"] for r in sinks.anchor_lines(spark.createDataFrame([("a", "b")], "surface string, title string")).collect()] == ["a\tb"]
+
+
+def test_conll_without_quotations(spark):
+    toks = tokens.tokens(spark.createDataFrame([(1, "en", "a b c")], "doc_id long, lang string, text string")).withColumn("label", F.lit("O"))
+    quoted = spark.createDataFrame([(1, 2, 3)], "doc_id long, start int, end int")
+    assert [r["line"].split("\t")[5] for r in sinks.conll_lines(toks, quoted=quoted).orderBy("tok_id").collect()] == ["a", "c"]
+
+
+def test_readers_of_folders_and_slices(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "b.x.xml").write_text("<p>漢 國</p>\n<AUTHOR> Jo </AUTHOR>")
+    (tmp_path / "d" / "a.txt").write_text("")  # an empty file is no document
+    (tmp_path / "d" / "c.txt").write_text("x")
+    raw = documents.read_texts(spark, str(tmp_path / "d"))
+    assert [r["doc_name"] for r in raw.collect()] == ["b", "c"]
+    docs = documents.corpus(raw, "zh")
+    assert {r["doc_name"]: r["text"].strip() for r in docs.collect()} == {"b": "汉 国 Jo", "c": "x"}
+    authors = documents.authors(docs)
+    assert [(r["surface"], r["mid"]) for r in authors.collect()] == [("Jo", "NIL")]
+    mentions = spark.createDataFrame([("b", 1, 2, "x", "PER", "m.1", 0.5)], "doc_name string, start int, end int, surface string, mention_type string, mid string, confidence double")
+    both = evaluate.attach_authors(mentions, authors, docs.where("doc_name = 'b'"))
+    assert sorted(r["surface"] for r in both.collect()) == ["Jo", "x"]
+    assert evaluate.attach_authors(mentions, authors, docs.where("doc_name = 'c'")).count() == 1
+    gold = spark.createDataFrame([("en", "NAM"), ("en", "NOM"), ("es", "NAM")], "lang string, noun_type string")
+    assert documents.gold_slice(gold, "en").count() == 1 and documents.gold_slice(gold, "en", None).count() == 2
+    chars = X.script_table(spark, "Simplified-Traditional")
+    assert "汉" in chars[0]
+
+
+def test_last_link_wins(spark):
+    lines = spark.createDataFrame([(2, "INSERT INTO `langlinks` VALUES (1,'en','B c'),(1,'en','It\\'s'),(2,'es','x');"), (1, "INSERT INTO `langlinks` VALUES (2,'es','y'),(1,'en','z');")], "seq int, value string")
+    assert {tuple(r) for r in dumps.dump_langlinks(lines).collect()} == {(1, "en", "it's"), (2, "es", "x")}
+    assert {tuple(r) for r in dumps.dump_langlinks(lines, "es").collect()} == {(2, "es", "x")}
+    pages = spark.createDataFrame([(1, "es", "A b"), (2, "es", "A b"), (3, "ru", "A b")], "page_id long, lang string, title string")
+    links = spark.createDataFrame([(1, "es", "P", 5), (2, "es", "Q", 7), (3, "ru", "R", 1), (9, "es", "S", 9)], "page_id long, lang string, title string, seq int")
+    assert {tuple(r) for r in documents.language_link_dict(pages, links).select("lang", "title", "en_title").collect()} == {("es", "a_b", "q"), ("ru", "a_b", "r")}
+    every = documents.all_languages(pages.select("page_id", "title"), links)
+    assert {tuple(r) for r in every.select("title", "lang", "tgt_title").collect()} == {("a_b", "es", "q"), ("a_b", "ru", "r")}
+
+
+def test_optional_tagger_and_ranker_features(spark):
+    labelled = spark.createDataFrame([(1, 0, 0, "B-PER"), (1, 0, 1, "O"), (1, 1, 2, "O")], "doc_id long, sent_id long, tok_id int, label string")
+    assert {r["tok_id"]: r["features"] for r in ner.previous_label_features(labelled).collect()} == {0: [], 1: ["prev-B-PER", "prev-PER"], 2: []}
+    src = ranking.source_features(spark.createDataFrame([("surface", 0.5), (None, None)], "src string, score double"), ["surface", "word"])
+    assert [(r["SRC:surface"], r["SRC:word"], r["PRESCORE"]) for r in src.collect()] == [(1.0, 0.0, 0.5), (0.0, 0.0, 0.0)]
+    cats = spark.createDataFrame([("rio", "Cities of Brazil")], "title string, category string")
+    stops = spark.createDataFrame([("of",)], "word string")
+    rows = spark.createDataFrame([(1, "rio"), (2, "x")], "mention_id long, title string")
+    assert [(r["mention_id"], r["features"]) for r in ner.category_features(rows, cats, stops).collect()] == [(1, ["TOPWIKICATTOKEN-brazil", "TOPWIKICATTOKEN-cities"])]
+
+
+def test_gold_is_matched_by_beginning_of_name(spark):
+    cols = "id long, doc string, start int, end int, type string, mid string"
+    pred = spark.createDataFrame([(1, "d1.txt", 0, 3, "PER", "m.1", ["m.1"]), (2, "d2", 0, 3, "PER", "m.9", ["m.9", "m.2"]), (3, None, 0, 3, "PER", "m.1", None)], cols + ", cand_mids array<string>")
+    gold = spark.createDataFrame([(7, "d1", 0, 3, "PER", "m.1"), (8, "d2", 0, 3, "PER", "m.2"), (9, "other", 0, 3, "PER", "m.1")], cols)
+    got = {r["id"]: (r["span_ok"], r["link_ok"], r["in_candidates"]) for r in evaluate.match_gold(pred, gold).collect()}
+    assert got == {1: (True, True, False), 2: (True, False, True), 3: (False, False, False)}
+
+
+def test_rules_are_the_tables(spark):
+    """Other rules, other results: nothing but the joined table decides."""
+    from linkloom.operators import rejects
+
+    rules = (rejects.FieldRule(0, "kind", r"\Aa\z"), rejects.FieldRule(1, "range", r"\A[0-9:-]+\z", ordered=True))
+    lines = spark.createDataFrame([(1, "a\t:3-5"), (2, "a\t:5-3"), (3, "b\t:1-1"), (4, "a")], "line_id long, line string")
+    bad = rejects.violations(rejects.parse_lines(lines), rules)
+    assert {(r["line_id"], r["reason"], *r["fields"]) for r in bad.collect()} == {(2, "value", "range"), (3, "value", "kind"), (4, "columns")}
