@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from linkloom.functions.text import SIMPLIFIED, TRADITIONAL
 from linkloom.llm.confusables import _LOOK_ALIKE, consistent_text
 from linkloom.session import cut_lineage
 
@@ -63,10 +64,10 @@ _FUNCTION = frozenset("of and the & de del y la el los las и".split())
 _ZH_ADDRESS = re.compile("(?:教授|博士|先生|女士|总部)$")
 # Chinese kinds of organisations and their short forms.
 _ZH_KINDS = (("大学", "大"), ("研究所", "所"), ("基金会", "基金"), ("协会", "协"), ("委员会", "委"), ("实验室", "室"))
-# Traditional characters used in transliterated names and their simplified forms.
-_TRADITIONAL = "漢羅亞馬諾盧達溫蓋魯裡紐萬凱納圖謝歐貝揚邁倫費傑烏蘭門喬蘇爾薩萊維寧麗濟協會學術會體實驗鐵運輸衛劇樂園與東銀長風飛龍齊國際爾約瑪綺賓頓韋葉顏鮑魏貢賀鄧鐘錢陸陳陽顧養車軍農歷莊賽內亙範畢畫發電機廠廣場業員師團動產團責質檢測經濟"
-_SIMPLIFIED = "汉罗亚马诺卢达温盖鲁里纽万凯纳图谢欧贝扬迈伦费杰乌兰门乔苏尔萨莱维宁丽济协会学术会体实验铁运输卫剧乐园与东银长风飞龙齐国际尔约玛绮宾顿韦叶颜鲍魏贡贺邓钟钱陆陈阳顾养车军农历庄赛内亘范毕画发电机厂广场业员师团动产团责质检测经济"
-_TO_SIMPLIFIED = str.maketrans(_TRADITIONAL, _SIMPLIFIED)
+# Further traditional characters used in transliterated names and their simplified forms.
+_TRADITIONAL = "麗濟協術體實驗鐵運輸衛劇樂園與銀風飛齊際約瑪綺賓頓韋葉鮑貢賀鄧鐘錢陸陳陽顧養軍農歷莊賽內亙範畢畫發機廠廣場業員師團動產責質檢測經"
+_SIMPLIFIED = "丽济协术体实验铁运输卫剧乐园与银风飞齐际约玛绮宾顿韦叶鲍贡贺邓钟钱陆陈阳顾养军农历庄赛内亘范毕画发机厂广场业员师团动产责质检测经"
+_TO_SIMPLIFIED = str.maketrans(TRADITIONAL + _TRADITIONAL, SIMPLIFIED + _SIMPLIFIED)
 _TO_CYRILLIC = str.maketrans({latin: next(c for c in others if "а" <= c.lower() <= "ӏ") for latin, others in _LOOK_ALIKE.items() if any("Ѐ" <= c <= "ӿ" for c in others)})
 # Words above this length are indexed by their ends.
 LONG = 64
@@ -452,6 +453,12 @@ def _split_run_together(parsed: DataFrame) -> DataFrame:
     return joined.withColumn("words", F.when(F.col("s").isNotNull() & ~F.col("s.word").rlike(f"(?:{kinds})$"), as_two).otherwise(F.col("words"))).drop("s")
 
 
+def entity_classes(linked: DataFrame) -> DataFrame:
+    """(lang, entity, n_mentions, n_forms, first_mention): one row for each entity, whatever the number of its mentions."""
+    counted = linked.groupBy("lang", "entity", "surface").agg(F.count("*").alias("n"), F.min("mention_id").alias("first"))
+    return counted.groupBy("lang", "entity").agg(F.sum("n").alias("n_mentions"), F.count("*").alias("n_forms"), F.min("first").alias("first_mention"))
+
+
 def same_entity_pairs(linked: DataFrame) -> DataFrame:
     """(mention_id_a, mention_id_b): mentions of one entity whose stored surfaces aren't equal."""
     a = linked.select("lang", "entity", F.col("mention_id").alias("mention_id_a"), F.col("surface").alias("surface_a"))
