@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from linkloom.functions import text as X
 from linkloom.functions import vectors as V
 from linkloom.operators import candidates, kb
-from linkloom.operators.intervals import propagate_types
+from linkloom.operators.intervals import bio_decode, propagate_types
 from linkloom.operators.tokens import ngrams_upto
 from linkloom.session import cut_lineage
 
@@ -182,6 +182,28 @@ def train_tagger(labelled: DataFrame, n_features: int = 1 << 16, max_rows: int =
     return Pipeline(stages=stages).fit(sample)
 
 
+def tagged(model, toks: DataFrame) -> DataFrame:
+    """Tokens with ``features`` and the ``label`` that a tagger of ``train_tagger`` finds; runs of one type begin with B-."""
+    found = model.transform(toks.withColumn("kind", F.lit("O")))
+    before = F.lag("found").over(Window.partitionBy("doc_id", "sent_id").orderBy("tok_id"))
+    label = F.when(F.col("found") == "O", F.lit("O")).otherwise(F.concat(F.when(before == F.col("found"), F.lit("I-")).otherwise(F.lit("B-")), "found"))
+    return found.withColumn("label", label).select(*toks.columns, *(() if "label" in toks.columns else ("label",)))
+
+
+def tagger_scores(model, labelled: DataFrame) -> DataFrame:
+    """(mention_type, n_gold, n_found, n_right, precision, recall, f1): spans found in labelled tokens against those labelled; ``all`` sums up."""
+    keys = ["doc_id", "start", "end", "mention_type"]
+    gold = bio_decode(labelled).select(*keys).distinct().withColumn("gold", F.lit(1))
+    found = bio_decode(tagged(model, labelled.drop("label"))).select(*keys).distinct().withColumn("found", F.lit(1))
+    both = gold.join(found, keys, "full").select("mention_type", F.coalesce("gold", F.lit(0)).alias("gold"), F.coalesce("found", F.lit(0)).alias("found"))
+    each = both.unionByName(both.withColumn("mention_type", F.lit("all"))).groupBy("mention_type").agg(
+        F.sum("gold").alias("n_gold"), F.sum("found").alias("n_found"), F.sum(F.col("gold") * F.col("found")).alias("n_right")
+    )
+    p, r = F.try_divide("n_right", "n_found"), F.try_divide("n_right", "n_gold")
+    share = {"precision": F.coalesce(p, F.lit(0.0)), "recall": F.coalesce(r, F.lit(0.0)), "f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))}
+    return each.withColumns(share)
+
+
 def copy_features(tokens_a: DataFrame, tokens_b: DataFrame) -> DataFrame:
     """Features of one tokenisation copied to another by position; documents with another number of tokens raise an error."""
     a, b = (t.groupBy("doc_id").agg(F.count("*").alias(n)) for t, n in ((tokens_a, "n_a"), (tokens_b, "n_b")))

@@ -41,10 +41,13 @@ class Index:
                 rows.sparkSession.createDataFrame([(rows.schema.json(),)], "value string").coalesce(1).write.text(f"{path}/{name}.schema")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        """The index that ``save`` wrote."""
+    def load(spark: SparkSession, path: str, langs: tuple[str, ...] | None = None) -> Index:
+        """The index that ``save`` wrote; with ``langs`` only their partitions (and English) of the tables that tell a language are read."""
         schema = lambda name: StructType.fromJson(json.loads(spark.read.text(f"{path}/{name}.schema").first()["value"]))
-        return Index(**{f.name: spark.read.schema(schema(f.name)).parquet(f"{path}/{f.name}") for f in fields(Index)})
+        read = {f.name: spark.read.schema(schema(f.name)).parquet(f"{path}/{f.name}") for f in fields(Index)}
+        if langs is not None:
+            read = {name: rows.where(F.col("lang").isin("en", *langs)) if "lang" in rows.columns else rows for name, rows in read.items()}
+        return Index(**read)
 
 
 def build_index(linked: DataFrame, kb_titles: DataFrame, kb_types: DataFrame, wiki_pages: DataFrame, wiki_redirects: DataFrame) -> Index:

@@ -363,7 +363,10 @@ def test_ranked_document_uses_earlier_choices(spark):
 def test_tagger_learns(spark):
     docs = spark.createDataFrame([(i, "en", f"Mr Smith{i} met people") for i in range(30)], "doc_id long, lang string, text string")
     toks = ner.token_features(tokens.tokens(docs)).withColumn("label", F.when(F.col("tok_id") == 1, "B-PER").otherwise("O"))
-    found = ner.train_tagger(toks).transform(toks.withColumn("kind", F.lit("O")))
+    model = ner.train_tagger(toks)
+    scores = {r["mention_type"]: (r["n_gold"], r["n_found"], r["f1"]) for r in ner.tagger_scores(model, toks).collect()}
+    assert scores == {"PER": (30, 30, 1.0), "all": (30, 30, 1.0)}
+    found = model.transform(toks.withColumn("kind", F.lit("O")))
     assert found.where("(tok_id = 1) != (found = 'PER')").count() == 0
 
 
@@ -658,3 +661,21 @@ def test_rules_are_the_tables(spark):
     lines = spark.createDataFrame([(1, "a\t:3-5"), (2, "a\t:5-3"), (3, "b\t:1-1"), (4, "a")], "line_id long, line string")
     bad = rejects.violations(rejects.parse_lines(lines), rules)
     assert {(r["line_id"], r["reason"], *r["fields"]) for r in bad.collect()} == {(2, "value", "range"), (3, "value", "kind"), (4, "columns")}
+
+
+def test_jobs(spark, tmp_path):
+    from linkloom.plans import jobs
+
+    d = write_tables(
+        spark, tmp_path / "in", mentions=([("en", "New York", "new_york_city"), ("es", "Río", "río")], "lang string, surface string, wiki_title string"),
+        kb_titles=([("m.1", "en", "New_York_City")], "mid string, lang string, title string"), kb_types=([("m.1", ["location.location"])], "mid string, types array<string>"),
+        wiki_pages=([], "page_id long, lang string, ns int, title string, is_redirect int"), wiki_redirects=([], "page_id long, lang string, target_title string, seen_at timestamp"),
+        documents=([(1, "en", "He saw New York")], "doc_id long, lang string, text string"),
+    )
+    jobs.build_index(spark, d, str(tmp_path / "index"))
+    jobs.annotate_documents(spark, f"{d}/documents.parquet", str(tmp_path / "index"), str(tmp_path / "out"), n_stops=0)
+    assert [(r["start"], r["mid"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(7, "m.1")]
+    english = pipeline.Index.load(spark, str(tmp_path / "index"), ("zh",))
+    assert {r["lang"] for r in english.statistics.collect()} == {"en"}
+    with pytest.raises(Exception, match="already exists"):
+        jobs.build_index(spark, d, str(tmp_path / "index"))
