@@ -145,9 +145,9 @@ def rank_with_features(rows: DataFrame, names: Sequence[str], weights: Sequence[
     """
     static = [n for n in names if n not in SEQUENTIAL]
     order = [*static, *[n for n in SEQUENTIAL if n in names]]
+    made = F.array(*[F.col(n) for n in static]).alias("features")
     return ranking.rank_sequentially(
-        rows.select("doc_id", "mention_id", "start", "rank", "title", "cand_lang", F.array(*[F.col(n) for n in static]).alias("features")),
-        rows.select("doc_id", "title", "cand_lang", V.doubles(F.col("en_vec")).alias("vec"), V.doubles(F.col("l_vec")).alias("l_vec")),
+        rows.select("doc_id", "mention_id", "start", "rank", "title", made, V.doubles(F.col("en_vec")).alias("vec"), V.doubles(F.col("l_vec")).alias("l_vec")),
         [n for n in SEQUENTIAL if n in names],
         ranking.weight_matrix(names, order, weights),
     )

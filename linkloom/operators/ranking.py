@@ -6,10 +6,11 @@ missing vectors out, and a mean of nothing is the zero vector. Sums are made in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,72 +134,106 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1)
 
 
-def _sequence(rows: pd.DataFrame, vecs: pd.DataFrame, sequential: Sequence[str], w: np.ndarray) -> list[tuple]:
-    """(mention_id, title, score, confidence) of one document's mentions in order."""
-    rows = rows.sort_values(["start", "mention_id", "rank"], kind="stable", na_position="first")
-    place = {k: i for i, k in enumerate(zip(vecs["title"], vecs["cand_lang"], strict=True))}
-    dim = next((len(v) for c in ("vec", "l_vec") for v in vecs[c] if v is not None), 1)
-    own, foreign = (np.array([v if v is not None else np.zeros(dim) for v in vecs[c]], dtype=float).reshape(len(vecs), dim) for c in ("vec", "l_vec"))
-    unit, unit_l = _unit(own), _unit(foreign)
-    has = np.array([v is not None for v in vecs["vec"]], dtype=bool)
-    at = np.array([place[k] for k in zip(rows["title"], rows["cand_lang"], strict=True)])
-    static = np.array(rows["features"].tolist(), dtype=float).reshape(len(rows), -1)
-    ids, ranks, names = rows["mention_id"].to_numpy(), rows["rank"].to_numpy(), rows["title"].to_numpy()
-    bounds = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
-    total, n, seen = np.zeros(dim), 0, set()
-    chosen = np.zeros((8, dim))
-    out = []
-    for a, b in zip(bounds, bounds[1:]):
-        k = at[a:b]
-        columns = []
-        if sequential:
-            mean = _unit(total)
-            for name in sequential:
-                side = unit_l[k] if "_L" in name else unit[k]
-                if not n:
-                    columns.append(np.zeros(b - a))
-                elif name.startswith("PRETITLE"):
-                    columns.append(side @ mean)
-                else:
-                    # a title chosen twice changes neither the greatest nor the least
-                    cos = side @ chosen[: len(seen)].T
-                    found = cos.max(axis=1) if name.endswith("MAX") else cos.min(axis=1)
-                    columns.append(np.where((side != 0).any(axis=1), found, 0.0))
-        x = np.column_stack([static[a:b], *columns, np.ones(b - a)])
-        score = np.einsum("ij,jk,ik->i", x, w, x)
-        order = np.lexsort((ranks[a:b], -score))
-        top = order[0]
-        confidence = 1.0 if b - a == 1 else 1.0 / (1.0 + np.exp(min(700.0, score[order[1]] - score[top])))
-        out.append((ids[a], names[a + top], float(score[top]), float(confidence)))
-        if has[k[top]]:
-            total, n = total + own[k[top]], n + 1
-            if k[top] not in seen:
-                if len(seen) == len(chosen):
-                    chosen = np.concatenate([chosen, np.zeros_like(chosen)])
-                chosen[len(seen)] = unit[k[top]]
-                seen.add(k[top])
-    return out
-
-
-def rank_sequentially(candidates: DataFrame, vectors: DataFrame, sequential: Sequence[str], w: np.ndarray) -> DataFrame:
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, which of them aren't null) of an array column whose arrays are of one length; a null is a row of zeros."""
+    has = column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
+    rows = np.zeros((len(column), len(flat) // has.sum() if has.any() else 0))
+    if has.any():
+        rows[has] = flat.reshape(int(has.sum()), -1)
+    return rows, has
+
+
+class _Walk:
+    """The titles chosen so far in a document: sum and number of their vectors, and the different ones, unit length."""
+
+    def __init__(self, sequential: tuple[str, ...], w: np.ndarray) -> None:
+        self.sequential, self.w, self.doc = sequential, w, None
+
+    def begin(self, doc) -> None:
+        self.doc, self.total, self.n, self.seen, self.chosen = doc, None, 0, set(), None
+
+    def columns(self, own: np.ndarray, foreign: np.ndarray) -> list[np.ndarray]:
+        """Sequential features of a mention's candidates."""
+        out, known = [], {}
+        mean = _unit(self.total) if self.n else None
+        for name in self.sequential:
+            side = foreign if "_L" in name else own
+            if not self.n or side.shape[1] != self.total.shape[0]:
+                out.append(np.zeros(len(own)))
+            elif name.startswith("PRETITLE"):
+                out.append(side @ mean)
+            else:
+                # a title chosen twice changes neither the greatest nor the least
+                key = "_L" in name
+                if key not in known:
+                    known[key] = side @ self.chosen[: len(self.seen)].T, (side != 0).any(axis=1)
+                cos, any_vec = known[key]
+                out.append(np.where(any_vec, cos.max(axis=1) if name.endswith("MAX") else cos.min(axis=1), 0.0))
+        return out
+
+    def take(self, title: str, vec: np.ndarray, unit: np.ndarray) -> None:
+        self.total, self.n = vec.copy() if self.total is None else self.total + vec, self.n + 1
+        if title not in self.seen:
+            if self.chosen is None:
+                self.chosen = np.zeros((8, len(vec)))
+            elif len(self.seen) == len(self.chosen):
+                self.chosen = np.concatenate([self.chosen, np.zeros_like(self.chosen)])
+            self.chosen[len(self.seen)] = unit
+            self.seen.add(title)
+
+    def mentions(self, batch: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        """The best candidate of each mention; ``bounds`` are the mentions' first rows and the end."""
+        static = _matrix(batch.column("features"))[0]
+        (own, has), (foreign, _) = _matrix(batch.column("vec")), _matrix(batch.column("l_vec"))
+        unit, unit_l = _unit(own), _unit(foreign)
+        docs, titles, ranks = batch.column("doc_id").to_pylist(), batch.column("title").to_pylist(), batch.column("rank").to_numpy(zero_copy_only=False)
+        best, scores, shares = [], [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if docs[a] != self.doc:
+                self.begin(docs[a])
+            x = np.column_stack([static[a:b], *self.columns(unit[a:b], unit_l[a:b]), np.ones(b - a)])
+            score = ((x @ self.w) * x).sum(axis=1)
+            order = np.lexsort((ranks[a:b], -score))
+            top = a + int(order[0])
+            best.append(top)
+            scores.append(float(score[order[0]]))
+            shares.append(1.0 if b - a == 1 else float(1.0 / (1.0 + np.exp(min(700.0, score[order[1]] - score[order[0]])))))
+            if has[top]:
+                self.take(titles[top], own[top], unit[top])
+        chosen = batch.take(pa.array(best, pa.int64()))
+        columns = [chosen.column(c) for c in ("doc_id", "mention_id", "title")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=["doc_id", "mention_id", "title", "score", "confidence"])
+
+
+def rank_sequentially(candidates: DataFrame, sequential: Sequence[str], w: np.ndarray) -> DataFrame:
     """Document by document, mention by mention: the titles chosen before feed the next mention's features.
 
-    ``candidates`` has doc_id, mention_id, start, rank, title, cand_lang and features (array); ``vectors`` has the vectors
-    of a document's titles (doc_id, title, cand_lang, vec, l_vec), so that each is sent once. ``w`` is the matrix of the
-    model over the features, the sequential ones and 1. A task gets one document at a time; the work in it is made of
-    matrix products of a mention's candidates with the different titles chosen before.
+    ``candidates`` has doc_id, mention_id, start, rank, title, features (array), vec and l_vec. ``w`` is the matrix of the
+    model over the features, the sequential ones and 1. Rows are walked in order, so that a task holds the candidates of a
+    batch and the different vectors chosen in its document, never a whole document.
     """
-    known = candidates.where("doc_id is not null and mention_id is not null")
-    named = vectors.where("doc_id is not null").select(*[F.col(c).alias(f"v_{c}") for c in ("doc_id", "title", "cand_lang", "vec", "l_vec")])
-    once = named.dropDuplicates(["v_doc_id", "v_title", "v_cand_lang"])
-    sequential, kinds = tuple(sequential), dict(candidates.dtypes)
+    kinds, sequential = dict(candidates.dtypes), tuple(sequential)
+    narrow = candidates.where("doc_id is not null and mention_id is not null").select("doc_id", "mention_id", "start", "rank", "title", "features", "vec", "l_vec")
 
-    def one(key: tuple, rows: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
-        out = _sequence(rows, vecs.rename(columns=lambda c: c.removeprefix("v_")), sequential, w) if len(rows) else []
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["doc_id", "mention_id", "title", "score", "confidence"])
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, rest = _Walk(sequential, w), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None and rest.num_rows:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            ids = batch.column("mention_id").to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            # the last mention may go on in the next batch
+            if len(bounds) > 1:
+                yield state.mentions(batch.slice(0, int(bounds[-1])), bounds)
+            rest = batch.slice(int(bounds[-1]))
+        if rest is not None:
+            yield state.mentions(rest, np.array([0, rest.num_rows]))
 
     schema = f"doc_id {kinds['doc_id']}, mention_id {kinds['mention_id']}, title string, score double, confidence double"
-    return known.groupBy("doc_id").cogroup(once.groupBy("v_doc_id")).applyInPandas(one, schema)
+    return narrow.repartition("doc_id").sortWithinPartitions("doc_id", "start", "mention_id", "rank").mapInArrow(walk, schema)
 
 
 def rank_documents(candidates: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -211,9 +246,8 @@ def rank_documents(candidates: DataFrame, weights: Sequence[float]) -> DataFrame
     n = first["n"] if first else 0
     sequential = ("PRETITLE_COS", "PRE_MINMAX_MAX", "PRE_MINMAX_MIN")
     names = [*[f"_{i}" for i in range(n)], *sequential]
-    keyed = candidates.withColumn("cand_lang", F.lit(""))
-    vectors = keyed.select("doc_id", "title", "cand_lang", "vec", F.lit(None).cast("array<double>").alias("l_vec"))
-    return rank_sequentially(keyed.drop("vec"), vectors, sequential, weight_matrix(names, names, list(weights)[: len(names)]))
+    rows = candidates.withColumn("l_vec", F.lit(None).cast("array<double>"))
+    return rank_sequentially(rows, sequential, weight_matrix(names, names, list(weights)[: len(names)]))
 
 
 def select_training(mentions: DataFrame, candidates: DataFrame, types: DataFrame, ratio: float = 1.0) -> DataFrame:
