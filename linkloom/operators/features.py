@@ -105,12 +105,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def static_features(
-    mentions: DataFrame, candidates: DataFrame, toks: DataFrame, df: DataFrame, mapping: DataFrame, vectors: DataFrame, stop_words: DataFrame | None = None, ner_mode: bool = False
+    mentions: DataFrame, candidates: DataFrame, docs: DataFrame, df: DataFrame, mapping: DataFrame, vectors: DataFrame, stop_words: DataFrame | None = None, ner_mode: bool = False
 ) -> DataFrame:
     """Candidates of mentions with the base features that don't depend on earlier choices, and their vectors.
 
     ``mentions`` has (mention_id, doc_id, lang, start, end, surface), ``candidates`` (mention_id, rank, title, cand_lang,
-    p_title_given_surface, p_surface_given_title), ``toks`` the tokens of the documents, ``df`` document frequencies.
+    p_title_given_surface, p_surface_given_title), ``docs`` the texts (doc_id, lang, text), ``df`` document frequencies.
     In tagging (``ner_mode``) the features of other entities are left out.
     """
     m = mentions.select("mention_id", "doc_id", "lang", "start", "end", "surface")
@@ -130,7 +130,7 @@ def static_features(
         rows = cosines(rows, other_means(own).select("mention_id", "other"), "other", "NE_TITLE_COS").join(extremes, ["mention_id", "title", "cand_lang"], "left")
         rows = rows.fillna(0.0, [c for c in rows.columns if c.startswith("NE_MINMAX")])
     for name, half in ranking.HALF_WINDOWS.items():
-        context = tokens.context_words(m.select("mention_id", "doc_id", "start", "end"), toks, half)
+        context = tokens.text_contexts(m.select("mention_id", "doc_id", "start", "end"), docs, half)
         weighted = tokens.context_tfidf(context, df)
         means = ranking.mean_vector(ranking.word_vectors(weighted, vectors, stop_words), ["mention_id"], "weight")
         rows = cosines(rows, means.withColumnRenamed("mean", "_context"), "_context", name)

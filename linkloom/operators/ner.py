@@ -15,6 +15,7 @@ from linkloom.functions import text as X
 from linkloom.functions import vectors as V
 from linkloom.operators import candidates, kb
 from linkloom.operators.intervals import bio_decode, propagate_types
+from linkloom.operators.numbering import bounded_sample
 from linkloom.operators.tokens import ngrams_upto
 from linkloom.session import cut_lineage
 
@@ -171,7 +172,7 @@ def train_tagger(labelled: DataFrame, n_features: int = 1 << 16, max_rows: int =
     from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
 
     kinds = labelled.select(F.regexp_replace("label", r"^[BI]-", "").alias("kind"), "features", "doc_id", "tok_id")
-    sample = kinds.orderBy(F.xxhash64("doc_id", "tok_id")).limit(max_rows)
+    sample = bounded_sample(kinds, ["doc_id", "tok_id"], max_rows)
     index = StringIndexer(inputCol="kind", outputCol="kind_id", handleInvalid="keep").fit(sample)
     stages = [
         index,

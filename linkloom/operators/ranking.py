@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import text as X
 from linkloom.functions import vectors as V
-from linkloom.operators.numbering import numbered
+from linkloom.operators.numbering import bounded_sample, numbered
 
 # Languages that use another language's vectors.
 VECTOR_LANGUAGE = {"en": "es", "am": "es"}
@@ -37,6 +37,14 @@ def features_of(lang_is_english: bool, ner_mode: bool = False) -> tuple[str, ...
     return tuple(f for f in BASE_FEATURES if not (lang_is_english and foreign(f)) and not (ner_mode and entity(f)))
 
 
+def feature_ids(names: Sequence[str], known: dict[str, int] | None = None, is_open: bool = True) -> dict[str, int]:
+    """Feature -> id from 1 on; while the lexicon is open new names get the next ids, later they are left out."""
+    ids = dict(known or {})
+    for name in names if is_open else ():
+        ids.setdefault(name, len(ids) + 1)
+    return ids
+
+
 def word_vectors(words: DataFrame, vectors: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
     """Rows with ``vec`` of their (lang, word); null for stop words and unknown ones."""
     known = vectors.select(F.col("lang"), F.col("key").alias("word"), "vec")
@@ -291,7 +299,7 @@ def train_ranker(candidates: DataFrame, features: Sequence[str], key: str = "men
 
     rows = candidates.select(key, (F.lower("title") == F.lower("gold")).alias("is_gold"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"), "title")
     gold = rows.where("is_gold").select(key, F.col("x").alias("g"))
-    pairs = rows.where("not is_gold").join(gold, key).orderBy(F.xxhash64(key, "title")).limit(max_pairs)
+    pairs = bounded_sample(rows.where("not is_gold").join(gold, key), [key, "title"], max_pairs)
     sign = F.when(F.pmod(F.xxhash64("title", key), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     signed = pairs.withColumn("s", sign).select(
         F.when(F.col("s") > 0, 1.0).otherwise(0.0).alias("label"),

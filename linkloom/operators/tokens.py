@@ -208,6 +208,47 @@ def context_words(spans: DataFrame, toks: DataFrame, half_window: int, key: str
     return places.join(toks.select("doc_id", "tok_id", "lang", F.lower("token").alias("word")), ["doc_id", "tok_id"]).select(key, "doc_id", "lang", "word")
 
 
+def text_contexts(spans: DataFrame, docs: DataFrame, half_window: int, key: str = "mention_id", block: int = 1000) -> DataFrame:
+    """``context_words`` straight from texts (doc_id, lang, text): (key, doc_id, lang, word).
+
+    A document's spans travel to its text in blocks of about ``block``, where each takes its slice of the tokens; neither
+    tokens nor places are shuffled.
+    """
+    wanted = spans.where("start is not null and end is not null and start >= 0 and end > start").select(F.col(key).alias("k"), "doc_id", F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))
+    sizes = wanted.groupBy("doc_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    parted = wanted.join(sizes, "doc_id").withColumn("_b", F.pmod(F.xxhash64("k"), F.col("_n")))
+    lists = parted.groupBy("doc_id", "_b").agg(F.collect_list(F.struct("k", "s", "e")).alias("spans"))
+    joined = docs.where("text is not null").select("doc_id", "lang", "text").join(lists, "doc_id").select("doc_id", "lang", "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, cells = batch.column("spans"), batch.column("spans").flatten()
+            keys, starts, ends = (cells.field(i) for i in range(3))
+            starts, ends = starts.to_numpy(zero_copy_only=False), ends.to_numpy(zero_copy_only=False)
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            rows, picked, words, bounds, at = [], [], [], [0], 0
+            for row, (text, n) in enumerate(zip(batch.column("text").to_pylist(), counts.tolist(), strict=True)):
+                found, token_ends, _ = _pieces(text)
+                token_starts = token_ends - np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+                first = np.searchsorted(token_ends, starts[at : at + n], side="right")
+                last = np.searchsorted(token_starts, ends[at : at + n], side="left") - 1
+                for i in np.flatnonzero(first <= last).tolist():
+                    a, b = int(first[i]), int(last[i]) + 1
+                    words += found[max(0, a - half_window) : a]
+                    words += found[b : b + half_window]
+                    bounds.append(len(words))
+                    rows.append(row)
+                    picked.append(at + i)
+                at += n
+            rows = pa.array(rows, pa.int64())
+            words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(words, pa.string()))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(picked, pa.int64())), batch.column("doc_id").take(rows), batch.column("lang").take(rows), words], names=["k", "doc_id", "lang", "words"])
+
+    kinds = dict(joined.dtypes)
+    made = joined.mapInArrow(cut, f"k {dict(wanted.dtypes)['k']}, doc_id {kinds['doc_id']}, lang {kinds['lang']}, words array<string>")
+    return made.select(F.col("k").alias(key), "doc_id", "lang", F.explode("words").alias("word")).withColumn("word", F.lower("word"))
+
+
 def context_tfidf(context: DataFrame, df: DataFrame, key: str = "mention_id") -> DataFrame:
     """(key, word, tf, idf, weight): tf is the share in the context, idf the log of the context's summed df over the word's df; 0 without df."""
     counted = context.groupBy(key, "lang", "word").agg(F.count("*").alias("cnt"))

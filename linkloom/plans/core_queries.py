@@ -481,7 +481,7 @@ def stop_words(spark: SparkSession, d: str) -> DataFrame:
     from counted left join df using (lang, word)""")
 def context_tfidf(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    context = tokens.context_words(_mentions(spark, d).select("mention_id", "doc_id", "start", "end"), tokens.tokens(docs), 5)
+    context = tokens.text_contexts(_mentions(spark, d).select("mention_id", "doc_id", "start", "end"), docs, 5)
     scored = tokens.context_tfidf(context, tokens.document_frequency(docs))
     return scored.select("mention_id", "lang", "word", "tf", F.round("idf", 6).alias("idf"))
 
@@ -528,7 +528,7 @@ def context_feature(spark: SparkSession, d: str) -> DataFrame:
     docs, e = _docs(spark, d), table(spark, d, "embeddings")
     n = e.count()
     m = _mentions(spark, d)
-    context = tokens.context_words(m.select("mention_id", "doc_id", "start", "end"), tokens.tokens(docs), 5)
+    context = tokens.text_contexts(m.select("mention_id", "doc_id", "start", "end"), docs, 5)
     weighted = tokens.context_tfidf(context, tokens.document_frequency(docs))
     words = weighted.select("lang", "word").distinct().withColumn("vec_id", (F.length("word") * 131 + F.ascii("word") * 31) % n)
     vectors = e.select("vec_id", F.col("embedding").alias("vec"))
@@ -609,7 +609,7 @@ def ranker_features(spark: SparkSession, d: str) -> DataFrame:
     docs, m = _docs(spark, d), _mentions(spark, d)
     rows = m.select("mention_id", "lang", X.normal_surface(F.col("surface")).alias("surface")).join(_cands(spark, d), ["lang", "surface"]).withColumn("cand_lang", F.col("lang"))
     vectors = features.aliased(_stand_in_vectors(spark, d, docs, m))
-    found = features.static_features(m, rows, tokens.tokens(docs), tokens.document_frequency(docs), _title_map(spark, d), vectors, ner_mode=True)
+    found = features.static_features(m, rows, docs, tokens.document_frequency(docs), _title_map(spark, d), vectors, ner_mode=True)
     return found.select("mention_id", "rank", "title", "TITLEPROB", "SURFACEPROB", F.round("W_CON30", 5).alias("W_CON30"), F.round("W_CON30_L", 5).alias("W_CON30_L"))
 
 

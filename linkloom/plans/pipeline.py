@@ -129,7 +129,7 @@ def annotate_ranked(mentions: DataFrame, docs: DataFrame, index: Index, vectors:
     found = surface_candidates(keyed.select("lang", F.col("key").alias("surface")).where("lang is not null and surface is not null"), index)
     found = cut_lineage(candidates.apply_overrides(candidates.drop_unwanted(found)))
     rows = keyed.select("mention_id", "lang", "key").join(found.withColumnRenamed("surface", "key"), ["lang", "key"])
-    static = features.static_features(mentions, rows, tokens.tokens(docs), tokens.document_frequency(docs), index.title_map, features.aliased(vectors))
+    static = features.static_features(mentions, rows, docs, tokens.document_frequency(docs), index.title_map, features.aliased(vectors))
     best = features.rank_with_features(cut_lineage(static), names, weights)
     langs = rows.groupBy("mention_id", F.col("title").alias("wiki_title")).agg(F.min("cand_lang").alias("cand_lang"))
     chosen = best.select("mention_id", F.col("title").alias("wiki_title"), "confidence").join(langs, ["mention_id", "wiki_title"])

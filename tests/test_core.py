@@ -120,6 +120,13 @@ def test_tokens_and_context(spark):
     spans = spark.createDataFrame([(7, 1, 3, 4), (8, 1, None, 4), (9, 1, 99, 120)], "mention_id long, doc_id long, start int, end int")
     assert [tuple(r) for r in tokens.token_spans(spans, toks).collect()] == [(7, 1, 1, 1)]
     assert sorted(r["word"] for r in tokens.context_words(spans, toks, 1).collect()) == [".", "ab"]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab c.\nИ中") for _ in range(rng.randint(0, 60))) for _ in range(20)] + [None]
+    many = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    places = [(k, rng.randrange(21), rng.choice([None, *range(-1, 60)]), rng.choice([None, *range(0, 60)])) for k in range(300)]
+    asked = spark.createDataFrame(places, "mention_id long, doc_id long, start int, end int")
+    plain = sorted(tuple(r) for r in tokens.context_words(asked, tokens.tokens(many), 3).collect())
+    assert plain and sorted(tuple(r) for r in tokens.text_contexts(asked, many, 3, block=7).collect()) == plain
     two = {r["surface"] for r in tokens.ngrams(toks, 2).collect()}
     assert "Ab c" in two and "c ." in two and ". It" not in two
 
@@ -496,8 +503,7 @@ def test_static_features(spark):
     mapping = spark.createDataFrame([("es", "río", "river")], "lang string, title string, en_title string")
     vec = {"aa": [1.0, 0.0], "bb": [0.0, 1.0], "rio": [1.0, 1.0], "lima": [1.0, -1.0], "title_río": [2.0, 1.0], "title_lima": [0.0, 3.0]}
     vectors = spark.createDataFrame([("es", k, v) for k, v in vec.items()] + [("en", "title_river", [1.0, 2.0]), ("en", "title_rio_(film)", [1.0, 0.0])], "lang string, key string, vec array<double>")
-    toks = tokens.tokens(docs)
-    rows = features.static_features(men, cand, toks, tokens.document_frequency(docs), mapping, vectors).collect()
+    rows = features.static_features(men, cand, docs, tokens.document_frequency(docs), mapping, vectors).collect()
     got = {(r["mention_id"], r["title"]): r for r in rows}
     assert len(got) == len(rows) == 4
     r = got[1, "río"]
@@ -679,3 +685,14 @@ def test_jobs(spark, tmp_path):
     assert {r["lang"] for r in english.statistics.collect()} == {"en"}
     with pytest.raises(Exception, match="already exists"):
         jobs.build_index(spark, d, str(tmp_path / "index"))
+
+
+def test_bounded_sample_and_feature_ids(spark):
+    from linkloom.operators.numbering import bounded_sample
+
+    rows = spark.range(20_000)
+    assert bounded_sample(rows, ["id"], 20_000).count() == 20_000
+    n = bounded_sample(rows, ["id"], 4_000).count()
+    assert 3_400 < n <= 4_000
+    ids = ranking.feature_ids(["a", "b", "a"])
+    assert ids == {"a": 1, "b": 2} and ranking.feature_ids(["c"], ids, is_open=False) == ids and ranking.feature_ids(["c"], ids)["c"] == 3
