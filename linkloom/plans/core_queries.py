@@ -543,7 +543,7 @@ def context_feature(spark: SparkSession, d: str) -> DataFrame:
     mean as (select mention_id, p, avg(x) as a from v group by all)
     select mention_id, round(sqrt(sum(a * a)), 5) as norm from mean group by mention_id""")
 def mention_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Length of the mean word vector of each surface."""
+    """Length of the mean word vector of each surface; words stand for vectors of the table by length and first letter."""
     e = table(spark, d, "embeddings")
     n = e.count()
     m = _mentions(spark, d).where("surface is not null").withColumn("lang", F.lit("x"))
@@ -648,6 +648,7 @@ def feature_combos(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def rank_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates ranked document by document; a title stands for a vector of the table by its hash."""
     e = table(spark, d, "embeddings")
     n = e.count()
     rows = _scored(spark, d).withColumn("vec_id", F.pmod(F.xxhash64("title"), F.lit(n)))
@@ -1158,6 +1159,55 @@ def document_stems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("doc_name is not null").select("doc_id", X.document_stem(F.concat("doc_name", F.lit(".v1.cmp.txt"))).alias("stem"))
 
 
+@_query("select mid as title, unnest(types) as category from kb_types")
+def search_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Types as categories in cached JSON answers, read again."""
+    category = F.transform("types", lambda t: F.concat(F.lit('{"title":"'), t, F.lit('"}')))
+    payload = F.concat(F.lit('{"query":{"pages":{"1":{"categories":['), F.array_join(category, ","), F.lit("]}}}}"))
+    return documents.search_categories(table(spark, d, "kb_types").select(F.col("mid").alias("title"), payload.alias("payload")))
+
+
+@_query("select doc_id from (select doc_id from documents where doc_id in (select doc_id from mentions) order by doc_id limit 100)")
+def first_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred documents with mentions; the number is the feature."""
+    name = F.col("doc_id").cast("string").alias("doc_name")
+    docs = table(spark, d, "documents").select("doc_id", name)
+    return documents.usable_documents(docs, table(spark, d, "mentions").select(name), 100, "doc_id").select("doc_id")
+
+
+@_query("select distinct lower(trim(title, ' ')) as word from kb_titles where trim(title, ' ') != ''")
+def gazetteer_words(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.word_list(table(spark, d, "kb_titles").select(F.col("title").alias("value")))
+
+
+@_query("select word, bits, array_to_string([bits[1:4], bits[1:6], bits[1:10], bits[1:20]], '|') as prefixes from (select word, md5(lang || word) as bits from top_word)")
+def brown_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Cluster lines of frequent words, read again; hashes stand for the bits."""
+    words = tokens.top_words(table(spark, d, "documents"))
+    lines = words.select(F.concat_ws("\t", F.md5(F.concat("lang", "word")), "word", F.col("cnt").cast("string")).alias("value"))
+    return dumps.brown_clusters(lines).withColumn("prefixes", F.array_join("prefixes", "|"))
+
+
+@_query(r"""select doc_id, sent_id, tok_id, concat_ws(chr(9), label, s::varchar, e::varchar, 'x', 'x', token, 'x', 'x', 'x', 'x', 'n=' || length(token), 'l=' || lower(token)) as line from bio
+    where not regexp_matches(token, '^\s*$') and not starts_with(token, 'http:')""")
+def conll_feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    """CoNLL rows with features behind the fixed columns."""
+    made = F.array(F.concat(F.lit("n="), F.length("token").cast("string")), F.concat(F.lit("l="), F.lower("token")))
+    return sinks.conll_lines(_bio(spark, d).withColumn("features", made), "features")
+
+
+_TOKENS_OF = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda t: t != '')"
+
+
+@_query(f"""s as (select distinct surface, title, rank, lower(trim(replace(title, '_', ' '), ' ')) as typed from cand)
+    select surface, title, rank, (list_transform({_TOKENS_OF.format('surface')}, lambda t: t[1:1]) = list_transform({_TOKENS_OF.format('typed')}, lambda t: t[1:1]))::int::double as "SAME_INITIALS",
+        (starts_with(typed, lower(surface)) or starts_with(lower(surface), typed))::int::double as "PREFIX", (len({_TOKENS_OF.format('surface')}) = len({_TOKENS_OF.format('typed')}))::int::double as "SAME_LENGTH",
+        (rank = 1)::int::double as "ISTOP" from s""")
+def surface_features(spark: SparkSession, d: str) -> DataFrame:
+    """The optional features of candidates."""
+    return ranking.surface_features(_cands(spark, d).select("surface", "title", "rank").distinct())
+
+
 @_query()
 def simplified_titles(spark: SparkSession, d: str) -> DataFrame:
     """Chinese titles in simplified characters, by the JVM's conversion table."""
