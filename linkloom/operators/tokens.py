@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import text as X
+from linkloom.session import cut_lineage
 
 END_MARKS = (".", "!", "?", "。", "！", "？", "।")
 BIN = 256
+# Stop words of all languages together that are sent to every task at most.
+MAX_STOPS = 100_000
 
 
 _BLANK = " \t\n\x0b\f\r"  # white space of the JVM's patterns
@@ -121,19 +124,30 @@ def listed(toks: DataFrame) -> DataFrame:
     return toks.groupBy("doc_id", "lang", "sent_id").agg(each.alias("toks"))
 
 
+def _with_own_stops(lists: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """Lists with ``_stops``: those of their own words that are stop words, found by a join on language and word."""
+    keyed = cut_lineage(lists.withColumn("_k", F.monotonically_increasing_id()))
+    words = keyed.select("_k", "lang", F.explode(F.array_distinct(F.transform("toks", lambda t: F.lower(X.cut_apostrophe(t["token"]))))).alias("word"))
+    own = words.join(stop_words.select("lang", "word").distinct(), ["lang", "word"], "left_semi").groupBy("_k").agg(F.collect_set("word").alias("_stops"))
+    return keyed.join(own, "_k", "left").drop("_k")
+
+
 def ngrams_upto(toks: DataFrame, longest: int, stop_words: DataFrame | None = None) -> DataFrame:
     """(doc_id, lang, sent_id, tok_id, n, surface, start, end, is_stop) of 1 to ``longest`` tokens in one sentence.
 
     ``toks`` are rows of ``token_lists`` (cut without a shuffle) or of ``tokens``. Tokens are cut at the
-    apostrophe; an n-gram of stop words only is flagged. The stop words travel as one row for each language.
+    apostrophe; an n-gram of stop words only is flagged.
     """
     lists = listed(toks)
     cut = F.transform("toks", lambda t: X.cut_apostrophe(t["token"]))
     if stop_words is None:
         marked = lists.withColumn("_stops", F.array().cast("array<string>"))
     else:
-        stops = stop_words.where("lang is not null").groupBy("lang").agg(F.collect_set("word").alias("_stops"))
-        marked = lists.join(stops, "lang", "left").withColumn("_stops", F.coalesce("_stops", F.array().cast("array<string>")))
+        stops = cut_lineage(stop_words.where("lang is not null and word is not null").groupBy("lang").agg(F.collect_set("word").alias("_stops")))
+        n_words = stops.agg(F.coalesce(F.sum(F.size("_stops")), F.lit(0)).alias("n")).first()["n"]
+        # a checked, small list goes to the sentences; with a larger one the few keys would gather all sentences, so words are joined
+        marked = lists.join(F.broadcast(stops), "lang", "left") if n_words <= MAX_STOPS else _with_own_stops(lists, stop_words)
+        marked = marked.withColumn("_stops", F.coalesce("_stops", F.array().cast("array<string>")))
     marked = marked.select("doc_id", "lang", "sent_id", "toks", cut.alias("_cut"), "_stops")
     marked = marked.withColumn("_stop", F.transform("_cut", lambda c: F.array_contains("_stops", F.lower(c))))
     at = marked.select("doc_id", "lang", "sent_id", "toks", "_cut", "_stop", F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("_i"))

@@ -112,7 +112,7 @@ def test_mid_chain(spark):
     assert found == {"rio": ("m.1", 2), "x": ("m.2", 3), "NIL": (None, None), None: (None, None), "北京": ("m.3", 1), "rio_de_janeiro": ("m.4", 1)}
 
 
-def test_tokens_and_context(spark):
+def test_tokens_and_context(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "en", "Ab c. It's\nd"), (2, "en", ""), (3, None, None)], "doc_id long, lang string, text string")
     toks = tokens.tokens(docs)
     rows = toks.orderBy("tok_id").collect()
@@ -127,6 +127,12 @@ def test_tokens_and_context(spark):
     asked = spark.createDataFrame(places, "mention_id long, doc_id long, start int, end int")
     plain = sorted(tuple(r) for r in tokens.context_words(asked, tokens.tokens(many), 3).collect())
     assert plain and sorted(tuple(r) for r in tokens.text_contexts(asked, many, 3, block=7).collect()) == plain
+    stops = spark.createDataFrame([("en", "ab"), ("en", "it"), ("es", "c"), (None, "d")], "lang string, word string")
+    flagged = lambda: sorted((r["surface"], r["n"], r["is_stop"]) for r in tokens.ngrams_upto(toks, 2, stops).collect())
+    few = flagged()
+    assert ("Ab", 1, True) in few and ("It", 1, True) in few and ("c", 1, False) in few and ("Ab c", 2, False) in few
+    monkeypatch.setattr(tokens, "MAX_STOPS", 1)  # as with a list too large to be sent
+    assert flagged() == few
     two = {r["surface"] for r in tokens.ngrams(toks, 2).collect()}
     assert "Ab c" in two and "c ." in two and ". It" not in two
 
