@@ -1,4 +1,7 @@
 import unicodedata
+from types import SimpleNamespace
+
+import pytest
 
 from linkloom.llm import confusables as C
 
@@ -38,3 +41,12 @@ def test_table_of_look_alikes(spark):
     looks = lambda a, b: C.skeleton_text(a, C._Prototypes(more)) == C.skeleton_text(b, C._Prototypes(more))
     assert looks("Ꭺnn", "Ann") and looks("ᴄat", "cat") and looks("ⅼong", "long")
     assert not looks("З", "3") and not looks("l", "I") and not looks("ñ", "n") and not looks("漢", "汉")
+
+
+def test_missing_table_is_an_error(spark):
+    """Without ICU's data, or with a call of it that fails, there is no shorter table."""
+    with pytest.raises(RuntimeError, match="ICU"):
+        C.look_alikes(SimpleNamespace(_jvm=None))
+    absent = SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=spark._jvm.no.such.package))))
+    with pytest.raises(RuntimeError, match="ICU"):
+        C.look_alikes(SimpleNamespace(_jvm=absent))
