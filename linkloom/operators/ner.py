@@ -16,7 +16,7 @@ from linkloom.functions import vectors as V
 from linkloom.operators import candidates, kb
 from linkloom.operators.intervals import bio_decode, propagate_types
 from linkloom.operators.numbering import bounded_sample
-from linkloom.operators.tokens import ngrams_upto
+from linkloom.operators.tokens import KnownGrams, ngrams_upto, token_lists
 from linkloom.session import cut_lineage
 
 MAIN_TYPES = ("location", "person", "organization")
@@ -61,10 +61,12 @@ def gram_types(grams: DataFrame, statistics: DataFrame, words: DataFrame, titles
     ranked by the linear model, else they stay in order. The first one with a mid gives the types.
     """
     key = ["lang", "surface", "n", "capitalised"]
-    found = candidates.ngram_candidates(grams, statistics, words)
+    # the stages of candidates read the n-grams and the index again and again, so they are written once
+    found = candidates.ngram_candidates(cut_lineage(grams), statistics, words)
     if weights is not None:
         scored = found.withColumn("_s", V.linear_score([F.col("score"), 1 / F.col("rank")], weights))
         found = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_s"), "rank"))).drop("_s")
+    found = cut_lineage(found)
     by_title = kb.mid_chain(found.withColumn("own_lang", F.col("lang")).withColumn("lang", F.col("cand_lang")), titles, mapping)
     linked = kb.first_mid(by_title.withColumn("lang", F.col("own_lang")), key).where(~X.is_nil(F.col("mid")))
     named = F.array_distinct(F.transform("coarse", lambda t: _renamed(t)))
@@ -77,6 +79,12 @@ def _renamed(kind: Column) -> Column:
     return kind
 
 
+def known_lists(docs: DataFrame, statistics: DataFrame, words: DataFrame, longest: int = 4) -> DataFrame:
+    """Token lists of texts, cut to the n-grams that the index may have candidates for: surfaces, and of capitalised tokens words."""
+    known = KnownGrams(statistics.select("surface").distinct(), words.select("word").distinct(), longest)
+    return cut_lineage(token_lists(docs, known=known))
+
+
 def surface_forms(toks: DataFrame, longest: int = 4, stop_words: DataFrame | None = None) -> DataFrame:
     """(lang, surface, n, capitalised): the distinct n-grams of texts that are asked for candidates, in lower case; numbers and stop n-grams aren't."""
     grams = ngrams_upto(toks, longest, stop_words)

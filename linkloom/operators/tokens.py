@@ -16,6 +16,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +28,9 @@ END_MARKS = (".", "!", "?", "。", "！", "？", "।")
 BIN = 256
 # Stop words of all languages together that are sent to every task at most.
 MAX_STOPS = 100_000
+# Logarithm of the most bits that known surfaces are told by.
+MOST_BITS = 28
+_BASE, _FULL = 0x2545F4914F6CDD1D, (1 << 64) - 1
 
 
 _BLANK = " \t\n\x0b\f\r"  # white space of the JVM's patterns
@@ -67,10 +71,111 @@ def _pieces(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(compress(found, kept.tolist())), ends[kept], (np.cumsum(closes) - closes)[kept]
 
 
-def token_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def _folded(text: str) -> str:
+    """Lower case in which a text is made of its parts: both small sigmas are one."""
+    return text.lower().replace("ς", "σ")
+
+
+def _mixed(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of hashes in a table of 2 to the ``bits`` bits."""
+    return ((hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def _hash(text: str) -> tuple[int, int]:
+    """A text's hash and the factor by which it moves the hash of what stands before it, so that hashes of n-grams come from those of tokens."""
+    h, factor = 0, 1
+    for c in text:
+        h, factor = (h * _BASE + ord(c) + 1) & _FULL, (factor * _BASE) & _FULL
+    return h, factor
+
+
+class _Parts(dict):
+    """Token -> its place among the hashes, factors and capitals of the distinct tokens; emptied when it grows large."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.size, self.hashes, self.factors, self.capitals = 0, np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, bool)
+
+    def __missing__(self, token: str) -> int:
+        if self.size == len(self.hashes):
+            self.hashes, self.factors, self.capitals = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hashes, self.factors, self.capitals))
+        cut, at = token.split("'", 1)[0], self.size
+        self.hashes[at], self.factors[at] = _hash(_folded(cut))
+        self.capitals[at] = unicodedata.category(cut[0]) == "Lu" if cut else False
+        self[token] = at
+        self.size += 1
+        return at
+
+
+_PARTS = _Parts()
+
+
+class KnownGrams:
+    """Tells of n-grams whether their lower-case form may be among known surfaces; with ``singles`` capitalised tokens may also be among those.
+
+    Surfaces are bits in tables of bounded size. A surface that is known is never missed; others may pass by chance, so that
+    what passes still has to be looked up.
+    """
+
+    def __init__(self, surfaces: DataFrame, singles: DataFrame | None = None, longest: int = 4) -> None:
+        self.longest = longest
+        self.every = self._bits(surfaces)
+        self.single = self._bits(singles) if singles is not None else None
+
+    @staticmethod
+    def _bits(surfaces: DataFrame) -> tuple[np.ndarray, int]:
+        """(table of bits, logarithm of its size) of the first column."""
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.array([_hash(_folded(x))[0] for x in batch.column(0).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_mixed(found, MOST_BITS)).astype(np.int64))], names=["place"])
+
+        name = surfaces.columns[0]
+        places = surfaces.where(F.col(name).isNotNull()).select(name).mapInArrow(hashed, "place long").distinct().toArrow().column("place").to_numpy()
+        # the first bits of a place are its place in a smaller table
+        bits = min(MOST_BITS, max(16, int(len(places) * 64).bit_length()))
+        table = np.zeros((1 << bits) // 8, np.uint8)
+        places = places >> (MOST_BITS - bits)
+        np.bitwise_or.at(table, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+        return table, bits
+
+    @staticmethod
+    def _holds(known: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+        table, bits = known
+        places = _mixed(hashes, MOST_BITS) >> np.uint64(MOST_BITS - bits)
+        return (table[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def covered(self, words: list[str], ends: np.ndarray, chinese: np.ndarray) -> np.ndarray:
+        """Which of the tokens lie in an n-gram that may be known; ``ends`` are the places behind each token's sentence."""
+        if len(_PARTS) > 500_000:
+            _PARTS.clear()
+            _PARTS.size = 0
+        at = np.fromiter(map(_PARTS.__getitem__, words), dtype=np.int64, count=len(words))
+        hashes, factors = _PARTS.hashes[at], _PARTS.factors[at]
+        hits = self._holds(self.every, hashes)
+        if self.single is not None:
+            capitals = np.flatnonzero(_PARTS.capitals[at] & ~hits)
+            hits[capitals] = self._holds(self.single, hashes[capitals])
+        edges = np.zeros(len(words) + 1, np.int64)
+        gram, first = hashes, np.arange(len(words))
+        for n in range(1, self.longest + 1):
+            if n > 1:
+                fits = first + n <= ends[first]
+                gram, first = gram[fits], first[fits]
+                last = first + n - 1
+                gram = np.where(chinese[first], gram, gram * np.uint64(_BASE) + np.uint64(ord(" ") + 1)) * factors[last] + hashes[last]
+                hits = self._holds(self.every, gram)
+            begin = first[hits]
+            edges[begin] += 1
+            edges[begin + n] -= 1
+        return np.cumsum(edges[:-1]) > 0
+
+
+def token_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", known: KnownGrams | None = None) -> DataFrame:
     """(doc_id, lang, sent_id, toks): the tokens (tok_id, token, start, end) of each sentence; no shuffle.
 
-    Running offsets and numbers are made where the text is cut, so that no token has to be sorted.
+    Running offsets and numbers are made where the text is cut, so that no token has to be sorted. With ``known`` a sentence
+    is cut to the runs of tokens, a row for each, that n-grams which may be known cover; others have neither types nor a type to take.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,14 +194,27 @@ def token_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
                     ends.append(end)
             if not of:
                 continue
-            token = pa.array(words, pa.string())
             end = np.concatenate(ends)
             start = end - np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            parts = pa.StructArray.from_arrays([pa.array(np.concatenate(ids)), token, pa.array(start), pa.array(end)], fields=list(fields))
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            rows = pa.array(np.concatenate(of))
+            number, row, sentence, size = (np.concatenate(x) for x in (ids, of, sent, sizes))
+            if known is not None:
+                chinese = pc.fill_null(pc.equal(batch.column("lang"), "zh"), False).to_numpy(zero_copy_only=False)
+                of_list = np.repeat(np.arange(len(size)), size)
+                covered = known.covered(words, np.cumsum(size)[of_list], chinese[row][of_list])
+                kept = np.flatnonzero(covered)
+                if not len(kept):
+                    continue
+                # a run begins where a token is missing or another sentence begins
+                begins = np.concatenate([[True], (np.diff(kept) > 1) | (np.diff(of_list[kept]) > 0)])
+                first = np.flatnonzero(begins)
+                words, number, start, end = [words[i] for i in kept.tolist()], number[kept], start[kept], end[kept]
+                size = np.diff(np.concatenate([first, [len(kept)]]))
+                row, sentence = row[of_list[kept[first]]], sentence[of_list[kept[first]]]
+            parts = pa.StructArray.from_arrays([pa.array(number), pa.array(words, pa.string()), pa.array(start), pa.array(end)], fields=list(fields))
+            bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("lang").take(rows), pa.array(np.concatenate(sent)), pa.ListArray.from_arrays(pa.array(bounds), parts)],
+                [batch.column("doc_id").take(rows), batch.column("lang").take(rows), pa.array(sentence), pa.ListArray.from_arrays(pa.array(bounds), parts)],
                 names=["doc_id", "lang", "sent_id", "toks"],
             )
 

@@ -18,7 +18,7 @@ from linkloom.functions import vectors as V
 from linkloom.operators import anchors, candidates, coref, evaluate, features, intervals, kb, ner, ranking, rejects, titles, tokens
 from linkloom.operators.numbering import numbered
 from linkloom.plans import pipeline
-from linkloom.session import spread, table
+from linkloom.session import cut_lineage, spread, table
 from linkloom.sources import documents, dumps, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -704,10 +704,14 @@ def ngrams(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _gram_types(spark: SparkSession, d: str, lists: DataFrame, stops: DataFrame) -> DataFrame:
-    m = _mentions(spark, d)
-    words = anchors.word_title_statistics(anchors.mention_anchors(m))
-    return ner.gram_types(ner.surface_forms(lists, 4, stops), _stat(spark, d), words, table(spark, d, "kb_titles"), _title_map(spark, d), table(spark, d, "kb_types"))
+def _typed_lists(spark: SparkSession, d: str, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Token lists cut to the n-grams that the index may know, the types of these n-grams, stop words."""
+    stops = cut_lineage(tokens.top_words(docs).select("lang", "word"))
+    linked = cut_lineage(anchors.mention_anchors(_mentions(spark, d)))
+    stat, words = cut_lineage(anchors.surface_title_statistics(linked)), cut_lineage(anchors.word_title_statistics(linked))
+    lists = ner.known_lists(docs, stat, words)
+    types = ner.gram_types(ner.surface_forms(lists, 4, stops), stat, words, table(spark, d, "kb_titles"), _title_map(spark, d), table(spark, d, "kb_types"))
+    return lists, types, stops
 
 
 # the n-grams of the texts with their candidates, the first mid of these and its types
@@ -746,9 +750,7 @@ _CASCADE = _TYPED + "".join(f",\n    {_level(n)}" for n in (4, 3, 2, 1))
     select doc_id, s as start, e as "end", n, array_to_string(features, '|') as features from (select * from level4 union all select * from level3 union all select * from level2 union all select * from level1)""")
 def ngram_propagation(spark: SparkSession, d: str) -> DataFrame:
     """The n-gram cascade with candidates, their first mid and its types."""
-    docs = _docs(spark, d)
-    lists, stops = tokens.token_lists(docs), tokens.top_words(docs).select("lang", "word")
-    found = ner.wikify_ngrams(lists, _gram_types(spark, d, lists, stops), stops)
+    found = ner.wikify_ngrams(*_typed_lists(spark, d, _docs(spark, d)))
     return found.withColumn("features", F.array_join("features", "|"))
 
 
@@ -1328,9 +1330,7 @@ def annotate_text(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def tagged_spans(spark: SparkSession, d: str) -> DataFrame:
     """N-grams linked, labelled by their types and decoded to mention spans."""
-    docs = _docs(spark, d)
-    lists, stops = tokens.token_lists(docs), tokens.top_words(docs).select("lang", "word")
-    return pipeline.tag_mentions(lists, _gram_types(spark, d, lists, stops), stops)
+    return pipeline.tag_mentions(*_typed_lists(spark, d, _docs(spark, d)))
 
 
 @_query("select mention_id, row_number() over (order by doc_id nulls first, s nulls first, mention_id) as number from m")

@@ -148,7 +148,7 @@ def text_mentions(docs: DataFrame, index: Index, config: Config | None = None, s
 
     With ``config.rank_in_tagging`` the candidates of an n-gram are ranked by the small model, else they stay in order.
     """
-    lists = cut_lineage(tokens.token_lists(docs))
+    lists = ner.known_lists(docs, index.statistics, index.words)
     weights = (1.0, 0.0) if config and config.rank_in_tagging else None
     types = ner.gram_types(ner.surface_forms(lists, 4, stop_words), index.statistics, index.words, index.kb_titles, index.title_map, index.kb_types, weights)
     spans = tag_mentions(lists, cut_lineage(types), stop_words)

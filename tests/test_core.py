@@ -334,6 +334,33 @@ def test_ngram_cascade(spark):
     assert [(r["start"], r["end"], r["mention_type"]) for r in spans] == [(0, 8, "LOC")]
 
 
+def test_lists_are_cut_to_known_grams(spark):
+    """Runs of tokens that known n-grams cover, with their numbers and offsets; the cascade's result is that of whole lists."""
+    text = "He saw New York's mayor, then the Ann Σοφός of it.\nYork is new York"
+    docs = spark.createDataFrame([(1, "en", text), (2, "zh", "他 在 中 华 住"), (3, None, "York"), (4, "en", "nothing here"), (5, "en", None)], "doc_id long, lang string, text string")
+    surfaces = spark.createDataFrame([("new york",), ("mayor ,",), ("中华",), ("ann σοφός of it",), (None,)], "surface string")
+    known = tokens.KnownGrams(surfaces, spark.createDataFrame([("york",), ("here",)], "word string"))
+    rows = tokens.token_lists(docs, known=known).collect()
+    got = {(r["doc_id"], r["sent_id"], r["toks"][0]["tok_id"]): [t["token"] for t in r["toks"]] for r in rows}
+    # "here" is known as a capitalised word only, "York ' s" isn't known
+    assert got == {
+        (1, 0, 2): ["New", "York"], (1, 0, 6): ["mayor", ","], (1, 0, 10): ["Ann", "Σοφός", "of", "it"], (1, 2, 15): ["York"], (1, 2, 17): ["new", "York"],
+        (2, 0, 2): ["中", "华"], (3, 0, 0): ["York"],
+    }
+    assert all(text[t["start"] : t["end"]] == t["token"] for r in rows if r["doc_id"] == 1 for t in r["toks"])
+    types = spark.createDataFrame([("en", "new york", ["location"]), ("en", "york", ["person"]), ("zh", "中华", ["location"]), ("en", "ann σοφός of it", ["person"])], "lang string, surface string, coarse array<string>")
+    spans = lambda lists: {tuple(map(str, r)) for r in ner.wikify_ngrams(lists, types).where("size(features) > 0").collect()}
+    assert spans(tokens.token_lists(docs, known=known)) == spans(tokens.token_lists(docs))
+
+
+def test_texts_without_known_grams_leave_no_lists(spark):
+    """What the cascade shuffles comes from the n-grams that the index knows, not from all of the texts."""
+    index = small_index(spark)
+    docs = spark.createDataFrame([(1, "en", "a b c d. " * 50 + "Ann Lee came."), (2, "en", "a b c d. " * 50)], "doc_id long, lang string, text string")
+    lists = ner.known_lists(docs, index.statistics, index.words).collect()
+    assert [(r["doc_id"], [t["token"] for t in r["toks"]]) for r in lists] == [(1, ["Ann", "Lee"])]
+
+
 def write_tables(spark, folder, **tables):
     """A data directory with tables of (rows, schema)."""
     for name, (rows, schema) in tables.items():
