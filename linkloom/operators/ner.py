@@ -16,7 +16,7 @@ from linkloom.functions import vectors as V
 from linkloom.operators import candidates, kb
 from linkloom.operators.intervals import bio_decode, propagate_types
 from linkloom.operators.numbering import bounded_sample
-from linkloom.operators.tokens import KnownGrams, ngrams_upto, token_lists
+from linkloom.operators.tokens import KnownGrams, cut_to_known, listed, ngrams_upto, token_lists
 from linkloom.session import cut_lineage
 
 MAIN_TYPES = ("location", "person", "organization")
@@ -85,6 +85,11 @@ def known_lists(docs: DataFrame, statistics: DataFrame, words: DataFrame, longes
     return cut_lineage(token_lists(docs, known=known))
 
 
+def typed_lists(toks: DataFrame, surface_types: DataFrame, longest: int = 4) -> DataFrame:
+    """Token lists cut to the n-grams that may have types; the cascade finds in them what it finds in whole lists."""
+    return cut_lineage(cut_to_known(listed(toks), KnownGrams(surface_types.select("surface").distinct(), longest=longest)))
+
+
 def surface_forms(toks: DataFrame, longest: int = 4, stop_words: DataFrame | None = None) -> DataFrame:
     """(lang, surface, n, capitalised): the distinct n-grams of texts that are asked for candidates, in lower case; numbers and stop n-grams aren't."""
     grams = ngrams_upto(toks, longest, stop_words)

@@ -170,6 +170,15 @@ class KnownGrams:
             edges[begin + n] -= 1
         return np.cumsum(edges[:-1]) > 0
 
+    def runs(self, words: list[str], sizes: np.ndarray, langs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens kept, places in these where a run begins, each token's list) of lists of ``sizes`` tokens."""
+        of_list = np.repeat(np.arange(len(sizes)), sizes)
+        chinese = pc.fill_null(pc.equal(langs, "zh"), False).to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero(self.covered(words, np.cumsum(sizes)[of_list], chinese[of_list]))
+        # a run begins where a token is missing or another list begins
+        begins = (np.diff(kept) > 1) | (np.diff(of_list[kept]) > 0)
+        return kept, np.concatenate([[0], np.flatnonzero(begins) + 1]), of_list
+
 
 def token_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", known: KnownGrams | None = None) -> DataFrame:
     """(doc_id, lang, sent_id, toks): the tokens (tok_id, token, start, end) of each sentence; no shuffle.
@@ -198,15 +207,9 @@ def token_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
             start = end - np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             number, row, sentence, size = (np.concatenate(x) for x in (ids, of, sent, sizes))
             if known is not None:
-                chinese = pc.fill_null(pc.equal(batch.column("lang"), "zh"), False).to_numpy(zero_copy_only=False)
-                of_list = np.repeat(np.arange(len(size)), size)
-                covered = known.covered(words, np.cumsum(size)[of_list], chinese[row][of_list])
-                kept = np.flatnonzero(covered)
+                kept, first, of_list = known.runs(words, size, batch.column("lang").take(pa.array(row)))
                 if not len(kept):
                     continue
-                # a run begins where a token is missing or another sentence begins
-                begins = np.concatenate([[True], (np.diff(kept) > 1) | (np.diff(of_list[kept]) > 0)])
-                first = np.flatnonzero(begins)
                 words, number, start, end = [words[i] for i in kept.tolist()], number[kept], start[kept], end[kept]
                 size = np.diff(np.concatenate([first, [len(kept)]]))
                 row, sentence = row[of_list[kept[first]]], sentence[of_list[kept[first]]]
@@ -223,6 +226,23 @@ def token_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     return narrow.mapInArrow(cut, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, sent_id long, toks array<{_TOKEN}>")
 
 
+def cut_to_known(lists: DataFrame, known: KnownGrams) -> DataFrame:
+    """Rows of ``token_lists`` cut to the runs of tokens that n-grams which may be known cover, a row for each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column("toks")
+            flat, sizes = toks.flatten(), pc.fill_null(toks.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            kept, first, of_list = known.runs(flat.field("token").to_pylist(), sizes, batch.column("lang"))
+            if len(kept):
+                rows = pa.array(of_list[kept[first]])
+                made = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(kept)]]).astype(np.int32)), flat.take(pa.array(kept)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "lang", "sent_id")), made], names=["doc_id", "lang", "sent_id", "toks"])
+
+    narrow = lists.select("doc_id", "lang", "sent_id", "toks")
+    return narrow.mapInArrow(cut, narrow.schema)
+
+
 def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, tok_id, token, start, end, sent_id); tok_id and sent_id count from 0."""
     return exploded(token_lists(docs, doc_id, text, lang))

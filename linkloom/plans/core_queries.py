@@ -750,7 +750,9 @@ _CASCADE = _TYPED + "".join(f",\n    {_level(n)}" for n in (4, 3, 2, 1))
     select doc_id, s as start, e as "end", n, array_to_string(features, '|') as features from (select * from level4 union all select * from level3 union all select * from level2 union all select * from level1)""")
 def ngram_propagation(spark: SparkSession, d: str) -> DataFrame:
     """The n-gram cascade with candidates, their first mid and its types."""
-    found = ner.wikify_ngrams(*_typed_lists(spark, d, _docs(spark, d)))
+    lists, types, stops = _typed_lists(spark, d, _docs(spark, d))
+    types = cut_lineage(types)
+    found = ner.wikify_ngrams(ner.typed_lists(lists, types), types, stops)
     return found.withColumn("features", F.array_join("features", "|"))
 
 
@@ -1324,13 +1326,14 @@ def annotate_text(spark: SparkSession, d: str) -> DataFrame:
     """Texts to linked mentions: tokens, n-gram cascade, spans, candidates, titles, mids, clusters."""
     tables = {t: table(spark, d, t) for t in ("kb_titles", "kb_types", "wiki_pages", "wiki_redirects")}
     docs = _docs(spark, d)
-    return pipeline.annotate_text(docs, pipeline.build_index(_mentions(spark, d), **tables), Config(), tokens.top_words(docs).select("lang", "word"))
+    return pipeline.annotate_text(docs, pipeline.build_index(_mentions(spark, d), **tables), Config(), cut_lineage(tokens.top_words(docs).select("lang", "word")))
 
 
 @_query()
 def tagged_spans(spark: SparkSession, d: str) -> DataFrame:
     """N-grams linked, labelled by their types and decoded to mention spans."""
-    return pipeline.tag_mentions(*_typed_lists(spark, d, _docs(spark, d)))
+    lists, types, stops = _typed_lists(spark, d, _docs(spark, d))
+    return pipeline.tag_mentions(lists, cut_lineage(types), stops)
 
 
 @_query("select mention_id, row_number() over (order by doc_id nulls first, s nulls first, mention_id) as number from m")

@@ -52,13 +52,15 @@ class Index:
 
 def build_index(linked: DataFrame, kb_titles: DataFrame, kb_types: DataFrame, wiki_pages: DataFrame, wiki_redirects: DataFrame) -> Index:
     """The index from linked mentions, the page dump and the knowledge base."""
+    # the linker reads the statistics again and again
+    linked = cut_lineage(anchors.mention_anchors(linked))
     return Index(
-        anchors.surface_title_statistics(anchors.mention_anchors(linked)),
+        cut_lineage(anchors.surface_title_statistics(linked)),
         titles.title_map(kb_titles),
-        titles.redirect_targets(wiki_pages, wiki_redirects),
+        cut_lineage(titles.redirect_targets(wiki_pages, wiki_redirects)),
         kb_titles,
         kb_types,
-        anchors.word_title_statistics(anchors.mention_anchors(linked)),
+        cut_lineage(anchors.word_title_statistics(linked)),
     )
 
 
@@ -160,7 +162,8 @@ def text_mentions(docs: DataFrame, index: Index, config: Config | None = None, s
 
 def tag_mentions(toks: DataFrame, surface_types: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
     """(doc_id, sent_id, start, end, mention_type): n-grams linked, labelled by their types and decoded to spans."""
-    lists = cut_lineage(tokens.listed(toks))
+    # tokens outside of all typed n-grams get no label, so that the runs of labels are the same without them
+    lists = ner.typed_lists(toks, surface_types)
     toks = tokens.exploded(lists)
     found = ner.wikify_ngrams(lists, surface_types, stop_words)
     spans = found.withColumn("mention_type", ner.majority_tag(F.col("features"))).where("mention_type != 'O'")

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+# Seconds of materialising after which the driver's garbage is collected, and those since then.
+COLLECT_S = 3.0
+_WORKED = [0.0]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -54,6 +59,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+
+    Shuffles of dropped lineages and checkpoints that nothing reads any more stay on disk until the driver's JVM collects its
+    garbage, which a large heap puts off; so it is asked to after every few seconds of work.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    began = time.monotonic()
+    out = df.checkpoint(eager=True)
+    _WORKED[0] += time.monotonic() - began
+    if _WORKED[0] > COLLECT_S:
+        _WORKED[0] = 0.0
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+    return out

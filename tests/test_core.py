@@ -361,6 +361,27 @@ def test_texts_without_known_grams_leave_no_lists(spark):
     assert [(r["doc_id"], [t["token"] for t in r["toks"]]) for r in lists] == [(1, ["Ann", "Lee"])]
 
 
+def test_lists_are_cut_to_typed_grams(spark):
+    """From rows of tokens or lists only the runs of typed n-grams stay; spans are those of whole lists."""
+    docs = spark.createDataFrame([(1, "en", "We saw New York. York is big, big as Rome"), (2, "es", "nada"), (None, "en", "Rome")], "doc_id long, lang string, text string")
+    types = spark.createDataFrame([("en", "new york", ["location"]), ("en", "york", ["person"]), ("en", "rome", ["location"])], "lang string, surface string, coarse array<string>")
+    for toks in (tokens.tokens(docs), tokens.token_lists(docs)):
+        runs = {(r["doc_id"], r["sent_id"], tuple(t["token"] for t in r["toks"])) for r in ner.typed_lists(toks, types).collect()}
+        assert runs == {(1, 0, ("New", "York")), (1, 1, ("York",)), (1, 1, ("Rome",)), (None, 0, ("Rome",))}
+        spans = {(r["start"], r["end"], r["mention_type"]) for r in pipeline.tag_mentions(toks, types).where("doc_id = 1").collect()}
+        assert spans == {(7, 15, "LOC"), (17, 21, "PER"), (37, 41, "LOC")}
+
+
+def test_scratch_of_dropped_lineages_is_freed(spark, monkeypatch):
+    """The driver's garbage is collected once enough was materialised, so that dead shuffles leave the disk."""
+    from linkloom import session
+
+    asked = []
+    monkeypatch.setattr(session, "COLLECT_S", 0.0)
+    monkeypatch.setattr(session.gc, "collect", lambda: asked.append(1))
+    assert session.cut_lineage(spark.range(3)).count() == 3 and asked
+
+
 def write_tables(spark, folder, **tables):
     """A data directory with tables of (rows, schema)."""
     for name, (rows, schema) in tables.items():
