@@ -382,6 +382,18 @@ def test_scratch_of_dropped_lineages_is_freed(spark, monkeypatch):
     assert session.cut_lineage(spark.range(3)).count() == 3 and asked
 
 
+def test_cascade_makes_known_grams_only(spark):
+    """The stages of the cascade get the n-grams of the index, however long the texts are."""
+    index = small_index(spark)
+    docs = spark.createDataFrame([(1, "en", "a b c d. " * 50 + "Ann Lee came.")], "doc_id long, lang string, text string")
+    lists = ner.known_lists(docs, index.statistics, index.words)
+    grams = ner.surface_forms(lists, 4)
+    assert {(r["surface"], r["n"]) for r in grams.collect()} == {("ann", 1), ("lee", 1), ("ann lee", 2)}
+    types = ner.gram_types(grams, index.statistics, index.words, index.kb_titles, index.title_map, index.kb_types)
+    found = ner.wikify_ngrams(lists, types).where("n = 2").collect()
+    assert [(r["start"], r["end"], r["features"]) for r in found] == [(450, 457, ["TOPFBTYPETOKEN-person"])]
+
+
 def write_tables(spark, folder, **tables):
     """A data directory with tables of (rows, schema)."""
     for name, (rows, schema) in tables.items():
