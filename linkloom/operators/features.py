@@ -9,18 +9,23 @@ context of nothing. For English documents the foreign features are 0 and left ou
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import vectors as V
 from linkloom.operators import ranking, tokens
+from linkloom.operators.lookup import Lookup
 from linkloom.session import cut_lineage
 
 SEQUENTIAL = ("PRETITLE_COS", "PRETITLE_COS_L", "PRE_MINMAX_MAX", "PRE_MINMAX_MIN", "PRE_MINMAX_L_MAX", "PRE_MINMAX_L_MIN")
+_SURFACE = re.compile(r"[ \t\n\x0b\f\r]+|·")
 
 
 def aliased(vectors: DataFrame) -> DataFrame:
@@ -151,3 +156,246 @@ def rank_with_features(rows: DataFrame, names: Sequence[str], weights: Sequence[
         [n for n in SEQUENTIAL if n in names],
         ranking.weight_matrix(names, order, weights),
     )
+
+
+def rank_texts(mentions: DataFrame, candidates: DataFrame, docs: DataFrame, df: DataFrame, mapping: DataFrame, vectors: DataFrame, names: Sequence[str], weights: Sequence[float]) -> DataFrame:
+    """Mentions with ``wiki_title``, ``cand_lang`` and ``confidence``: what ``static_features`` and ``rank_with_features`` choose, in one walk over the documents.
+
+    ``mentions`` has (mention_id, doc_id, lang, mention_type, start, end, surface, key), ``candidates`` those of the distinct
+    (lang, surface), the surface being a mention's key. Texts, spans and numbers of vectors travel to the document, the
+    vectors themselves are looked up there: a row carries none. Mentions without candidate keep nulls.
+    """
+    known = Lookup(vectors, df, aliased)
+    found = candidates.select("lang", F.col("surface").alias("key"), "cand_lang", "title", "rank", F.col("p_title_given_surface").alias("tp"), F.col("p_surface_given_title").alias("sp"))
+    found = found.join(title_vectors(found, mapping, known.numbered), ["lang", "cand_lang", "title"], "left")
+    lists = found.groupBy("lang", "key").agg(F.collect_list(F.struct("rank", "title", "cand_lang", F.col("tp").cast("double").alias("tp"), F.col("sp").cast("double").alias("sp"), "en_vec", "l_vec")).alias("cands"))
+    own = ("mention_id", "lang", "mention_type", "start", "end", "surface")
+    spans = mentions.where("mention_id is not null and doc_id is not null").join(cut_lineage(lists), ["lang", "key"], "left").select("doc_id", F.struct(*own, "cands").alias("m"))
+    # a document's texts are cut where they meet its mentions
+    spans = spans.groupBy("doc_id").agg(F.collect_list("m").alias("mentions"))
+    texts = docs.where("text is not null").groupBy("doc_id").agg(F.collect_list(F.struct("lang", "text")).alias("texts"))
+    joined = spans.join(texts, "doc_id", "left").select("doc_id", "mentions", "texts")
+    static = [n for n in names if n not in SEQUENTIAL]
+    sequential = [n for n in SEQUENTIAL if n in names]
+    ranker = TextRanker(known, static, sequential, ranking.weight_matrix(names, [*static, *sequential], weights))
+    kinds = dict(mentions.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, " + ", ".join(f"{c} {kinds[c]}" for c in own) + ", wiki_title string, cand_lang string, confidence double"
+    return joined.mapInArrow(ranker, schema)
+
+
+class TextRanker:
+    """Ranks the mentions of whole documents (doc_id, mentions, texts) with ``static`` and ``sequential`` features and the model ``w``."""
+
+    #: Documents are taken together up to so many mentions; contexts are made for so many at a time.
+    MENTIONS, CONTEXTS = 20_000, 4096
+
+    def __init__(self, known: Lookup, static: Sequence[str], sequential: Sequence[str], w: np.ndarray) -> None:
+        self.known, self.static, self.sequential, self.w = known, list(static), list(sequential), w
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(batch.column("mentions").value_lengths().to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < batch.num_rows:
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + self.MENTIONS, side="right")))
+                yield self.ranked(batch.slice(begin, end - begin))
+                begin = end
+
+    def ranked(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("mentions")
+        doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        m = pa.Table.from_struct_array(lists.flatten()).append_column("_doc", pa.array(doc)).combine_chunks()
+        # walked in order: by start, a missing one first, then by id
+        order = pc.sort_indices(m, sort_keys=[("_doc", "ascending"), ("start", "ascending"), ("mention_id", "ascending")], null_placement="at_start")
+        m = m.take(order).combine_chunks()
+        doc = m.column("_doc").to_numpy()
+        cands = m.column("cands").combine_chunks()
+        sizes = pc.fill_null(cands.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        c = pa.Table.from_struct_array(cands.flatten())
+        of = np.repeat(np.arange(len(doc)), sizes)
+        en, foreign = (self.known.place_of_ids(pc.fill_null(c.column(x), 0).to_numpy(), c.column(x).is_valid().to_numpy()) for x in ("en_vec", "l_vec"))
+        unit, unit_l = self.known.units(en), self.known.units(foreign)
+        made = {"TITLEPROB": c.column("tp").to_numpy(), "SURFACEPROB": c.column("sp").to_numpy()}
+        made |= self._others(m, doc, of, en, foreign, unit, unit_l)
+        made |= self._contexts(m, doc, batch.column("texts"), of, unit, unit_l)
+        static = np.column_stack([np.zeros((len(of), 0)), *[made[n] for n in self.static]])
+        best, share = self._walk(doc, of, sizes, static, c.column("rank").to_numpy(), c.column("title"), en, unit, unit_l)
+        chosen = c.take(pa.array(best, pa.int64(), mask=best < 0))
+        own = [m.column(x).combine_chunks() for x in ("mention_id", "lang", "mention_type", "start", "end", "surface")]
+        columns = [batch.column("doc_id").take(pa.array(doc)), *own, chosen.column("title").combine_chunks(), chosen.column("cand_lang").combine_chunks(), pa.array(share, pa.float64(), mask=best < 0)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mention_id", "lang", "mention_type", "start", "end", "surface", "wiki_title", "cand_lang", "confidence"])
+
+    def _others(self, m: pa.Table, doc: np.ndarray, of: np.ndarray, en: np.ndarray, foreign: np.ndarray, unit: np.ndarray, unit_l: np.ndarray) -> dict[str, np.ndarray]:
+        """Cosines with the other mentions of the document: with their mean, the greatest and the least."""
+        n_cands, dim = unit.shape
+        out = {n: np.zeros(n_cands) for n in ("NE_TITLE_COS", "NE_TITLE_COS_L", "NE_MINMAX_MAX", "NE_MINMAX_MIN", "NE_MINMAX_L_MAX", "NE_MINMAX_L_MIN")}
+        words, at, vector_of = [], [], self.known.vector_of_words()
+        for i, (lang, surface) in enumerate(zip(m.column("lang").to_pylist(), m.column("surface").to_pylist(), strict=True)):
+            if lang is not None and surface is not None:
+                found = self.known.place_of_words(lang, [w for w in _SURFACE.split(surface.lower()) if w])
+                words.append(found)
+                at.append(np.full(len(found), i))
+        if not words:
+            return out
+        words, at = np.concatenate(words), np.concatenate(at)
+        places = np.where(words >= 0, vector_of[words], 0)
+        words, at = places[places > 0], at[places > 0]
+        if not len(at):
+            return out
+        mean = np.zeros((len(doc), dim))
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        owner = at[first]
+        mean[owner] = np.add.reduceat(self.known.rows(words), first, axis=0) / np.diff(np.append(first, len(at)))[:, None]
+        has = np.zeros(len(doc), bool)
+        has[owner] = True
+        begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        sums, number = np.add.reduceat(mean, begins, axis=0)[doc], np.add.reduceat(has.astype(int), begins)[doc]
+        other = _unit(np.where((has & (number > 1))[:, None], sums - mean, 0))
+        out["NE_TITLE_COS"], out["NE_TITLE_COS_L"] = (np.einsum("ij,ij->i", u, other[of]) for u in (unit, unit_l))
+        mean = _unit(mean)
+        ends, cuts = np.append(begins[1:], len(doc)), np.searchsorted(of, np.append(begins, len(doc)))
+        for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+            there = np.flatnonzero(has[a:b])
+            if cuts[k] == cuts[k + 1] or not len(there):
+                continue
+            vec = mean[a + there].T
+            column = np.full(b - a, -1)
+            column[there] = np.arange(len(there))
+            step = max(1, 4_000_000 // len(there))  # a long document is multiplied in blocks
+            for lo in range(int(cuts[k]), int(cuts[k + 1]), step):
+                part = slice(lo, min(lo + step, int(cuts[k + 1])))
+                own = column[of[part] - a]
+                rows = np.flatnonzero(own >= 0)
+                none = (own >= 0) & (len(there) == 1)
+                for side, u, name in ((en, unit, "NE_MINMAX"), (foreign, unit_l, "NE_MINMAX_L")):
+                    cos, skip = u[part] @ vec, none | (side[part] == 0)
+                    cos[rows, own[rows]] = -np.inf
+                    out[f"{name}_MAX"][part] = np.where(skip, 0.0, cos.max(axis=1))
+                    cos[rows, own[rows]] = np.inf
+                    out[f"{name}_MIN"][part] = np.where(skip, 0.0, cos.min(axis=1))
+        return out
+
+    def _contexts(self, m: pa.Table, doc: np.ndarray, texts: pa.Array, of: np.ndarray, unit: np.ndarray, unit_l: np.ndarray) -> dict[str, np.ndarray]:
+        """Cosines with the TF-IDF-weighted means of the words around a mention, for each size of the context."""
+        out = {f"{n}{x}": np.zeros(len(of)) for n in ranking.HALF_WINDOWS for x in ("", "_L")}
+        valid = pc.fill_null(pc.and_(pc.greater_equal(m.column("start"), 0), pc.greater(m.column("end"), m.column("start"))), False).to_numpy()
+        start, end = (pc.fill_null(m.column(x), 0).to_numpy() for x in ("start", "end"))
+        words, spans, at = [], [], 0
+        # a mention without candidate needs no context
+        wanted = np.flatnonzero(valid & (np.bincount(of, minlength=len(doc)) > 0))
+        edges = np.searchsorted(doc[wanted], np.arange(len(texts) + 1))
+        for row, found in enumerate(texts.to_pylist()):
+            mine = wanted[edges[row] : edges[row + 1]]
+            for text in found or () if len(mine) else ():
+                pieces, token_ends, _ = tokens._pieces(text["text"])
+                token_starts = token_ends - np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+                first = np.searchsorted(token_ends, start[mine], side="right")
+                last = np.searchsorted(token_starts, end[mine], side="left") - 1
+                hit = first <= last
+                words.append(self.known.place_of_words(text["lang"], pieces))
+                spans.append(np.column_stack([mine, at + first, at + last, np.full(len(mine), at), np.full(len(mine), at + len(pieces))])[hit])
+                at += len(pieces)
+        if not at or not sum(map(len, spans)):
+            return out
+        words, spans = np.concatenate(words), np.concatenate(spans)
+        # the texts of a document under one id make one context
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        lo = 0
+        while lo < len(spans):
+            hi = int(np.searchsorted(spans[:, 0], spans[min(lo + self.CONTEXTS, len(spans)) - 1, 0], side="right"))
+            self._context_cosines(spans[lo:hi], words, of, unit, unit_l, out)
+            lo = hi
+        return out
+
+    def _context_cosines(self, spans: np.ndarray, words: np.ndarray, of: np.ndarray, unit: np.ndarray, unit_l: np.ndarray, out: dict[str, np.ndarray]) -> None:
+        df, vector_of = self.known.df(), self.known.vector_of_words()
+        base, n = spans[0, 0], int(spans[-1, 0] - spans[0, 0]) + 1
+        row = spans[:, 0] - base
+        part = slice(*np.searchsorted(of, [base, base + n]).tolist())
+        of_row = of[part] - base
+        for name, half in ranking.HALF_WINDOWS.items():
+            step = np.arange(half)
+            left, right = spans[:, 1:2] - 1 - step, spans[:, 2:3] + 1 + step
+            inside = np.concatenate([left >= spans[:, 3:4], right < spans[:, 4:5]], axis=1)
+            owner = np.repeat(row, inside.sum(axis=1))
+            around = words[np.concatenate([left, right], axis=1)[inside]]
+            total = np.bincount(owner, minlength=n)
+            seen = around >= 0
+            keys, cnt = np.unique(owner[seen] * len(df) + around[seen], return_counts=True)
+            owner, word = np.divmod(keys, len(df))
+            own_df = df[word]
+            counted = ~np.isnan(own_df)
+            owner, word, own_df, cnt = owner[counted], word[counted], own_df[counted], cnt[counted]
+            sums = np.bincount(owner, weights=own_df, minlength=n)
+            weight = cnt / total[owner] * np.log(sums[owner] / own_df)
+            place = vector_of[word]
+            used = (place > 0) & (weight > 0)
+            owner, weight, place = owner[used], weight[used], place[used]
+            if not len(owner):
+                continue
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            mean = np.zeros((n, unit.shape[1]))
+            mean[owner[first]] = np.add.reduceat(self.known.rows(place) * weight[:, None], first, axis=0)
+            mean = _unit(mean)[of_row]
+            out[name][part], out[f"{name}_L"][part] = (np.einsum("ij,ij->i", u[part], mean) for u in (unit, unit_l))
+
+    def _walk(self, doc: np.ndarray, of: np.ndarray, sizes: np.ndarray, static: np.ndarray, ranks: np.ndarray, titles: pa.ChunkedArray, en: np.ndarray, unit: np.ndarray, unit_l: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best candidate of each mention or -1, its confidence); the documents go side by side, one mention of each at a step."""
+        best, share = np.full(len(doc), -1), np.zeros(len(doc))
+        asked = np.flatnonzero(sizes > 0)
+        if not len(asked):
+            return best, share
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        docs, first, count = np.unique(doc[asked], return_index=True, return_counts=True)
+        number = np.searchsorted(docs, doc[of])  # each candidate's document
+        last = begin[asked[first + count - 1] + 1]  # the place behind a document's candidates
+        long = np.argsort(-count, kind="stable")
+        # titles are told by number; a title chosen twice changes neither the greatest nor the least
+        title = number * (len(of) + 1) + titles.combine_chunks().dictionary_encode().indices.to_numpy()
+        title = np.unique(title, return_inverse=True)[1]
+        seen = np.zeros(int(title.max()) + 1, bool)
+        total, chosen = np.zeros((len(docs), unit.shape[1])), np.zeros(len(docs), np.int64)
+        extremes = {n: np.full(len(of), -np.inf if n.endswith("MAX") else np.inf) for n in self.sequential if not n.startswith("PRETITLE")}
+        for step in range(int(count.max())):
+            active = long[: np.searchsorted(-count[long], -step, side="left")]
+            who = asked[first[active] + step]
+            size = sizes[who]
+            offset = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) + np.repeat(begin[who] - offset, size)
+            mine = np.repeat(np.arange(len(active)), size)
+            ready = chosen[active[mine]] > 0
+            columns = []
+            for name in self.sequential:
+                u = unit_l if "_L" in name else unit
+                if name.startswith("PRETITLE"):
+                    columns.append(np.where(ready, np.einsum("ij,ij->i", u[at], _unit(total[active])[mine]), 0.0))
+                else:
+                    columns.append(np.where(ready & (u[at] != 0).any(axis=1), extremes[name][at], 0.0))
+            x = np.column_stack([static[at], *columns, np.ones(len(at))])
+            score = ((x @ self.w) * x).sum(axis=1)
+            order = np.lexsort((ranks[at], -score, mine))
+            top = order[offset]
+            best[who] = picked = at[top]
+            follows = order[np.minimum(offset + 1, len(order) - 1)]
+            share[who] = np.where(size > 1, 1.0 / (1.0 + np.exp(np.minimum(700.0, score[follows] - score[top]))), 1.0)
+            has = en[picked] > 0
+            active, picked = active[has], picked[has]
+            total[active] += self.known.rows(en[picked])
+            chosen[active] += 1
+            new = ~seen[title[picked]]
+            seen[title[picked]] = True
+            active, picked = active[new], picked[new]
+            if len(active) and extremes:
+                # all candidates of a document that come later
+                length = last[active] - picked
+                later = np.arange(int(length.sum())) + np.repeat(picked - (np.cumsum(length) - length), length)
+                vec = unit[np.repeat(picked, length)]
+                for side, u in (("", unit), ("_L", unit_l)):
+                    wanted = [n for n in extremes if ("_L" in n) == bool(side)]
+                    cos = np.einsum("ij,ij->i", u[later], vec) if wanted else None
+                    for n in wanted:
+                        extremes[n][later] = (np.maximum if n.endswith("MAX") else np.minimum)(extremes[n][later], cos)
+        return best, share

@@ -130,12 +130,8 @@ def annotate_ranked(mentions: DataFrame, docs: DataFrame, index: Index, vectors:
     keyed = keyed.withColumn("key", X.normal_surface(F.col("surface")))
     found = surface_candidates(keyed.select("lang", F.col("key").alias("surface")).where("lang is not null and surface is not null"), index)
     found = cut_lineage(candidates.apply_overrides(candidates.drop_unwanted(found)))
-    rows = keyed.select("mention_id", "lang", "key").join(found.withColumnRenamed("surface", "key"), ["lang", "key"])
-    static = features.static_features(mentions, rows, docs, tokens.document_frequency(docs), index.title_map, features.aliased(vectors))
-    best = features.rank_with_features(cut_lineage(static), names, weights)
-    langs = rows.groupBy("mention_id", F.col("title").alias("wiki_title")).agg(F.min("cand_lang").alias("cand_lang"))
-    chosen = best.select("mention_id", F.col("title").alias("wiki_title"), "confidence").join(langs, ["mention_id", "wiki_title"])
-    return _finish(cut_lineage(keyed.join(chosen, "mention_id", "left")), index, config.target_kb if config else "freebase")
+    linked = features.rank_texts(keyed, found, docs, tokens.document_frequency(docs), index.title_map, vectors, names, weights)
+    return _finish(cut_lineage(linked.withColumn("key", X.normal_surface(F.col("surface")))), index, config.target_kb if config else "freebase")
 
 
 def annotate_text(docs: DataFrame, index: Index, config: Config | None = None, stop_words: DataFrame | None = None, search: DataFrame | None = None) -> DataFrame:

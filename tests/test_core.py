@@ -11,6 +11,7 @@ from linkloom.functions import vectors as V
 from linkloom.operators import anchors, candidates, coref, evaluate, features, intervals, kb, ner, ranking, titles, tokens
 from linkloom.operators.numbering import numbered
 from linkloom.plans import core_queries, pipeline
+from linkloom.session import cut_lineage
 from linkloom.sources import documents, dumps, sinks
 
 
@@ -588,6 +589,55 @@ def test_static_features(spark):
     assert {r["mention_id"]: r["title"] for r in best.collect()} == {1: "río", 2: "lima", 3: "río"}
 
 
+def test_texts_are_ranked_without_vectors_in_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vocabulary = ["ann", "lee", "york", "new", "río", "lima", "big", "old"]
+    vec = lambda: rng.standard_normal(5).tolist()
+    vectors = [("es", w, vec()) for w in vocabulary[:6]] + [("es", f"title_t{i}", vec()) for i in range(5)] + [("ru", "big", vec()), ("ru", "title_u1", vec()), ("es", "old", [0.0] * 5)]
+    vectors = spark.createDataFrame(vectors, "lang string, key string, vec array<double>")
+    mapping = spark.createDataFrame([("es", "t0", "t1"), ("es", "t2", "t3"), ("ru", "u1", "t4")], "lang string, title string, en_title string")
+    docs, men = [(1, "en", None)], []
+    for d in range(2, 9):
+        lang = ("en", "es", "ru")[d % 3]
+        words = [str(w) for w in rng.choice([*vocabulary, "x", "."], 40)]
+        text = " ".join(words)
+        docs.append((d, lang, text))
+        for _ in range(int(rng.integers(1, 9))):
+            a = int(rng.integers(0, len(text) - 5))
+            men.append((len(men), d, lang, "LOC", a, a + 4, " ".join(rng.choice(vocabulary, 2))))
+    docs.append((3, "es", "york new big york Ann."))  # an id that two texts have
+    men += [(900, 2, "en", "PER", None, None, "Ann"), (901, 2, None, "PER", 3, 5, "ann"), (902, 77, "es", "PER", 0, 3, "Ann lee"), (903, 77, "es", "PER", 4, 3, "none"), (904, 1, "en", "PER", 0, 3, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    men = spark.createDataFrame(men, "mention_id long, doc_id long, lang string, mention_type string, start int, end int, surface string").withColumn("key", F.lower("surface"))
+    cand = []
+    for r in men.select("lang", "key").where("lang is not null and key != 'none'").distinct().collect():
+        for k, t in enumerate(rng.choice(["t0", "t1", "t2", "t3", "t4", "u1", "t9"], int(rng.integers(1, 5)), replace=False)):
+            cand.append((r["lang"], r["key"], "en" if t in ("t1", "t3") else r["lang"], str(t), k + 1, float(rng.random()), float(rng.random())))
+    cand = spark.createDataFrame(cand, "lang string, surface string, cand_lang string, title string, rank int, p_title_given_surface double, p_surface_given_title double")
+    names = ranking.features_of(False)
+    weights = rng.standard_normal(len(names) + 60).tolist()
+    df = tokens.document_frequency(docs)
+    rows = men.join(cand.withColumnRenamed("surface", "key"), ["lang", "key"]).select("mention_id", "rank", "title", "cand_lang", "p_title_given_surface", "p_surface_given_title")
+    static = features.static_features(men, rows, docs, df, mapping, features.aliased(vectors))
+    want = {r["mention_id"]: r for r in features.rank_with_features(static, names, weights).collect()}
+    cut = []
+    monkeypatch.setattr(features, "cut_lineage", lambda rows: cut.append(dict(rows.dtypes)) or cut_lineage(rows))
+    monkeypatch.setattr(features.TextRanker, "CONTEXTS", 3)
+    monkeypatch.setattr(features.TextRanker, "MENTIONS", 10)
+    got = features.rank_texts(men, cand, docs, df, mapping, vectors, names, weights).collect()
+    assert len(got) == men.count() and {r["mention_id"] for r in got if r["wiki_title"] is not None} == set(want)
+    for r in got:
+        if r["mention_id"] in want:
+            w = want[r["mention_id"]]
+            assert r["wiki_title"] == w["title"] and r["confidence"] == pytest.approx(w["confidence"], abs=1e-9)
+    assert len({r["title"] for r in want.values()}) > 3
+    # neither here nor in the linker a written row carries a vector
+    monkeypatch.setattr(pipeline, "cut_lineage", features.cut_lineage)
+    linked = pipeline.annotate_ranked(men.drop("key"), docs, small_index(spark), vectors, names, tuple(weights)).collect()
+    assert len(linked) == len(got)
+    assert cut and not [c for c in cut if {"array<double>", "array<float>"} & set(c.values())]
+
+
 def test_sequential_ranking_against_plain_model(spark):
     rng = np.random.default_rng(5)
     rows = []
