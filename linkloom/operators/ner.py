@@ -7,6 +7,13 @@ the cascade works on the few n-grams that hit.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,13 +22,15 @@ from linkloom.functions import text as X
 from linkloom.functions import vectors as V
 from linkloom.operators import candidates, kb
 from linkloom.operators.intervals import bio_decode, propagate_types
+from linkloom.operators.lookup import SurfaceTypes
 from linkloom.operators.numbering import bounded_sample
-from linkloom.operators.tokens import KnownGrams, cut_to_known, listed, ngrams_upto, token_lists
+from linkloom.operators.tokens import MAX_STOPS, KnownGrams, cut_to_known, listed, ngrams_upto, token_lists
 from linkloom.session import cut_lineage
 
 MAIN_TYPES = ("location", "person", "organization")
 # Coarse types of the knowledge base that the features speak of in other words.
 TYPE_TOKENS = {"people": "person"}
+_NUMBER = re.compile(X._NUMBER)
 LABEL_OF = {"person": "PER", "organization": "ORG", "location": "LOC"}
 
 
@@ -79,10 +88,14 @@ def _renamed(kind: Column) -> Column:
     return kind
 
 
-def known_lists(docs: DataFrame, statistics: DataFrame, words: DataFrame, longest: int = 4) -> DataFrame:
+def known_grams(statistics: DataFrame, words: DataFrame, longest: int = 4) -> KnownGrams:
+    """Tells the n-grams that the index may have candidates for."""
+    return KnownGrams(statistics.select("surface").distinct(), words.select("word").distinct(), longest)
+
+
+def known_lists(docs: DataFrame, statistics: DataFrame, words: DataFrame, longest: int = 4, known: KnownGrams | None = None) -> DataFrame:
     """Token lists of texts, cut to the n-grams that the index may have candidates for: surfaces, and of capitalised tokens words."""
-    known = KnownGrams(statistics.select("surface").distinct(), words.select("word").distinct(), longest)
-    return cut_lineage(token_lists(docs, known=known))
+    return cut_lineage(token_lists(docs, known=known or known_grams(statistics, words, longest)))
 
 
 def typed_lists(toks: DataFrame, surface_types: DataFrame, longest: int = 4) -> DataFrame:
@@ -90,19 +103,165 @@ def typed_lists(toks: DataFrame, surface_types: DataFrame, longest: int = 4) ->
     return cut_lineage(cut_to_known(listed(toks), KnownGrams(surface_types.select("surface").distinct(), longest=longest)))
 
 
-def surface_forms(toks: DataFrame, longest: int = 4, stop_words: DataFrame | None = None) -> DataFrame:
-    """(lang, surface, n, capitalised): the distinct n-grams of texts that are asked for candidates, in lower case; numbers and stop n-grams aren't."""
+def surface_forms(toks: DataFrame, longest: int = 4, stop_words: DataFrame | None = None, known: KnownGrams | None = None) -> DataFrame:
+    """(lang, surface, n, capitalised): the distinct n-grams of texts that are asked for candidates, in lower case; numbers and stop n-grams aren't.
+
+    With ``known`` only those that may be known are made.
+    """
+    stops = _few_stops(stop_words) if known is not None else None
+    if stops is not None:
+        return listed(toks).select("lang", "toks").mapInArrow(GramForms(known, stops), "lang string, surface string, n int, capitalised boolean").distinct()
     grams = ngrams_upto(toks, longest, stop_words)
     kept = grams.where(~X.is_number(F.col("surface")) & ~F.col("is_stop") & F.col("lang").isNotNull())
     return kept.select("lang", F.lower("surface").alias("surface"), "n", X.is_capitalised(F.col("surface")).alias("capitalised")).distinct()
 
 
+def _few_stops(stop_words: DataFrame | None) -> dict[str, frozenset[str]] | None:
+    """Stop words of each language if they are few enough to be sent to every task."""
+    if stop_words is None:
+        return {}
+    rows = stop_words.where("lang is not null and word is not null").select("lang", "word").distinct().limit(MAX_STOPS + 1).collect()
+    found: dict[str, set[str]] = {}
+    for r in rows:
+        found.setdefault(r["lang"], set()).add(r["word"])
+    return {k: frozenset(v) for k, v in found.items()} if len(rows) <= MAX_STOPS else None
+
+
+class _Grams:
+    """The n-grams of a batch of token lists."""
+
+    def __init__(self, batch: pa.RecordBatch, stops: dict[str, frozenset[str]]) -> None:
+        toks = batch.column("toks")
+        self.flat, sizes = toks.flatten(), pc.fill_null(toks.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        self.words = self.flat.field("token").to_pylist()
+        self.cut = [w.split("'", 1)[0] for w in self.words]
+        self.langs = batch.column("lang").to_pylist()
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        self.ends = np.cumsum(sizes)[self.of]
+        self.chinese = np.array([x == "zh" for x in self.langs], dtype=bool)[self.of]
+        self.stops = [stops.get(x, frozenset()) for x in self.langs]
+
+    def surfaces(self, first: np.ndarray, n: int) -> tuple[np.ndarray, list[str], list[str]]:
+        """(first tokens, languages, surfaces) of the n-grams from ``first`` on that are neither numbers nor stop n-grams."""
+        kept, langs, out, cut = [], [], [], self.cut
+        for i, row in zip(first.tolist(), self.of[first].tolist(), strict=True):
+            part, lang, stops = cut[i : i + n], self.langs[row], self.stops[row]
+            surface = ("" if lang == "zh" else " ").join(part)
+            if (stops and all(w.lower() in stops for w in part)) or _NUMBER.match(surface.strip(" ")):
+                continue
+            kept.append(i)
+            langs.append(lang)
+            out.append(surface)
+        return np.array(kept, dtype=np.int64), langs, out
+
+    def keys(self, first: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[str, str, int, bool]]]:
+        """(first tokens, (lang, lower-case surface, n, capitalised)) of the n-grams that are asked for."""
+        kept, langs, surfaces = self.surfaces(first, n)
+        return kept, [(lang, s.lower(), n, s[:1] != "" and unicodedata.category(s[0]) == "Lu") for lang, s in zip(langs, surfaces, strict=True)]
+
+
+class GramForms:
+    """Token lists (lang, toks) to the distinct n-grams of a batch that may be known."""
+
+    def __init__(self, known: KnownGrams, stops: dict[str, frozenset[str]]) -> None:
+        self.known, self.stops = known, stops
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, seen = _Grams(batch, self.stops), set()
+            for n, first in self.known.hits(grams.words, grams.ends, grams.chinese):
+                seen.update(grams.keys(first, n)[1])
+            rows = [r for r in seen if r[0] is not None]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "surface", "n", "capitalised"])
+
+
+class Cascade:
+    """Token lists (doc_id, lang, toks) to the rows of ``wikify_ngrams``: an n-gram lies in two of the next length, so each list goes by itself."""
+
+    def __init__(self, known: KnownGrams, stops: dict[str, frozenset[str]], types: SurfaceTypes) -> None:
+        self.known, self.stops, self.types = known, stops, types
+        names = [[f"TOPFBTYPETOKEN-{t}" for t in x] for x in types.lists]
+        # of own types which kinds are handed on, as bits
+        self.bits = np.array([sum(1 << k for k, kind in enumerate(MAIN_TYPES) if any(f"TOPFBTYPETOKEN-{kind}" in f for f in x)) for x in names] + [0], np.uint8)
+        self.typed = np.array([len(x) > 0 for x in names] + [False])
+        # 64 lists of features that are taken, then the own ones
+        taken = [[p + f"TOPFBTYPETOKEN-{kind}" for p, high in (("B-", 0), ("I-", 3)) for k, kind in enumerate(MAIN_TYPES) if b >> (k + high) & 1] for b in range(64)]
+        self.features = [sorted(x) for x in [*taken, *names]]
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.array(self.features, pa.list_(pa.string()))
+        for batch in batches:
+            grams = _Grams(batch, self.stops)
+            hits, rows = dict(self.known.hits(grams.words, grams.ends, grams.chinese)), []
+            outer = np.zeros(len(grams.words), np.uint8)
+            # n-grams without document meet no other
+            lone = pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False)[grams.of]
+            for n in range(self.known.longest, 0, -1):
+                # the longer n-gram that begins here and the one that begins a token before
+                bits = outer | np.append(np.uint8(0), outer[:-1]) << np.uint8(3)
+                bits[lone] = 0
+                first = np.flatnonzero(bits)
+                first = grams.surfaces(first, n)[0] if len(first) else first
+                outer = np.zeros(len(grams.words), np.uint8)
+                outer[first] = bits[first] & 7 | bits[first] >> 3
+                rows.append((first, n, bits[first].astype(np.int64)))
+                own = np.setdiff1d(hits[n], first, assume_unique=True)
+                own, keys = grams.keys(own, n)
+                if len(own):
+                    of_lang = np.array([k[0] is not None for k in keys])
+                    number = self.types.numbers([k if k[0] is not None else ("", *k[1:]) for k in keys])
+                    found = self.typed[number] & of_lang
+                    own, number = own[found], number[found]
+                    outer[own] = self.bits[number]
+                    rows.append((own, n, number + 64))
+            at = np.concatenate([r[0] for r in rows])
+            if not len(at):
+                continue
+            size = np.concatenate([np.full(len(r[0]), r[1], np.int32) for r in rows])
+            starts, ends = grams.flat.field("start"), grams.flat.field("end")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(grams.of[at])), starts.take(pa.array(at)), ends.take(pa.array(at + size - 1)), pa.array(size),
+                    pool.take(pa.array(np.concatenate([r[2] for r in rows]))),
+                ],
+                names=["doc_id", "start", "end", "n", "features"],
+            )
+
+
+def _overlapping(lists: DataFrame) -> DataFrame:
+    """(doc_id): documents with token lists that overlap, as those of two texts under one id do."""
+    ends = lists.where("doc_id is not null and size(toks) > 0").select("doc_id", F.col("toks")[0]["start"].alias("s"), F.element_at("toks", -1)["end"].alias("e"))
+    before = F.lag("e").over(Window.partitionBy("doc_id").orderBy("s", "e"))
+    return ends.withColumn("_e", before).where("s < _e").select("doc_id").distinct()
+
+
 def wikify_ngrams(toks: DataFrame, surface_types: DataFrame, stop_words: DataFrame | None = None, longest: int = 4) -> DataFrame:
     """(doc_id, start, end, n, features): the n-gram cascade from ``longest`` to 1.
 
     ``surface_types`` has (lang, surface, coarse), the types of the title that a surface is linked to; as made by
-    ``gram_types`` it also tells them by n and capitalisation.
+    ``gram_types`` it also tells them by n and capitalisation. The cascade goes through each token list by itself; only
+    documents whose lists overlap are joined with themselves.
     """
+    lists, stops = listed(toks), _few_stops(stop_words)
+    types = SurfaceTypes(surface_types) if stops is not None else None
+    if types is None or not types.distinct:
+        return _joined_cascade(toks, surface_types, stop_words, longest)
+    walk = Cascade(KnownGrams(surface_types.select("surface").distinct(), longest=longest), stops, types)
+    schema = f"doc_id {dict(lists.dtypes)['doc_id']}, start long, end long, n int, features array<string>"
+    repeated = cut_lineage(_overlapping(lists))
+    n = repeated.count()
+    single = lists
+    if n:
+        repeated = F.broadcast(repeated) if n <= MAX_STOPS else repeated
+        single = lists.join(repeated, "doc_id", "left_anti")
+    found = single.select("doc_id", "lang", "toks").mapInArrow(walk, schema)
+    return found.unionByName(_joined_cascade(lists.join(repeated, "doc_id", "left_semi"), surface_types, stop_words, longest)) if n else found
+
+
+def _joined_cascade(toks: DataFrame, surface_types: DataFrame, stop_words: DataFrame | None, longest: int) -> DataFrame:
+    """``wikify_ngrams`` by joins: n-grams of one document meet, whatever list they are from."""
     grams = ngrams_upto(toks, longest, stop_words)
     grams = grams.where(~X.is_number(F.col("surface")) & ~F.col("is_stop")).withColumn("_low", F.lower("surface"))
     linked = surface_types.withColumnRenamed("surface", "_low")

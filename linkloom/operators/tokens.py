@@ -145,8 +145,8 @@ class KnownGrams:
         places = _mixed(hashes, MOST_BITS) >> np.uint64(MOST_BITS - bits)
         return (table[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    def covered(self, words: list[str], ends: np.ndarray, chinese: np.ndarray) -> np.ndarray:
-        """Which of the tokens lie in an n-gram that may be known; ``ends`` are the places behind each token's sentence."""
+    def hits(self, words: list[str], ends: np.ndarray, chinese: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, first tokens of the n-grams that may be known) for n from 1 on; ``ends`` are the places behind each token's sentence."""
         if len(_PARTS) > 500_000:
             _PARTS.clear()
             _PARTS.size = 0
@@ -156,7 +156,6 @@ class KnownGrams:
         if self.single is not None:
             capitals = np.flatnonzero(_PARTS.capitals[at] & ~hits)
             hits[capitals] = self._holds(self.single, hashes[capitals])
-        edges = np.zeros(len(words) + 1, np.int64)
         gram, first = hashes, np.arange(len(words))
         for n in range(1, self.longest + 1):
             if n > 1:
@@ -165,7 +164,12 @@ class KnownGrams:
                 last = first + n - 1
                 gram = np.where(chinese[first], gram, gram * np.uint64(_BASE) + np.uint64(ord(" ") + 1)) * factors[last] + hashes[last]
                 hits = self._holds(self.every, gram)
-            begin = first[hits]
+            yield n, first[hits]
+
+    def covered(self, words: list[str], ends: np.ndarray, chinese: np.ndarray) -> np.ndarray:
+        """Which of the tokens lie in an n-gram that may be known."""
+        edges = np.zeros(len(words) + 1, np.int64)
+        for n, begin in self.hits(words, ends, chinese):
             edges[begin] += 1
             edges[begin + n] -= 1
         return np.cumsum(edges[:-1]) > 0

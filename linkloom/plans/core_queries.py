@@ -709,8 +709,9 @@ def _typed_lists(spark: SparkSession, d: str, docs: DataFrame) -> tuple[DataFram
     stops = cut_lineage(tokens.top_words(docs).select("lang", "word"))
     linked = cut_lineage(anchors.mention_anchors(_mentions(spark, d)))
     stat, words = cut_lineage(anchors.surface_title_statistics(linked)), cut_lineage(anchors.word_title_statistics(linked))
-    lists = ner.known_lists(docs, stat, words)
-    types = ner.gram_types(ner.surface_forms(lists, 4, stops), stat, words, table(spark, d, "kb_titles"), _title_map(spark, d), table(spark, d, "kb_types"))
+    known = ner.known_grams(stat, words)
+    lists = ner.known_lists(docs, stat, words, known=known)
+    types = ner.gram_types(ner.surface_forms(lists, 4, stops, known), stat, words, table(spark, d, "kb_titles"), _title_map(spark, d), table(spark, d, "kb_types"))
     return lists, types, stops
 
 
@@ -752,7 +753,7 @@ def ngram_propagation(spark: SparkSession, d: str) -> DataFrame:
     """The n-gram cascade with candidates, their first mid and its types."""
     lists, types, stops = _typed_lists(spark, d, _docs(spark, d))
     types = cut_lineage(types)
-    found = ner.wikify_ngrams(ner.typed_lists(lists, types), types, stops)
+    found = ner.wikify_ngrams(lists, types, stops)
     return found.withColumn("features", F.array_join("features", "|"))
 
 

@@ -146,9 +146,10 @@ def text_mentions(docs: DataFrame, index: Index, config: Config | None = None, s
 
     With ``config.rank_in_tagging`` the candidates of an n-gram are ranked by the small model, else they stay in order.
     """
-    lists = ner.known_lists(docs, index.statistics, index.words)
+    known = ner.known_grams(index.statistics, index.words)
+    lists = ner.known_lists(docs, index.statistics, index.words, known=known)
     weights = (1.0, 0.0) if config and config.rank_in_tagging else None
-    types = ner.gram_types(ner.surface_forms(lists, 4, stop_words), index.statistics, index.words, index.kb_titles, index.title_map, index.kb_types, weights)
+    types = ner.gram_types(ner.surface_forms(lists, 4, stop_words, known), index.statistics, index.words, index.kb_titles, index.title_map, index.kb_types, weights)
     spans = tag_mentions(lists, cut_lineage(types), stop_words)
     texts = docs.where("text is not null").select("doc_id", "lang", "text")
     surface = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))

@@ -589,6 +589,35 @@ def test_static_features(spark):
     assert {r["mention_id"]: r["title"] for r in best.collect()} == {1: "río", 2: "lima", 3: "río"}
 
 
+def test_cascade_goes_through_lists_without_joins(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["ann", "Ann", "lee", "new", "York", "12", "of", "the", "o'x", "'", "."]
+    line = lambda: " ".join(rng.choices(words, k=12))
+    docs = [(i, ("en", "es", "zh", None)[i % 4], line() + "\n" + line()) for i in range(40)] + [(None, "en", line()), (None, "en", line())]
+    schema = "doc_id long, lang string, text string"
+    lists = tokens.token_lists(spark.createDataFrame(docs, schema))
+    stops = spark.createDataFrame([("en", "of"), ("en", "the"), ("es", "the"), (None, "ann")], "lang string, word string")
+    forms = {(r["lang"], r["surface"], r["n"], r["capitalised"]) for r in ner.surface_forms(lists, 4, stops).collect()}
+    known = tokens.KnownGrams(spark.createDataFrame([(f[1],) for f in forms], "surface string"))
+    assert {tuple(r) for r in ner.surface_forms(lists, 4, stops, known).collect()} == forms
+    kinds = [["person"], ["location", "book"], ["book"], [], ["organization", "person"]]
+    rows = [(*f, rng.choice(kinds)) for f in sorted(forms) if rng.random() < 0.3]
+    types = spark.createDataFrame(rows, "lang string, surface string, n int, capitalised boolean, coarse array<string>")
+    plain = spark.createDataFrame([(a, b, k) for (a, b), k in {(r[0], r[1]): r[4] for r in rows}.items()], "lang string, surface string, coarse array<string>")
+    told = lambda found: sorted(map(str, found.collect()))
+    want = [told(ner._joined_cascade(lists, t, stops, 4)) for t in (types, plain)]
+    # texts under one id meet each other, so they still go by joins
+    both = tokens.token_lists(spark.createDataFrame([*docs, (1, "es", docs[1][2][4:] + " lee")], schema))
+    want_both = told(ner._joined_cascade(both, types, stops, 4))
+    assert told(ner.wikify_ngrams(both, types, stops)) == want_both and "I-TOPFBTYPETOKEN-person" in str(want)
+
+    def none(*_):
+        raise AssertionError("n-grams were joined")
+
+    monkeypatch.setattr(ner, "propagate_types", none)
+    assert [told(ner.wikify_ngrams(lists, t, stops)) for t in (types, plain)] == want
+
+
 def test_texts_are_ranked_without_vectors_in_rows(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vocabulary = ["ann", "lee", "york", "new", "río", "lima", "big", "old"]
