@@ -108,8 +108,8 @@ def surface_candidates(surfaces: DataFrame, index: Index) -> DataFrame:
     return own.join(by_words.select("lang", "surface").distinct(), ["lang", "surface"], "left_anti").unionByName(by_words)
 
 
-def _finish(linked: DataFrame, index: Index, target_kb: str) -> DataFrame:
-    """Redirects, English titles, mids, containment and clusters of mentions with ``wiki_title`` in ``cand_lang``."""
+def _with_titles(linked: DataFrame, index: Index) -> DataFrame:
+    """Redirects, English titles and mids of mentions with ``wiki_title`` in ``cand_lang``."""
     pairs = linked.where("wiki_title is not null").select(F.coalesce("cand_lang", "lang").alias("lang"), F.col("wiki_title").alias("title")).distinct()
     resolved = titles.resolve_redirects(pairs, index.redirects)
     english = cut_lineage(titles.translate(resolved.withColumnsRenamed({"title": "asked", "resolved": "title"}), index.title_map))
@@ -118,7 +118,15 @@ def _finish(linked: DataFrame, index: Index, target_kb: str) -> DataFrame:
     joined = linked.withColumn("cand_lang", F.coalesce("cand_lang", "lang")).join(known, ["cand_lang", "wiki_title"], "left")
     joined = joined.withColumn("wiki_title", F.coalesce("_title", "wiki_title")).drop("_title", "cand_lang")
     joined = joined.withColumns({c: X.or_nil(F.col(c)) for c in ("wiki_title", "en_title", "mid")})
-    contained = cut_lineage(coref.person_containment(cut_lineage(joined)))
+    return joined.select("mention_id", "doc_id", "mention_type", "start", "surface", "wiki_title", "en_title", "mid", "confidence")
+
+
+def _finish(linked: DataFrame, index: Index, target_kb: str) -> DataFrame:
+    """Redirects, English titles, mids, containment and clusters of mentions with ``wiki_title`` in ``cand_lang``."""
+    joined = cut_lineage(_with_titles(linked, index))
+    del linked  # what was written before can leave the disk
+    contained = cut_lineage(coref.person_containment(joined))
+    del joined
     target = "mid" if target_kb == "freebase" else "en_title"
     clustered = coref.cluster_surfaces(contained.withColumn("mid", F.col(target)), ["doc_id"]).select("mention_id", "cluster_id")
     return contained.join(clustered, "mention_id", "left").select("mention_id", "doc_id", "surface", "wiki_title", "en_title", "mid", "confidence", "cluster_id")
@@ -131,7 +139,8 @@ def annotate_ranked(mentions: DataFrame, docs: DataFrame, index: Index, vectors:
     found = surface_candidates(keyed.select("lang", F.col("key").alias("surface")).where("lang is not null and surface is not null"), index)
     found = cut_lineage(candidates.apply_overrides(candidates.drop_unwanted(found)))
     linked = features.rank_texts(keyed, found, docs, tokens.document_frequency(docs), index.title_map, vectors, names, weights)
-    return _finish(cut_lineage(linked.withColumn("key", X.normal_surface(F.col("surface")))), index, config.target_kb if config else "freebase")
+    del keyed, found
+    return _finish(cut_lineage(linked), index, config.target_kb if config else "freebase")
 
 
 def annotate_text(docs: DataFrame, index: Index, config: Config | None = None, stop_words: DataFrame | None = None, search: DataFrame | None = None) -> DataFrame:
