@@ -30,13 +30,16 @@ def person_containment(mentions: DataFrame) -> DataFrame:
     stands = Window.partitionBy("doc_id", "low").orderBy("start", "mention_id")
     forms = people.withColumn("_n", F.row_number().over(stands)).where("_n = 1 and low != ''").select("doc_id", "low", "start", "mid", "wiki_title", "confidence")
     # a container holds every piece of what it contains, so each form asks for its rarest piece only
-    pieces = forms.select("doc_id", "low", "start", F.struct("mid", "wiki_title", "confidence").alias("o"), F.explode(_pieces(F.col("low"), (1, 2, 3))).alias("piece"))
+    pieces = forms.select("doc_id", "low", "start", F.explode(_pieces(F.col("low"), (1, 2, 3))).alias("piece"))
     frequency = pieces.groupBy("doc_id", "piece").agg(F.count("*").alias("df"))
     own = forms.select("doc_id", "low", F.explode(_pieces(F.col("low"), (3,))).alias("piece")).join(frequency, ["doc_id", "piece"])
     asked = own.groupBy("doc_id", "low").agg(F.min(F.struct("df", "piece")).alias("r")).select("doc_id", "low", F.col("r.piece").alias("piece"))
-    outer = pieces.select("doc_id", "piece", F.col("low").alias("o_low"), "start", "o")
+    outer = pieces.select("doc_id", "piece", F.col("low").alias("o_low"), "start")
     pairs = asked.join(outer, ["doc_id", "piece"]).where("length(o_low) > length(low) and contains(o_low, low)")
-    best = pairs.groupBy("doc_id", "low").agg(F.min_by("o", F.struct(-F.length("o_low"), "start")).alias("o"))
+    # pieces don't carry what a container gives; the form that is chosen is looked up
+    best = pairs.groupBy("doc_id", "low").agg(F.min_by("o_low", F.struct(-F.length("o_low"), "start")).alias("o_low"))
+    given = forms.select("doc_id", F.col("low").alias("o_low"), F.struct("mid", "wiki_title", "confidence").alias("o"))
+    best = best.join(given, ["doc_id", "o_low"]).select("doc_id", "low", "o")
     joined = mentions.withColumn("low", F.when(F.col("mention_type") == "PER", F.lower("surface"))).join(best, ["doc_id", "low"], "left")
     take = F.col("o").isNotNull() & ~X.is_nil(F.col("o.mid"))
     out = {c: F.when(take, F.col(f"o.{c}")).otherwise(F.col(c)) for c in ("mid", "wiki_title", "confidence")}
